@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, sharding, simhash
+from . import fingerprints, langid, linededup, lm, media, mixing, packing, secrets, sharding, simhash
 from .common import table
 
 
@@ -31,5 +31,50 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_sharding, op4_simhash)}
-ORACLE_SQL: dict[str, str] = {}
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_removed")
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir)
+    counts = secrets.word_counts(docs)
+    language = secrets.Language.of(counts)
+    forest = secrets.fit(language, secrets.labelled_findings(list(counts)[:500]))
+    return secrets.scan(docs, forest, language)
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir), tokenizer_path(), F.coalesce(fold(7) == 2, F.lit(False)))
+
+
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = media.media_columns(table(spark, sf_dir))
+    return got.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(table(spark, sf_dir), tokenizer_path(), tokenizer_pattern()))
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_neighbours(table(spark, sf_dir))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def tokenizer_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_sharding, op4_simhash, op5_secret_scan, op6_mixing, op7_lm_scoring, op8_media, op9_packing, op10_fingerprints)}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": linededup.ORACLE, "op6_mixing": mixing.ORACLE}

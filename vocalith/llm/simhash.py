@@ -57,9 +57,12 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     return int(np.packbits(votes * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-@F.pandas_udf(LongType())
-def fingerprint_udf(texts: pd.Series) -> pd.Series:
-    return pd.Series(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64))
+def fingerprint_udf(words: int = 4):
+    @F.pandas_udf(LongType())
+    def prints(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64))
+
+    return prints
 
 
 #: One bit in each segment of two.
@@ -83,7 +86,7 @@ def _near(a: np.ndarray, b: np.ndarray, ea: np.ndarray, eb: np.ndarray, bits: in
     """The Manhattan bound first, then the exact distance of what is left."""
     out = np.bitwise_count(ea ^ eb) <= bits
     at = np.flatnonzero(out)
-    out[at] = np.bitwise_count(a[at] ^ b[at]) <= bits
+    out[at] = np.bitwise_count((a[at] if np.ndim(a) else a) ^ b[at]) <= bits
     return out
 
 
@@ -171,17 +174,29 @@ def fingerprint_links(fps: DataFrame, bits: int = 4, block: int = 4096) -> DataF
     return sorted_.mapInPandas(_search(bits), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", bits: int = 4, block: int = 4096) -> DataFrame:
-    """One row per row of ``docs``: its id, fingerprint (long ``fp``) and component_id."""
+def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = 4, bits: int = 4, block: int = 4096) -> DataFrame:
+    """One row per row of ``docs``: its id, fingerprint (long ``fp``), text hash ``text_hash``, component ``root``
+    (its least fingerprint) and component_id."""
     bounded_batches(docs.sparkSession)
-    marked = materialise(docs.select(F.col(doc).alias(doc), fingerprint_udf(F.col(text)).alias("fp")), "simhash-fp")
+    marked = docs.select(F.col(doc).alias(doc), F.xxhash64(text).alias("text_hash"), fingerprint_udf(words)(F.col(text)).alias("fp"))
+    marked = materialise(marked, "simhash-fp")
     reps = materialise(marked.groupBy("fp").agg(F.min(doc).alias("rep")), "simhash-distinct")
     stars = components(fingerprint_links(reps, bits, block))
     named = reps.join(stars.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = materialise(named, "simhash-named")
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    ids = materialise(named.join(least, "root").select("fp", "component_id"), "simhash-components")
-    return marked.join(ids, "fp").select(doc, "fp", "component_id")
+    ids = materialise(named.join(least, "root").select("fp", "root", "component_id"), "simhash-components")
+    return marked.join(ids, "fp").select(doc, "text_hash", "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = 5, bits: int = 4) -> DataFrame:
+    """``docs`` with one document of each component: the one of the smallest id, then text hash."""
+    groups = near_duplicates(docs, doc, text, words, bits)
+    kept = groups.groupBy("root").agg(F.min(F.struct(F.col(doc).isNull(), F.col(doc).alias("k"), F.col("text_hash").alias("h"))).alias("m")).select("m.k", "m.h")
+    kept = materialise(kept, "simhash-kept")
+    keyed = docs.withColumn("_h", F.xxhash64(text))
+    got = keyed.join(kept, keyed[doc].eqNullSafe(kept["k"]) & (keyed["_h"] == kept["h"]), "left_semi")
+    return got.dropDuplicates([doc, "_h"]).drop("_h")
 
 
 def hex_fingerprint(fp="fp"):
