@@ -1,0 +1,6 @@
+"""All named queries and their SQL."""
+
+from . import embeddings, frames, statistics  # noqa: F401  (registration)
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
