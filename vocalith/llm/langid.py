@@ -8,7 +8,8 @@ batch is two matrix products, K(S, L) and K(S, L) A.
 
 Cases: a null text or one without a letter gives ``und`` with score 0; so does every text when nothing is
 labelled. Texts are read whole, in pieces of bounded size, so a very long one needs no more memory than a
-short one. Equal texts get equal results; other columns are carried along untouched.
+short one. Equal texts get equal results; other columns are carried along,
+but columns of the output's names are replaced.
 """
 
 from __future__ import annotations
@@ -134,7 +135,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: Column |
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    rows = docs.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.abs(F.coalesce(order, F.xxhash64(text)) % 1_000_000).alias("h"))
+    rows = docs.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(text) if order is None else order, F.lit(1_000_000)).alias("h"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(at_most // 2).collect()}
     if not counts:
         return fit_arrays(np.zeros((0, _EDGE[-1]), bool), [])

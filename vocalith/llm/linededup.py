@@ -8,7 +8,8 @@ Cases: windows of blank lines only do not count; a text of fewer than three line
 null text stays null and a null doc_id sorts first; a text whose lines all go becomes empty; rows that agree
 in doc_id and text are one document to the order, so they lose the same lines. A window found in a third of all
 rows meets in an aggregation with map-side combining and in a join whose large partitions can be split; the
-covered positions of one document are bounded by its own lines. Other columns are carried along.
+covered positions of one document are bounded by its own lines. Other columns are carried along, but
+for n_lines and n_removed, which are replaced; names that begin with _ are reserved.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", window
     kept = F.array_join(F.transform(F.filter(numbered, lambda p: F.try_element_at("_gone", p["i"]).isNull()), lambda p: p["x"]), "\n")
     n = F.when(F.col(text).isNull(), 0).otherwise(F.size("_lines")).cast("long")
     got = got.withColumns({"n_lines": n, "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), text: F.when(F.col("_starts").isNull(), F.col(text)).otherwise(kept)})
-    return got.select(*docs.columns, "n_lines", "n_removed")
+    return got.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
 
 
 ORACLE = """
