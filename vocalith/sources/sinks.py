@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.rules import lights
+from .audio import encode_wav
 
 
 def case_number(ts: Column) -> Column:
@@ -61,14 +64,9 @@ def difference_bars(a: DataFrame, b: DataFrame, on: list[str], spans: dict[str,
 
 def wav_rows(segments: DataFrame, keys: list[str], amp: str = "amp") -> DataFrame:
     """Segments as WAV bytes; write them with any binary sink, or keep them as a column."""
-    import pandas as pd
-
-    from .audio import encode_wav
 
     @F.pandas_udf("binary")
     def encode(x: pd.Series) -> pd.Series:
-        import numpy as np
-
         return x.map(lambda a: encode_wav(np.asarray(a, dtype=float)))
 
     return segments.select(*keys, encode(amp).alias("wav"))
