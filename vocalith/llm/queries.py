@@ -57,7 +57,7 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.pieces(table(spark, sf_dir), tokenizer_path(), tokenizer_pattern()))
+    return packing.pack(packing.pieces(table(spark, sf_dir), tokenizer_path()))
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,11 +70,5 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def tokenizer_pattern() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.PATTERN
-
-
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_sharding, op4_simhash, op5_secret_scan, op6_mixing, op7_lm_scoring, op8_media, op9_packing, op10_fingerprints)}
 ORACLE_SQL: dict[str, str] = {"op2_line_dedup": linededup.ORACLE, "op6_mixing": mixing.ORACLE}
