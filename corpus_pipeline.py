@@ -1,8 +1,8 @@
 """A corpus pipeline over ``documents``: five stages, each written as Parquet and read again by the next.
 
 Language ID rejects what has no letter or fits no language; line dedup takes out repeated passages, and documents
-that consist of nothing else; SimHash keeps one document of each group of near-duplicates (five-word shingles,
-fingerprints within 4 of 64 bits, a similarity of 0.94); mixing brings the sources to their target weights, in training
+that consist of nothing else; SimHash keeps one document of each group of near-duplicates (five-word shingles, any of
+three fingerprints within 4 of 64 bits, a similarity of 0.94); mixing brings the sources to their target weights, in training
 order; packing fills sequences of 1024 tokens. All stages but the last return the columns of documents.
 """
 
@@ -37,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.pieces(docs, queries.tokenizer_path(), queries.tokenizer_pattern()))
+    return packing.pack(packing.pieces(docs, queries.tokenizer_path()))
 
 
 STAGES = [(f.__name__, f) for f in (language_id, line_dedup, simhash_near_dedup, mix_sources, pack)]
