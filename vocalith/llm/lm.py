@@ -6,9 +6,10 @@ shuffled, not tokens. Words are summed over all chunks, each different word gets
 both go back to the chunks by word. A chunk then has all that scoring needs and is scored on one task with
 batched matrix products; no vocabulary is ever broadcast or collected.
 
-Base score: smoothed unigram over words. Model: a word's probability is a mixture of its share in the training
-corpus and the attention model's probability of its subwords in context (see attention.py); the end of a text
-is a symbol like any other. What comes to the driver is bounded: counts of subword symbols, and a training
+Base score: smoothed unigram over words. Model: a word's probability is a mixture of that unigram and the
+attention model's probability of its subwords in context (see attention.py); the end of a text is a symbol like
+any other. As in the base, all unknown words share one event; the model's probability of the one spelling seen
+is a lower bound of its probability of that event, so the score is a lower bound in the base's own event space. What comes to the driver is bounded: counts of subword symbols, and a training
 sample of ``sample_rows`` stretches of at most ``sample_bytes`` each. Word counts, symbol counts and shares cover
 all training documents.
 
@@ -32,8 +33,8 @@ from . import attention
 from .common import bounded_batches, materialise, shared_dir
 
 #: Share of the corpus unigram in the mixture.
-MIX = 0.7
-_CHUNK = 4 << 20
+MIX = 0.65
+_CHUNK = 10 << 20
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -45,13 +46,26 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(real), np.diff(kept[offsets])
 
 
+def squeeze(codes: np.ndarray) -> bytes:
+    """32-bit numbers, compressed plane by plane of their bytes."""
+    planes = np.ascontiguousarray(codes.astype("<i4").view(np.uint8).reshape(-1, 4).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if len(codes) else b""
+
+
+def unsqueeze(data, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, dtype=np.int32)
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec="zstd"), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<i4").ravel()
+
+
 _CHUNK_ROWS = "chunk long, kind int, idx int, word string, n long, texts binary, codes binary"
 
 
 def chunk_corpus(docs: DataFrame, doc: str, text: str, held_out: Column) -> DataFrame:
     """kind 0: a different word of a chunk (idx, word, n in training); kind 1: the chunk's texts (ids, flags,
     lengths as an Arrow stream) and their words as indexes."""
-    bounded_batches(docs.sparkSession, rows=8192, size="8m")
+    bounded_batches(docs.sparkSession, rows=8192, size="2m")
     schema = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("idx", pa.int32()), ("word", pa.string()), ("n", pa.int64()), ("texts", pa.binary()), ("codes", pa.binary())])
 
     def run(batches):
@@ -79,7 +93,7 @@ def chunk_corpus(docs: DataFrame, doc: str, text: str, held_out: Column) -> Data
         with pa.ipc.new_stream(sink, about.schema) as w:
             w.write_table(about)
         name, k = uuid.uuid4().int >> 65, len(coded.dictionary)
-        cols = [pa.array([name] * 1, pa.int64()), pa.array([1], pa.int32()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([sink.getvalue()], pa.binary()), pa.array([codes.tobytes()], pa.binary())]
+        cols = [pa.array([name] * 1, pa.int64()), pa.array([1], pa.int32()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([sink.getvalue()], pa.binary()), pa.array([squeeze(codes)], pa.binary())]
         yield pa.RecordBatch.from_arrays(cols, schema=schema)
         if k:
             cols = [pa.array(np.full(k, name)), pa.array(np.zeros(k, np.int32)), pa.array(np.arange(k, dtype=np.int32)), coded.dictionary.cast(pa.string()), pa.array(n.astype(np.int64)), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())]
@@ -190,7 +204,9 @@ def _train(texts: list[str], path: str, counts: np.ndarray, steps: int) -> atten
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """starts[i], starts[i] + 1, ... (lengths[i] of them), end to end."""
     ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
+    out = np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)
+    out += np.repeat((starts - ends + lengths).astype(np.int32), lengths)
+    return out
 
 
 def score_chunk(about: pa.Table, codes: np.ndarray, c: np.ndarray, flat: np.ndarray, sizes: np.ndarray, model: attention.Model, end: int, c_end: int, total: int, distinct: int) -> dict[str, np.ndarray]:
@@ -207,8 +223,8 @@ def score_chunk(about: pa.Table, codes: np.ndarray, c: np.ndarray, flat: np.ndar
     symbols = flat[_ranges(starts[codes], per)]
     logs = attention.symbol_logs(symbols, np.add.reduceat(per, firsts), model)
     word = np.add.reduceat(logs.astype(np.float64), np.cumsum(per) - per)
-    known = (MIX * c / total if total else np.zeros(len(c)))[codes]
-    mixed = np.log10(known + np.where(total > 0, 1 - MIX, 1.0) * np.exp(np.maximum(word, -700.0)))
+    share = MIX if total else 0.0
+    mixed = np.log10((share * (c + 1) / (total + distinct + 1))[codes] + (1 - share) * np.exp(np.maximum(word, -700.0)))
     return {"n_tokens": tokens, "n_known": np.add.reduceat((c > 0).astype(np.int64)[codes], firsts), "base_score": np.add.reduceat(base[codes], firsts), "score": np.add.reduceat(mixed, firsts)}
 
 
@@ -238,7 +254,7 @@ def score(docs: DataFrame, path: str, held_out: Column, doc: str = "doc_id", tex
         order = np.argsort(idx, kind="stable")
         flat = flat[_ranges((np.cumsum(sizes) - sizes)[order], sizes[order])]
         about = pa.ipc.open_stream(right["texts"][0].as_buffer()).read_all()
-        codes = np.frombuffer(right["codes"][0].as_buffer(), dtype=np.int32)
+        codes = unsqueeze(right["codes"][0].as_buffer(), int(pc.sum(about["n"]).as_py() or 0))
         got = score_chunk(about, codes, left["c"].to_numpy()[order], flat, sizes[order], shared.value, end, n_train, total, distinct)
         size = len(about)
         columns = {doc: about["d"], "held_out": about["h"], "n_tokens": got["n_tokens"], "n_known": got["n_known"], "train_tokens": np.full(size, total), "base_score": got["base_score"], "score": got["score"]}
