@@ -32,7 +32,7 @@ def test_stages_one_after_another(spark):
     three = cp.simhash_near_dedup(spark, two, "").cache()
     ids = sorted({r["doc_id"] for r in got})
     text = {r["doc_id"]: r["text"] for r in got}
-    label = plain_components([plain_fingerprint(text[d], 5) for d in ids], ids)
+    label = plain_components([[plain_fingerprint(text[d], 5, seed) for d in ids] for seed in (42, 43, 44)], ids)
     assert three.columns == columns and sorted(r["doc_id"] for r in three.collect()) == sorted(set(label.tolist()))
 
     four = cp.mix_sources(spark, three, "").cache()

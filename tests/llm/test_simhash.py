@@ -9,18 +9,18 @@ from vocalith.llm.components import components
 SCHEMA = "doc_id long, text string, fp string"  # an extra column whose name clashes with the operator's own
 
 
-def plain_fingerprint(text, words=4):
+def plain_fingerprint(text, words=4, seed=42):
     w = (text or "").encode().lower().split()
     if not w:
         return 0
     s = [b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))]
-    h = [xxhash.xxh64_intdigest(x, 42) for x in s]
+    h = [xxhash.xxh64_intdigest(x, seed) for x in s]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
 def plain_components(fps, ids, bits=4):
-    fps = np.array(fps, dtype=np.uint64)
-    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= bits
+    views = np.array(fps, dtype=np.uint64).reshape(-1, len(ids))
+    near = (np.bitwise_count(views[:, :, None] ^ views[:, None, :]) <= bits).any(0)
     label = np.array(ids)
     while True:
         new = np.where(near, label[None, :], np.iinfo(np.int64).max).min(1)
@@ -62,6 +62,16 @@ def test_links_find_all_components_small_and_large_cells(spark):
         assert [got.get(x, x) for x in signed] == want.tolist()
 
 
+def test_several_seeds_link_where_any_does(spark):
+    rng = random.Random(8)
+    base = [[rng.choice("abcdefghij") + rng.choice("klmnop") for _ in range(90)] for _ in range(12)]
+    texts = [" ".join(x if rng.random() > p else "zz" for x in b) for b in base for p in (0, 0, 0.01, 0.02, 0.04)]
+    rows = [(i, t, "x") for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), words=5, seeds=(42, 43, 44)).collect()}
+    want = plain_components([[plain_fingerprint(t, 5, s) for t in texts] for s in (42, 43, 44)], list(range(len(texts))))
+    assert [got[i] for i in range(len(texts))] == want.tolist()
+
+
 def test_edge_cases(spark):
     long = " ".join(f"w{i % 977}" for i in range(60_000))
     rows = [(5, "a b c d e", "x"), (3, "A  B c\nd E", "x"), (9, None, None), (7, "", "x"), (8, " ", None), (None, "q", "x"), (11, long, "x"), (5, "a b c d e", "x")]

@@ -44,10 +44,11 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     seen = None
     for _ in range(max_rounds):
         both = e.union(e.select("v", "u"))
-        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
+        # written, so that both sides of the join are dealt by Spark and a hot node's partition can be split
+        least = materialise(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")), "cc-least")
         large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialise(large, "cc-large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).union(least.select("u", "m")).distinct()
         e = materialise(small, "cc-small")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

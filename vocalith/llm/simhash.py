@@ -9,8 +9,8 @@ at least four whole blocks agree, so both vectors share a cell of at least one o
 blocks. A cell's members are compared by the Manhattan bound, then exactly. In cells of one nothing is
 compared; in small cells all members are; in larger ones a search over the not yet reached members finds a
 spanning forest of the links, as all pairs of a group of copies are never needed for its components. Cells of
-more than ``block`` distinct fingerprints are cut into blocks and each pair of blocks is searched on its own
-task, so no task holds a whole hot cell and none is dropped.
+more than ``block`` distinct fingerprints are cut into blocks and each pair of blocks is searched apart, so no
+task holds a whole hot cell and none is dropped.
 
 Cases: a null text, an empty one and one without words have fingerprint zero and link like any other; equal
 texts and repeated rows share a fingerprint and so a component; a component's id is its smallest doc_id (null
@@ -23,12 +23,13 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, LongType
 
-from .common import bounded_batches, materialise
+from .common import batch_rows, bounded_batches, materialise
 from .components import components, roots
 
 SEED = 42
@@ -40,27 +41,36 @@ def _votes(hashes: list[int]) -> np.ndarray:
     return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
+def fingerprint(text: str | None, words: int = 4, seed: int = SEED) -> int:
     """Bit b is set if it is in over half of the shingles' XXH64 (unsigned)."""
+    return fingerprints(text, words, (seed,))[0]
+
+
+def fingerprints(text: str | None, words: int, seeds: tuple[int, ...]) -> list[int]:
+    """One fingerprint for each seed of the hash."""
     w = (text or "").encode().lower().split()
     if not w:
-        return 0
+        return [0] * len(seeds)
     joined = b" ".join(w)
     ends = np.cumsum(np.fromiter(map(len, w), dtype=np.int64, count=len(w)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(w) - words + 1)
     last = ends[min(words, len(w)) - 1 :]
-    h64, votes = xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64)
+    h64, votes = xxhash.xxh64_intdigest, np.zeros((len(seeds), 64), dtype=np.int64)
     for at in range(0, n, _PIECE):
         to = min(n, at + _PIECE)
-        votes += _votes([h64(joined[a:b], SEED) for a, b in zip(starts[at:to].tolist(), last[at:to].tolist(), strict=True)])
-    return int(np.packbits(votes * 2 > n, bitorder="little").view(np.uint64)[0])
+        shingles = [joined[a:b] for a, b in zip(starts[at:to].tolist(), last[at:to].tolist(), strict=True)]
+        for k, seed in enumerate(seeds):
+            votes[k] += _votes([h64(x, seed) for x in shingles])
+    return [int(np.packbits(v * 2 > n, bitorder="little").view(np.uint64)[0]) for v in votes]
 
 
-def fingerprint_udf(words: int = 4):
-    @F.pandas_udf(LongType())
+def fingerprint_udf(words: int = 4, seeds: tuple[int, ...] = (SEED,)):
+    """The fingerprints of a text as an array of (signed) longs."""
+
+    @F.pandas_udf(ArrayType(LongType()))
     def prints(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64))
+        return texts.map(lambda t: np.array(fingerprints(t, words, seeds), dtype=np.uint64).view(np.int64))
 
     return prints
 
@@ -106,92 +116,131 @@ def _forest(fp: np.ndarray, emb: np.ndarray, bits: int) -> list[tuple[np.ndarray
     return out
 
 
-def _search(bits: int, few: int = 48):
-    """Over rows sorted by cell: the links inside each run of equal cells. Carries an unfinished run to the next batch."""
-
-    def links(g: np.ndarray, cell: np.ndarray, i: np.ndarray, fp: np.ndarray, emb: np.ndarray):
-        new = np.concatenate([[True], (g[1:] != g[:-1]) | (cell[1:] != cell[:-1]) | (i[1:] != i[:-1])])
-        starts = np.flatnonzero(new)
-        sizes = np.diff(np.concatenate([starts, [len(cell)]]))
-        run = np.repeat(np.arange(len(starts)), sizes)
-        small = (sizes <= few)[run]
-        a, b = [], []
-        longest = sizes[sizes <= few].max(initial=0)
-        for lag in range(1, longest):
-            at = np.flatnonzero((run[lag:] == run[:-lag]) & small[lag:])
-            at = at[_near(fp[at], fp[at + lag], emb[at], emb[at + lag], bits)]
-            a.append(fp[at])
-            b.append(fp[at + lag])
-        for s, n in zip(starts[sizes > few], sizes[sizes > few], strict=True):
-            for x, y in _forest(fp[s : s + n], emb[s : s + n], bits):
-                a.append(x)
-                b.append(y)
-        if a and len(u := np.concatenate(a)):
-            v = np.concatenate(b)
-            keep = u != v
-            nodes, root = roots(u[keep].view(np.int64), v[keep].view(np.int64))
-            rest = nodes != root
-            return pd.DataFrame({"u": nodes[rest], "v": root[rest]})
-        return None
+def _embed(fp: np.ndarray) -> np.ndarray:
+    """The embedding as in ``_unary``."""
+    low = np.uint64(_LOW)
+    over = fp >> np.uint64(1)
+    return ((fp | over) & low) | ((fp & over & low) << np.uint64(1))
+
+
+def _links(key: np.ndarray, fp: np.ndarray, bits: int, few: int = 48) -> tuple[np.ndarray, np.ndarray]:
+    """Over rows sorted by key: links inside the runs of equal keys, thinned to a spanning forest."""
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    alone = new & np.concatenate([new[1:], [True]])
+    key, fp = key[~alone], fp[~alone]
+    if not len(key):
+        return fp.view(np.int64), fp.view(np.int64)
+    emb = _embed(fp)
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    sizes = np.diff(np.concatenate([starts, [len(key)]]))
+    run = np.repeat(np.arange(len(starts)), sizes)
+    small = (sizes <= few)[run]
+    a, b = [fp[:0]], [fp[:0]]
+    for lag in range(1, sizes[sizes <= few].max(initial=0)):
+        at = np.flatnonzero((run[lag:] == run[:-lag]) & small[lag:])
+        at = at[_near(fp[at], fp[at + lag], emb[at], emb[at + lag], bits)]
+        a.append(fp[at])
+        b.append(fp[at + lag])
+    for s, n in zip(starts[sizes > few], sizes[sizes > few], strict=True):
+        for x, y in _forest(fp[s : s + n], emb[s : s + n], bits):
+            a.append(x)
+            b.append(y)
+    u, v = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
+    if not len(u):
+        return u, v
+    nodes, root = roots(u, v)
+    return nodes[nodes != root], root[nodes != root]
+
+
+def _search(bits: int, most: int | None):
+    """Batches sorted by key -> links (u, v, over false). The last run waits for the next batch; one of more than
+    ``most`` rows is dropped as it comes and its key given back (over true), to be searched in blocks."""
 
     def run(batches):
-        held = None
+        key, fp, over = np.zeros(0, np.int64), np.zeros(0, np.uint64), None
+        out = lambda u, v, flag: pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.full(len(u), flag))], names=["u", "v", "over"])
         for x in batches:
-            if not len(x):
+            k, f = x.column("key").to_numpy(), x.column("fp").to_numpy().view(np.uint64)
+            if over is not None:
+                k, f = k[(n := np.searchsorted(k, over, side="right")) :], f[n:]
+            key, fp = np.concatenate([key, k]), np.concatenate([fp, f])
+            if not len(key):
                 continue
-            held = x if held is None else pd.concat([held, x], ignore_index=True)
-            k = held[["grid", "cell", "i", "j"]].to_numpy()
-            last = (k == k[-1]).all(1)
-            cut = int(np.argmax(last))  # the last run may go on in the next batch
-            if cut:
-                if (got := go(held.iloc[:cut])) is not None:
-                    yield got
-                held = held.iloc[cut:].reset_index(drop=True)
-        if held is not None and (got := go(held)) is not None:
-            yield got
-
-    def go(x: pd.DataFrame):
-        pair = (x["i"].to_numpy().astype(np.int64) << 32) | x["j"].to_numpy().astype(np.int64)
-        return links(x["grid"].to_numpy(), x["cell"].to_numpy(), pair, x["fp"].to_numpy().view(np.uint64), x["emb"].to_numpy().view(np.uint64))
+            cut = int(np.searchsorted(key, key[-1]))
+            u, v = _links(key[:cut], fp[:cut], bits)
+            yield out(u, v, False)
+            key, fp = key[cut:], fp[cut:]
+            if most is not None and len(key) > most:
+                over = key[-1]
+                yield out(key[-1:], key[-1:], True)
+                key, fp = key[:0], fp[:0]
+        yield out(*_links(key, fp, bits), False)
 
     return run
 
 
 def fingerprint_links(fps: DataFrame, bits: int = 4, block: int = 4096) -> DataFrame:
-    """Distinct fingerprints ``fp`` -> links (u, v) that connect all that are within ``bits`` (at most 4)."""
+    """Distinct fingerprints ``fp`` -> links (u, v) that connect all that are within ``bits`` (at most 4).
+
+    One shuffle deals (cell, fingerprint) rows by cell; a task streams over them in order, so its memory is a batch
+    and ``block`` rows. The cells with more come back by key alone and are dealt again in pairs of blocks.
+    """
     if not 0 <= bits <= 4:
         raise ValueError("eight blocks of the embedding serve distances up to 4")
-    emb = _unary()
-    cells = fps.select("fp", emb.alias("emb")).select("fp", "emb", F.posexplode(F.array(*[F.col("emb").bitwiseAND(F.lit(_signed(m))) for m in _GRIDS])).alias("grid", "cell"))
-    counts = cells.groupBy("grid", "cell").agg(F.count("*").alias("n")).where("n > 1")
-    counts = materialise(counts, "simhash-cells")
-    shared = cells.join(counts, ["grid", "cell"])
-    parts = F.ceil(F.col("n") / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64("fp"), parts).cast("int")
-    dealt = shared.select("grid", "cell", "fp", "emb", own.alias("b"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("o"))
-    dealt = dealt.select("grid", "cell", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "fp", "emb")
-    sorted_ = dealt.repartition("grid", "cell", "i", "j").sortWithinPartitions("grid", "cell", "i", "j")
-    return sorted_.mapInPandas(_search(bits), "u long, v long")
-
-
-def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = 4, bits: int = 4, block: int = 4096) -> DataFrame:
-    """One row per row of ``docs``: its id, fingerprint (long ``fp``), text hash ``text_hash``, component ``root``
-    (its least fingerprint) and component_id."""
+    spark = fps.sparkSession
+    keys = [F.xxhash64(F.lit(i), F.col("emb").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(_GRIDS)]
+    cells = fps.select("fp", _unary().alias("emb")).select(F.explode(F.array(*keys)).alias("key"), "fp")
+    schema = "u long, v long, over boolean"
+    with batch_rows(spark, 1 << 16):
+        got = materialise(cells.repartition("key").sortWithinPartitions("key").mapInArrow(_search(bits, block), schema), "simhash-links")
+        links = got.where("not over").select("u", "v")
+        large = got.where("over").select(F.col("u").alias("key")).distinct()
+        counts = materialise(cells.join(large, "key").groupBy("key").agg(F.count("*").alias("n")), "simhash-large") if not large.isEmpty() else None
+        if counts is None:
+            return links
+        parts = F.ceil(F.col("n") / F.lit(block)).cast("int")
+        own = F.pmod(F.xxhash64("fp"), parts).cast("int")
+        dealt = cells.join(counts, "key").select("key", "fp", own.alias("b"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("o"))
+        pair = dealt.select(F.xxhash64("key", F.least("b", "o"), F.greatest("b", "o")).alias("key"), "fp")
+        more = materialise(pair.repartition("key").sortWithinPartitions("key").mapInArrow(_search(bits, None), schema), "simhash-blocks")
+    return links.union(more.select("u", "v"))
+
+
+def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = 4, bits: int = 4, block: int = 4096, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
+    """One row per row of ``docs``: its id, fingerprint (long ``fp``, of the first seed), text hash ``text_hash``,
+    component ``root`` (its least node) and component_id.
+
+    With several seeds, documents link if any of their fingerprints do: the chance that a near copy falls beyond
+    ``bits`` shrinks with each. A node is then the whole list of fingerprints, and each seed's links join the least
+    nodes of their fingerprints, to which the other nodes of the same fingerprint are tied.
+    """
     bounded_batches(docs.sparkSession)
-    marked = docs.select(F.col(doc).alias(doc), F.xxhash64(text).alias("text_hash"), fingerprint_udf(words)(F.col(text)).alias("fp"))
-    marked = materialise(marked, "simhash-fp")
-    reps = materialise(marked.groupBy("fp").agg(F.min(doc).alias("rep")), "simhash-distinct")
-    stars = components(fingerprint_links(reps, bits, block))
-    named = reps.join(stars.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    marked = docs.select(F.col(doc).alias(doc), F.xxhash64(text).alias("text_hash"), fingerprint_udf(words, seeds)(F.coalesce(F.col(text), F.lit(""))).alias("fps"))
+    node = F.col("fps")[0] if len(seeds) == 1 else F.xxhash64("fps")
+    marked = materialise(marked.withColumn("node", node), "simhash-fp")
+    nodes = materialise(marked.groupBy("node").agg(F.min(doc).alias("rep"), F.first("fps").alias("fps")), "simhash-distinct")
+    links = None
+    for k in range(len(seeds)):
+        if len(seeds) == 1:
+            found = fingerprint_links(nodes.select(F.col("node").alias("fp")), bits, block)
+        else:
+            view = nodes.select("node", F.col("fps")[k].alias("fp"))
+            least = materialise(view.groupBy("fp").agg(F.min("node").alias("m")), "simhash-view")
+            found = fingerprint_links(least.select("fp"), bits, block)
+            found = found.join(least.select(F.col("fp").alias("u"), F.col("m").alias("mu")), "u").join(least.select(F.col("fp").alias("v"), F.col("m").alias("mv")), "v").select("mu", "mv")
+            found = found.union(view.join(least, "fp").where("node <> m").select("node", "m")).toDF("u", "v")
+        links = found if links is None else links.union(found)
+    stars = components(links)
+    named = nodes.join(stars.withColumnRenamed("u", "node"), "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     named = materialise(named, "simhash-named")
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    ids = materialise(named.join(least, "root").select("fp", "root", "component_id"), "simhash-components")
-    return marked.join(ids, "fp").select(doc, "text_hash", "fp", "root", "component_id")
+    ids = materialise(named.join(least, "root").select("node", "root", "component_id"), "simhash-components")
+    return marked.join(ids, "node").select(doc, "text_hash", F.col("fps")[0].alias("fp"), "root", "component_id")
 
 
-def one_of_each(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = 5, bits: int = 4) -> DataFrame:
+def one_of_each(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = 5, bits: int = 4, seeds: tuple[int, ...] = (SEED, SEED + 1, SEED + 2)) -> DataFrame:
     """``docs`` with one document of each component: the one of the smallest id, then text hash."""
-    groups = near_duplicates(docs, doc, text, words, bits)
+    groups = near_duplicates(docs, doc, text, words, bits, seeds=seeds)
     kept = groups.groupBy("root").agg(F.min(F.struct(F.col(doc).isNull(), F.col(doc).alias("k"), F.col("text_hash").alias("h"))).alias("m")).select("m.k", "m.h")
     kept = materialise(kept, "simhash-kept")
     keyed = docs.withColumn("_h", F.xxhash64(text))
