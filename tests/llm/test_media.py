@@ -33,7 +33,7 @@ def test_columns(spark):
         assert r["media_bytes"] == len(image) and r["media_sha256"] == hashlib.sha256(image).hexdigest() and r["feature"] == media.features(payload)
     places = {}
     for r in got:
-        places.setdefault(r["digest"], set()).add((r["shard"], r["offset"], r["length"]))
+        places.setdefault(r["digest"], set()).add((r["shard"], r["offset"], r["media_bytes"]))
     assert all(len(v) == 1 for v in places.values())
 
 
@@ -41,7 +41,7 @@ def test_shards_are_tar_files_and_header_reads(spark):
     folder = shared_dir(spark) + "/media-test"
     index = media.store(frame(spark).repartition(2), folder, shard_bytes=20_000)
     place = media.places(index)
-    heads = {r["digest"]: r for r in media.read_headers(place, folder).collect()}
+    heads = {bytes(r["digest"]): r for r in media.read_headers(place, folder).collect()}
     files, root = media._open(folder)
     shards = {}
     for r in place.collect():
@@ -52,9 +52,9 @@ def test_shards_are_tar_files_and_header_reads(spark):
         with tarfile.open(fileobj=io.BytesIO(data)) as t:
             members = {m.name: m for m in t.getmembers()}
         for r in rows:
-            m = members[r["digest"] + ".png"]
+            m = members[bytes(r["digest"]).hex() + ".png"]
             assert (m.offset_data, m.size) == (r["offset"], r["length"])
-            assert heads[r["digest"]]["width"] == 576
+            assert heads[bytes(r["digest"])]["width"] == 576
 
 
 def test_features_tell_payloads_apart():

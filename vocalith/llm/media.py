@@ -43,7 +43,7 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(data, zlib.crc32(kind)))
 
 
-def encode(payload: bytes, level: int = 4) -> bytes:
+def encode(payload: bytes, level: int = 6) -> bytes:
     """A grey-scale PNG of 8-bit samples, LINE wide, no line filters."""
     lines = np.frombuffer(payload, dtype=np.uint8).reshape(-1, LINE)
     raw = np.zeros((len(lines), LINE + 1), dtype=np.uint8)
@@ -119,13 +119,13 @@ def store(docs: DataFrame, folder: str, doc: str = "doc_id", text: str = "text",
                 rows = []
                 for d, t in zip(x["d"], x["t"], strict=True):
                     payload, n = payload_of(t)
-                    digest = hashlib.sha256(payload).hexdigest()
+                    digest = hashlib.sha256(payload).digest()
                     if digest not in placed:
                         if out is None:
-                            name, at, placed = f"{uuid.uuid4().hex}.tar", 0, {}
+                            name, at, placed = f"{uuid.uuid4().hex[:20]}.tar", 0, {}
                             out = files.open_output_stream(f"{root}/{name}")
                         image = encode(payload)
-                        out.write(_tar_header(f"{digest}.png", len(image)) + image + b"\0" * (-len(image) % _BLOCK))
+                        out.write(_tar_header(f"{digest.hex()}.png", len(image)) + image + b"\0" * (-len(image) % _BLOCK))
                         placed[digest] = (name, at + _BLOCK, len(image))
                         at += _BLOCK + len(image) + -len(image) % _BLOCK
                     rows.append((d, digest, n, *placed[digest]))
@@ -140,7 +140,7 @@ def store(docs: DataFrame, folder: str, doc: str = "doc_id", text: str = "text",
                 out.close()
 
     kind = docs.schema[doc].dataType.simpleString()
-    got = docs.select(F.col(doc).alias("d"), F.col(text).alias("t")).mapInPandas(write, f"d {kind}, digest string, n_bytes long, shard string, offset long, length long")
+    got = docs.select(F.col(doc).alias("d"), F.col(text).alias("t")).mapInPandas(write, f"d {kind}, digest binary, n_bytes long, shard string, offset long, length long")
     return materialise(got.withColumnRenamed("d", doc), "media-index")
 
 
@@ -175,7 +175,7 @@ def read_headers(place: DataFrame, folder: str) -> DataFrame:
             got = [header(read(s, o, HEADER)) for s, o in zip(x["shard"], x["offset"], strict=True)]
             yield pd.concat([x[["digest"]], pd.DataFrame(got, columns=["width", "height", "bit_depth", "colour_type"])], axis=1)
 
-    return place.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset").mapInPandas(run, "digest string, width long, height long, bit_depth int, colour_type int")
+    return place.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset").mapInPandas(run, "digest binary, width long, height long, bit_depth int, colour_type int")
 
 
 def read_features(place: DataFrame, folder: str) -> DataFrame:
@@ -188,19 +188,21 @@ def read_features(place: DataFrame, folder: str) -> DataFrame:
             for digest, s, o, n in zip(x["digest"], x["shard"], x["offset"], x["length"], strict=True):
                 image = read(s, o, n)
                 head, payload = header(image[:HEADER]), decode(image)
-                if (again := hashlib.sha256(payload).hexdigest()) != digest:
-                    raise ValueError(f"{s} at {o}: the stored image is not {digest}")
-                out.append((digest, len(payload), again, zlib.crc32(payload[-32:]), len(image), hashlib.sha256(image).hexdigest(), features(payload), head["width"], head["height"]))
-            yield pd.DataFrame(out, columns=["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height"])
+                if (again := hashlib.sha256(payload).digest()) != digest:
+                    raise ValueError(f"{s} at {o}: the stored image is not {digest.hex()}")
+                out.append((again, len(payload), zlib.crc32(payload[-32:]), hashlib.sha256(image).digest(), features(payload), head["width"], head["height"]))
+            yield pd.DataFrame(out, columns=["digest", "payload_bytes", "tail_crc32", "media_sha256", "feature", "width", "height"])
 
-    schema = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width long, height long"
+    schema = "digest binary, payload_bytes long, tail_crc32 long, media_sha256 binary, feature string, width long, height long"
     return place.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset").mapInPandas(run, schema)
 
 
 def media_columns(docs: DataFrame, doc: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
-    """Store, index, read back; one row for each row of ``docs``."""
+    """Store, index, read back; one row for each row of ``docs``: its digests in hex, its place, its features."""
     folder = folder or f"{shared_dir(docs.sparkSession)}/media-{uuid.uuid4().hex}"
     index = store(docs, folder, doc, text)
     place = places(index)
     read = materialise(read_features(place, folder).join(place, "digest"), "media-features")
-    return index.select(doc, "digest", "n_bytes").join(read, "digest")
+    hexed = lambda c: F.lower(F.hex(c))
+    got = index.select(doc, "digest", "n_bytes").join(read, "digest").withColumnRenamed("length", "media_bytes")
+    return got.withColumns({"digest": hexed("digest"), "payload_sha256": hexed("digest"), "media_sha256": hexed("media_sha256")})
