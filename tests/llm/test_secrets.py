@@ -53,4 +53,6 @@ def test_word_counts(spark):
             if len(w) >= 3 and all("a" <= c <= "z" for c in w):
                 want[w] = want.get(w, 0) + 1
     assert got == want
+    few = secrets.word_counts(frame(spark), vocabulary=6)
+    assert 0 < len(few) <= 6 and min(few.values()) > max([n for w, n in want.items() if w not in few], default=0)
     assert secrets.word_counts(empty(spark)) == {}

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, materialise
 from .lm import split_words
 
 _ASSIGNED = re.compile(r"""\b([A-Za-z][\w.-]{1,30})["']?[ \t]{0,2}(?:=|:)[ \t]{0,2}["']?([^\s"',;<>]{8,})""")
@@ -246,7 +246,11 @@ def labelled_findings(words: list[str], n: int = 3000, seed: int = 11) -> list[t
 
 
 def word_counts(docs: DataFrame, text: str = "text", vocabulary: int = 20_000) -> dict[str, int]:
-    """The most frequent words of a-z over all texts, at least three letters long, with their counts."""
+    """The most frequent words of a-z over all texts, at least three letters long, with their counts.
+
+    At most ``vocabulary``: a histogram of counts on a logarithmic scale (some hundred steps, whatever the corpus)
+    tells from which step on the words are that few; only those come to the driver.
+    """
     bounded_batches(docs.sparkSession)
 
     def run(batches):
@@ -257,7 +261,15 @@ def word_counts(docs: DataFrame, text: str = "text", vocabulary: int = 20_000) -
             yield pa.RecordBatch.from_arrays([got.field("values").cast(pa.string()), got.field("counts")], names=["w", "n"])
 
     got = docs.select(F.col(text).alias("t")).mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    return {r["w"]: r["n"] for r in got.orderBy(F.desc("n"), "w").limit(vocabulary).collect()}
+    got = materialise(got.withColumn("step", F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")), "word-counts")
+    left, least = vocabulary, 0
+    for r in got.groupBy("step").agg(F.count("*").alias("k")).orderBy(F.desc("step")).collect():
+        left, least = left - r["k"], r["step"] + 1
+        if left < 0:
+            break
+        least = r["step"]
+    rows = got.where(F.col("step") >= least).select("w", "n").collect()
+    return {r["w"]: r["n"] for r in sorted(rows, key=lambda r: (-r["n"], r["w"]))}
 
 
 def fit(language: Language, findings: list[tuple[str, int, int, str, str, int]], trees: int = 40) -> Forest:
