@@ -84,3 +84,34 @@ def test_edge_cases(spark):
     kept = simhash.one_of_each(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept) == [(False, 3), (False, 7), (False, 11), (True, 0)]
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_one_of_each_finds_every_pair_from_a_similarity_of_80_percent(spark):
+    rng = random.Random(9)
+    texts = []
+    for _ in range(30):
+        base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        texts.append(" ".join(base))
+        for edits in (2, 3, 4, 9):  # one edit changes five shingles: 0.90, 0.86, 0.82 and 0.63
+            copy = list(base)
+            for k in range(edits):
+                copy[10 + 20 * k] = f"x{rng.randrange(5000)}"
+            texts.append(" ".join(copy))
+    sets = [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                root = [root[b] if r == root[a] else r for r in root]
+    want = {root.index(r) for r in root}
+    assert len(want) == 60
+    kept = simhash.one_of_each(spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], SCHEMA)).collect()
+    assert {r["doc_id"] for r in kept} == want
+
+
+def test_similar_groups_do_not_rest_on_the_least_node(spark):
+    """A chain: its ends are too far apart, and a cell's least node may be an end."""
+    words = [f"w{i}" for i in range(200)]
+    chain = [" ".join([f"y{i}" if i < 9 * k else w for i, w in enumerate(words)]) for k in range(8)]
+    got = simhash.similar_groups(spark.createDataFrame([(i, t, "x") for i, t in enumerate(chain)], SCHEMA)).collect()
+    assert len(got) == 8 and len({r["root"] for r in got}) == 1

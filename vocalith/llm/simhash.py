@@ -34,6 +34,10 @@ from .components import components, roots
 
 SEED = 42
 _PIECE = 1 << 18
+#: Documents of the pipeline are near copies from this similarity of their shingles on, in per cent.
+ALIKE = 80
+BANDS, ROWS = 20, 6
+_FACTORS = np.random.default_rng(SEED).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _votes(hashes: list[int]) -> np.ndarray:
@@ -46,16 +50,20 @@ def fingerprint(text: str | None, words: int = 4, seed: int = SEED) -> int:
     return fingerprints(text, words, (seed,))[0]
 
 
+def _cuts(w: list[bytes], words: int) -> tuple[bytes, np.ndarray, np.ndarray, int]:
+    """The words joined, the starts and ends of their shingles in that, and how many there are."""
+    joined = b" ".join(w)
+    ends = np.cumsum(np.fromiter(map(len, w), dtype=np.int64, count=len(w)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    return joined, starts, ends[min(words, len(w)) - 1 :], max(1, len(w) - words + 1)
+
+
 def fingerprints(text: str | None, words: int, seeds: tuple[int, ...]) -> list[int]:
     """One fingerprint for each seed of the hash."""
     w = (text or "").encode().lower().split()
     if not w:
         return [0] * len(seeds)
-    joined = b" ".join(w)
-    ends = np.cumsum(np.fromiter(map(len, w), dtype=np.int64, count=len(w)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    n = max(1, len(w) - words + 1)
-    last = ends[min(words, len(w)) - 1 :]
+    joined, starts, last, n = _cuts(w, words)
     h64, votes = xxhash.xxh64_intdigest, np.zeros((len(seeds), 64), dtype=np.int64)
     for at in range(0, n, _PIECE):
         to = min(n, at + _PIECE)
@@ -238,9 +246,110 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", wo
     return marked.join(ids, "node").select(doc, "text_hash", F.col("fps")[0].alias("fp"), "root", "component_id")
 
 
-def one_of_each(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = 5, bits: int = 4, seeds: tuple[int, ...] = (SEED, SEED + 1, SEED + 2)) -> DataFrame:
-    """``docs`` with one document of each component: the one of the smallest id, then text hash."""
-    groups = near_duplicates(docs, doc, text, words, bits, seeds=seeds)
+def shingles(text: str | None, words: int = 5) -> np.ndarray:
+    """XXH64 of the different shingles of a text, in order; one of fewer words has one shingle, without words none."""
+    w = (text or "").encode().lower().split()
+    if not w:
+        return np.zeros(0, dtype=np.uint64)
+    joined, starts, last, n = _cuts(w, words)
+    parts, h64 = [], xxhash.xxh64_intdigest
+    for at in range(0, n, _PIECE):
+        to = min(n, at + _PIECE)
+        parts.append(np.unique(np.array([h64(joined[a:b]) for a, b in zip(starts[at:to].tolist(), last[at:to].tolist(), strict=True)], dtype=np.uint64)))
+    return np.unique(np.concatenate(parts)) if len(parts) > 1 else parts[0]
+
+
+def alike(a: np.ndarray, b: np.ndarray, percent: int = ALIKE) -> bool:
+    """Whether two sets of shingles have a Jaccard similarity of ``percent`` or more; two empty ones are equal."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
+def bands(x: np.ndarray) -> np.ndarray:
+    """One key for each of BANDS groups of ROWS minima of the shingles; sets of similarity s share a key with chance s^ROWS."""
+    least = np.full(BANDS * ROWS, np.uint64(2**64 - 1))
+    for at in range(0, len(x), 4096):
+        h = x[at : at + 4096, None] * _FACTORS
+        h ^= h >> np.uint64(29)
+        least = np.minimum(least, (h * _FACTORS[::-1]).min(0))
+    return np.array([xxhash.xxh64_intdigest(least[i : i + ROWS].tobytes(), i) for i in range(0, BANDS * ROWS, ROWS)], dtype=np.uint64)
+
+
+def _band_udf(words: int):
+    """Of a text: hash of its words, number of different shingles and band keys."""
+
+    @F.pandas_udf("node long, size long, keys array<long>")
+    def told(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            x = shingles(t, words)
+            node = xxhash.xxh64_intdigest(b" ".join((t or "").encode().lower().split()))
+            rows.append((_signed(node), len(x), bands(x).view(np.int64) if len(x) else np.zeros(0, np.int64)))
+        return pd.DataFrame(rows, columns=["node", "size", "keys"])
+
+    return told
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (u, v) of nodes whose texts (node, t) have that similarity, by their whole sets of shingles."""
+
+    def run(batches):
+        held, x = None, None
+        for b in batches:
+            keep = []
+            for u, tu, tv in zip(b["u"], b["tu"], b["tv"], strict=True):
+                if u != held:
+                    held, x = u, shingles(tu, words)
+                keep.append(alike(x, shingles(tv, words), percent))
+            yield b.loc[keep, ["u", "v"]]
+
+    got = pairs.join(texts.toDF("v", "tv"), "v").join(texts.toDF("u", "tu"), "u").select("u", "v", "tu", "tv")
+    return materialise(got.mapInPandas(run, "u long, v long"), "simhash-verified")
+
+
+def similar_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = 5, bits: int = 4, seeds: tuple[int, ...] = (SEED, SEED + 1, SEED + 2), percent: int = ALIKE) -> DataFrame:
+    """One row (doc, text_hash, root) per row of ``docs``: documents link if their shingles are ``percent`` similar.
+
+    Two documents are compared where they share a cell: a SimHash component, or one of the band keys, which find
+    what lies beyond ``bits``. Texts of the same words are one node. A cell's members are compared with its least
+    node, then any two that are still in different components; none is dropped.
+    """
+    groups = near_duplicates(docs, doc, text, words, bits, seeds=seeds).select("text_hash", "root").dropDuplicates(["text_hash"])
+    marked = docs.select(F.col(doc).alias(doc), F.xxhash64(text).alias("text_hash"), _band_udf(words)(F.coalesce(F.col(text), F.lit(""))).alias("s"))
+    marked = materialise(marked.select(doc, "text_hash", "s.*"), "simhash-bands")
+    nodes = marked.groupBy("node").agg(F.first("size").alias("size"), F.first("keys").alias("keys"), F.min(F.struct(F.col(doc).isNull().alias("none"), F.col(doc).alias("k"), F.col("text_hash").alias("h"))).alias("one"))
+    nodes = materialise(nodes, "simhash-nodes")
+    near = nodes.join(groups.withColumnRenamed("text_hash", "h"), nodes["one.h"] == F.col("h")).select(F.xxhash64(F.lit("root"), "root").alias("key"), "node", "size")
+    cells = materialise(nodes.select(F.explode("keys").alias("key"), "node", "size").union(near), "simhash-cells")
+    least = cells.groupBy("key").agg(F.min(F.struct("node", "size")).alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
+    cells = materialise(cells.join(materialise(least, "simhash-least"), "key"), "simhash-shared")
+    ones = nodes.join(cells.select("node").distinct(), "node").select("node", "one.k", "one.h")
+    keyed = docs.select(F.col(doc).alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("t")).withColumnRenamed("k", "_k").withColumnRenamed("h", "_h")
+    texts = keyed.join(ones, F.col("_k").eqNullSafe(F.col("k")) & (F.col("_h") == F.col("h"))).select("node", "t").dropDuplicates(["node"])
+    texts = materialise(texts, "simhash-texts")
+
+    def fits(a, b):  # a bound: sets of such different sizes cannot be similar
+        return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+
+    stars = cells.where(F.col("node") != F.col("least.node")).where(fits(F.col("size"), F.col("least.size"))).select(F.col("least.node").alias("u"), F.col("node").alias("v")).distinct()
+    stars = materialise(stars, "simhash-stars")
+    links = _verified(stars, texts, words, percent)
+    found = components(links)
+    placed = cells.select("key", "node", "size").join(found.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = materialise(placed, "simhash-placed")
+    mixed = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+    open_ = materialise(placed.join(mixed, "key"), "simhash-open")
+    other = open_.toDF("key", "w", "other_size", "other")
+    rest = open_.join(other, "key").where((F.col("node") < F.col("w")) & (F.col("root") != F.col("other")) & fits(F.col("size"), F.col("other_size"))).select(F.col("node").alias("u"), F.col("w").alias("v")).distinct()
+    rest = materialise(rest.join(stars, ["u", "v"], "left_anti"), "simhash-rest")
+    if not rest.isEmpty():
+        found = components(links.union(_verified(rest, texts, words, percent)))
+    return marked.join(found.withColumnRenamed("u", "node"), "node", "left").select(doc, "text_hash", F.coalesce("root", "node").alias("root"))
+
+
+def one_of_each(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = 5, bits: int = 4, seeds: tuple[int, ...] = (SEED, SEED + 1, SEED + 2), percent: int = ALIKE) -> DataFrame:
+    """``docs`` with one document of each group of ``similar_groups``: the one of the smallest id, then text hash."""
+    groups = similar_groups(docs, doc, text, words, bits, seeds, percent)
     kept = groups.groupBy("root").agg(F.min(F.struct(F.col(doc).isNull(), F.col(doc).alias("k"), F.col("text_hash").alias("h"))).alias("m")).select("m.k", "m.h")
     kept = materialise(kept, "simhash-kept")
     keyed = docs.withColumn("_h", F.xxhash64(text))
