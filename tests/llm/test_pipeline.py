@@ -1,3 +1,4 @@
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -55,6 +56,16 @@ def test_stages_one_after_another(spark):
     assert max(full.values()) <= 1024 and np.mean(list(full.values())) > 500
 
 
+def test_texts_of_no_learned_language_go(spark):
+    rng = random.Random(4)
+    clean = [r for r in documents() if r[0] is not None and r[0] < 120]
+    words = [" ".join("".join(rng.choice("bcdfghjklmpqrtvwxyz") for _ in range(7)) for _ in range(40)) for _ in range(5)]
+    words.append("все люди рождаются свободными и равными в своем достоинстве и правах они наделены разумом")
+    rows = clean + [(1000 + i, t, None, "src0", len(t), 7, 3, "x", 1, 0.5) for i, t in enumerate(words)]
+    kept = cp.language_id(spark, frame(spark, rows), "").collect()
+    assert {r["doc_id"] for r in kept} == {r[0] for r in clean}
+
+
 def test_empty(spark):
     docs = empty(spark).select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in cp.STAGES:

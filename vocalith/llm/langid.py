@@ -30,6 +30,8 @@ UND = "und"
 BUCKETS = (512, 4096, 8192)
 _EDGE = tuple(int(x) for x in np.cumsum((0, *BUCKETS)))
 _PIECE = 1 << 20
+#: The bound on known trigrams: this share of what all held-out labelled texts but the tail reach.
+_SLACK, _LOW_TAIL, _DOUBT = 0.85, 0.005, 8
 #: Odd multipliers of the n-gram hash.
 _MULTIPLIERS = np.array([2654435761, 2246822519, 3266489917], dtype=np.uint32)
 
@@ -84,21 +86,38 @@ def _scaled(bits: np.ndarray) -> np.ndarray:
 
 @dataclass
 class LanguageModel:
-    """``landmarks``: packed presence bits; ``weights``: landmarks x languages; ``bias``: one per language."""
+    """``landmarks``: packed presence bits; ``weights``: landmarks x languages; ``bias``: one per language;
+    ``seen``: the trigrams of each language's labelled texts; ``least_known``: a text below it is in none of them."""
 
     languages: list[str]
     landmarks: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
+    seen: np.ndarray | None = None
+    least_known: float = 0.0
 
     def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ridge outputs (texts x languages) and whether each text has a letter."""
         bits, has = presence(texts)
+        return self.outputs(bits), has
+
+    def outputs(self, bits: np.ndarray) -> np.ndarray:
+        """Ridge outputs (texts x languages) for presence bits."""
         if not self.languages:
-            return np.zeros((len(texts), 0), dtype=np.float32), has
+            return np.zeros((len(bits), 0), dtype=np.float32)
         if not hasattr(self, "_l"):
             self._l = _scaled(np.unpackbits(self.landmarks, axis=1, count=_EDGE[-1]).astype(bool)).T.copy()
-        return (_scaled(bits) @ self._l) @ self.weights + self.bias, has
+        return (_scaled(bits) @ self._l) @ self.weights + self.bias
+
+
+def _known(bits: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Share of each text's trigrams that the best language has; _DOUBT more count as known, so short texts pass."""
+    x = bits[:, _EDGE[2] :].astype(np.float32)
+    return ((x @ seen.T.astype(np.float32)).max(1, initial=0) + _DOUBT) / (x.sum(1) + _DOUBT)
+
+
+def _seen(bits: np.ndarray, y: np.ndarray, languages: int) -> np.ndarray:
+    return np.stack([bits[y == c, _EDGE[2] :].any(0) for c in range(languages)])
 
 
 def fit_arrays(bits: np.ndarray, labels: list[str], landmarks: int = 192, ridge: float = 1e-3) -> LanguageModel:
@@ -124,7 +143,11 @@ def fit_arrays(bits: np.ndarray, labels: list[str], landmarks: int = 192, ridge:
     penalty = ridge * len(y) * np.eye(one.shape[1])
     penalty[-1, -1] = 1e-9
     beta = np.linalg.solve(one.T @ (w * one) + penalty, one.T @ (w * target))
-    return LanguageModel(languages, np.packbits(bits[chosen], axis=1), (root @ beta[:-1]).astype(np.float32), beta[-1].astype(np.float32))
+    # half of each language's texts, held out, tell how much of a clean text the other half knows
+    held = turn % 2 == 1
+    known = _known(bits[held], _seen(bits[~held], y[~held], len(languages)))
+    least = _SLACK * float(np.quantile(known, _LOW_TAIL)) if len(known) else 0.0
+    return LanguageModel(languages, np.packbits(bits[chosen], axis=1), (root @ beta[:-1]).astype(np.float32), beta[-1].astype(np.float32), _seen(bits, y, len(languages)), least)
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: Column | None = None, per_language: int = 300, at_most: int = 4000, landmarks: int = 192) -> LanguageModel:
@@ -155,16 +178,22 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: Column |
     return fit_arrays(np.unpackbits(packed, axis=1, count=_EDGE[-1]).astype(bool), got["lang"].tolist(), landmarks)
 
 
-def predict(docs: DataFrame, model: LanguageModel, text: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """Add the language of every whole text and its score: the best ridge output, moved from -1..1 to 0..1."""
+def predict(docs: DataFrame, model: LanguageModel, text: str = "text", out: tuple[str, str] = ("lang_pred", "score"), fits: str | None = None) -> DataFrame:
+    """Add the language of every whole text and its score: the best ridge output, moved from -1..1 to 0..1.
+
+    ``fits`` names a column for whether the text is in a learned language at all: the outputs of any text sum to
+    2 - languages, so the score never falls below 1 / languages; the share of known trigrams does.
+    """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, score double, fits boolean")
     def told(texts: pd.Series) -> pd.DataFrame:
-        m, names, scores, values = shared.value, [], [], texts.tolist()
+        m, names, scores, fit, values = shared.value, [], [], [], texts.tolist()
         for at in range(0, len(values), 128):
-            got, has = m.scores(values[at : at + 128])
+            bits, has = presence(values[at : at + 128])
+            got = m.outputs(bits)
+            fit += (has & (_known(bits, m.seen) >= m.least_known)).tolist() if fits and m.languages else [False] * len(has)
             if not m.languages:
                 names += [UND] * len(has)
                 scores += [0.0] * len(has)
@@ -172,7 +201,8 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", out: tupl
             best = got.argmax(1)
             names += [m.languages[b] if h else UND for b, h in zip(best, has, strict=True)]
             scores += np.where(has, np.clip((got[np.arange(len(best)), best] + 1) / 2, 0, 1), 0.0).astype(float).round(6).tolist()
-        return pd.DataFrame({"lang": names, "score": scores})
+        return pd.DataFrame({"lang": names, "score": scores, "fits": fit})
 
     got = docs.withColumn("_told", told(F.col(text)))
-    return got.withColumns({out[0]: F.col("_told.lang"), out[1]: F.col("_told.score")}).drop("_told")
+    more = {fits: F.col("_told.fits")} if fits else {}
+    return got.withColumns({out[0]: F.col("_told.lang"), out[1]: F.col("_told.score")} | more).drop("_told")
