@@ -57,6 +57,13 @@ def test_shards_are_tar_files_and_header_reads(spark):
             assert heads[bytes(r["digest"])]["width"] == 576
 
 
+def test_metadata_columns_come_from_the_header_reads(spark, monkeypatch):
+    calls, real = [], media.read_headers
+    monkeypatch.setattr(media, "read_headers", lambda *a: calls.append(a) or real(*a))
+    got = media.media_columns(frame(spark)).collect()
+    assert len(calls) == 1 and {(r["width"], r["bit_depth"], r["colour_type"]) for r in got} == {(576, 8, 0)}
+
+
 def test_features_tell_payloads_apart():
     a, b = (np.random.default_rng(i).integers(0, 256, 5760, dtype=np.uint8).tobytes() for i in (1, 2))
     assert media.features(a) != media.features(b) and media.features(a) == media.features(bytes(a))

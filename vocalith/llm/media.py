@@ -166,35 +166,39 @@ def _reader(folder: str):
     return read
 
 
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
 def read_headers(place: DataFrame, folder: str) -> DataFrame:
-    """Metadata columns from HEADER bytes of each image: digest, width, height, bit_depth, colour_type."""
+    """``place`` with metadata columns from HEADER bytes of each image: width, height, bit_depth, colour_type."""
 
     def run(batches):
         read = _reader(folder)
         for x in batches:
             got = [header(read(s, o, HEADER)) for s, o in zip(x["shard"], x["offset"], strict=True)]
-            yield pd.concat([x[["digest"]], pd.DataFrame(got, columns=["width", "height", "bit_depth", "colour_type"])], axis=1)
+            yield pd.concat([x, pd.DataFrame(got, columns=["width", "height", "bit_depth", "colour_type"])], axis=1)
 
-    return place.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset").mapInPandas(run, "digest binary, width long, height long, bit_depth int, colour_type int")
+    return place.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset").mapInPandas(run, f"{_ddl(place)}, width long, height long, bit_depth int, colour_type int")
 
 
-def read_features(place: DataFrame, folder: str) -> DataFrame:
-    """Read every image back: its sizes, digests and features. Raises if the payload isn't what was stored."""
+def read_features(heads: DataFrame, folder: str) -> DataFrame:
+    """Rows of ``read_headers``, in whose order every image is read back, with its payload's size, digests and features.
+    Raises if the payload isn't what was stored or hasn't the size that the header tells."""
 
     def run(batches):
         read = _reader(folder)
         for x in batches:
             out = []
-            for digest, s, o, n in zip(x["digest"], x["shard"], x["offset"], x["length"], strict=True):
+            for digest, s, o, n, w, h in zip(x["digest"], x["shard"], x["offset"], x["length"], x["width"], x["height"], strict=True):
                 image = read(s, o, n)
-                head, payload = header(image[:HEADER]), decode(image)
-                if (again := hashlib.sha256(payload).digest()) != digest:
+                payload = decode(image)
+                if hashlib.sha256(payload).digest() != digest or len(payload) != w * h:
                     raise ValueError(f"{s} at {o}: the stored image is not {digest.hex()}")
-                out.append((again, len(payload), zlib.crc32(payload[-32:]), hashlib.sha256(image).digest(), features(payload), head["width"], head["height"]))
-            yield pd.DataFrame(out, columns=["digest", "payload_bytes", "tail_crc32", "media_sha256", "feature", "width", "height"])
+                out.append((len(payload), zlib.crc32(payload[-32:]), hashlib.sha256(image).digest(), features(payload)))
+            yield pd.concat([x, pd.DataFrame(out, columns=["payload_bytes", "tail_crc32", "media_sha256", "feature"])], axis=1)
 
-    schema = "digest binary, payload_bytes long, tail_crc32 long, media_sha256 binary, feature string, width long, height long"
-    return place.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset").mapInPandas(run, schema)
+    return heads.mapInPandas(run, f"{_ddl(heads)}, payload_bytes long, tail_crc32 long, media_sha256 binary, feature string")
 
 
 def media_columns(docs: DataFrame, doc: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
@@ -202,7 +206,7 @@ def media_columns(docs: DataFrame, doc: str = "doc_id", text: str = "text", fold
     folder = folder or f"{shared_dir(docs.sparkSession)}/media-{uuid.uuid4().hex}"
     index = store(docs, folder, doc, text)
     place = places(index)
-    read = materialise(read_features(place, folder).join(place, "digest"), "media-features")
+    read = materialise(read_features(read_headers(place, folder), folder), "media-features")
     hexed = lambda c: F.lower(F.hex(c))
     got = index.select(doc, "digest", "n_bytes").join(read, "digest").withColumnRenamed("length", "media_bytes")
     return got.withColumns({"digest": hexed("digest"), "payload_sha256": hexed("digest"), "media_sha256": hexed("media_sha256")})
