@@ -34,6 +34,14 @@ def test_against_plain_version(spark):
     assert by[0]["text"].count("shared line") == 4 and "shared line" not in by[9]["text"]
 
 
+def test_different_texts_of_one_id_or_none_are_different_places(spark):
+    for key in (None, 7):
+        rows = [(key, f"a\nb\nc\nown {i}", "en", "s", 1, 7, 3, "x", 1, 0.5) for i in range(3)]
+        got = linededup.dedup_lines(frame(spark, rows + rows[:1])).collect()
+        texts = {r["text"] for r in got}
+        assert len(got) == 4 and sum(t.startswith("a\nb\nc") for t in texts) == 1 and len(texts) == 3
+
+
 def test_empty(spark):
     assert linededup.dedup_lines(empty(spark)).count() == 0
 

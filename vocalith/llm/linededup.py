@@ -1,7 +1,7 @@
 """Line dedup over overlapping three-line windows, in DataFrame functions only.
 
 Every run of three consecutive lines is hashed (two chained 64-bit hashes). A window hash that occurs at more
-than one place keeps its first place, in the order (doc_id, line); the positions that the later windows cover
+than one place keeps its first place, in the order (doc_id, line, hash of the text); the positions that the later windows cover
 are merged and those lines go. A line that goes always has an equal line, earlier in that order, that stays.
 
 Cases: windows of blank lines only do not count; a text of fewer than three lines has no window and stays; a
@@ -30,7 +30,7 @@ def repeated_windows(docs: DataFrame, doc: str = "doc_id", text: str = "text", w
     hashed = F.transform(at, lambda i: F.struct(i.alias("line"), F.xxhash64(part(i)).alias("h1"), F.xxhash64(F.lit(17), part(i)).alias("h2"), F.length(F.trim(F.array_join(part(i), ""))).alias("n")))
     rows = docs.select(F.col(doc).alias("_doc"), F.xxhash64(text).alias("_text"), lines.alias("_lines")).where(F.size("_lines") >= window)
     rows = rows.select("_doc", "_text", F.explode(F.filter(hashed, lambda x: x["n"] > 0)).alias("w")).select("_doc", "_text", "w.line", "w.h1", "w.h2")
-    place = F.struct("_doc", "line")
+    place = F.struct("_doc", "line", "_text")
     first = rows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h1", "h2", "first")
     first = materialise(first, "line-windows")
     return rows.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first"))).select("_doc", "_text", "line")
