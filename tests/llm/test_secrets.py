@@ -26,6 +26,14 @@ def test_candidates_cover_the_values():
     assert secrets.candidates("") == [] and secrets.candidates("plain words only") == []
 
 
+def test_candidates_cover_letters_under_secret_keys_and_key_blocks():
+    block = "-----BEGIN RSA PRIVATE KEY-----\nqWeRtYuIoPaSdFgH\nabcdEFGH+/==\n-----END RSA PRIVATE KEY-----"
+    cases = [('client_secret = "CorrectHorseBatteryStaple"', "CorrectHorseBatteryStaple"), ("auth_token: qWeRtYuIoPaSdFgHjKlZxCvBnM", "qWeRtYuIoPaSdFgHjKlZxCvBnM"), ("db_pwd=opensesame", "opensesame"), (f"a\n{block}\nb", block), ("x -----BEGIN PRIVATE KEY-----\nqWeRtY\n", "-----BEGIN PRIVATE KEY-----\nqWeRtY")]
+    for t, value in cases:
+        assert [t[a:b] for a, b, _ in secrets.candidates(t)] == [value]
+    assert secrets.candidates("author: somebody keyboard: mechanical") == []
+
+
 def test_forest_tells_secrets_from_false_positives():
     forest, language = model()
     test = secrets.labelled_findings(["the", "house", "water", "light", "under"], 600, seed=99)

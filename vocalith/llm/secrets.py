@@ -1,7 +1,7 @@
 """Secret scans: wide candidate patterns, then a random forest that removes false positives.
 
-Candidates: values assigned to a key (``name = value``, ``name: value``), and any run of 16 or more token
-characters with a digit. A candidate's features: its length; its character transitions (share of changes between
+Candidates: values assigned to a key (``name = value``, ``name: value``) that have a digit or whose key has a
+secret word as a part, private key blocks, and any run of 16 or more token characters with a digit. A candidate's features: its length; its character transitions (share of changes between
 lower case, upper case, digits and other, and mean log-probability of its letter pairs under the corpus); the
 share of its letters that common corpus words cover; whether it stands in a path or an address, and the words of
 the document's own path; the words before and after it. The forest (bootstrap trees on Gini impurity, grown
@@ -33,6 +33,8 @@ from .lm import split_words
 
 _ASSIGNED = re.compile(r"""\b([A-Za-z][\w.-]{1,30})["']?[ \t]{0,2}(?:=|:)[ \t]{0,2}["']?([^\s"',;<>]{8,})""")
 _RUN = re.compile(r"(?<![\w+/=.@-])[\w+/=.@-]*\d[\w+/=.@-]*(?![\w+/=.@-])", re.ASCII)
+_BLOCK = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ ){0,4}PRIVATE KEY(?: BLOCK)?)-----")
+_BLOCK_LINES = re.compile(r"(?:\s+[\w+/=]+(?=\s|$))*", re.ASCII)
 _LEAST = 16
 _SECRET_WORDS = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key", "auth", "credential", "private", "bearer", "key")
 _HARMLESS_WORDS = ("sha", "sha1", "sha256", "md5", "checksum", "digest", "hash", "commit", "revision", "uuid", "guid", "version", "isbn", "order", "phone", "card", "mail", "id", "build", "etag")
@@ -40,13 +42,33 @@ _DUMMY = ("example", "sample", "dummy", "test", "placeholder", "changeme", "your
 _TEST_PATHS = ("test", "example", "sample", "doc", "fixture", "mock")
 
 
+def _has(words: tuple[str, ...], of: list[str]) -> bool:
+    """Whether a word is in ``of``, or, if it is long enough to be told from chance, a part of one."""
+    return any(any(w == x or (len(w) > 4 and w in x) for w in words) for x in of)
+
+
+def _secret_key(key: str) -> bool:
+    return _has(_SECRET_WORDS, [key.lower(), *re.split(r"[_.-]+", key.lower())])
+
+
+def _key_blocks(text: str) -> list[tuple[int, int, str]]:
+    """Private key blocks; one without its end mark goes as far as its lines do."""
+    heads = list(_BLOCK.finditer(text)) if "PRIVATE KEY" in text else []
+    out = []
+    for m, after in zip(heads, [*(h.start() for h in heads[1:]), len(text)], strict=False):
+        mark = f"-----END {m.group(1)}-----"
+        at = text.find(mark, m.end(), after)
+        out.append((m.start(), at + len(mark) if at >= 0 else _BLOCK_LINES.match(text, m.end(), after).end(), "private_key"))
+    return out
+
+
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, end, key): the longer of two that overlap; key is the assigned name or empty."""
     found = [(m.start(2), m.end(2), m.group(1)) for m in _ASSIGNED.finditer(text)] if "=" in text or ":" in text else []
     for m in _RUN.finditer(text):
         if m.end() - m.start() >= _LEAST:
             found.append((m.start(), m.end(), ""))
-    found = [(a, b, k) for a, b, k in found if any(c.isdigit() for c in text[a:b]) or k.lower() in _SECRET_WORDS]
+    found = [(a, b, k) for a, b, k in found if any(c.isdigit() for c in text[a:b]) or _secret_key(k)] + _key_blocks(text)
     out: list[tuple[int, int, str]] = []
     for a, b, k in sorted(found, key=lambda x: (x[0], -x[1])):
         if out and a < out[-1][1]:
@@ -110,7 +132,7 @@ def features(text: str, start: int, end: int, key: str, path: str, language: Lan
     pair = [language.pairs[a, b] for a, b in zip(low, low[1:], strict=False) if a and b]
     before = re.findall(r"\w+", text[max(0, start - 60) : start].lower())[-4:]
     after = re.findall(r"\w+", text[end : end + 40].lower())[:3]
-    has = lambda words, of: float(any(any(w == x or (len(w) > 4 and w in x) for w in words) for x in of))
+    has = lambda words, of: float(_has(words, of))
     left = text[max(0, start - 80) : start].split()
     return [
         min(n, 256), changes / max(1, n - 1), mixed / max(1, n - 1), kinds.count(1) / n, kinds.count(2) / n, kinds.count(3) / n,
