@@ -53,6 +53,13 @@ def test_scan(spark):
     assert secrets.scan(empty(spark), forest, language).count() == 0
 
 
+def test_ties_at_the_bound_and_pairs_of_all_words(spark):
+    docs = spark.createDataFrame([("abc abd abe abf abg",)], "text string")
+    assert secrets.word_counts(docs, vocabulary=3) == {"abc": 1, "abd": 1, "abe": 1}
+    pairs = secrets.letter_pairs(secrets.all_word_counts(docs))
+    assert pairs[1, 2] == 5 and pairs.sum() == 10
+
+
 def test_word_counts(spark):
     got = secrets.word_counts(frame(spark))
     want = {}

@@ -37,8 +37,9 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir)
-    counts = secrets.word_counts(docs)
-    language = secrets.Language.of(counts)
+    every = secrets.all_word_counts(docs)
+    counts = secrets.most_frequent(every)
+    language = secrets.Language.of(counts, secrets.letter_pairs(every))
     forest = secrets.fit(language, secrets.labelled_findings(list(counts)[:500]))
     return secrets.scan(docs, forest, language)
 

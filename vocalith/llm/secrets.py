@@ -79,6 +79,16 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _pairs(counts) -> np.ndarray:
+    """Occurrences of letter pairs in (word, count) rows."""
+    pairs = np.zeros((27, 27))
+    for w, n in counts:
+        codes = [ord(c) - 96 if "a" <= c <= "z" else 0 for c in w]
+        for a, b in zip(codes, codes[1:], strict=False):
+            pairs[a, b] += n
+    return pairs
+
+
 @dataclass
 class Language:
     """Common words, and log-probabilities of letter pairs in them."""
@@ -87,12 +97,9 @@ class Language:
     pairs: np.ndarray
 
     @classmethod
-    def of(cls, counts: dict[str, int]) -> Language:
-        pairs = np.ones((27, 27))
-        for w, n in counts.items():
-            codes = [ord(c) - 96 if "a" <= c <= "z" else 0 for c in w]
-            for a, b in zip(codes, codes[1:], strict=False):
-                pairs[a, b] += n
+    def of(cls, counts: dict[str, int], pairs: np.ndarray | None = None) -> Language:
+        """``pairs``: letter pairs of all words, where ``counts`` has the common ones only."""
+        pairs = 1 + (_pairs(counts.items()) if pairs is None else pairs)
         return cls(frozenset(w for w in counts if len(w) >= 3), np.log(pairs / pairs.sum(1, keepdims=True)))
 
 
@@ -267,12 +274,8 @@ def labelled_findings(words: list[str], n: int = 3000, seed: int = 11) -> list[t
     return out
 
 
-def word_counts(docs: DataFrame, text: str = "text", vocabulary: int = 20_000) -> dict[str, int]:
-    """The most frequent words of a-z over all texts, at least three letters long, with their counts.
-
-    At most ``vocabulary``: a histogram of counts on a logarithmic scale (some hundred steps, whatever the corpus)
-    tells from which step on the words are that few; only those come to the driver.
-    """
+def all_word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Words of a-z over all texts, at least three letters long: (w, n, step of n on a logarithmic scale)."""
     bounded_batches(docs.sparkSession)
 
     def run(batches):
@@ -283,14 +286,42 @@ def word_counts(docs: DataFrame, text: str = "text", vocabulary: int = 20_000) -
             yield pa.RecordBatch.from_arrays([got.field("values").cast(pa.string()), got.field("counts")], names=["w", "n"])
 
     got = docs.select(F.col(text).alias("t")).mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    got = materialise(got.withColumn("step", F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")), "word-counts")
-    left, least = vocabulary, 0
+    return materialise(got.withColumn("step", F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")), "word-counts")
+
+
+def letter_pairs(counts: DataFrame) -> np.ndarray:
+    """Letter pairs over all rows of ``all_word_counts``: summed on the executors, at most 27 x 27 rows come back."""
+
+    def run(batches):
+        total = sum((_pairs(zip(b["w"], b["n"], strict=True)) for b in batches), np.zeros((27, 27)))
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"p": at, "n": total.ravel()[at].astype(np.int64)})
+
+    got = counts.select("w", "n").mapInPandas(run, "p long, n long").groupBy("p").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(27 * 27)
+    for r in got:
+        out[r["p"]] = r["n"]
+    return out.reshape(27, 27)
+
+
+def word_counts(docs: DataFrame, text: str = "text", vocabulary: int = 20_000) -> dict[str, int]:
+    """The ``vocabulary`` most frequent words of ``all_word_counts(docs)``."""
+    return most_frequent(all_word_counts(docs, text), vocabulary)
+
+
+def most_frequent(got: DataFrame, vocabulary: int = 20_000) -> dict[str, int]:
+    """At most ``vocabulary`` words, by count, then word: a histogram of counts (some hundred steps, whatever the
+    corpus) tells which steps come whole to the driver, and how many words of the next one.
+    """
+    left, least, part = vocabulary, 0, None
     for r in got.groupBy("step").agg(F.count("*").alias("k")).orderBy(F.desc("step")).collect():
-        left, least = left - r["k"], r["step"] + 1
-        if left < 0:
+        if r["k"] > left:
+            least, part = r["step"] + 1, r["step"]
             break
-        least = r["step"]
+        left, least = left - r["k"], r["step"]
     rows = got.where(F.col("step") >= least).select("w", "n").collect()
+    if part is not None and left:
+        rows += got.where(F.col("step") == part).orderBy(F.desc("n"), "w").select("w", "n").limit(left).collect()
     return {r["w"]: r["n"] for r in sorted(rows, key=lambda r: (-r["n"], r["w"]))}
 
 
