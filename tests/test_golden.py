@@ -237,3 +237,36 @@ def test_self_comparison_is_one(spark):
     v = spark.createDataFrame([(1, i, [float(i + j) for j in range(4)]) for i in range(3)], "label int, seq int, v array<double>")
     s = Y.pair_stats(Y.all_pairs(v, v, ["label"]).where("i = j"), ["label"]).first()
     assert abs(s["min"] - 1) < 1e-12
+
+
+def test_frames_of_zero_pitch_or_amplitude_are_no_voiced_frames(spark):
+    from vocalith.operators import series as S
+
+    rows = [("a", t, x) for t, x in enumerate((100.0, 0.0, 125.0, 100.0))] + [("z", 0, 0.0)]
+    f = spark.createDataFrame(rows, "k string, t int, x double")
+    j = {r["k"]: r for r in S.jitter(f, ["k"], ["t"], "x").collect()}
+    assert set(j) == {"a"} and j["a"]["n"] == 3
+    assert j["a"]["absolute"] == pytest.approx(2.0) and j["a"]["local"] == pytest.approx(100 * 0.002 / (0.028 / 3))
+    s = {r["k"]: r for r in S.shimmer(f, ["k"], ["t"], "x").collect()}
+    assert set(s) == {"a"} and s["a"]["db"] == pytest.approx(20 * np.log10(1.25))
+    p = {r["k"]: r for r in S.semitone_jumps(f, ["k"], ["t"], "x").collect()}
+    assert p["a"]["p95"] == pytest.approx(12 * np.log2(1.25)) and p["a"]["n"] == 3
+
+
+def test_interval_is_student_s_beyond_400_scores(spark):
+    from vocalith.functions.numbers import t_quantile
+    from vocalith.operators import aggregates as A
+
+    scores = [0.4 + 0.2 * (i % 2) for i in range(403)]
+    got = A.confidence_interval(spark.createDataFrame([("a", x) for x in scores], "k string, score double"), ["k"]).first()
+    half = t_quantile(402) * np.std(scores, ddof=1) / np.sqrt(403)
+    assert got["ci_hi"] - got["ci_lo"] == pytest.approx(2 * half, rel=1e-9)
+
+
+def test_silence_removed_joins_samples_once(spark):
+    from vocalith.operators import features as X
+
+    samples = spark.createDataFrame([("a", [float(i) for i in range(10)]), ("b", [1.0, 2.0])], "k string, amp array<double>")
+    runs = spark.createDataFrame([("a", 0.6, 0.9), ("a", 0.1, 0.3)], "k string, start_s double, end_s double")
+    got = {r["k"]: (r["kept"], r["removed_percent"]) for r in X.silence_removed(samples, runs, ["k"], 10).collect()}
+    assert got["a"] == ([1.0, 2.0, 6.0, 7.0, 8.0], pytest.approx(50.0)) and got["b"] == ([], pytest.approx(100.0))

@@ -22,5 +22,5 @@ def test_runs(spark, name):
 def test_entry(spark):
     import __spark_entry__ as e
 
-    assert e.entry(spark).count() == 45
+    assert e.entry(spark).count() == 49
     assert set(QUERIES) <= set(e.queries()) and set(ORACLES) <= set(e.oracle_sql()) <= set(e.queries())

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -30,7 +30,8 @@ def kernel(difference: Column, slope: float) -> Column:
 
 
 def semitones(p: Column, reference: Column) -> Column:
-    return F.lit(12.0) * F.log2(p / reference)
+    """12 log2(p / reference); null unless both are above zero."""
+    return F.when((p > 0) & (reference > 0), F.lit(12.0) * F.log2(p / F.nullif(reference, reference * 0)))
 
 
 def gaussian(x: Column, mean: float, sd: float) -> Column:
@@ -92,24 +93,9 @@ def t_quantile_udf(level: float = 0.95):
     return quantile
 
 
-#: Degrees of freedom up to which the table below is kept; the normal quantile serves beyond.
-T_TABLE_ROWS = 400
-
-
-def t_table(spark: SparkSession, level: float = 0.95, rows: int = T_TABLE_ROWS) -> DataFrame:
-    """(df, t) for whole degrees of freedom: small and of fixed size, so it may be broadcast."""
-    return spark.createDataFrame([(d, round(t_quantile(d, 0.5 + level / 2), 9)) for d in range(1, rows + 1)], "df long, t double")
-
-
-def normal_quantile(level: float = 0.95) -> float:
-    from statistics import NormalDist
-
-    return NormalDist().inv_cdf(0.5 + level / 2)
-
-
-def t_values(level: float = 0.95, rows: int = T_TABLE_ROWS) -> str:
-    """The same table as SQL VALUES, for the other side of an oracle check."""
-    return ", ".join(f"({d}, {round(t_quantile(d, 0.5 + level / 2), 9)!r}::DOUBLE)" for d in range(1, rows + 1))
+def t_values(rows: int, level: float = 0.95) -> str:
+    """Quantiles of whole degrees of freedom up to ``rows`` as SQL VALUES, for the other side of an oracle check."""
+    return ", ".join(f"({d}, {t_quantile(d, 0.5 + level / 2)!r}::DOUBLE)" for d in range(1, rows + 1))
 
 
 def even_indices(n: int, k: int) -> list[int]:

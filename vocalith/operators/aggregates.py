@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import T_TABLE_ROWS, clip01, normal_quantile, ratio, t_table
+from ..functions.numbers import clip01, ratio, t_quantile_udf
 
 #: Fixed value: a score above this counts as a strong match.
 STRONG = 0.9
@@ -28,15 +28,17 @@ def metric_summary(sims: DataFrame, by: list[str], score: str = "score") -> Data
 
 
 def confidence_interval(sims: DataFrame, by: list[str], score: str = "score", level: float = 0.95, clamp: bool = True) -> DataFrame:
-    """mean -+ t(n - 1) s / sqrt(n) with the sample deviation, clamped to 0..1; (0, 1) for fewer than two scores."""
+    """mean -+ t(n - 1) s / sqrt(n) with the sample deviation, clamped to 0..1; (0, 1) for fewer than two scores.
+
+    The quantile is Student's at any number of scores: computed once for each different one of a batch of keys.
+    """
     stats = sims.groupBy(*by).agg(F.count(score).alias("n"), F.avg(score).alias("mean"), F.stddev_samp(score).alias("s"))
-    t = F.broadcast(t_table(sims.sparkSession, level))  # T_TABLE_ROWS rows
-    joined = stats.join(t, F.least(F.col("n") - 1, F.lit(T_TABLE_ROWS)) == F.col("df"), "left")
-    quantile = F.when(F.col("n") - 1 > T_TABLE_ROWS, F.lit(normal_quantile(level))).otherwise(F.col("t"))
-    half = quantile * F.col("s") / F.sqrt(F.col("n").cast("double"))
-    bound = clip01 if clamp else (lambda c: c)
     few = F.col("n") < 2
-    return joined.select(*by, "n", F.when(few, 0.0).otherwise(bound(F.col("mean") - half)).alias("ci_lo"), F.when(few, 1.0).otherwise(bound(F.col("mean") + half)).alias("ci_hi"))
+    freedom = F.when(~few, (F.col("n") - 1).cast("double"))
+    stats = stats.withColumn("_t", t_quantile_udf(level)(freedom))
+    half = F.col("_t") * F.col("s") / F.sqrt(F.greatest(F.col("n"), F.lit(1)).cast("double"))
+    bound = clip01 if clamp else (lambda c: c)
+    return stats.select(*by, "n", F.when(few, 0.0).otherwise(bound(F.col("mean") - half)).alias("ci_lo"), F.when(few, 1.0).otherwise(bound(F.col("mean") + half)).alias("ci_hi"))
 
 
 def with_weights(summary: DataFrame, weights: DataFrame, metric: str = "metric") -> DataFrame:
@@ -75,7 +77,7 @@ def weighted_stats(df: DataFrame, by: list[str], x: str = "x", w: str = "w") ->
         F.count("*").alias("count"),
         F.first("m").alias("mean"),
         (F.sum(F.col("u") * (F.col("x") - F.col("m")) ** 2) / F.sum("u")).alias("variance"),
-        (F.sum("u") * F.sum("u") / F.sum(F.col("u") * F.col("u"))).alias("n_eff"),
+        ratio(F.sum("u") * F.sum("u"), F.sum(F.col("u") * F.col("u")), None).alias("n_eff"),
         F.min("x").alias("min"),
         F.max("x").alias("max"),
         F.first("med").alias("median"),
@@ -90,7 +92,7 @@ def weighted_stats(df: DataFrame, by: list[str], x: str = "x", w: str = "w") ->
     return out.withColumns(
         {
             "std": F.sqrt("variance"),
-            "sem": F.sqrt(F.col("variance") / F.col("n_eff")),
+            "sem": F.sqrt(ratio(F.col("variance"), F.col("n_eff"), None)),
             "iqr": F.col("q3") - F.col("q1"),
             "skewness": F.when(F.col("_m2") > 0, F.col("_m3") / F.nullif(F.pow("_m2", F.lit(1.5)), F.lit(0.0))),
             "kurtosis": F.when(F.col("_m2") > 0, F.col("_m4") / F.nullif(F.col("_m2") * F.col("_m2"), F.lit(0.0)) - 3.0),
@@ -145,11 +147,11 @@ def histogram_entropy(df: DataFrame, by: list[str], x: str, bins: int = 100) ->
     """Entropy in bits of the histogram between the extremes, over the log2 of the number of bins in use."""
     keys = Window.partitionBy(*by)
     lo, hi = F.min(x).over(keys), F.max(x).over(keys)
-    b = F.when(hi > lo, F.least(F.lit(bins - 1), F.floor((F.col(x) - lo) / (hi - lo) * bins).cast("int"))).otherwise(0)
+    b = F.when(hi > lo, F.least(F.lit(bins - 1), F.floor((F.col(x) - lo) / F.nullif(hi - lo, F.lit(0.0)) * bins).cast("int"))).otherwise(0)
     counts = df.select(*by, x).withColumn("bin", b).groupBy(*by, "bin").agg(F.count("*").alias("n"))
     p = F.col("n") / F.sum("n").over(keys)
     out = counts.withColumn("h", -p * F.log2(p)).groupBy(*by).agg(F.sum("h").alias("entropy"), F.count("*").alias("bins"))
-    return out.withColumn("normalized", F.when(F.col("bins") > 1, F.col("entropy") / F.log2(F.col("bins").cast("double"))).otherwise(0.0))
+    return out.withColumn("normalized", F.when(F.col("bins") > 1, F.col("entropy") / F.nullif(F.log2(F.col("bins").cast("double")), F.lit(0.0))).otherwise(0.0))
 
 
 #: Fixed value: makes the MAD comparable with a standard deviation.
@@ -171,7 +173,7 @@ def stability(df: DataFrame, by: list[str], order: list[Column], x: str = "x") -
     out = rows.groupBy(*by).agg(
         F.count("x").alias("n"),
         coefficient_of_variation("x").alias("cv"),
-        (F.avg(F.abs(F.col("x") - F.col("mu"))) / F.first("mu")).alias("rmad"),
+        ratio(F.avg(F.abs(F.col("x") - F.col("mu"))), F.first("mu"), None).alias("rmad"),
         ratio(F.expr("percentile(x, 0.75) - percentile(x, 0.25)"), F.median("x")).alias("riqr"),
         F.when(F.count("x") > 10, F.coalesce(F.nanvl(F.corr("prev", "x"), F.lit(0.0)), F.lit(0.0))).otherwise(0.0).alias("autocorr"),
     )

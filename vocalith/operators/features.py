@@ -25,15 +25,26 @@ def pitch_features(frames: DataFrame, by: list[str], order: list[str], step_s: f
 
 def jitter_shimmer(frames: DataFrame, by: list[str], order: list[str], least: int = 5) -> DataFrame:
     """The eight perturbation values of voiced frames; zeros where fewer than ``least`` are voiced."""
-    kept = S.voiced(frames).withColumn("_period", F.lit(1.0) / F.col("pitch_hz"))
-    j = S.jitter(kept, by, order, "pitch_hz").select(*by, F.col("local").alias("jitter_local"), F.col("absolute").alias("jitter_absolute"), F.col("variability").alias("jitter_variability"), "n")
-    s = S.shimmer(kept, by, order, "pitch_mag").select(*by, F.col("local").alias("shimmer_local"), F.col("db").alias("shimmer_db"))
-    p = S.perturbation_quotient(kept, by, order, "_period").select(*by, F.col("pq").alias("jitter_ppq5"))
-    q = S.perturbation_quotient(kept, by, order, "pitch_mag").select(*by, F.col("pq").alias("shimmer_apq5"))
-    a = kept.groupBy(*by).agg((F.lit(100.0) * A.coefficient_of_variation("pitch_mag")).alias("shimmer_variability"))
-    out = j.join(s, by).join(p, by).join(q, by).join(a, by)
-    names = ("jitter_local", "jitter_absolute", "jitter_ppq5", "jitter_variability", "shimmer_local", "shimmer_db", "shimmer_apq5", "shimmer_variability")
-    return out.select(*by, *[F.when(F.col("n") >= least, F.coalesce(c, F.lit(0.0))).otherwise(0.0).alias(c) for c in names])
+    kept = S.voiced(frames).withColumns({"_p": F.lit(1.0) / F.nullif(F.col("pitch_hz"), F.lit(0.0)), "_a": F.col("pitch_mag").cast("double")})
+    # one order and one exchange for all windows, then one aggregation
+    w = Window.partitionBy(*by).orderBy(*order)
+    five = w.rowsBetween(-2, 2)
+    rows = kept.withColumns({"_dp": F.abs(F.col("_p") - F.lag("_p").over(w)), "_da": F.abs(F.col("_a") - F.lag("_a").over(w))})
+    rows = rows.withColumns({"_db": F.abs(F.lit(20.0) * (F.log10("_a") - F.log10(F.lag("_a").over(w)))), "_mp": F.avg("_p").over(five), "_ma": F.avg("_a").over(five), "_k": F.count("*").over(five)})
+    inner = lambda x, m: F.when(F.col("_k") == 5, F.abs(F.col(x) - F.col(m)))
+    part = lambda top, of: F.coalesce(ratio(F.lit(100.0) * top, F.avg(of)), F.lit(0.0))
+    values = {
+        "jitter_local": part(F.avg("_dp"), "_p"),
+        "jitter_absolute": F.coalesce(F.lit(1000.0) * F.avg("_dp"), F.lit(0.0)),
+        "jitter_ppq5": part(F.avg(inner("_p", "_mp")), "_p"),
+        "jitter_variability": part(F.stddev_pop("_dp"), "_p"),
+        "shimmer_local": part(F.avg("_da"), "_a"),
+        "shimmer_db": F.coalesce(F.avg("_db"), F.lit(0.0)),
+        "shimmer_apq5": part(F.avg(inner("_a", "_ma")), "_a"),
+        "shimmer_variability": F.lit(100.0) * A.coefficient_of_variation("_a"),
+    }
+    enough = F.count("*") >= least
+    return rows.groupBy(*by).agg(*[F.when(enough, v).otherwise(0.0).alias(k) for k, v in values.items()])
 
 
 def band_energies(spectrum: DataFrame, frame: list[str], bands=R.ENERGY_BANDS) -> DataFrame:
@@ -153,8 +164,15 @@ def segment_means(frames: DataFrame, segments: DataFrame, by: list[str]) -> Data
 
 
 def silence_removed(samples: DataFrame, runs: DataFrame, by: list[str], sr: int, amp: str = "amp") -> DataFrame:
-    """Concatenation of the speech runs of each recording, in order, and the part that went, in per cent."""
-    cut = samples.join(runs, by).withColumn("_a", F.floor(F.col("start_s") * sr).cast("int")).withColumn("_b", F.floor(F.col("end_s") * sr).cast("int"))
-    piece = F.slice(amp, F.col("_a") + 1, F.greatest(F.col("_b") - F.col("_a"), F.lit(0)))
-    out = cut.groupBy(*by).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_a", piece.alias("p")))), lambda x: x["p"])).alias("kept"), F.first(F.size(amp)).alias("_n"))
-    return out.select(*by, "kept", (F.lit(100.0) * (F.lit(1.0) - F.size("kept") / F.col("_n"))).alias("removed_percent"))
+    """Concatenation of the speech runs of each recording, in order, and the part that went, in per cent.
+
+    The runs of a recording are gathered first, so its samples are joined once, however many runs it has. A
+    recording without any run keeps nothing.
+    """
+    at = lambda c: F.floor(F.col(c) * sr).cast("int")
+    gathered = runs.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(at("start_s").alias("a"), at("end_s").alias("b")))).alias("_runs"))
+    cut = samples.select(*by, F.col(amp).alias("_amp")).join(gathered, by, "left")
+    pieces = F.transform("_runs", lambda r: F.slice("_amp", r["a"] + 1, F.greatest(r["b"] - r["a"], F.lit(0))))
+    kept = F.coalesce(F.flatten(pieces), F.slice("_amp", 1, 0))
+    out = cut.select(*by, kept.alias("kept"), F.size("_amp").alias("_n"))
+    return out.select(*by, "kept", F.when(F.col("_n") > 0, F.lit(100.0) * (F.lit(1.0) - F.size("kept") / F.nullif(F.col("_n"), F.lit(0)))).otherwise(0.0).alias("removed_percent"))

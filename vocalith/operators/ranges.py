@@ -76,15 +76,14 @@ def range_table(spark: SparkSession, ranges=None) -> DataFrame:
     return spark.createDataFrame(rows, "gender string, key string, lo double, hi double, ord int")
 
 
-def vowel_table(spark: SparkSession, vowels=VOWELS) -> DataFrame:
-    return spark.createDataFrame([(v, a, b, i) for i, (v, a, b) in enumerate(vowels)], "vowel string, lo double, hi double, ord int")
-
-
-def vowel_match(frames: DataFrame, row: list[str], f1: str, f2: str, vowels: DataFrame) -> DataFrame:
+def vowel_match(frames: DataFrame, f1: str, f2: str, vowels=VOWELS) -> DataFrame:
     """The vowel whose range of F2/F1 holds the ratio nearest to its middle, the first of equals; ``unknown`` where
-    none does, or only at an end."""
-    r = frames.withColumn("formant_ratio", F.when((F.col(f1) > 0) & (F.col(f2) > 0), F.col(f2) / F.nullif(F.col(f1), F.lit(0.0))))
-    hit = r.join(F.broadcast(vowels), F.col("formant_ratio").between(F.col("lo"), F.col("hi")), "left")
-    score = F.lit(1.0) - F.least(F.lit(1.0), F.abs(F.col("formant_ratio") - (F.col("lo") + F.col("hi")) / 2) / ((F.col("hi") - F.col("lo")) / 2))
-    best = hit.withColumn("_s", F.coalesce(score, F.lit(0.0))).groupBy(*row).agg(F.max(F.struct("_s", -F.col("ord"), "vowel")).alias("b"), F.first("formant_ratio").alias("formant_ratio"))
-    return best.select(*row, F.when(F.col("b._s") > 0, F.col("b.vowel")).otherwise("unknown").alias("vowel"), F.col("b._s").alias("match_score"), F.coalesce("formant_ratio", F.lit(0.0)).alias("formant_ratio"))
+    none does, or only at an end. A row expression over the literal ranges: no join, no shuffle."""
+    r = frames.withColumn("formant_ratio", F.coalesce(F.when((F.col(f1) > 0) & (F.col(f2) > 0), F.col(f2) / F.nullif(F.col(f1), F.lit(0.0))), F.lit(0.0)))
+    x, best = F.col("formant_ratio"), []
+    for i, (vowel, lo, hi) in enumerate(vowels):
+        score = F.lit(1.0) - F.least(F.lit(1.0), F.abs(x - (lo + hi) / 2) / ((hi - lo) / 2))
+        best.append(F.when(x.between(lo, hi), F.struct(score.alias("s"), F.lit(-i).alias("o"), F.lit(vowel).alias("vowel"))))
+    out = r.withColumn("_b", F.greatest(*best))
+    found = F.col("_b.s") > 0
+    return out.withColumns({"vowel": F.when(found, F.col("_b.vowel")).otherwise("unknown"), "match_score": F.coalesce("_b.s", F.lit(0.0))}).drop("_b")

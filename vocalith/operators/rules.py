@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import clip01, semitones
+from ..functions.numbers import clip01, ratio, semitones
 from .ranges import FORMANT_INTERVALS, FORMANT_RANGES
 
 FORMANTS = ("F1", "F2", "F3", "F4")
@@ -53,8 +53,9 @@ def enforce_constraints(frames: DataFrame) -> DataFrame:
                 "_mod": F.col("_mod") | F.col("_low") | F.col("_high"),
             }
         )
-    ratio = F.when(F.col("_on") & (F.col("F1") > 0) & (F.col("F2") > 0), F.col("F2") / F.nullif(F.col("F1"), F.lit(0.0)))
-    factor = F.when(ratio < 1.3, 0.6).when(ratio > 4.5, 0.7).otherwise(1.0)
+    f2_f1 = F.when(F.col("_on") & (F.col("F1") > 0) & (F.col("F2") > 0), F.col("F2") / F.nullif(F.col("F1"), F.lit(0.0)))
+    #: Limits of F2/F1 and the factors of what lies beyond.
+    factor = F.when(f2_f1 < 1.3, 0.6).when(f2_f1 > 4.5, 0.7).otherwise(1.0)
     out = out.withColumn("_factor", factor).withColumns({r(f): F.col(r(f)) * F.col("_factor") for f in ("F1", "F2")})
     out = out.withColumns({r(f): F.when(F.col("_mod"), F.greatest(F.lit(0.1), F.col(r(f)))).otherwise(F.col(r(f))) for f in FORMANTS})
     return check_intervals(out.withColumnRenamed("_mod", "modified")).drop("_on", "_bad", "_first", "_low", "_high", "_cut", "_factor")
@@ -127,8 +128,8 @@ def file_modification(cv: Column, mean: Column, f2_f1: Column, flatness: Column,
 def formant_manipulation(frames: DataFrame, by: list[str], least: int = 10) -> DataFrame:
     """Abnormally stable formants or abnormal ratios over voiced frames with F1..F3."""
     rows = frames.where(F.col("is_voiced") & (F.col("F1") > 0) & (F.col("F2") > 0) & (F.col("F3") > 0))
-    cv = lambda c: F.stddev_pop(c) / F.avg(c)
-    s = rows.groupBy(*by).agg(F.count("*").alias("n"), cv("F1").alias("f1_cv"), cv("F2").alias("f2_cv"), cv("F3").alias("f3_cv"), F.avg(F.col("F2") / F.col("F1")).alias("mean_f2_f1"), F.avg(F.col("F3") / F.col("F2")).alias("mean_f3_f2"))
+    cv = lambda c: ratio(F.stddev_pop(c), F.avg(c), None)
+    s = rows.groupBy(*by).agg(F.count("*").alias("n"), cv("F1").alias("f1_cv"), cv("F2").alias("f2_cv"), cv("F3").alias("f3_cv"), F.avg(ratio(F.col("F2"), F.col("F1"), None)).alias("mean_f2_f1"), F.avg(ratio(F.col("F3"), F.col("F2"), None)).alias("mean_f3_f2"))
     one = lambda c: c.cast("double")
     odd1, odd2 = (F.col("mean_f2_f1") < 1.2) | (F.col("mean_f2_f1") > 5.0), (F.col("mean_f3_f2") < 1.1) | (F.col("mean_f3_f2") > 3.0)
     s = s.withColumns({"stability_score": (one(F.col("f1_cv") < 0.10) + one(F.col("f2_cv") < 0.08) + one(F.col("f3_cv") < 0.04)) / 3.0, "abnormality_score": (one(odd1) + one(odd2)) / 2.0})

@@ -59,22 +59,23 @@ def gradient(x: str, by: list[str], order: list[str]) -> Column:
 
 
 def jitter(frames: DataFrame, by: list[str], order: list[str], f: str = "f") -> DataFrame:
-    """Period jitter of the kept frames, gaps closed up: local and variability in per cent, absolute in ms."""
-    t = F.lit(1.0) / F.col(f)
-    rows = frames.withColumn("_t", t).withColumn("_d", F.abs(F.col("_t") - F.lag("_t").over(_over(by, order))))
+    """Period jitter of the voiced frames (``f`` above zero), gaps closed up: local and variability in per cent,
+    absolute in ms. A key without a voiced frame has no row."""
+    rows = frames.where(F.col(f) > 0).withColumn("_t", F.lit(1.0) / F.nullif(F.col(f), F.lit(0.0)))
+    rows = rows.withColumn("_d", F.abs(F.col("_t") - F.lag("_t").over(_over(by, order))))
     return rows.groupBy(*by).agg(
-        (F.lit(100.0) * F.avg("_d") / F.avg("_t")).alias("local"),
+        ratio(F.lit(100.0) * F.avg("_d"), F.avg("_t"), None).alias("local"),
         (F.lit(1000.0) * F.avg("_d")).alias("absolute"),
-        (F.lit(100.0) * F.stddev_pop("_d") / F.avg("_t")).alias("variability"),
+        ratio(F.lit(100.0) * F.stddev_pop("_d"), F.avg("_t"), None).alias("variability"),
         F.count("*").alias("n"),
     )
 
 
 def shimmer(frames: DataFrame, by: list[str], order: list[str], a: str = "a") -> DataFrame:
-    """Amplitude shimmer: local in per cent, and the mean step in dB."""
+    """Amplitude shimmer of the voiced frames (``a`` above zero): local in per cent, and the mean step in dB."""
     w = _over(by, order)
-    rows = frames.withColumn("_d", F.abs(F.col(a) - F.lag(a).over(w))).withColumn("_db", F.abs(F.lit(20.0) * (F.log10(F.col(a)) - F.log10(F.lag(a).over(w)))))
-    return rows.groupBy(*by).agg((F.lit(100.0) * F.avg("_d") / F.avg(a)).alias("local"), F.avg("_db").alias("db"), F.count("*").alias("n"))
+    rows = frames.where(F.col(a) > 0).withColumn("_d", F.abs(F.col(a) - F.lag(a).over(w))).withColumn("_db", F.abs(F.lit(20.0) * (F.log10(F.col(a)) - F.log10(F.lag(a).over(w)))))
+    return rows.groupBy(*by).agg(ratio(F.lit(100.0) * F.avg("_d"), F.avg(a), None).alias("local"), F.avg("_db").alias("db"), F.count("*").alias("n"))
 
 
 def perturbation_quotient(frames: DataFrame, by: list[str], order: list[str], x: str, points: int = 5) -> DataFrame:
@@ -83,7 +84,7 @@ def perturbation_quotient(frames: DataFrame, by: list[str], order: list[str], x:
     w = _over(by, order).rowsBetween(-half, half)
     rows = frames.withColumn("_m", F.avg(x).over(w)).withColumn("_n", F.count(x).over(w))
     inner = F.when(F.col("_n") == points, F.abs(F.col(x) - F.col("_m")))
-    return rows.groupBy(*by).agg(F.when(F.count(inner) > 0, F.lit(100.0) * F.avg(inner) / F.avg(x)).otherwise(0.0).alias("pq"), F.count(inner).alias("n"))
+    return rows.groupBy(*by).agg(F.when(F.count(inner) > 0, ratio(F.lit(100.0) * F.avg(inner), F.avg(x))).otherwise(0.0).alias("pq"), F.count(inner).alias("n"))
 
 
 def pitch_resets(frames: DataFrame, by: list[str], order: list[str], x: str, step_s: float, share: float = 0.1, least: int = 10) -> DataFrame:
@@ -101,8 +102,8 @@ def pitch_resets(frames: DataFrame, by: list[str], order: list[str], x: str, ste
 
 
 def semitone_jumps(frames: DataFrame, by: list[str], order: list[str], x: str) -> DataFrame:
-    """95th percentile and deviation of the jumps between neighbours, in semitones."""
-    rows = frames.withColumn("_j", F.abs(semitones(F.col(x), F.lag(x).over(_over(by, order)))))
+    """95th percentile and deviation of the jumps between neighbouring voiced frames (``x`` above zero), in semitones."""
+    rows = frames.where(F.col(x) > 0).withColumn("_j", F.abs(semitones(F.col(x), F.lag(x).over(_over(by, order)))))
     return rows.groupBy(*by).agg(F.expr("percentile(_j, 0.95)").alias("p95"), F.stddev_pop("_j").alias("std"), F.count("*").alias("n"))
 
 

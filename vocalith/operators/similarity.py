@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,9 +45,9 @@ def pair_stats(sims: DataFrame, on: list[str], pairs: DataFrame | None = None, k
 
 
 def mean_vector(df: DataFrame, by: list[str]) -> DataFrame:
-    """Element-wise mean of ``v``, in element order."""
-    parts = df.select(*by, F.posexplode(V.as_double(F.col("v"))).alias("pos", "x")).groupBy(*by, "pos").agg(F.avg("x").alias("x"))
-    return parts.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda e: e["x"]).alias("v"))
+    """Element-wise mean of ``v``: one running sum a key with map-side combining, no row for each element."""
+    whole = df.where(F.col("v").isNotNull()).select(*by, array_to_vector(V.as_double(F.col("v"))).alias("v"))
+    return whole.groupBy(*by).agg(vector_to_array(Summarizer.mean(F.col("v"))).alias("v"))
 
 
 def compare_pair(va: Column, vb: Column, family: str = "ecapa") -> list[Column]:

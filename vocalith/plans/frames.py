@@ -31,12 +31,12 @@ def users(t):
 ORDER = ["ts", "event_id"]
 
 
-@query(f"WITH {FR}, p AS (SELECT user_id, t, 1.0 / value AS p FROM f), d AS (SELECT *, abs(p - lag(p) OVER w) AS d FROM p {W}) SELECT user_id, 100 * avg(d) / avg(p) AS local, 1000 * avg(d) AS absolute, 100 * stddev_pop(d) / avg(p) AS variability, count(*) AS n FROM d GROUP BY user_id", "local absolute variability")
+@query(f"WITH {FR}, p AS (SELECT user_id, t, 1.0 / value AS p FROM f WHERE value > 0), d AS (SELECT *, abs(p - lag(p) OVER w) AS d FROM p {W}) SELECT user_id, 100 * avg(d) / avg(p) AS local, 1000 * avg(d) AS absolute, 100 * stddev_pop(d) / avg(p) AS variability, count(*) AS n FROM d GROUP BY user_id", "local absolute variability")
 def jitter(spark, t):
     return S.jitter(users(t), ["user_id"], ORDER, "value")
 
 
-@query(f"WITH {FR}, d AS (SELECT *, abs(value - lag(value) OVER w) AS d, abs(20 * log10(value) - 20 * log10(lag(value) OVER w)) AS db FROM f {W}) SELECT user_id, 100 * avg(d) / avg(value) AS local, avg(db) AS db, count(*) AS n FROM d GROUP BY user_id", "local db")
+@query(f"WITH {FR}, d AS (SELECT *, abs(value - lag(value) OVER w) AS d, abs(20 * log10(value) - 20 * log10(lag(value) OVER w)) AS db FROM f WHERE value > 0 {W}) SELECT user_id, 100 * avg(d) / avg(value) AS local, avg(db) AS db, count(*) AS n FROM d GROUP BY user_id", "local db")
 def shimmer(spark, t):
     return S.shimmer(users(t), ["user_id"], ORDER, "value")
 
@@ -64,7 +64,7 @@ def pitch_reset(spark, t):
     return S.pitch_resets(users(t), ["user_id"], ORDER, "value", 0.01)
 
 
-JUMPS = f"WITH {FR}, j AS (SELECT user_id, abs(12 * log2(value / lag(value) OVER w)) AS j FROM f {W}), s AS (SELECT user_id, quantile_cont(j, 0.95) AS p95, stddev_pop(j) AS std, count(*) AS n FROM j GROUP BY user_id)"
+JUMPS = f"WITH {FR}, j AS (SELECT user_id, abs(12 * log2(value / lag(value) OVER w)) AS j FROM f WHERE value > 0 {W}), s AS (SELECT user_id, quantile_cont(j, 0.95) AS p95, stddev_pop(j) AS std, count(*) AS n FROM j GROUP BY user_id)"
 
 
 @query(JUMPS + " SELECT * FROM s", "p95 std")
@@ -74,13 +74,15 @@ def semitone_jumps(spark, t):
 
 @query(
     f"""{JUMPS}, f1 AS (SELECT user_id, stddev_pop(value) FILTER (event_type = 'click') AS s1, stddev_pop(value) FILTER (event_type = 'view') AS s2, avg((event_type <> 'error')::INT) AS v FROM f GROUP BY user_id)
-SELECT s.user_id, coalesce(CASE WHEN p95 > 40 THEN 'none' WHEN p95 > 5 THEN 'pitch_shift' WHEN std < 0.1 AND v > 0.5 THEN 'robot_voice' WHEN (coalesce(s1, 0) < 10 OR coalesce(s2, 0) < 20) AND v > 0.5 THEN 'formant_modification' END, 'none') AS modification FROM s JOIN f1 ON s.user_id = f1.user_id""",
+SELECT s.user_id, coalesce(CASE WHEN p95 / 8 > 5 THEN 'pitch_shift' WHEN std / 80 < 0.1 AND v > 0.5 THEN 'robot_voice'
+WHEN (coalesce(s1, 0) / 5 < 10 OR coalesce(s2, 0) / 5 < 20) AND v > 0.5 THEN 'formant_modification' END, 'none') AS modification FROM s JOIN f1 ON s.user_id = f1.user_id""",
 )
 def modification_cascade(spark, t):
     j = S.semitone_jumps(users(t), ["user_id"], ORDER, "value")
     s = users(t).groupBy("user_id").agg(F.stddev_pop(F.when(F.col("event_type") == "click", F.col("value"))).alias("s1"), F.stddev_pop(F.when(F.col("event_type") == "view", F.col("value"))).alias("s2"), F.avg((F.col("event_type") != "error").cast("int")).alias("v"))
-    kind = R.live_modification(F.col("p95"), F.col("std"), F.col("s1"), F.col("s2"), F.col("v"))
-    return j.join(s, "user_id").select("user_id", F.when(F.col("p95") > 40, "none").otherwise(F.coalesce(kind, F.lit("none"))).alias("modification"))
+    # events jump further than voices: their spans are brought down to those of pitch and formants
+    kind = R.live_modification(F.col("p95") / 8, F.col("std") / 80, F.col("s1") / 5, F.col("s2") / 5, F.col("v"))
+    return j.join(s, "user_id").select("user_id", F.coalesce(kind, F.lit("none")).alias("modification"))
 
 
 ISLANDS = f"WITH {FR}, c AS (SELECT *, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER w OR t = 0 THEN 1 ELSE 0 END AS c FROM f {W}), i AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS island FROM c)"
@@ -195,7 +197,7 @@ SELECT event_id, CASE WHEN s > 0 THEN vowel ELSE 'unknown' END AS vowel, s AS ma
 )
 def vowel_match(spark, t):
     e = t("events").select("event_id", F.lit(300.0).alias("F1"), (F.col("value") * 3).alias("F2"))
-    m = G.vowel_match(e, ["event_id", "F1", "F2"], "F1", "F2", G.vowel_table(spark)).withColumns({"F3": F.lit(None).cast("double"), "F4": F.lit(None).cast("double")})
+    m = G.vowel_match(e, "F1", "F2").withColumns({"F3": F.lit(None).cast("double"), "F4": F.lit(None).cast("double")})
     return R.vowel_consistency(m).select("event_id", "vowel", "match_score", "formant_ratio", "consistency_score", "is_consistent")
 
 
@@ -213,7 +215,7 @@ def hist_entropy(spark, t):
     return A.histogram_entropy(t("events"), ["user_id"], "value")
 
 
-STABLE = f"WITH {FR}, l AS (SELECT user_id, value AS x, lag(value) OVER w AS p FROM f {W}), m AS (SELECT user_id, avg(value) AS mu FROM f GROUP BY user_id), s AS (SELECT l.user_id, count(*) AS n, stddev_pop(x) / avg(x) AS cv, avg(abs(x - mu)) / any_value(mu) AS rmad, (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) / median(x) AS riqr, CASE WHEN count(*) > 10 THEN corr(p, x) ELSE 0 END AS autocorr FROM l JOIN m ON l.user_id = m.user_id GROUP BY l.user_id)"
+STABLE = f"WITH {FR}, l AS (SELECT user_id, value AS x, lag(value) OVER w AS p FROM f WHERE value > 0 {W}), m AS (SELECT user_id, avg(value) AS mu FROM f WHERE value > 0 GROUP BY user_id), s AS (SELECT l.user_id, count(*) AS n, stddev_pop(x) / avg(x) AS cv, avg(abs(x - mu)) / any_value(mu) AS rmad, (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) / median(x) AS riqr, CASE WHEN count(*) > 10 THEN corr(p, x) ELSE 0 END AS autocorr FROM l JOIN m ON l.user_id = m.user_id GROUP BY l.user_id)"
 
 
 @query(STABLE + " SELECT user_id, n, autocorr FROM s", "autocorr")
