@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 
 from vocalith.llm import langid
 
@@ -17,11 +18,22 @@ def test_kernel_is_the_share_of_common_ngrams():
 
 
 def test_pieces_of_a_long_text_agree_with_the_whole(monkeypatch):
-    text = " ".join(f"wort{i % 91} häuser" for i in range(400))
-    whole, _ = langid.presence([text])
-    monkeypatch.setattr(langid, "_PIECE", 100)
-    parts, _ = langid.presence([text])
-    assert (whole & ~parts).sum() == 0 and (parts & ~whole).sum() <= 40  # edges of pieces may add blanks, never lose n-grams
+    texts = [" ".join(f"wort{i % 91} häuser" for i in range(400)), "12 " * 99 + "é", "a" + " 7" * 80, "x" * 99 + " " + "y" * 120, " " * 250 + "z", "1" * 300, "ab" * 50]
+    whole, has = langid.presence(texts)
+    for size in (7, 50, 99, 100, 101):
+        monkeypatch.setattr(langid, "_PIECE", size)
+        parts, found = langid.presence(texts)
+        assert (parts == whole).all() and (found == has).all()
+
+
+def test_letters_of_every_plane():
+    assert langid.presence([chr(0x30001), chr(0x2EBF0), chr(0xE0041)])[1].tolist() == [True, True, False]
+
+
+def test_too_many_languages_are_refused(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", f"l{i}") for i in range(30)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        langid.fit(docs, at_most=40)
 
 
 def test_held_out_accuracy_and_edge_cases(spark):

@@ -1,6 +1,9 @@
 import zlib
+from bisect import bisect_right
 from collections import Counter, defaultdict
 
+import pytest
+
 from vocalith.llm import sharding
 
 from .tables import documents, empty, frame
@@ -48,5 +51,38 @@ def test_hot_group_is_spread(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
 
 
+def test_rows_equal_in_id_and_text_are_spread_and_large_groups_stay_whole(spark):
+    rows = [(5, "the same text", "en", "s", 1, 7, 3, "x", 1, 0.5)] * 2000 + [(i, f"text {i}", "en", "s", 1, 7, 3, "x", 1, 0.5) for i in range(4000)]
+    got = sharding.shard(frame(spark, rows), shards=8)
+    ranges = Counter(r["range"] for r in got.where("doc_id = 5").collect())
+    assert max(ranges.values()) < 200
+    check(rows, got.collect(), 8, 0.1 * sum(r["size"] for r in got.collect()) / 8)
+    rows = [(i, f"large group {i // 300}" if i < 2400 else f"text {i}", "en", "s", 1, 7, 3, "x", 1, 0.5) for i in range(6000)]
+    got = sharding.shard(frame(spark, rows), shards=8).collect()
+    check(rows, got, 8, 0.05 * sum(r["size"] for r in got) / 8)
+    of = defaultdict(set)
+    for r in got:
+        of[r["text_crc32"]].add(r["shard"])
+    assert all(len(v) == 1 for v in of.values())
+
+
+def test_placement_against_a_plain_version(spark):
+    """Ranges by bisection and shards by the plan, row by row in plain Python, from the operator's own splitters."""
+    rows = list(dict.fromkeys(documents()))
+    made = {}
+    plain = sharding._assign
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(sharding, "_assign", lambda counted, shards, splitters: made.update(home=plain(counted, shards, splitters), splitters=splitters) or made["home"])
+        got = sharding.shard(frame(spark, rows), shards=4)
+    keyed = frame(spark, rows).select("doc_id", sharding.text_of("text").alias("t"), sharding._key("text", "doc_id").alias("k")).collect()
+    want, ranks = [], Counter()
+    for r in sorted(keyed, key=lambda r: r["k"]):
+        k = bisect_right(made["splitters"], r["k"])
+        s, base = made["home"][k]
+        want.append((r["doc_id"], zlib.crc32(r["t"].encode()), s, base + ranks[k]))
+        ranks[k] += 1
+    assert Counter(want) == Counter((r["doc_id"], r["text_crc32"], r["shard"], r["slot"]) for r in got.collect())
+
+
 def test_empty(spark):
     assert sharding.shard(empty(spark)).count() == 0

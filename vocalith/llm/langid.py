@@ -38,26 +38,25 @@ _MULTIPLIERS = np.array([2654435761, 2246822519, 3266489917], dtype=np.uint32)
 
 @cache
 def _letters() -> np.ndarray:
-    out = np.zeros(0x110000, dtype=bool)
-    for c in range(0x30000):
-        out[c] = unicodedata.category(chr(c))[0] == "L"
-    return out
+    return np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)), dtype=bool, count=0x110000)
 
 
 def _mark(row: np.ndarray, text: str) -> bool:
-    """Set the presence bits of ``text``; whether it has a letter."""
-    found = False
+    """Set the presence bits of ``text``; whether it has a letter. The n-grams are those of the whole text: from piece
+    to piece go the last codes that were kept, and a piece sees the character after it."""
+    found, text, last = False, f" {text.lower()} ", np.zeros(0, dtype=np.uint32)
     for at in range(0, len(text), _PIECE):
-        part = text[max(0, at - 8) : at + _PIECE].lower()
-        codes = np.frombuffer(f" {part} ".encode("utf-32-le", "replace"), dtype=np.uint32)
-        letter = _letters()[codes]
-        if not letter.any():
-            continue
-        found = True
+        final = at + _PIECE >= len(text)
+        seen = np.frombuffer(text[at : at + _PIECE + 1].encode("utf-32-le", "replace"), dtype=np.uint32)
+        letter = _letters()[seen]
         keep = letter.copy()
         keep[:-1] |= letter[1:]  # the one blank before a word
-        keep[-1] = True
-        codes = np.where(letter, codes, np.uint32(32))[keep]
+        keep[-1] = final  # the one after the last word; else the character belongs to the next piece
+        found = found or bool(letter[: None if final else -1].any())
+        if not found:
+            continue
+        codes = np.concatenate([last, np.where(letter, seen, np.uint32(32))[keep]])
+        last = codes[1 - len(BUCKETS) :]
         h = codes * _MULTIPLIERS[0]
         for n, size in enumerate(BUCKETS):
             if n:
@@ -159,7 +158,9 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: Column |
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(text) if order is None else order, F.lit(1_000_000)).alias("h"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(at_most // 2).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(at_most // 2 + 1).collect()}
+    if len(counts) > at_most // 2:
+        raise ValueError(f"over {at_most // 2} languages: raise at_most, which bounds the sample at two rows a language")
     if not counts:
         return fit_arrays(np.zeros((0, _EDGE[-1]), bool), [])
     most = max(2, min(per_language, at_most // len(counts)))

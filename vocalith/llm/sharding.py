@@ -6,12 +6,13 @@ ranges; records are range-partitioned, exact sizes per range are counted, and ra
 are subdivided by a second, denser sample of those alone. Shards are runs of neighbouring ranges whose exact
 bytes come nearest to equal shares, so the law is ``bytes``.
 
-Equal texts share the first half of the key. A boundary never cuts such a group unless the group alone fills a
-range; then it is split by the second half, so a group of copies with a third of all rows spreads over many
-ranges and tasks. Only splitters and per-range counts (``shards * ranges`` rows) come to the driver.
+Equal texts share the first part of the key. A boundary never cuts such a group unless the group alone fills a
+range; then it is split by the other part, so a group of copies with a third of all rows spreads over many
+ranges and tasks. Keys that alone fill a range, as copies with one id do, get a third part. The ranges of one group go to one shard, unless the group has more
+than a whole share. Only splitters and per-range counts (``shards * ranges`` rows) come to the driver.
 
 Cases: a null text counts as empty; an empty table gives an empty result; rows that agree in every column
-share a key and may make one range larger, never a wrong result; other columns are carried along.
+get places next to each other, in an order that does not matter; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,6 +30,14 @@ def _key(text: str, doc: str):
     return F.concat(part(F.xxhash64(text_of(text))), part(F.xxhash64(F.lit(7), F.col(doc))))
 
 
+def _told_apart(slim: DataFrame, ranges: int) -> DataFrame:
+    """Keys of more rows than one of ``ranges`` equal parts has, at most ``ranges`` of them, get the row's own number."""
+    most = slim.count() // ranges
+    hot = [r[0] for r in slim.groupBy("_key").agg(F.count("*").alias("n")).where(F.col("n") > max(1, most)).select("_key").collect()]
+    own = F.when(F.col("_key").isin(hot), F.lpad(F.hex(F.xxhash64(F.lit(13), "_own")), 16, "0")).otherwise("") if hot else F.lit("")
+    return slim.withColumn("_key", F.concat("_key", own)).drop("_own")
+
+
 def _sample(df: DataFrame, total: int, wanted: int) -> list[str]:
     """Keys of a sample weighted by size; drawn by a hash of the key, so reruns agree."""
     rate = F.lit(float(wanted)) * F.col("size") / F.lit(float(max(1, total)))
@@ -64,7 +73,8 @@ def shard(docs: DataFrame, shards: int = 40, doc: str = "doc_id", text: str = "t
     text_crc32, shard, slot, range.
     """
     size = (F.octet_length(text_of(text)) + 16).cast("long") if size is None else size
-    slim = materialise(docs.select(F.col(doc).alias("_doc"), size.alias("size"), F.crc32(text_of(text)).alias("text_crc32"), _key(text, doc).alias("_key")), "shard-keys")
+    slim = materialise(docs.select(F.col(doc).alias("_doc"), size.alias("size"), F.crc32(text_of(text)).alias("text_crc32"), _key(text, doc).alias("_key"), F.monotonically_increasing_id().alias("_own")), "shard-keys")
+    slim = _told_apart(slim, shards * ranges)
     total = slim.agg(F.sum("size")).first()[0] or 0
     splitters = _quantiles(_sample(slim, total, shards * ranges * sample), shards * ranges)
     placed = _with_range(slim, splitters)
@@ -84,12 +94,15 @@ def shard(docs: DataFrame, shards: int = 40, doc: str = "doc_id", text: str = "t
     return got.select(F.col("_doc").alias(doc), "size", "text_crc32", "shard", (F.col("_base") + F.col("_n") - 1).alias("slot"), F.col("_range").alias("range"))
 
 
-def _assign(counted: dict[int, tuple[int, int]], shards: int, splitters: list[str], whole: float = 0.1) -> dict[int, tuple[int, int]]:
+def _assign(counted: dict[int, tuple[int, int]], shards: int, splitters: list[str], large: float = 0.1) -> dict[int, tuple[int, int]]:
     """Shard and first slot of every range: cut where the exact running bytes come nearest to equal shares.
 
-    The ranges of one group of equal texts move together unless the group has over ``whole`` of a shard's share.
+    The ranges of one group of equal texts move together unless the group has over a shard's share. Groups of more
+    than ``large`` of a share are placed first, the largest on the emptiest shard; all other ranges fill, in order of
+    their keys, what the shards have left.
     """
     total, home, slots = sum(b for b, _ in counted.values()), {}, [0] * shards
+    share = total / shards
     units: list[list[int]] = []
     for k in sorted(counted):
         head = splitters[k - 1][:16] if k else ""
@@ -97,14 +110,22 @@ def _assign(counted: dict[int, tuple[int, int]], shards: int, splitters: list[st
             units[-1].append(k)
         else:
             units.append([k])
-    done = 0
-    for unit in units:
-        size = sum(counted[k][0] for k in unit)
-        for part in [unit] if size * shards <= whole * total else [[k] for k in unit]:
-            size = sum(counted[k][0] for k in part)
-            s = min(shards - 1, int((done + size / 2) * shards / total)) if total else 0
-            done += size
-            for k in part:
-                home[k] = (s, slots[s])
-                slots[s] += counted[k][1]
+    weight = lambda part: sum(counted[k][0] for k in part)
+    load, chosen, small = np.zeros(shards), {}, []
+    for unit in sorted(units, key=lambda u: (-weight(u), u)):
+        size, s = weight(unit), int(load.argmin())
+        if large * share < size <= share and load[s] + size <= 1.02 * share:
+            load[s] += size
+            chosen |= dict.fromkeys(unit, s)
+        else:
+            small += [unit] if size <= share else [[k] for k in unit]
+    room = np.cumsum(np.maximum(share - load, 0.0))
+    done, scale = 0.0, room[-1] / max(1, sum(map(weight, small)))
+    for part in sorted(small):
+        size = weight(part) * scale
+        chosen |= dict.fromkeys(part, min(shards - 1, int(np.searchsorted(room, done + size / 2, side="right"))))
+        done += size
+    for k in sorted(counted):
+        home[k] = (chosen[k], slots[chosen[k]])
+        slots[chosen[k]] += counted[k][1]
     return home
