@@ -6,16 +6,21 @@ shuffled, not tokens. Words are summed over all chunks, each different word gets
 both go back to the chunks by word. A chunk then has all that scoring needs and is scored on one task with
 batched matrix products; no vocabulary is ever broadcast or collected.
 
-Base score: smoothed unigram over words. Model: a word's probability is a mixture of that unigram and the
-attention model's probability of its subwords in context (see attention.py); the end of a text is a symbol like
-any other. As in the base, all unknown words share one event; the model's probability of the one spelling seen
-is a lower bound of its probability of that event, so the score is a lower bound in the base's own event space. What comes to the driver is bounded: counts of subword symbols, and a training
-sample of ``sample_rows`` stretches of at most ``sample_bytes`` each. Word counts, symbol counts and shares cover
-all training documents.
+Base score: smoothed unigram over words. Model: a distribution over all words by spelling, a mixture of two. The
+first is that unigram, in which the one event of unknown words is split by spelling; the second is the
+attention model's probability of the word's subwords in context (see attention.py). So a known word has
+(1 - m) a + m b and an unknown one ((1 - m) + m b) a, with a the attention's and b the base's probability: over
+all spellings this sums to at most 1. The end of a text is a symbol like any other.
+
+Training: word and symbol counts cover all training documents. The attention weights and components learn from a part
+of the training documents that is chosen by hash and grows with them (``part`` of them, ``per_task`` at least): it
+is tokenized once, and in every round each task trains on its own ``per_task`` documents, after which weights are
+averaged and the components' counts added. The mixture's share m is fitted to ``judged`` other training documents
+(of at most ``longest`` characters, which come to the driver), their own words not counted.
 
 Cases: a null text is empty: the end token alone is scored; ids may be null or repeated, each row is scored; an
-empty training side gives log10(1 / 1) for each unknown token in the base; very long texts are split and scored
-whole; other columns are not read.
+empty training side gives log10(1 / 1) for each unknown token in the base, and m is 0; very long texts are split and
+scored whole; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ import io
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -32,9 +38,13 @@ from pyspark.sql import functions as F
 from . import attention
 from .common import bounded_batches, materialise, shared_dir
 
-#: Share of the corpus unigram in the mixture.
-MIX = 0.65
 _CHUNK = 10 << 20
+#: Symbols that are scored, or trained on, at a time.
+_SYMBOLS = 1 << 18
+#: Learning rates of the rounds.
+RATES = (0.02, 0.02, 0.01, 0.004)
+#: Training documents are told apart by a hash: the last tenth of its range judges, the rest may be learned from.
+_HASHES, _JUDGES = 1 << 30, 0.9
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -62,7 +72,7 @@ def unsqueeze(data, n: int) -> np.ndarray:
 _CHUNK_ROWS = "chunk long, kind int, idx int, word string, n long, texts binary, codes binary"
 
 
-def chunk_corpus(docs: DataFrame, doc: str, text: str, held_out: Column) -> DataFrame:
+def chunk_corpus(docs: DataFrame, doc: str, text: str, held_out: Column, chunk_bytes: int = _CHUNK) -> DataFrame:
     """kind 0: a different word of a chunk (idx, word, n in training); kind 1: the chunk's texts (ids, flags,
     lengths as an Arrow stream) and their words as indexes."""
     bounded_batches(docs.sparkSession, rows=8192, size="2m")
@@ -73,7 +83,7 @@ def chunk_corpus(docs: DataFrame, doc: str, text: str, held_out: Column) -> Data
         for b in batches:
             held.append(b)
             size += b.nbytes
-            if size >= _CHUNK:
+            if size >= chunk_bytes:
                 yield from chunk(pa.Table.from_batches(held))
                 held, size = [], 0
         if held:
@@ -175,30 +185,144 @@ def _unpack(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.int32), lengths
 
 
-def _sample(docs: DataFrame, doc: str, text: str, training: Column, n_train: int, rows: int, stretch: int) -> list[str]:
-    """Stretches of training texts, chosen by hash: the bounded sample that the attention weights learn from."""
-    h = F.pmod(F.xxhash64(F.lit(5), F.col(doc)), F.lit(1 << 30))
-    size = F.length(text)
-    start = F.when(size > stretch, F.pmod(F.xxhash64(F.lit(6), F.col(doc)), size - stretch)).otherwise(0).cast("int") + 1
-    share = min(1.0, 1.1 * rows / max(1, n_train))
-    got = docs.where(training & (h < F.lit(int(share * (1 << 30)))) & F.col(text).isNotNull()).select(h.alias("h"), F.substring(F.col(text), start, F.lit(stretch)).alias("t"))
-    return [r["t"] for r in got.orderBy("h", "t").limit(rows).collect()]
+def _hash(doc: str, text: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit(5), F.col(doc), F.col(text)), F.lit(_HASHES))
 
 
-def _train(texts: list[str], path: str, counts: np.ndarray, steps: int) -> attention.Model:
+def _symbols_of(texts: pa.Array, path: str) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all texts end to end, words in each text, symbols end to end (with the end of each text), symbols of
+    each word or end."""
     s = subwords(path)
-    words, lengths = split_words(pa.array(texts, pa.string()))
-    known: dict[str, np.ndarray] = {}
-    new = list(dict.fromkeys(words.to_pylist()))
-    known.update(zip(new, s(new), strict=True))
-    symbols, sizes, at, flat = [], [], 0, words.to_pylist()
-    for n in lengths:
-        parts = [known[w] for w in flat[at : at + n]] + [np.array([s.end], dtype=np.int32)]
-        at += n
-        symbols.append(np.concatenate(parts))
-        sizes.append(len(symbols[-1]))
-    symbols = np.concatenate(symbols) if symbols else np.zeros(0, np.int32)
-    return attention.fit(symbols, np.array(sizes, dtype=np.int64), counts, s.initial, s.final, steps=steps)
+    words, lengths = split_words(texts)
+    coded = words.dictionary_encode()
+    spelled = s(coded.dictionary.to_pylist()) + [np.array([s.end], dtype=np.int32)]
+    ends = np.cumsum(lengths)
+    codes = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), ends, len(spelled) - 1) if len(words) else np.full(len(lengths), len(spelled) - 1)
+    sizes = np.array([len(x) for x in spelled], dtype=np.int64)
+    flat = np.concatenate(spelled)
+    return words, lengths, flat[_ranges((np.cumsum(sizes) - sizes)[codes], sizes[codes])], sizes[codes]
+
+
+def _sample(docs: DataFrame, doc: str, text: str, training: Column, path: str, n_train: int, part: float, per_task: int) -> tuple[DataFrame, int]:
+    """The documents to learn from, as symbols in whole texts, and the number of tasks to learn on."""
+    share = min(1.0, max(per_task, part * n_train) / max(1, n_train))
+    chosen = docs.where(training & F.col(text).isNotNull() & (_hash(doc, text) < F.lit(int(_JUDGES * share * _HASHES))))
+
+    def run(batches):
+        for b in batches:
+            _, lengths, symbols, per = _symbols_of(b.column("t"), path)
+            tokens = lengths + 1
+            sizes = np.add.reduceat(per, np.cumsum(tokens) - tokens) if len(tokens) else per
+            ends = np.cumsum(sizes)
+            got = [symbols[i:j].astype("<i4").tobytes() for i, j in zip(ends - sizes, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary())], names=["symbols"])
+
+    tasks = max(1, round(share * n_train / per_task))
+    return materialise(chosen.select(F.col(text).alias("t")).mapInArrow(run, "symbols binary").repartition(tasks), "lm-sample"), tasks
+
+
+def _neighbours(sample: DataFrame, counts: np.ndarray, top: int = 3000, context: int = 400) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest symbols and how often the commonest of all stand before and after each: summed on the executors,
+    at most ``top`` x 2 ``context`` numbers come back."""
+    order = np.argsort(-counts, kind="stable")[: min(top, int((counts > 0).sum()))]
+    context = min(context, len(order))
+    place = np.full(len(counts), -1, dtype=np.int32)
+    place[order] = np.arange(len(order))
+    shared = sample.sparkSession.sparkContext.broadcast(place)
+
+    def run(batches):
+        for b in batches:
+            flat, lengths = _unpack(b.column("symbols"))
+            at = shared.value[flat]
+            inside = np.ones(len(flat), dtype=bool)
+            inside[np.cumsum(lengths) - lengths] = False  # a text's first symbol has none before it
+            now, before = at[1:][inside[1:]].astype(np.int64), at[:-1][inside[1:]].astype(np.int64)
+            keys = [(a * 2 * context + shift + c)[(a >= 0) & (c >= 0) & (c < context)] for a, c, shift in ((now, before, 0), (before, now, context))]
+            p, n = np.unique(np.concatenate(keys), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(n)], names=["p", "n"])
+
+    got = sample.mapInArrow(run, "p long, n long").groupBy("p").agg(F.sum("n").alias("n")).toPandas()
+    joint = np.zeros(len(order) * 2 * context)
+    joint[got["p"].to_numpy(dtype=np.int64)] = got["n"]
+    return order, joint.reshape(len(order), 2 * context)
+
+
+def _blocks(batches):
+    """Binary symbols of texts -> blocks of about _SYMBOLS symbols: (symbols, lengths)."""
+    held, size = [], 0
+    for b in batches:
+        for x in b["symbols"]:
+            held.append(np.frombuffer(x, dtype="<i4"))
+            size += len(held[-1])
+            if size >= _SYMBOLS:
+                yield np.concatenate(held), np.array([len(h) for h in held], dtype=np.int64)
+                held, size = [], 0
+    if held:
+        yield np.concatenate(held), np.array([len(h) for h in held], dtype=np.int64)
+
+
+def _added(blobs: DataFrame, tasks: int, at_once: int = 16) -> tuple[np.ndarray, int]:
+    """Sum of the models (task, model, n), ``at_once`` at a time, so neither a task nor the driver holds more."""
+
+    def add(x: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(len(x["model"].iloc[0]) // 4, dtype=np.float64)
+        for m in x["model"]:
+            total += np.frombuffer(m, dtype=np.float32)
+        return pd.DataFrame({"task": x["task"].iloc[:1] // at_once, "model": [total.astype(np.float32).tobytes()], "n": [x["n"].sum()]})
+
+    while tasks > 1:
+        blobs = blobs.groupBy(F.floor(F.col("task") / at_once)).applyInPandas(add, "task long, model binary, n long")
+        tasks = -(-tasks // at_once)
+    rows = blobs.collect()
+    return (np.frombuffer(rows[0]["model"], dtype=np.float32), rows[0]["n"]) if rows else (np.zeros(0, np.float32), 0)
+
+
+def _train(sample: DataFrame, tasks: int, model: attention.Model, rates: tuple[float, ...]) -> attention.Model:
+    """Rounds of training on the executors. The first one is one task's alone: it tells the components apart."""
+    spark = sample.sparkSession
+    for i, rate in enumerate(rates):
+        shared, last = spark.sparkContext.broadcast(model), i == len(rates) - 1
+
+        def run(batches, shared=shared, rate=rate, i=i, last=last):
+            from pyspark import TaskContext
+
+            task = TaskContext.get().partitionId()
+            if i or not task:
+                got = attention.train(shared.value, _blocks(batches), rate, 1.0 if last else 0.9, seed=100 * i + task % 97)
+                yield pd.DataFrame({"task": [task], "model": [got.flat().tobytes()], "n": [1]})
+
+        x, n = _added(sample.repartition(tasks).mapInPandas(run, "task long, model binary, n long"), tasks)
+        if n:
+            total = model.with_flat(x)
+            model = model.with_flat(x / n)
+            if last:  # more texts, more counts
+                model.seen = total.seen
+    return model
+
+
+def _mixture_share(docs: DataFrame, words: DataFrame, doc: str, text: str, training: Column, path: str, n_train: int, model: attention.Model, total: int, distinct: int, judged: int, longest: int) -> float:
+    """m by expectation maximisation over texts that the model has not learned from."""
+    share = min(1 - _JUDGES, 2 * judged / max(1, n_train))
+    h = _hash(doc, text)
+    rows = docs.where(training & (F.length(text) <= longest) & (h >= F.lit(int((1 - share) * _HASHES)))).select(h.alias("h"), F.col(text).alias("t")).orderBy("h", "t").limit(judged).collect()
+    if not rows:
+        return 0.5
+    flat, lengths, symbols, per = _symbols_of(pa.array([r["t"] for r in rows], pa.string()), path)
+    own = pc.value_counts(flat)
+    own = dict(zip(own.field("values").to_pylist(), own.field("counts").to_pylist(), strict=True))
+    known = words.join(F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in own], "word string")), "word").select("word", "c").collect() if own else []
+    c = {r["word"]: r["c"] - own[r["word"]] for r in known}
+    ends = np.cumsum(lengths)
+    counts = np.insert(np.array([c.get(w, 0) for w in flat.to_pylist()], dtype=np.int64), ends, n_train)
+    tokens = lengths + 1
+    logs = attention.symbol_logs(symbols, np.add.reduceat(per, np.cumsum(tokens) - tokens), model)
+    a = np.exp(np.maximum(np.add.reduceat(logs.astype(np.float64), np.cumsum(per) - per), -700.0))
+    b = (counts + 1) / (total + distinct + 1)
+    b = np.where(counts > 0, b, b * a)
+    m = 0.5
+    for _ in range(50):
+        m = float(np.mean(m * b / (m * b + (1 - m) * a)))
+    return m
 
 
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -209,30 +333,36 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def score_chunk(about: pa.Table, codes: np.ndarray, c: np.ndarray, flat: np.ndarray, sizes: np.ndarray, model: attention.Model, end: int, c_end: int, total: int, distinct: int) -> dict[str, np.ndarray]:
-    """All scores of a chunk. c, flat, sizes: counts and symbols of its different words, by index."""
+def score_chunk(about: pa.Table, codes: np.ndarray, c: np.ndarray, flat: np.ndarray, sizes: np.ndarray, model: attention.Model, end: int, c_end: int, total: int, distinct: int, share: float, block: int = _SYMBOLS) -> dict[str, np.ndarray]:
+    """All scores of a chunk. c, flat, sizes: counts and symbols of its different words, by index; ``share``: of the
+    base; ``block``: about how many symbols are scored at a time, whole texts."""
     lengths = about["n"].to_numpy()
     ends = np.cumsum(lengths)
     codes = np.insert(codes, ends, len(c)) if len(codes) else np.full(len(lengths), len(c), dtype=np.int32)
     c, sizes, flat = np.append(c, c_end), np.append(sizes, 1), np.append(flat, np.int32(end))
     tokens = lengths + 1
     firsts = np.cumsum(tokens) - tokens
-    base = np.log10((c + 1) / (total + distinct + 1))
+    base = (c + 1) / (total + distinct + 1)
     starts = np.cumsum(sizes) - sizes
-    per = sizes[codes]
-    symbols = flat[_ranges(starts[codes], per)]
-    logs = attention.symbol_logs(symbols, np.add.reduceat(per, firsts), model)
-    word = np.add.reduceat(logs.astype(np.float64), np.cumsum(per) - per)
-    share = MIX if total else 0.0
-    mixed = np.log10((share * (c + 1) / (total + distinct + 1))[codes] + (1 - share) * np.exp(np.maximum(word, -700.0)))
-    return {"n_tokens": tokens, "n_known": np.add.reduceat((c > 0).astype(np.int64)[codes], firsts), "base_score": np.add.reduceat(base[codes], firsts), "score": np.add.reduceat(mixed, firsts)}
-
-
-def score(docs: DataFrame, path: str, held_out: Column, doc: str = "doc_id", text: str = "text", sample_rows: int = 1500, sample_bytes: int = 4000, steps: int = 300) -> DataFrame:
+    per = np.add.reduceat(sizes[codes], firsts) if len(firsts) else firsts
+    table, score = model.components(), np.zeros(len(lengths))
+    cuts = np.flatnonzero(np.diff(np.concatenate([[-1], (np.cumsum(per) - per) // block]))) if len(per) else np.zeros(0, dtype=np.int64)
+    for i, j in zip(cuts, [*cuts[1:], len(per)], strict=True):
+        of = codes[firsts[i] : firsts[j - 1] + tokens[j - 1]]
+        of_size = sizes[of]
+        logs = attention.symbol_logs(flat[_ranges(starts[of], of_size)], per[i:j], model, table)
+        a = np.exp(np.maximum(np.add.reduceat(logs.astype(np.float64), np.cumsum(of_size) - of_size), -700.0))
+        b = np.where(c > 0, base, 0.0)[of]
+        mixed = np.where(b > 0, share * b + (1 - share) * a, (1 - share + share * base[of]) * a)
+        score[i:j] = np.add.reduceat(np.log10(mixed), firsts[i:j] - firsts[i])
+    return {"n_tokens": tokens, "n_known": np.add.reduceat((c > 0).astype(np.int64)[codes], firsts), "base_score": np.add.reduceat(np.log10(base)[codes], firsts), "score": score}
+
+
+def score(docs: DataFrame, path: str, held_out: Column, doc: str = "doc_id", text: str = "text", part: float = 1 / 128, per_task: int = 1500, rates: tuple[float, ...] = RATES, judged: int = 256, longest: int = 100_000, chunk_bytes: int = _CHUNK, block: int = _SYMBOLS) -> DataFrame:
     """Rows (doc, held_out, n_tokens, n_known, train_tokens, base_score, score) for all of ``docs``."""
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/lm-chunks-{uuid.uuid4().hex}"
-    rows = chunk_corpus(docs, doc, text, held_out)
+    rows = chunk_corpus(docs, doc, text, held_out, chunk_bytes)
     rows.write.partitionBy("kind").parquet(folder)
     stored = spark.read.schema(rows.schema).parquet(folder)
     # one shuffle serves the counts; each chunk sends a word once
@@ -243,7 +373,10 @@ def score(docs: DataFrame, path: str, held_out: Column, doc: str = "doc_id", tex
     total, distinct = int(sums["n"] or 0) + n_train, int(sums["v"]) + (n_train > 0)
     s = subwords(path)
     counts = np.append(_symbol_counts(words, 2 * s.ids), n_train)
-    model = _train(_sample(docs, doc, text, ~held_out, n_train, sample_rows, sample_bytes), path, counts, steps)
+    sample, tasks = _sample(docs, doc, text, ~held_out, path, n_train, part, per_task)
+    of_class = attention.classes(*reversed(_neighbours(sample, counts)), counts, s.initial, s.final)
+    model = _train(sample, tasks, attention.fresh(of_class, counts, s.initial, s.final), rates)
+    mix = _mixture_share(docs, words, doc, text, ~held_out, path, n_train, model, total, distinct, judged, longest) if total else 0.0
     shared, end, kind = spark.sparkContext.broadcast(model), s.end, docs.schema[doc].dataType.simpleString()
     known = vocabulary.drop("n").join(words, "word").select("chunk", "idx", "c", "symbols")
     texts = spark.read.schema(rows.schema).parquet(folder).where("kind = 1").select(F.col("chunk").alias("of"), "texts", "codes")
@@ -255,7 +388,7 @@ def score(docs: DataFrame, path: str, held_out: Column, doc: str = "doc_id", tex
         flat = flat[_ranges((np.cumsum(sizes) - sizes)[order], sizes[order])]
         about = pa.ipc.open_stream(right["texts"][0].as_buffer()).read_all()
         codes = unsqueeze(right["codes"][0].as_buffer(), int(pc.sum(about["n"]).as_py() or 0))
-        got = score_chunk(about, codes, left["c"].to_numpy()[order], flat, sizes[order], shared.value, end, n_train, total, distinct)
+        got = score_chunk(about, codes, left["c"].to_numpy()[order], flat, sizes[order], shared.value, end, n_train, total, distinct, mix, block)
         size = len(about)
         columns = {doc: about["d"], "held_out": about["h"], "n_tokens": got["n_tokens"], "n_known": got["n_known"], "train_tokens": np.full(size, total), "base_score": got["base_score"], "score": got["score"]}
         return pa.table({k: v if isinstance(v, pa.ChunkedArray) else pa.array(v) for k, v in columns.items()})
