@@ -6,11 +6,12 @@ shuffled, not tokens. Words are summed over all chunks, each different word gets
 both go back to the chunks by word. A chunk then has all that scoring needs and is scored on one task with
 batched matrix products; no vocabulary is ever broadcast or collected.
 
-Base score: smoothed unigram over words. Model: a distribution over all words by spelling, a mixture of two. The
-first is that unigram, in which the one event of unknown words is split by spelling; the second is the
-attention model's probability of the word's subwords in context (see attention.py). So a known word has
-(1 - m) a + m b and an unknown one ((1 - m) + m b) a, with a the attention's and b the base's probability: over
-all spellings this sums to at most 1. The end of a text is a symbol like any other.
+Base score: smoothed unigram over words. Model: a distribution over the same events, the words known from training
+and one event for all others. A known word has m b + (1 - m) (1 - u) a, with b the base's probability and a the
+attention model's probability of the word's subwords in context (see attention.py); the unknown event has
+m b + (1 - m) u, with u the share of words that occur once in training (Good and Turing's estimate). As the
+spellings of the known words have at most 1 together, so have all events. The end of a text is a symbol like any
+other, and known.
 
 Training: word and symbol counts cover all training documents. The attention weights and components learn from a part
 of the training documents that is chosen by hash and grows with them (``part`` of them, ``per_task`` at least): it
@@ -300,7 +301,7 @@ def _train(sample: DataFrame, tasks: int, model: attention.Model, rates: tuple[f
     return model
 
 
-def _mixture_share(docs: DataFrame, words: DataFrame, doc: str, text: str, training: Column, path: str, n_train: int, model: attention.Model, total: int, distinct: int, judged: int, longest: int) -> float:
+def _mixture_share(docs: DataFrame, words: DataFrame, doc: str, text: str, training: Column, path: str, n_train: int, model: attention.Model, total: int, distinct: int, new: float, judged: int, longest: int) -> float:
     """m by expectation maximisation over texts that the model has not learned from."""
     share = min(1 - _JUDGES, 2 * judged / max(1, n_train))
     h = _hash(doc, text)
@@ -317,8 +318,7 @@ def _mixture_share(docs: DataFrame, words: DataFrame, doc: str, text: str, train
     tokens = lengths + 1
     logs = attention.symbol_logs(symbols, np.add.reduceat(per, np.cumsum(tokens) - tokens), model)
     a = np.exp(np.maximum(np.add.reduceat(logs.astype(np.float64), np.cumsum(per) - per), -700.0))
-    b = (counts + 1) / (total + distinct + 1)
-    b = np.where(counts > 0, b, b * a)
+    a, b = np.where(counts > 0, (1 - new) * a, new), (counts + 1) / (total + distinct + 1)
     m = 0.5
     for _ in range(50):
         m = float(np.mean(m * b / (m * b + (1 - m) * a)))
@@ -333,9 +333,9 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def score_chunk(about: pa.Table, codes: np.ndarray, c: np.ndarray, flat: np.ndarray, sizes: np.ndarray, model: attention.Model, end: int, c_end: int, total: int, distinct: int, share: float, block: int = _SYMBOLS) -> dict[str, np.ndarray]:
+def score_chunk(about: pa.Table, codes: np.ndarray, c: np.ndarray, flat: np.ndarray, sizes: np.ndarray, model: attention.Model, end: int, c_end: int, total: int, distinct: int, share: float, new: float, block: int = _SYMBOLS) -> dict[str, np.ndarray]:
     """All scores of a chunk. c, flat, sizes: counts and symbols of its different words, by index; ``share``: of the
-    base; ``block``: about how many symbols are scored at a time, whole texts."""
+    base; ``new``: the model's probability of an unknown word; ``block``: about how many symbols are scored at a time, whole texts."""
     lengths = about["n"].to_numpy()
     ends = np.cumsum(lengths)
     codes = np.insert(codes, ends, len(c)) if len(codes) else np.full(len(lengths), len(c), dtype=np.int32)
@@ -352,8 +352,7 @@ def score_chunk(about: pa.Table, codes: np.ndarray, c: np.ndarray, flat: np.ndar
         of_size = sizes[of]
         logs = attention.symbol_logs(flat[_ranges(starts[of], of_size)], per[i:j], model, table)
         a = np.exp(np.maximum(np.add.reduceat(logs.astype(np.float64), np.cumsum(of_size) - of_size), -700.0))
-        b = np.where(c > 0, base, 0.0)[of]
-        mixed = np.where(b > 0, share * b + (1 - share) * a, (1 - share + share * base[of]) * a)
+        mixed = share * base[of] + (1 - share) * np.where(c[of] > 0, (1 - new) * a, new)
         score[i:j] = np.add.reduceat(np.log10(mixed), firsts[i:j] - firsts[i])
     return {"n_tokens": tokens, "n_known": np.add.reduceat((c > 0).astype(np.int64)[codes], firsts), "base_score": np.add.reduceat(np.log10(base)[codes], firsts), "score": score}
 
@@ -369,14 +368,15 @@ def score(docs: DataFrame, path: str, held_out: Column, doc: str = "doc_id", tex
     vocabulary = stored.where("kind = 0").select("chunk", "idx", "word", "n")
     words = materialise(_with_symbols(vocabulary.groupBy("word").agg(F.sum("n").alias("c")), path), "lm-words")
     n_train = docs.where(~held_out).count()
-    sums = words.where("c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+    sums = words.where("c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once")).first()
     total, distinct = int(sums["n"] or 0) + n_train, int(sums["v"]) + (n_train > 0)
+    new = (int(sums["once"] or 0) + 1) / (total + 2)
     s = subwords(path)
     counts = np.append(_symbol_counts(words, 2 * s.ids), n_train)
     sample, tasks = _sample(docs, doc, text, ~held_out, path, n_train, part, per_task)
     of_class = attention.classes(*reversed(_neighbours(sample, counts)), counts, s.initial, s.final)
     model = _train(sample, tasks, attention.fresh(of_class, counts, s.initial, s.final), rates)
-    mix = _mixture_share(docs, words, doc, text, ~held_out, path, n_train, model, total, distinct, judged, longest) if total else 0.0
+    mix = _mixture_share(docs, words, doc, text, ~held_out, path, n_train, model, total, distinct, new, judged, longest) if total else 0.0
     shared, end, kind = spark.sparkContext.broadcast(model), s.end, docs.schema[doc].dataType.simpleString()
     known = vocabulary.drop("n").join(words, "word").select("chunk", "idx", "c", "symbols")
     texts = spark.read.schema(rows.schema).parquet(folder).where("kind = 1").select(F.col("chunk").alias("of"), "texts", "codes")
@@ -388,7 +388,7 @@ def score(docs: DataFrame, path: str, held_out: Column, doc: str = "doc_id", tex
         flat = flat[_ranges((np.cumsum(sizes) - sizes)[order], sizes[order])]
         about = pa.ipc.open_stream(right["texts"][0].as_buffer()).read_all()
         codes = unsqueeze(right["codes"][0].as_buffer(), int(pc.sum(about["n"]).as_py() or 0))
-        got = score_chunk(about, codes, left["c"].to_numpy()[order], flat, sizes[order], shared.value, end, n_train, total, distinct, mix, block)
+        got = score_chunk(about, codes, left["c"].to_numpy()[order], flat, sizes[order], shared.value, end, n_train, total, distinct, mix, new, block)
         size = len(about)
         columns = {doc: about["d"], "held_out": about["h"], "n_tokens": got["n_tokens"], "n_known": got["n_known"], "train_tokens": np.full(size, total), "base_score": got["base_score"], "score": got["score"]}
         return pa.table({k: v if isinstance(v, pa.ChunkedArray) else pa.array(v) for k, v in columns.items()})
