@@ -1,4 +1,4 @@
-"""Shared plumbing of the training-data operators: shared storage, bounded Arrow batches, two-level ranks."""
+"""Shared plumbing of the training-data operators: shared storage, bounded Arrow batches, running sums over ranges."""
 
 from __future__ import annotations
 
@@ -64,20 +64,21 @@ def n_words(text: Column) -> Column:
     return F.when(text.isNull(), F.lit(0)).otherwise(F.regexp_count(text, F.lit(WORD))).cast("long")
 
 
-def prefix(df: DataFrame, keys: list[str], bucket: str, order: list[Column], value: Column, out: str) -> DataFrame:
-    """Exclusive running sum of ``value`` per ``keys`` in the order (bucket, *order), as column ``out``.
+def prefix(df: DataFrame, keys: list[str], order: list[Column], value: Column, out: str) -> DataFrame:
+    """Exclusive running sum of ``value`` per ``keys`` in the order ``order``, as column ``out``; ties in any order.
 
-    Two levels: a running sum inside each (keys, bucket), plus the sums of the earlier buckets. A key with a
-    third of all rows is spread over its buckets; no task holds a whole key. ``bucket`` must be a function of
-    the leading sort key, never null.
+    The rows are dealt by ranges of keys, order and a number of their own, so neither a key with a third of all rows
+    nor one with many rows alike in ``order`` stays on one task. A running sum inside each range and key, plus the
+    sums of the key's earlier ranges. The dealt rows are written, so the ranges hold for both.
     """
-    df = df.withColumn("_v", value)
-    inner = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    over = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1) if keys else Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    base = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(bucket).alias("_b")).agg(F.sum("_v").alias("_s"))
-    over = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = df.withColumns({"_v": value, "_own": F.monotonically_increasing_id()})
+    dealt = dealt.repartitionByRange(*[F.col(k) for k in keys], *order, F.col("_own")).withColumn("_part", F.spark_partition_id())
+    dealt = materialise(dealt, "prefix")
+    inner = Window.partitionBy("_part", *keys).orderBy(*order, "_own").rowsBetween(Window.unboundedPreceding, -1)
+    local = dealt.withColumn("_local", F.coalesce(F.sum("_v").over(inner), F.lit(0)))
+    names = [f"_k{i}" for i in range(len(keys))]
+    base = dealt.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col("_part").alias("_b")).agg(F.sum("_v").alias("_s"))
+    over = Window.partitionBy(*names).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     base = base.withColumn("_before", F.coalesce(F.sum("_s").over(over), F.lit(0))).drop("_s")
-    local = df.withColumn("_local", F.coalesce(F.sum("_v").over(inner), F.lit(0)))
-    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col(bucket) == F.col("_b")]
-    joined = local.join(base, on, "inner")
-    return joined.withColumn(out, F.col("_local") + F.col("_before")).drop("_v", "_local", "_before", "_b", *[f"_k{i}" for i in range(len(keys))])
+    on = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)] + [F.col("_part") == F.col("_b")]
+    return local.join(base, on).withColumn(out, F.col("_local") + F.col("_before")).drop("_v", "_own", "_part", "_local", "_before", "_b", *names)

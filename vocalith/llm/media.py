@@ -133,15 +133,16 @@ def store(docs: DataFrame, folder: str, doc: str = "doc_id", text: str = "text",
                         out.write(b"\0" * 2 * _BLOCK)
                         out.close()
                         out, at, placed = None, 0, {}
-                yield pd.DataFrame(rows, columns=["d", "digest", "n_bytes", "shard", "offset", "length"]).astype({"d": x["d"].dtype})
+                yield pd.DataFrame(rows, columns=["d", "digest", "n_bytes", "shard", "offset", "length"])
         finally:
             if out is not None:
                 out.write(b"\0" * 2 * _BLOCK)
                 out.close()
 
     kind = docs.schema[doc].dataType.simpleString()
-    got = docs.select(F.col(doc).alias("d"), F.col(text).alias("t")).mapInPandas(write, f"d {kind}, digest binary, n_bytes long, shard string, offset long, length long")
-    return materialise(got.withColumnRenamed("d", doc), "media-index")
+    # ids as text: pandas has no long with nulls
+    got = docs.select(F.col(doc).cast("string").alias("d"), F.col(text).alias("t")).mapInPandas(write, "d string, digest binary, n_bytes long, shard string, offset long, length long")
+    return materialise(got.select(F.col("d").cast(kind).alias(doc), "digest", "n_bytes", "shard", "offset", "length"), "media-index")
 
 
 def places(index: DataFrame) -> DataFrame:

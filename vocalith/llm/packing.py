@@ -8,8 +8,8 @@ smallest gap that holds them, or open a new one.
 Packing needs the lengths only, and there are at most ``capacity`` different ones: the plan is made on the
 driver from the histogram of lengths, over groups of like sequences rather than single ones, so its size does
 not depend on the number of documents and the packing is that of one global greedy run. Pieces find their
-place in the plan by their rank among the pieces of equal length; ranks come from two-level running counts,
-so a length that a third of all pieces have is spread over many tasks.
+place in the plan by their rank among the pieces of equal length; ranks come from running counts over ranges,
+so neither a length that a third of all pieces have nor an id that a third of them share stays on one task.
 
 Cases: a null text counts as empty and has the end token alone; an empty table packs into nothing; equal rows
 get separate places; very long texts are tokenized whole.
@@ -115,11 +115,12 @@ def pieces(docs: DataFrame, path: str, doc: str = "doc_id", text: str = "text",
                 for k, a in enumerate([0, *range(first, n, capacity)]):
                     b = first if k == 0 else a + capacity
                     out.append((d, k, a, b - a, zlib.crc32(view[4 * a : 4 * b])))
-            yield pd.DataFrame(out, columns=["d", "piece", "start", "length", "ids_crc32"]).astype({"d": x["d"].dtype})
+            yield pd.DataFrame(out, columns=["d", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema[doc].dataType.simpleString()
-    got = docs.select(F.col(doc).alias("d"), F.col(text).alias("t")).mapInPandas(cut, f"d {kind}, piece int, start long, length long, ids_crc32 long")
-    return got.withColumnRenamed("d", doc)
+    # ids as text: pandas has no long with nulls
+    got = docs.select(F.col(doc).cast("string").alias("d"), F.col(text).alias("t")).mapInPandas(cut, "d string, piece int, start long, length long, ids_crc32 long")
+    return got.select(F.col("d").cast(kind).alias(doc), "piece", "start", "length", "ids_crc32")
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -187,7 +188,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[i
     return sorted(runs), sequence
 
 
-def pack(rows: DataFrame, capacity: int = CAPACITY, doc: str = "doc_id", buckets: int = 256) -> DataFrame:
+def pack(rows: DataFrame, capacity: int = CAPACITY, doc: str = "doc_id") -> DataFrame:
     """Pieces (doc, piece, length, ...) -> with ``sequence_id`` and ``offset``."""
     rows = materialise(rows, "pack-pieces")
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
@@ -201,7 +202,6 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, doc: str = "doc_id", buckets
         at = np.searchsorted(key, (length.to_numpy() << 44) | rank.to_numpy(), side="right") - 1
         return pd.DataFrame({"sequence_id": r[at, 3] + rank.to_numpy() - r[at, 1], "offset": r[at, 4]})
 
-    keyed = rows.withColumn("_b", F.pmod(F.xxhash64(doc, "piece"), F.lit(buckets)).cast("int")).withColumnRenamed("_b", "_bucket")
-    ranked = prefix(keyed, ["length"], "_bucket", [F.col(doc), F.col("piece")], F.lit(1).cast("long"), "_rank")
+    ranked = prefix(rows, ["length"], [F.col(doc), F.col("piece")], F.lit(1).cast("long"), "_rank")
     got = ranked.withColumn("_place", place("length", "_rank"))
     return got.select(*rows.columns, "_place.sequence_id", "_place.offset")

@@ -45,7 +45,8 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    got = mixing.by_position(mixing.mix(table(spark, sf_dir)))
+    return got.select("doc_id", "size", "source_size", "target", "taken", "position", "last_position")
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
