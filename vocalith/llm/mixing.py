@@ -12,8 +12,8 @@ by that position (range partitions) gives the training order. Column names that
 
 Cases: null source is a source of its own, after all others; null and empty texts have size 0, are never
 taken, and have no position; a source of size 0 has target 0; equal rows get places next to each other in
-an order that does not matter. A source with a third of all rows is spread over 4096 hash buckets with two-level running
-sums. Sources are ordered in one task: a row per source, not per document.
+an order that does not matter. A source with a third of all rows, or an id that many rows share, is spread over ranges
+with running sums in each. Sources are ordered in one task: a row per source, not per document.
 """
 
 from __future__ import annotations
@@ -80,8 +80,8 @@ def mix(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str =
     dealt = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in schedules])
     aims = aims.withColumn("schedule", F.element_at(dealt, (F.col("rank") % len(schedules) + 1).cast("int")))
     aims = materialise(aims, "mix-targets").withColumnRenamed("source", "_source")
-    placed = prefix(slim.withColumn("_bucket", F.substring("_h", 1, 3)), ["source"], "_bucket", [F.col("_h"), F.col("_doc"), F.col("size")], F.col("size"), "start")
-    got = placed.join(aims, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "_h", "_bucket")
+    placed = prefix(slim, ["source"], [F.col("_h"), F.col("_doc"), F.col("size")], F.col("size"), "start")
+    got = placed.join(aims, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "_h")
     whole = F.floor(F.col("target") + F.lit(0.5))
     part = lambda p: F.greatest(F.lit(0), F.least(F.col("start") + F.col("size"), whole - F.col("source_size") * p) - F.col("start"))
     parts = F.transform(F.sequence(F.lit(0), F.lit(passes - 1)), lambda p: F.struct(p.alias("p"), part(p).alias("n")))
@@ -95,20 +95,38 @@ def mix(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str =
 def apply_mix(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """``docs`` as the mix takes them: whole documents, once for each pass that takes at least half of their
     words, sorted by training position."""
-    slim = docs.select(doc, source, text).withColumn("_text", F.xxhash64(text))
-    got = mix(slim, doc, text, source, keep=["_text"], **how)
+    own = {"_d": F.xxhash64(F.lit(3), F.col(doc)), "_t": F.xxhash64(F.lit(4), F.col(text))}  # never null
+    got = mix(docs.select(doc, source, text).withColumns(own), doc, text, source, keep=["_d", "_t"], **how)
     enough = F.filter(F.arrays_zip("positions", "parts"), lambda x: x["parts"]["n"] * 2 >= F.col("size"))
-    got = got.select(F.col(doc).alias("_doc"), F.col("_text").alias("_k"), F.transform(enough, lambda x: x["positions"]).alias("_p")).where(F.size("_p") > 0)
-    got = got.groupBy("_doc", "_k").agg(F.flatten(F.collect_list("_p")).alias("_p"))  # as many as there are equal rows
-    keyed = docs.withColumn("_text", F.xxhash64(text)).dropDuplicates([doc, "_text"])
-    joined = keyed.join(got, keyed[doc].eqNullSafe(got["_doc"]) & (keyed["_text"] == got["_k"]))
-    taken = joined.select(*docs.columns, F.explode("_p").alias("_position"))
+    got = got.select("_d", "_t", F.transform(enough, lambda x: x["positions"]).alias("_p")).where(F.size("_p") > 0)
+    # equal rows: their positions one by one, each to one of them by its number
+    got = got.select("_d", "_t", F.explode("_p").alias("_position"))
+    # dropping repeats deals the texts by the same keys as the join: one shuffle of them, and one to sort
+    taken = docs.withColumns(own).dropDuplicates(["_d", "_t"]).join(got, ["_d", "_t"])
     return taken.orderBy("_position", doc).select(*docs.columns)
 
 
-ORACLE = """
+def by_position(mixed: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Rows of ``mix`` in training order, what is not taken last: with ``position`` and, of a second pass,
+    ``last_position`` (the same where there is one)."""
+    got = mixed.withColumns({"position": F.try_element_at("positions", F.lit(1)), "last_position": F.try_element_at("positions", F.lit(-1))})
+    return got.orderBy(F.asc_nulls_last("position"), doc)
+
+
+def _inverse_sql(fraction: str) -> str:
+    """``_invert`` for schedules of three knots s0, s1, s2 as SQL."""
+    y = f"({fraction}) * ((s0 + s1) / 2 + (s1 + s2) / 2)"
+    first, second = "(s0 + s1) / 2", f"({y} - (s0 + s1) / 2)"
+    one = f"2 * {y} / (s0 + sqrt(greatest(0, s0 * s0 + 2 * (s1 - s0) * {y})))"
+    two = f"1 + 2 * {second} / (s1 + sqrt(greatest(0, s1 * s1 + 2 * (s2 - s1) * {second})))"
+    return f"round(least(1.0, (CASE WHEN {y} <= {first} THEN {one} ELSE {two} END) / 2), 9)"
+
+
+_KNOTS = ", ".join(f"CASE k % {len(SCHEDULES)} " + " ".join(f"WHEN {j} THEN {s[i]}::DOUBLE" for j, s in enumerate(SCHEDULES)) + f" END AS s{i}" for i in range(3))
+
+ORACLE = f"""
 WITH s AS (SELECT doc_id, source, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) END AS BIGINT) AS size,
-                  md5(CAST(doc_id AS VARCHAR)) AS h FROM documents),
+                  md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
 z AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM s GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS k FROM z),
 w AS (SELECT *, CASE k % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight, source_size * 2.0::DOUBLE AS stop FROM r),
@@ -117,9 +135,11 @@ o AS (SELECT *, (sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE AS budget,
              sum(weight) OVER (ORDER BY stop / weight, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM w),
 v AS (SELECT *, (budget - stopped) / open AS level FROM o),
 x AS (SELECT level FROM v WHERE level * weight <= stop ORDER BY stop / weight, k LIMIT 1),
-t AS (SELECT source, source_size, least(x.level * weight, stop) AS target FROM v, x),
-p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM s)
-SELECT p.doc_id, p.size, t.source_size, round(t.target, 6) AS target,
-       CAST(greatest(0, least(start + size, floor(target + 0.5)) - start) + greatest(0, least(start + size, floor(target + 0.5) - source_size) - start) AS BIGINT) AS taken
-FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
+t AS (SELECT source, source_size, least(x.level * weight, stop) AS target, {_KNOTS} FROM v, x),
+p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM s),
+j AS (SELECT p.doc_id, p.size, p.start, t.* EXCLUDE (source), greatest(0, least(start + size, floor(target + 0.5)) - start) AS n0,
+             greatest(0, least(start + size, floor(target + 0.5) - source_size) - start) AS n1 FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source),
+i AS (SELECT *, CASE WHEN n0 > 0 THEN {_inverse_sql("(start + n0 / 2.0) / target")} END AS position,
+             CASE WHEN n1 > 0 THEN {_inverse_sql("(source_size + start + n1 / 2.0) / target")} END AS later FROM j)
+SELECT doc_id, size, source_size, round(target, 6) AS target, CAST(n0 + n1 AS BIGINT) AS taken, position, coalesce(later, position) AS last_position FROM i
 """
