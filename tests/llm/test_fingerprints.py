@@ -1,4 +1,5 @@
 import hashlib
+from collections import Counter
 
 import numpy as np
 
@@ -24,22 +25,31 @@ def test_likeness_is_bounded_and_symmetric():
     assert 0 <= fp.likeness(a, c) < fp.likeness(a, b) <= 1 and fp.likeness(a, b) == fp.likeness(b, a)
 
 
+def plain(spark, rows):
+    """Each row with the next one, one by one, in the documented order."""
+    keyed = frame(spark, rows).select("doc_id", "text", fp._order("doc_id", "text").alias("k")).collect()
+    order = sorted(((r["doc_id"], r["text"] or "", r["k"]) for r in keyed), key=lambda r: r[2])
+    assert [r[0] for r in order] == sorted((r[0] for r in rows), key=lambda d: (d is None, -(d or 0)))
+    out = Counter()
+    for (d, t, _), (_, n, _) in zip(order, order[1:] + order[:1], strict=True):
+        k = len(t) // 3
+        e = t[: len(t) - k] + n[:k]
+        own, de = fp.digest(t.encode()), fp.digest(e.encode())
+        out[d, len(t), hashlib.sha256(e.encode()).hexdigest(), own, de, round(fp.likeness(own, de), 6), round(fp.likeness(own, fp.digest(n.encode())), 6)] += 1
+    return out
+
+
 def test_neighbours(spark):
-    rows = documents()
-    del rows[-4]  # two rows of one id have no order of their own to compare with
-    rows = [r for i, r in enumerate(rows) if r[0] != 5 or i == 5]
+    rows = documents() + [(None, f"no id {i}", "en", "s", 1, 7, 3, "x", 1, 0.5) for i in range(40)] + [(8, f"one id {i % 9}", "en", "s", 1, 7, 3, "x", 1, 0.5) for i in range(60)]
+    rows += [(-(2**63), "the least id", "en", "s", 1, 7, 3, "x", 1, 0.5), (2**63 - 1, "the greatest", "en", "s", 1, 7, 3, "x", 1, 0.5)]
+    want = plain(spark, rows)
     for ranges in (1, 3, 40):
-        got = {r["doc_id"]: r for r in fp.with_neighbours(frame(spark, rows), ranges=ranges).collect()}
-        order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
-        assert len(got) == len(rows)
-        for r, nxt in zip(order, order[1:] + order[:1], strict=True):
-            t, n = r[1] or "", nxt[1] or ""
-            k = len(t) // 3
-            e = t[: len(t) - k] + n[:k]
-            g = got[r[0]]
-            assert g["n_chars"] == len(t) and g["edited_sha256"] == hashlib.sha256(e.encode()).hexdigest()
-            assert g["fingerprint"] == fp.digest(t.encode()) and g["edited_fingerprint"] == fp.digest(e.encode())
-            assert abs(g["near_next"] - fp.likeness(g["fingerprint"], fp.digest(n.encode()))) < 1e-6
+        assert Counter(map(tuple, fp.with_neighbours(frame(spark, rows), ranges=ranges).collect())) == want
+
+
+def test_a_third_of_the_rows_is_one_row(spark):
+    rows = documents() + [(50, "the same " * 20, "en", "s", 1, 7, 3, "x", 1, 0.5)] * 70
+    assert Counter(map(tuple, fp.with_neighbours(frame(spark, rows), ranges=8).collect())) == plain(spark, rows)
 
 
 def test_repeated_ids_one_document_and_none(spark):

@@ -7,7 +7,8 @@ opposite class counts double) plus a part for the lengths; unrelated digests dif
 is 1 - difference / that mean, held to 0..1.
 
 Cases: a null text counts as empty; texts of fewer than three bytes have all buckets in the lowest class and
-are told apart by length only; whole texts are counted, long ones in pieces.
+are told apart by length only; whole texts are counted, long ones in pieces; repeated rows have a row each, with
+neighbours in the order below; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, materialise
 
 BUCKETS = 256
 _PIECE = 1 << 20
@@ -70,63 +71,98 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def _cuts(docs: DataFrame, doc: str, ranges: int) -> list[float]:
-    """Upper bounds of ranges of ids, in descending order."""
-    ids = docs.select(F.col(doc).cast("double").alias("v"))
-    cuts = [x for x in ids.approxQuantile("v", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)) if x is not None] if ranges > 1 else []
-    return sorted(set(cuts), reverse=True)
+def _compared(text: str, own: str, following: str, next_: str) -> tuple:
+    e = edited(text, following).encode()
+    de = digest(e)
+    return len(text), hashlib.sha256(e).hexdigest(), own, de, round(likeness(own, de), 6), round(likeness(own, next_), 6)
+
+
+_RESULT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_NAMES = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+
+
+def _order(doc: str, text: str):
+    """A string that sorts by id from the highest down, null last, then by the text's hash."""
+    part = lambda c: F.lpad(F.hex(c), 16, "0")
+    down = F.coalesce(F.bitwise_not(F.col(doc).cast("long")).bitwiseXOR(F.lit(-(2**63))), F.lit(0).cast("long"))
+    return F.concat(F.when(F.col(doc).isNull(), "1").otherwise("0"), part(down), part(F.xxhash64(F.coalesce(F.col(text), F.lit("")))))
+
+
+def _splitters(counts: DataFrame, total: int, ranges: int, each: int = 32) -> list[str]:
+    """Lower bounds of ranges of equal rows: weighted quantiles of about ``each`` sampled keys a range."""
+    rate = min(1.0, ranges * each / max(1, total))
+    drawn = counts.where(F.pmod(F.xxhash64(F.lit(17), "key"), F.lit(1 << 30)) < F.lit(int(rate * (1 << 30)))).orderBy("key").collect()
+    upto = np.cumsum([r["n"] for r in drawn]) if drawn else np.zeros(0)
+    at = np.searchsorted(upto, [upto[-1] * i / ranges for i in range(1, ranges)]) if drawn else []
+    return sorted({drawn[i]["key"] for i in at})
+
+
+def _tickets(spark: SparkSession, n: int) -> list[int]:
+    """A number for each of ``n`` partitions that Spark's hash deals to it."""
+    number = F.col("id").cast("int")
+    rows = spark.range(50 * n).groupBy(F.pmod(F.hash(number), F.lit(n)).alias("at")).agg(F.min(number).alias("p")).collect()
+    found = {r["at"]: r["p"] for r in rows}
+    return [found.get(i, i) for i in range(n)]
 
 
 def with_neighbours(docs: DataFrame, doc: str = "doc_id", text: str = "text", ranges: int | None = None) -> DataFrame:
     """One row (doc, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) a document.
 
-    The next document in descending order of id is a neighbour in its range of ids; the first document of each
-    range is sent to the range before as well, so one shuffle of the texts is enough and a task streams over its
-    sorted rows. Null ids come last, equal ids in the order of their texts' hashes.
+    The order is by id from the highest down, null ids last, equal ids by their texts' hashes. It is cut into
+    ``ranges`` of equal numbers of rows by sampled keys; the first document of each range is sent to the range before
+    as well, so one shuffle of the texts is enough and a task streams over its sorted rows. Repeated rows (equal in id
+    and text) follow each other. One that has more copies than a range has rows is dealt once: its copies are each
+    other's next documents and get that result, without their texts being dealt.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = _cuts(docs, doc, ranges)
-    bounds = spark.sparkContext.broadcast(-np.array(cuts, dtype=float))
+    kind = docs.schema[doc].dataType.simpleString()
+    rows = docs.select(F.col(doc).cast("string").alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t"), _order(doc, text).alias("key"))
+    counts = materialise(rows.groupBy("key").agg(F.count("*").alias("n")), "fingerprint-keys")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    if not total:
+        return spark.createDataFrame([], f"`{doc}` {kind}, {_RESULT}")
+    hot = [r["key"] for r in counts.where(F.col("n") > max(1, total // ranges)).collect()]  # at most ``ranges``
+    bounds = spark.sparkContext.broadcast(np.array(_splitters(counts.where(~F.col("key").isin(hot)) if hot else counts, total, ranges), dtype=object))
 
     @F.pandas_udf("int")
-    def range_of(v: pd.Series) -> pd.Series:
-        at = np.searchsorted(bounds.value, -v.to_numpy(dtype=float, na_value=-np.inf), side="right")
-        return pd.Series(at.astype(np.int32))
-
-    rows = docs.select(F.col(doc).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t"), range_of(F.col(doc).cast("double")).alias("r")).withColumn("h", F.xxhash64("t"))
-    order = F.struct(F.col("d").isNull().alias("n"), (-F.col("d")).alias("d"), F.col("h").alias("h"))
-    heads = {x["r"]: (x["m"]["n"], x["m"]["d"], x["m"]["h"]) for x in rows.groupBy("r").agg(F.min(order).alias("m")).collect()}
-    if not heads:
-        return spark.createDataFrame([], _schema(docs, doc))
+    def range_of(keys: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds.value, keys.to_numpy(dtype=object), side="right").astype(np.int32))
+
+    heads = {x["r"]: x["m"] for x in counts.groupBy(range_of("key").alias("r")).agg(F.min("key").alias("m")).collect()}
     used = sorted(heads)
-    before = {b: a for a, b in zip([used[-1], *used[:-1]], used, strict=True)}  # the first follows the last
-    target = F.create_map(*[F.lit(x) for b, a in before.items() for x in (b, a)])
-    head = F.create_map(*[x for r, (n, d, h) in heads.items() for x in (F.lit(r), F.struct(F.lit(n).alias("n"), F.lit(d).cast(docs.schema[doc].dataType).alias("d"), F.lit(h).alias("h")))])
-    is_head = order.eqNullSafe(F.element_at(head, F.col("r")))
-    sent = F.when(is_head, F.array(F.struct(F.col("r").alias("r"), F.lit(0).alias("extra")), F.struct(F.element_at(target, F.col("r")).alias("r"), F.lit(1).alias("extra")))).otherwise(F.array(F.struct(F.col("r").alias("r"), F.lit(0).alias("extra"))))
-    dealt = rows.withColumn("s", F.explode(sent)).select("d", "t", "h", F.col("s.r").alias("r"), F.col("s.extra").alias("extra"))
-    dealt = dealt.repartition(len(used), "r").sortWithinPartitions("r", "extra", F.col("d").desc_nulls_last(), "h")
+    before = dict(zip(used, [used[-1], *used[:-1]], strict=True))  # the first follows the last
+    once = rows
+    if hot:
+        many = rows.where(F.col("key").isin(hot))
+        once = rows.where(~F.col("key").isin(hot)).union(many.groupBy("key").agg(F.first("d").alias("d"), F.first("t").alias("t")).select("d", "t", "key"))
+    once = once.withColumn("r", range_of("key"))
+    at = lambda table: F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.col("r"))
+    own = F.struct(F.col("r").alias("r"), F.lit(0).alias("extra"))
+    sent = F.when(F.col("key") == at(heads), F.array(own, F.struct(at(before).alias("r"), F.lit(1).alias("extra")))).otherwise(F.array(own))
+    dealt = once.withColumn("s", F.explode(sent)).select("d", "t", "key", F.col("s.r").alias("r"), F.col("s.extra").alias("extra"))
+    dealt = dealt.withColumn("p", at(dict(zip(used, _tickets(spark, len(used)), strict=True)))).repartition(len(used), "p").sortWithinPartitions("r", "extra", "key")
+    repeated = frozenset(hot)
 
     def stream(batches):
         held = None  # the document whose next one has not come yet: (r, d, text, digest)
         for x in batches:
             out = []
-            for r, extra, d, t in zip(x["r"], x["extra"], x["d"], x["t"], strict=True):
-                data = t.encode()
-                print_ = held[3] if held is not None and held[2] == t else digest(data)
+            for r, extra, d, t, key in zip(x["r"], x["extra"], x["d"], x["t"], x["key"], strict=True):
+                own = held[3] if held is not None and held[2] == t else digest(t.encode())
                 if held is not None and held[0] == r:
-                    e = edited(held[2], t).encode()
-                    de = digest(e)
-                    out.append((held[1], len(held[2]), hashlib.sha256(e).hexdigest(), held[3], de, round(likeness(held[3], de), 6), round(likeness(held[3], print_), 6)))
-                held = None if extra else (r, d, t, print_)
-            yield pd.DataFrame(out, columns=["d", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-
-    kind = docs.schema[doc].dataType.simpleString()
-    got = dealt.mapInPandas(stream, f"d {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    return got.withColumnRenamed("d", doc)
-
-
-def _schema(docs: DataFrame, doc: str) -> str:
-    return f"`{doc}` {docs.schema[doc].dataType.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+                    out.append(("", held[1], *_compared(held[2], held[3], t, own)))
+                if key in repeated and not extra:
+                    out.append((key, d, *_compared(t, own, t, own)))
+                held = None if extra else (r, d, t, own)
+            yield pd.DataFrame(out, columns=["key", "d", *_NAMES])
+
+    got = dealt.select("d", "t", "key", "r", "extra").mapInPandas(stream, f"key string, d string, {_RESULT}")
+    if hot:  # all copies but one
+        got = materialise(got, "fingerprint-pairs")
+        copies = materialise(many.select("key", F.monotonically_increasing_id().alias("i")), "fingerprint-copies")
+        first = copies.groupBy("key").agg(F.min("i").alias("i"))  # a row for each of ``hot``
+        rest = copies.join(F.broadcast(first), ["key", "i"], "left_anti")
+        got = got.where("key = ''").union(rest.select("key").join(F.broadcast(got.where("key <> ''")), "key").select(*got.columns))
+    return got.select(F.col("d").cast(kind).alias(doc), *_NAMES)
