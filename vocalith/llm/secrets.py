@@ -1,17 +1,19 @@
 """Secret scans: wide candidate patterns, then a random forest that removes false positives.
 
-Candidates: values assigned to a key (``name = value``, ``name: value``) that have a digit or whose key has a
-secret word as a part, private key blocks, and any run of 16 or more token characters with a digit. A candidate's features: its length; its character transitions (share of changes between
-lower case, upper case, digits and other, and mean log-probability of its letter pairs under the corpus); the
-share of its letters that common corpus words cover; whether it stands in a path or an address, and the words of
-the document's own path; the words before and after it. The forest (bootstrap trees on Gini impurity, grown
+Candidates: values assigned to a key (``name = value``, ``name: value``, names of any length) that have a digit or
+whose key has a secret word as a part, private key blocks, and any run of 16 or more token characters with a digit.
+A candidate's features: its length; its character transitions (share of changes between lower case, upper case,
+digits and other, and mean log-probability of its letter pairs under the corpus); the share of its letters that
+common corpus words cover; whether it stands in a path or an address, and, where the table has a column of paths, the
+words of the document's own path; the words before and after it. The forest (bootstrap trees on Gini impurity, grown
 here in numpy) learns from labelled findings; ``labelled_findings`` makes such a table by a seeded rule where no
 reviewed one is at hand: credentials of common shapes among false positives such as checksums, identifiers,
 addresses, card numbers and placeholders.
 
 The dictionary and letter pairs come from word counts over all documents; the ``vocabulary`` most frequent words
 of letters stay. Cases: null and empty texts have no finding; equal texts have equal findings, each in its own
-row; very long texts are scanned whole; overlapping candidates give the longer one; extra columns aren't read.
+row; repeated rows have the findings of each, null ids are kept as they are; an empty table has none; very long texts
+are scanned whole; overlapping candidates give the longer one; extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, materialise
 from .lm import split_words
 
-_ASSIGNED = re.compile(r"""\b([A-Za-z][\w.-]{1,30})["']?[ \t]{0,2}(?:=|:)[ \t]{0,2}["']?([^\s"',;<>]{8,})""")
+_ASSIGNED = re.compile(r"""(?<![\w.-])[\d_.-]*+([^\W\d_][\w.-]*+)["']?[ \t]{0,2}(?:=|:)[ \t]{0,2}["']?([^\s"',;<>]{8,})""")
 _RUN = re.compile(r"(?<![\w+/=.@-])[\w+/=.@-]*\d[\w+/=.@-]*(?![\w+/=.@-])", re.ASCII)
 _BLOCK = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ ){0,4}PRIVATE KEY(?: BLOCK)?)-----")
 _BLOCK_LINES = re.compile(r"(?:\s+[\w+/=]+(?=\s|$))*", re.ASCII)
@@ -208,8 +210,12 @@ def _tree(x: np.ndarray, y: np.ndarray, depth: int, least: int, rng) -> tuple[np
     return a[:, 0].astype(int), a[:, 1], a[:, 2].astype(int), a[:, 3].astype(int), a[:, 4]
 
 
-def labelled_findings(words: list[str], n: int = 3000, seed: int = 11) -> list[tuple[str, int, int, str, str, int]]:
-    """(text, start, end, key, path, label): findings by a seeded rule, half of them secrets, among ``words``."""
+def labelled_findings(words: list[str], n: int = 3000, seed: int = 11, paths: bool = False) -> list[tuple[str, int, int, str, str, int]]:
+    """(text, start, end, key, path, label): findings by a seeded rule, half of them secrets, among ``words``.
+
+    ``paths``: whether documents come with paths; without, the path is empty here too, so the forest learns nothing
+    from what scanning cannot know.
+    """
     rng = np.random.default_rng(seed)
     words = words or ["the", "of", "and", "value", "is"]
     pick = lambda chars, k: "".join(rng.choice(list(chars), k))
@@ -218,7 +224,7 @@ def labelled_findings(words: list[str], n: int = 3000, seed: int = 11) -> list[t
     some = lambda k: " ".join(rng.choice(words, k))
 
     def secret():
-        kind = rng.integers(8)
+        kind = rng.integers(9)
         name = str(rng.choice(["password", "passwd", "secret", "token", "api_key", "access_key", "auth_token", "client_secret", "private_key", "credential"]))
         if kind == 0:
             return "", "AKIA" + pick(upper, 16)
@@ -232,6 +238,9 @@ def labelled_findings(words: list[str], n: int = 3000, seed: int = 11) -> list[t
             return name, pick(b64, int(rng.integers(16, 44)))
         if kind == 6:
             return name, pick(alnum + "!#$%&*", int(rng.integers(10, 24)))
+        if kind == 7:  # a passphrase
+            joint = str(rng.choice(["", "-", "_"]))
+            return f"{rng.choice(['db', 'app', 'admin', 'user'])}_{name}", joint.join(str(w).capitalize() for w in rng.choice(words, int(rng.integers(3, 6)))) + str(rng.choice(["", "1", "!", "42"]))
         return "", pick(b64, 40)
 
     def harmless():
@@ -268,20 +277,21 @@ def labelled_findings(words: list[str], n: int = 3000, seed: int = 11) -> list[t
         if not key and label and rng.random() < 0.2:
             lead += str(rng.choice(_SECRET_WORDS)) + " "
         lead += f"{key}{rng.choice(['=', ' = ', ': '])}{quote}" if key else ""
-        path = str(rng.choice(["", "src/app/config.py", "conf/settings.yml"] + ([] if label else ["tests/fixtures/data.json", "docs/example.md"])))
+        path = str(rng.choice(["", "src/app/config.py", "conf/settings.yml"] + ([] if label else ["tests/fixtures/data.json", "docs/example.md"]))) if paths else ""
         text = f"{lead}{value}{quote if key else ''} {some(int(rng.integers(0, 5)))}"
         out.append((text, len(lead), len(lead) + len(value), key, path, label))
     return out
 
 
 def all_word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Words of a-z over all texts, at least three letters long: (w, n, step of n on a logarithmic scale)."""
+    """Words of letters of any script over all texts, three to 24 long: (w, n, step of n on a logarithmic scale)."""
     bounded_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
             words, _ = split_words(b.column("t"))
-            words = words.filter(pc.match_substring_regex(words, "^[a-z]{3,24}$"))
+            words = pc.utf8_lower(words)
+            words = words.filter(pc.match_substring_regex(words, "^\\pL{3,24}$"))
             got = pc.value_counts(words)
             yield pa.RecordBatch.from_arrays([got.field("values").cast(pa.string()), got.field("counts")], names=["w", "n"])
 
@@ -346,8 +356,9 @@ def scan(docs: DataFrame, forest: Forest, language: Language, doc: str = "doc_id
             out = pd.DataFrame(rows, columns=["d", "finding", "start", "length", "key", "sha256"])
             out["probability"] = model.predict(np.array(x)).round(6) if x else np.zeros(0)
             out["is_secret"] = out["probability"] >= threshold
-            yield out.astype({"d": b["d"].dtype, "finding": "int64", "start": "int64", "length": "int64"})
+            yield out.astype({"finding": "int64", "start": "int64", "length": "int64"})
 
     kind = docs.schema[doc].dataType.simpleString()
-    got = docs.select(F.col(doc).alias("d"), F.col(text).alias("t"), (F.col(path) if path else F.lit("")).cast("string").alias("p"))
-    return got.mapInPandas(run, f"d {kind}, finding long, start long, length long, key string, sha256 string, probability double, is_secret boolean").withColumnRenamed("d", doc)
+    got = docs.select(F.col(doc).cast("string").alias("d"), F.col(text).alias("t"), (F.col(path) if path else F.lit("")).cast("string").alias("p"))
+    got = got.mapInPandas(run, "d string, finding long, start long, length long, key string, sha256 string, probability double, is_secret boolean")
+    return got.select(F.col("d").cast(kind).alias(doc), *got.columns[1:])
