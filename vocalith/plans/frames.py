@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
-from ..operators import features as X
 from ..operators import ranges as G
 from ..operators import rules as R
 from ..operators import selection as L
@@ -325,22 +324,6 @@ def voice_feature_metrics(spark, t):
     return j.select("user_id", M.pitch_similarity(m, mb, s / m, sb / mb).alias("pitch"), M.jitter_shimmer_similarity(s - sb, m - mb, s - sb, m - mb).alias("jitter_shimmer"), M.fricative_similarity(d, d, m - mb).alias("fricative"), M.quality_similarity([d]).alias("quality"))
 
 
-@query(None)
-def gender_probability(spark, t):
-    """Gaussian memberships; they sum to 1, which tests hold."""
-    return X.gender_estimate(t("events").select("user_id", F.col("value").alias("pitch_hz")), ["user_id"])
-
-
-@query(None)
-def fft_band_energy(spark, t):
-    """Spectra of framed series (numpy), then band means; held against numpy in tests."""
-    from ..operators.signal import spectrum
-
-    e = users(t).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"]).alias("amp"))
-    s = spectrum(S.framed(e, 32, 16).select("user_id", "t", "frame"), ["user_id", "t"], 32)
-    return X.band_energies(s, ["user_id", "t"])
-
-
 @query(None)
 def lpc_formants(spark, t):
     """LPC roots of framed series; held against golden values in tests."""
