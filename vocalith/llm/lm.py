@@ -321,7 +321,7 @@ def _mixture_share(docs: DataFrame, words: DataFrame, doc: str, text: str, train
     a, b = np.where(counts > 0, (1 - new) * a, new), (counts + 1) / (total + distinct + 1)
     m = 0.5
     for _ in range(50):
-        m = float(np.mean(m * b / (m * b + (1 - m) * a)))
+        m = float((np.sum(m * b / (m * b + (1 - m) * a)) + 10) / (len(b) + 20))  # few texts settle little
     return m
 
 
