@@ -270,3 +270,39 @@ def test_silence_removed_joins_samples_once(spark):
     runs = spark.createDataFrame([("a", 0.6, 0.9), ("a", 0.1, 0.3)], "k string, start_s double, end_s double")
     got = {r["k"]: (r["kept"], r["removed_percent"]) for r in X.silence_removed(samples, runs, ["k"], 10).collect()}
     assert got["a"] == ([1.0, 2.0, 6.0, 7.0, 8.0], pytest.approx(50.0)) and got["b"] == ([], pytest.approx(100.0))
+
+
+def _voice(n=400, sr=16000):
+    """Damped resonances at 500, 1500 and 2500 Hz driven by pulses."""
+    x = np.zeros(n)
+    x[:: sr // 100] = 1.0
+    for f, b in ((500, 80), (1500, 100), (2500, 120)):
+        r = np.exp(-np.pi * b / sr)
+        y = np.zeros(n)
+        for i in range(n):
+            y[i] = x[i] + 2 * r * np.cos(2 * np.pi * f / sr) * (y[i - 1] if i else 0) - r * r * (y[i - 2] if i > 1 else 0)
+        x = y
+    return x
+
+
+def test_response_peaks_find_the_resonances(spark):
+    x = _voice()
+    frames = spark.createDataFrame([(1, [float(v) for v in x])], "k int, frame array<double>")
+    got = {r["formant"]: r for r in K.response_formants(frames, ["k"], 12).collect()}
+    for f, hz in (("F1", 500), ("F2", 1500)):
+        assert abs(got[f]["freq_hz"] - hz) < 60 and 20 < got[f]["bandwidth_hz"] < 400
+    roots = [f for f, _ in K.formants_from_polynomial(K.lpc(x * K.windows_of(len(x))["hamming"], 12)[0])]
+    assert all(min(abs(r["freq_hz"] - f) for f in roots) < 40 for r in got.values())
+
+
+def test_lpc_models_and_timbre_are_the_kernels(spark):
+    x = [float(v) for v in _voice(256)]
+    frames = spark.createDataFrame([(1, x, 3)], "k int, frame array<double>, peaks int")
+    o = K.lpc_orders(frames, ["k"], "peaks").first()
+    assert (o["order"], o["cost"]) == pytest.approx(K.adaptive_order(np.array(x), 3))
+    ranks = K.lpc_window_ranks(frames, ["k"], 10).orderBy("rank").collect()
+    assert [(r["window"], r["quality"]) for r in ranks] == [(n, pytest.approx(q)) for n, _, q in K.lpc_windows(np.array(x), 10)]
+    c = [r["contrast"] for r in K.spectral_contrast(frames, ["k"], 512).orderBy("band").collect()]
+    assert c == pytest.approx(K.contrast_of(K.magnitudes(np.array(x), 512), np.fft.rfftfreq(512, 1 / 16000))) and len(c) == 7
+    m = [r["value"] for r in K.mfccs(frames, ["k"], 13, 512).orderBy("coefficient").collect()]
+    assert m == pytest.approx(list(K.mfcc(K.magnitudes(np.array(x), 512) ** 2)))

@@ -86,25 +86,54 @@ def spectral_shape(spectrum: DataFrame, frame: list[str]) -> DataFrame:
     )
 
 
-def perceptual_features(mel: DataFrame, shape: DataFrame, by: list[str]) -> DataFrame:
-    """Low, middle and high balance of mel bins 0-42, 43-85 and 86-127 in dB, brightness, warmth and richness."""
-    part = lambda a, b: F.avg(F.when(F.col("bin").between(a, b), F.col("db")))
-    m = mel.groupBy(*by).agg(part(0, 42).alias("low_db"), part(43, 85).alias("mid_db"), part(86, 127).alias("high_db"), F.stddev_pop("db").alias("richness"))
-    s = shape.groupBy(*by).agg(F.avg("centroid").alias("centroid"), F.avg("rolloff").alias("rolloff"), F.avg("flatness").alias("flatness"))
-    return m.join(s, by).withColumns({"brightness": F.col("high_db") - F.col("low_db"), "warmth": F.col("low_db") - F.col("mid_db")})
-
-
-def voice_quality(shape: DataFrame, pitch: DataFrame, nasal: DataFrame, by: list[str]) -> DataFrame:
-    """Breathiness, tenseness, nasality, voicing and stability, each in 0..1; no pitch gives stability 0."""
-    s = shape.groupBy(*by).agg(F.avg("flatness").alias("_f"), F.avg("slope").alias("_s"))
-    out = s.join(pitch.select(*by, F.col("mean").alias("_m"), F.col("std").alias("_d"), F.col("n").alias("_n")), by, "left").join(nasal.select(*by, F.col("presence").alias("_p"), F.col("frames").alias("_k")), by, "left")
+def perceptual_features(mel: DataFrame, shape: DataFrame, by: list[str], contrast: DataFrame | None = None) -> DataFrame:
+    """Balance of the mean mel spectrum in dB (bins 0-42, 43-85, 86-127), brightness (the high bins' part of its sum),
+    warmth (low over the rest), mean and deviation of roll-off and centroid; richness is the mean ``contrast`` (by,
+    contrast), null without one."""
+    bins = mel.groupBy(*by, "bin").agg(F.avg("db").alias("_m"))
+    part = lambda lo, hi: F.avg(F.when(F.col("bin").between(lo, hi), F.col("_m")))
+    high = F.sum(F.when(F.col("bin") >= 86, F.col("_m")))
+    m = bins.groupBy(*by).agg(part(0, 42).alias("low_energy"), part(43, 85).alias("mid_energy"), part(86, 127).alias("high_energy"), (high / F.nullif(F.sum("_m"), F.lit(0.0))).alias("brightness"))
+    low, mid, top = F.col("low_energy"), F.col("mid_energy"), F.col("high_energy")
+    m = m.withColumns({"low_to_high": soft_ratio(low, top), "mid_to_high": soft_ratio(mid, top), "warmth": soft_ratio(low, mid + top)})
+    s = shape.groupBy(*by).agg(*[f(c).alias(f"{c}_{n}") for c in ("rolloff", "centroid") for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
+    out = m.join(s, by)
+    if contrast is None:
+        return out.withColumn("richness", F.lit(None).cast("double"))
+    return out.join(contrast.groupBy(*by).agg(F.avg("contrast").alias("richness")), by, "left")
+
+
+#: Upper ends of normal local jitter and shimmer, in per cent.
+JITTER_NORMAL, SHIMMER_NORMAL = 1.04, 3.81
+
+
+def voice_quality(shape: DataFrame, pitch: DataFrame, perturbation: DataFrame, energies: DataFrame, by: list[str]) -> DataFrame:
+    """Breathiness, creakiness, tenseness, nasality, voicing degree and stability, each in 0..1.
+
+    ``shape``: slope of each frame; ``pitch``: mean, std, n, gender; ``perturbation``: jitter_local, shimmer_local;
+    ``energies``: nasal1 and all of each frame. Without pitch, creakiness and stability are 0 and tenseness comes from
+    the slope alone.
+    """
+    s = shape.groupBy(*by).agg(F.avg("slope").alias("_s"))
+    e = energies.groupBy(*by).agg(F.avg("nasal1").alias("_nasal"), F.avg("all").alias("_all"), F.count("*").alias("_k"))
+    p = pitch.select(*by, F.col("mean").alias("_m"), F.col("std").alias("_d"), F.col("n").alias("_n"), F.col("gender").alias("_g"))
+    j = perturbation.select(*by, F.least(F.lit(1.0), F.col("jitter_local") / JITTER_NORMAL).alias("_j"), F.least(F.lit(1.0), F.col("shimmer_local") / SHIMMER_NORMAL).alias("_h"))
+    out = s.join(e, by).join(p, by, "left").join(j, by, "left")
+    m, d = F.col("_m"), F.col("_d")
+    low = F.when(m < 100, 1.0).otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - (m - 100.0) / 50.0))
+    high = F.when(F.col("_g") == "male", clip01((m - 100.0) / 80.0)).otherwise(clip01((m - 180.0) / 120.0))
+    steep = F.least(F.lit(1.0), F.abs(F.coalesce("_s", F.lit(0.0))) * 10.0)
+    calm = F.lit(1.0) - F.least(F.lit(1.0), d / F.nullif(m * 0.2, F.lit(0.0)))
+    some = F.coalesce(m > 0, F.lit(False))
+    j1, h1 = F.coalesce("_j", F.lit(0.0)), F.coalesce("_h", F.lit(0.0))
     return out.select(
         *by,
-        clip01(F.coalesce(F.col("_f"), F.lit(0.0))).alias("breathiness"),
-        clip01(F.abs(F.coalesce(F.col("_s"), F.lit(0.0))) * 1000.0).alias("tenseness"),
-        clip01(F.coalesce(F.col("_p"), F.lit(0.0))).alias("nasality"),
-        clip01(ratio(F.col("_n").cast("double"), F.col("_k").cast("double"))).alias("voicing_degree"),
-        F.coalesce(F.when(F.col("_m") > 0, clip01(F.lit(1.0) - F.col("_d") / F.nullif(F.col("_m"), F.lit(0.0)))), F.lit(0.0)).alias("stability"),
+        (j1 * 0.5 + h1 * 0.5).alias("breathiness"),
+        F.when(some, low * 0.6 + F.least(F.lit(1.0), d / 20.0) * 0.4).otherwise(0.0).alias("creakiness"),
+        (F.when(some, high).otherwise(0.0) * 0.5 + steep * 0.5).alias("tenseness"),
+        F.least(F.lit(1.0), ratio(F.col("_nasal"), F.col("_all")) * 3.0).alias("nasality"),
+        clip01(ratio(F.coalesce("_n", F.lit(0)).cast("double"), F.col("_k").cast("double"))).alias("voicing_degree"),
+        F.when(some, (F.lit(1.0) - j1) * 0.3 + (F.lit(1.0) - h1) * 0.3 + calm * 0.4).otherwise(0.0).alias("stability"),
     )
 
 

@@ -91,8 +91,9 @@ def aligned_times(tracks: DataFrame, by: list[str], order: str, duration: str =
     return tracks.withColumn("ts", F.when(n > 1, F.col(duration) * (F.row_number().over(w.orderBy(order)) - 1) / F.greatest(n - 1, F.lit(1))).otherwise(0.0))
 
 
-def all_features(frames: DataFrame, spectrum: DataFrame, by: list[str], t: str = "t", step_s: float = 0.01) -> DataFrame:
-    """Pitch, perturbation, fricative, nasal, quality and temporal groups of each recording, side by side.
+def all_features(frames: DataFrame, spectrum: DataFrame, by: list[str], t: str = "t", step_s: float = 0.01, mel: DataFrame | None = None) -> DataFrame:
+    """Pitch, perturbation, fricative, nasal, quality and temporal groups of each recording, side by side, and the
+    perceptual one where ``mel`` (by, bin, db) is given.
 
     ``frames``: by, t, ts, energy, pitch_hz, pitch_mag, voiced, voiced_prob; ``spectrum``: by, t, bin, freq_hz, mag.
     The spectrum is read once for the bands and once for its shape.
@@ -100,16 +101,18 @@ def all_features(frames: DataFrame, spectrum: DataFrame, by: list[str], t: str =
     energies = X.band_energies(spectrum, [*by, t])
     shape = X.spectral_shape(spectrum, [*by, t])
     pitch = X.pitch_features(frames, by, [t], step_s)
-    nasal = X.nasal_features(energies, by)
+    perturbation = X.jitter_shimmer(frames, by, [t])
     loud = F.col("energy") > 0.05 * F.max("energy").over(Window.partitionBy(*by))
     groups = {
         "pitch": pitch,
-        "perturbation": X.jitter_shimmer(frames, by, [t]),
+        "perturbation": perturbation,
         "fricative": X.fricative_features(energies, by),
-        "nasal": nasal,
-        "quality": X.voice_quality(shape, pitch, nasal, by),
+        "nasal": X.nasal_features(energies, by),
+        "quality": X.voice_quality(shape, pitch, perturbation, energies, by),
         "temporal": S.temporal_features(frames.select(*by, "ts", loud.alias("speech")), by, "ts", "speech"),
     }
+    if mel is not None:
+        groups["perceptual"] = X.perceptual_features(mel, shape, by)
     out = frames.select(*by).distinct()
     for name, g in groups.items():
         out = out.join(g.select(*by, F.struct(*[c for c in g.columns if c not in by]).alias(name)), by, "left")

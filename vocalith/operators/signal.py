@@ -242,3 +242,82 @@ def pitch_frames(frames: DataFrame, keys: list[str], sr: int = SAMPLE_RATE, fram
     from .series import rms
 
     return frames.select(*keys, track(frame).alias("p"), rms(F.col(frame)).alias("energy")).select(*keys, "p.*", "energy")
+
+
+def response_peaks(frame: np.ndarray, order: int = 16, sr: int = SAMPLE_RATE, points: int = 2000) -> list[tuple[float, float, float]]:
+    """(frequency, magnitude, half-power bandwidth) of the peaks of a frame's linear-prediction response."""
+    x = np.asarray(frame, dtype=float)
+    a, _ = lpc(x * windows_of(len(x))["hamming"], order)
+    w = np.pi * np.arange(points) / points
+    mag = 1.0 / np.maximum(np.abs(np.exp(-1j * np.outer(w, np.arange(order + 1))) @ a), 1e-12)
+    freq, out = w * sr / (2 * np.pi), []
+    for i in find_peaks(mag, height=0.1, distance=5, prominence=0.1):
+        low = np.flatnonzero(mag <= mag[i] / np.sqrt(2))
+        left, right = low[low < i], low[low > i]
+        out.append((float(freq[i]), float(mag[i]), float(freq[right[0] if len(right) else points - 1] - freq[left[-1] if len(left) else 0])))
+    return out
+
+
+def response_formants(frames: DataFrame, keys: list[str], order: int = 16, sr: int = SAMPLE_RATE, frame: str = "frame") -> DataFrame:
+    """Frame rows -> rows (keys, formant, freq_hz, mag, bandwidth_hz): the strongest response peak of each band F1-F4, a
+    peak belonging to the first band that holds it."""
+    from .ranges import PEAK_BANDS, best_in_band, first_band_key
+
+    @F.pandas_udf("array<struct<freq_hz:double,mag:double,bandwidth_hz:double>>")
+    def peaks(x: pd.Series) -> pd.Series:
+        return x.map(lambda f: [{"freq_hz": a, "mag": m, "bandwidth_hz": b} for a, m, b in response_peaks(f, order, sr)])
+
+    rows = frames.select(*keys, F.explode(peaks(frame)).alias("p")).select(*keys, "p.*")
+    rows = rows.withColumn("formant", first_band_key(F.col("freq_hz"), PEAK_BANDS)).where("formant is not null")
+    return best_in_band(rows, keys, "formant", "mag")
+
+
+def lpc_orders(frames: DataFrame, keys: list[str], peaks: str, frame: str = "frame") -> DataFrame:
+    """Frame rows with their number of spectral peaks -> (keys, order, cost) of ``adaptive_order``."""
+
+    @F.pandas_udf("order int, cost double")
+    def run(x: pd.Series, n: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([adaptive_order(np.asarray(f, dtype=float), int(k)) for f, k in zip(x, n, strict=True)], columns=["order", "cost"])
+
+    return frames.select(*keys, run(frame, peaks).alias("o")).select(*keys, "o.*")
+
+
+def lpc_window_ranks(frames: DataFrame, keys: list[str], order: int = 16, frame: str = "frame") -> DataFrame:
+    """Frame rows -> rows (keys, rank, window, quality): the four windows of ``lpc_windows``, best first."""
+
+    @F.pandas_udf("array<struct<window:string,quality:double>>")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda f: [{"window": n, "quality": q} for n, _, q in lpc_windows(f, order)])
+
+    return frames.select(*keys, F.posexplode(run(frame)).alias("rank", "w")).select(*keys, "rank", "w.*")
+
+
+def contrast_of(mag: np.ndarray, freq: np.ndarray, bands: int = 6, lowest: float = 200.0, share: float = 0.02) -> list[float]:
+    """Octave bands from ``lowest`` (and what lies below): dB between the means of the highest and lowest ``share``."""
+    edges, out = [0.0, *[lowest * 2.0**i for i in range(bands)], np.inf], []
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        x = np.sort(mag[(freq >= lo) & (freq < hi)])
+        k = max(1, round(share * len(x)))
+        out.append(float(10 * np.log10(max(x[-k:].mean(), 1e-10) / max(x[:k].mean(), 1e-10))) if len(x) else 0.0)
+    return out
+
+
+def spectral_contrast(frames: DataFrame, keys: list[str], n_fft: int = 2048, sr: int = SAMPLE_RATE, frame: str = "frame") -> DataFrame:
+    """Frame rows -> rows (keys, band, contrast)."""
+    freq = np.fft.rfftfreq(n_fft, 1 / sr)
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda f: contrast_of(magnitudes(f, n_fft), freq))
+
+    return frames.select(*keys, F.posexplode(run(frame)).alias("band", "contrast"))
+
+
+def mfccs(frames: DataFrame, keys: list[str], n: int = 13, n_fft: int = 2048, sr: int = SAMPLE_RATE, frame: str = "frame") -> DataFrame:
+    """Frame rows -> rows (keys, coefficient, value)."""
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda f: mfcc(magnitudes(f, n_fft) ** 2, sr, n))
+
+    return frames.select(*keys, F.posexplode(run(frame)).alias("coefficient", "value"))

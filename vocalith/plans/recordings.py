@@ -17,7 +17,7 @@ from ..operators import recordings as C
 from ..operators import rules as R
 from ..operators import selection as L
 from ..operators import series as S
-from ..operators.signal import spectrum as fft
+from ..operators import signal as K
 from ..sources import audio, sinks
 from .frames import GRADIENT, RUNS
 from .registry import query
@@ -117,7 +117,7 @@ def nasal_features(spark, t):
 
 SHAPE = """sa AS (SELECT *, sum(mag) OVER (PARTITION BY rec, frame ORDER BY bin) AS run, sum(mag) OVER (PARTITION BY rec, frame) AS al FROM sp),
 sh AS (SELECT rec, frame, sum(freq_hz * mag) / nullif(sum(mag), 0) AS centroid, exp(avg(ln(greatest(mag, 1e-10)))) / nullif(avg(mag), 0) AS flatness,
-    min(freq_hz) FILTER (run >= 0.85 * al) AS rolloff, regr_slope(mag, freq_hz) AS slope FROM sa GROUP BY rec, frame)"""
+    min(freq_hz) FILTER (run >= 0.85 * al) AS rolloff, CASE WHEN count(*) > 1 THEN regr_slope(mag, freq_hz) END AS slope FROM sa GROUP BY rec, frame)"""
 
 
 @query(f"WITH {FRAMES}, {SPECTRUM}, {SHAPE} SELECT * FROM sh", "centroid flatness rolloff slope")
@@ -129,27 +129,31 @@ MEL = "ml AS (SELECT rec, event_id % 128 AS bin, value / 10 AS db FROM f)"
 
 
 @query(
-    f"""WITH {FRAMES}, {SPECTRUM}, {SHAPE}, {MEL}, m AS (SELECT rec, avg(db) FILTER (bin BETWEEN 0 AND 42) AS low_db, avg(db) FILTER (bin BETWEEN 43 AND 85) AS mid_db, avg(db) FILTER (bin BETWEEN 86 AND 127) AS high_db, stddev_pop(db) AS richness FROM ml GROUP BY rec),
-s AS (SELECT rec, avg(centroid) AS centroid, avg(rolloff) AS rolloff, avg(flatness) AS flatness FROM sh GROUP BY rec)
-SELECT m.rec, low_db, mid_db, high_db, richness, centroid, rolloff, flatness, high_db - low_db AS brightness, low_db - mid_db AS warmth FROM m JOIN s ON m.rec = s.rec""",
-    "low_db mid_db high_db richness centroid rolloff flatness brightness warmth",
+    f"""WITH {FRAMES}, {SPECTRUM}, {SHAPE}, {MEL}, b AS (SELECT rec, bin, avg(db) AS m FROM ml GROUP BY rec, bin), m AS (SELECT rec, avg(m) FILTER (bin BETWEEN 0 AND 42) AS low_energy, avg(m) FILTER (bin BETWEEN 43 AND 85) AS mid_energy,
+    avg(m) FILTER (bin BETWEEN 86 AND 127) AS high_energy, sum(m) FILTER (bin >= 86) / nullif(sum(m), 0) AS brightness FROM b GROUP BY rec),
+s AS (SELECT rec, avg(rolloff) AS rolloff_mean, stddev_pop(rolloff) AS rolloff_std, avg(centroid) AS centroid_mean, stddev_pop(centroid) AS centroid_std FROM sh GROUP BY rec)
+SELECT m.*, low_energy / (high_energy + 1e-10) AS low_to_high, mid_energy / (high_energy + 1e-10) AS mid_to_high, low_energy / (mid_energy + high_energy + 1e-10) AS warmth, s.* EXCLUDE (rec) FROM m JOIN s ON m.rec = s.rec""",
+    "low_energy mid_energy high_energy brightness low_to_high mid_to_high warmth rolloff_mean rolloff_std centroid_mean centroid_std",
 )
 def perceptual_features(spark, t):
     mel = numbered(t).select("rec", (F.col("event_id") % 128).alias("bin"), (F.col("value") / 10).alias("db"))
-    return X.perceptual_features(mel, X.spectral_shape(spectra(t), ["rec", "frame"]), ["rec"])
+    return X.perceptual_features(mel, X.spectral_shape(spectra(t), ["rec", "frame"]), ["rec"]).drop("richness")
 
 
-QUALITY = """qs AS (SELECT rec, avg(flatness) AS fl, avg(slope) AS sl FROM sh GROUP BY rec),
-qf AS (SELECT qs.rec, greatest(0, least(1, coalesce(fl, 0))) AS breathiness, greatest(0, least(1, abs(coalesce(sl, 0)) * 1000)) AS tenseness, greatest(0, least(1, coalesce(presence, 0))) AS nasality,
-    CASE WHEN frames > 0 THEN greatest(0, least(1, coalesce(n / frames::DOUBLE, 0))) ELSE 0 END AS voicing_degree, coalesce(CASE WHEN mean > 0 THEN greatest(0, least(1, 1 - std / mean)) END, 0) AS stability
-    FROM qs LEFT JOIN pf ON qs.rec = pf.rec LEFT JOIN nf ON qs.rec = nf.rec)"""
+QUALITY = """qs AS (SELECT rec, least(1, abs(avg(slope)) * 10) AS steep FROM sh GROUP BY rec), qe AS (SELECT rec, avg(nasal1) AS nasal, avg("all") AS al, count(*) AS k FROM be GROUP BY rec),
+qj AS (SELECT rec, least(1, jitter_local / 1.04) AS j, least(1, shimmer_local / 3.81) AS h FROM jf),
+qf AS (SELECT qs.rec, 0.5 * coalesce(j, 0) + 0.5 * coalesce(h, 0) AS breathiness,
+    CASE WHEN mean > 0 THEN 0.6 * CASE WHEN mean < 100 THEN 1 ELSE greatest(0, 1 - (mean - 100) / 50) END + 0.4 * least(1, std / 20) ELSE 0 END AS creakiness,
+    0.5 * CASE WHEN mean > 0 THEN CASE WHEN gender = 'male' THEN greatest(0, least(1, (mean - 100) / 80)) ELSE greatest(0, least(1, (mean - 180) / 120)) END ELSE 0 END + 0.5 * coalesce(steep, 0) AS tenseness,
+    least(1, CASE WHEN al > 0 THEN 3 * nasal / al ELSE 0 END) AS nasality, greatest(0, least(1, coalesce(n, 0) / k::DOUBLE)) AS voicing_degree,
+    CASE WHEN mean > 0 THEN 0.3 * (1 - coalesce(j, 0)) + 0.3 * (1 - coalesce(h, 0)) + 0.4 * (1 - least(1, std / (0.2 * mean))) ELSE 0 END AS stability
+    FROM qs JOIN qe ON qs.rec = qe.rec LEFT JOIN pf ON qs.rec = pf.rec LEFT JOIN qj ON qs.rec = qj.rec)"""
 
 
-@query(f"WITH {FRAMES}, {SPECTRUM}, {BANDS}, {SHAPE}, {PITCH}, {NASAL}, {QUALITY} SELECT * FROM qf", "breathiness tenseness nasality voicing_degree stability")
+@query(f"WITH {FRAMES}, {SPECTRUM}, {BANDS}, {SHAPE}, {PITCH}, {PERTURBATION}, {QUALITY} SELECT * FROM qf", "breathiness creakiness tenseness nasality voicing_degree stability")
 def voice_quality(spark, t):
-    sp = spectra(t)
-    nasal = X.nasal_features(X.band_energies(sp, ["rec", "frame"]), ["rec"])
-    return X.voice_quality(X.spectral_shape(sp, ["rec", "frame"]), X.pitch_features(frames(t), ["rec"], ["t"], 0.01), nasal, ["rec"])
+    sp, f = spectra(t), frames(t)
+    return X.voice_quality(X.spectral_shape(sp, ["rec", "frame"]), X.pitch_features(f, ["rec"], ["t"], 0.01), X.jitter_shimmer(f, ["rec"], ["t"]), X.band_energies(sp, ["rec", "frame"]), ["rec"])
 
 
 GROUPS = (("pf", ("mean", "std", "median", "min", "max")), ("jf", ("jitter_local", "jitter_ppq5", "jitter_variability", "shimmer_local", "shimmer_apq5", "shimmer_variability")),
@@ -441,7 +445,7 @@ SELECT user_id, t::INTEGER AS t, avg(mag) AS "all", """ + ", ".join(f"coalesce(a
 def fft_band_energy(spark, t):
     """Spectra of framed series (numpy in Arrow batches), then band means."""
     e = t("events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"]).alias("amp"))
-    s = fft(S.framed(e, 32, 16).select("user_id", "t", "frame"), ["user_id", "t"], 32)
+    s = K.spectrum(S.framed(e, 32, 16).select("user_id", "t", "frame"), ["user_id", "t"], 32)
     return X.band_energies(s, ["user_id", "t"])
 
 
@@ -497,3 +501,30 @@ def file_metadata(spark, t):
     probe = F.format_string('{"streams": [{"codec_type": "video"}, %s], "format": {"duration": "%.1f", "bit_rate": "64000", "tags": {%s}}}', stream, k / F.lit(2.0), tags)
     files = t("events").select("event_id", F.format_string("/in/%d.wav", "event_id").alias("path"), probe.alias("probe_json"))
     return audio.file_metadata(files).select("event_id", "file_name", "codec", "sample_rate", "channels", "bit_rate", "duration_s", "creation_tool", "codec_note")
+
+
+def _framed(t, size: int, hop: int):
+    e = t("events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"]).alias("amp"))
+    return S.framed(e, size, hop).select("user_id", "t", "frame")
+
+
+@query(None)
+def response_formants(spark, t):
+    """Peaks of the linear-prediction response by band; tests hold them against the roots' frequencies."""
+    return K.response_formants(_framed(t, 32, 16), ["user_id", "t"], 8)
+
+
+@query(None)
+def lpc_models(spark, t):
+    """Order by the information criterion and the best of four windows for each frame; held against numpy in tests."""
+    f = _framed(t, 40, 20).withColumn("peaks", F.lit(4))
+    best = K.lpc_window_ranks(f, ["user_id", "t"], 8).where("rank = 0").drop("rank")
+    return K.lpc_orders(f, ["user_id", "t"], "peaks").join(best, ["user_id", "t"])
+
+
+@query(None)
+def timbre(spark, t):
+    """Contrast of seven bands and 13 cepstral coefficients of each frame; held against numpy in tests."""
+    f, keys = _framed(t, 32, 16), ["user_id", "t"]
+    a = K.spectral_contrast(f, keys, 512).select(*keys, F.lit("contrast").alias("kind"), F.col("band").alias("i"), F.col("contrast").alias("x"))
+    return a.union(K.mfccs(f, keys, 13, 512).select(*keys, F.lit("mfcc"), "coefficient", "value"))
