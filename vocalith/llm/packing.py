@@ -23,6 +23,7 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -34,6 +35,7 @@ from .common import bounded_batches, materialise, prefix
 CAPACITY = 1024
 END = 2
 _CACHE = 600_000
+_PAIR, _LEADING = re.compile(r" \s").search, re.compile(r"\s* ").match
 
 
 class Encoder:
@@ -52,8 +54,12 @@ class Encoder:
         self.size = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.size[i] = len(token)
-        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.odd = re.compile("|".join([r" \s", r"^\s* ", r" $", *special])).search
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def odd(self, text: str) -> bool:
+        """Whether a blank stands before a space, at an end or after spaces at the start, or a special token is there:
+        plain searches, as every text is asked."""
+        return _PAIR(text) is not None or text.endswith(" ") or (text[:1].isspace() and _LEADING(text) is not None) or any(s in text for s in self.special)
 
     def _ids(self, parts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
@@ -78,7 +84,10 @@ class Encoder:
         apart = {i: t.split(" ") for i, t in enumerate(texts)}
         for i in whole:
             del apart[i]
-        new = list({p for parts in apart.values() for p in parts[1:] if p not in known})
+        seen: set[str] = set()
+        for parts in apart.values():
+            seen.update(islice(parts, 1, None))
+        new = [p for p in seen if p not in known]
         known.update(zip(new, self._stretches(new), strict=True))
         out = dict(zip(whole, self._ids([texts[i] for i in whole]), strict=True))
         firsts = self._ids([parts[0] for parts in apart.values()])
