@@ -263,12 +263,20 @@ def markdown_rows(spark, t):
 
 @query(
     f"""WITH {SIMS}, s AS ({SUMMARY}), r AS (SELECT pair_id, metric, '<tr class="' || CASE WHEN max - min < 0.1 THEN 'success' WHEN max - min < 0.2 THEN 'info' ELSE 'warning' END || '"><td>' || metric || '</td><td>' || format('{{:.1f}}%', median * 100) || '</td><td>' || format('{{:.1f}}%', min * 100) || ' - ' || format('{{:.1f}}%', max * 100) || '</td><td>' || n_high || '/' || n || '</td></tr>' AS r FROM s),
-c AS (SELECT pair_id, avg(median) AS f, stddev_pop(median) AS k FROM s GROUP BY pair_id)
-SELECT c.pair_id, '<html><body><h1>VM-20240102030405</h1><p class="' || CASE WHEN f >= 0.88 THEN 'success' WHEN f >= 0.7 THEN 'info' ELSE 'warning' END || '">' || 'code ' || format('{{:.1f}}%', f * 100) || '</p><p>consistency: ' || CASE WHEN k < 0.1 THEN 'high' WHEN k < 0.15 THEN 'medium' ELSE 'low' END || '</p><p>a, b</p><table>' || string_agg(r, '' ORDER BY metric) || '</table></body></html>' AS html
-FROM c JOIN r ON c.pair_id = r.pair_id GROUP BY c.pair_id, f, k""",
+c AS (SELECT pair_id, avg(median) AS f, stddev_pop(median) AS k FROM s GROUP BY pair_id),
+d AS (SELECT *, '<div class="' || CASE WHEN f >= 0.88 THEN 'success' WHEN f >= 0.7 THEN 'info' ELSE 'warning' END || '">' AS box FROM c)
+SELECT d.pair_id, '<html><body><h1>VM-20240102030405</h1><section id="objects"><ul><li>a' || d.pair_id || '.wav</li><li>b.wav</li></ul></section><section id="authenticity">'
+|| CASE WHEN d.pair_id % 2 = 0 THEN '<div class="warning">pitch_shift</div>' ELSE '<div class="success">authentic</div>' END || '</section><section id="results"><table>' || string_agg(r, '' ORDER BY metric) || '</table><p>consistency: '
+|| CASE WHEN k < 0.1 THEN 'high' WHEN k < 0.15 THEN 'medium' ELSE 'low' END || '</p></section><section id="score">' || box || format('{{:.1f}}%', f * 100) || '</div></section><section id="verdict">' || box || 'code</div><ul><li>a</li><li>b</li></ul></section>'
+|| CASE WHEN d.pair_id % 3 = 0 THEN '<section id="images"><ul><li>spectrum.png</li></ul></section>' ELSE '' END || '</body></html>' AS html
+FROM d JOIN r ON d.pair_id = r.pair_id GROUP BY d.pair_id, f, k, box""",
 )
 def html_report(spark, t):
     s = A.metric_summary(sims(t), ["pair_id", "metric"]).withColumns({"ci_lo": F.col("min"), "ci_hi": F.col("max")})
     cases = s.groupBy("pair_id").agg(F.avg("median").alias("final_score"), F.stddev_pop("median").alias("consistency"))
-    cases = cases.withColumns({"case_ts": F.lit("2024-01-02 03:04:05").cast("timestamp"), "verdict_code": F.lit("code"), "warning_codes": F.array(F.lit("a"), F.lit("b"))})
+    names = F.array(F.concat(F.lit("a"), F.col("pair_id").cast("string"), F.lit(".wav")), F.lit("b.wav"))
+    cases = cases.withColumns({
+        "case_ts": F.lit("2024-01-02 03:04:05").cast("timestamp"), "verdict_code": F.lit("code"), "warning_codes": F.array(F.lit("a"), F.lit("b")), "objects": names,
+        "modification": F.when(F.col("pair_id") % 2 == 0, "pitch_shift"), "images": F.when(F.col("pair_id") % 3 == 0, F.array(F.lit("spectrum.png"))).otherwise(F.array().cast("array<string>")),
+    })
     return sinks.html_reports(cases, s)

@@ -29,22 +29,40 @@ def markdown_row(metric: str = "metric") -> Column:
     return F.format_string("| %s | %.4f | %.4f | %d | %d |", F.col(metric), F.col("median"), F.col("mean"), F.col("n"), F.col("n_high"))
 
 
+def _section(name: str, *parts: Column) -> Column:
+    return F.concat(F.lit(f'<section id="{name}">'), *parts, F.lit("</section>"))
+
+
+def _list(items: Column) -> Column:
+    return F.concat(F.lit("<ul>"), F.array_join(F.transform(items, lambda x: F.concat(F.lit("<li>"), x, F.lit("</li>"))), ""), F.lit("</ul>"))
+
+
 def html_reports(cases: DataFrame, metrics: DataFrame, on: str = "pair_id") -> DataFrame:
-    """One HTML report a case: score, verdict, warnings and a table of metrics in their order of name.
+    """One HTML report a case, in six sections: objects, authenticity, results by metric (in their order of name) with
+    their consistency, score, verdict with warnings, images (left out where there are none).
 
-    ``cases``: on, case_ts, final_score, consistency, verdict_code, warning_codes. ``metrics``: on, metric, median,
-    ci_lo, ci_hi, n, n_high.
+    ``cases``: on, case_ts, final_score, consistency, verdict_code, warning_codes, objects and images (arrays of names),
+    modification (null where none was found). ``metrics``: on, metric, median, ci_lo, ci_hi, n, n_high. A row's class
+    follows the width of its interval, the verdict's the score alone.
     """
     width = F.col("ci_hi") - F.col("ci_lo")
     css = F.when(width < 0.1, "success").when(width < 0.2, "info").otherwise("warning")
     row = F.format_string("<tr class=\"%s\"><td>%s</td><td>%s</td><td>%s - %s</td><td>%d/%d</td></tr>", css, F.col("metric"), _percent(F.col("median")), _percent(F.col("ci_lo")), _percent(F.col("ci_hi")), F.col("n_high"), F.col("n"))
     table = metrics.groupBy(on).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("metric", row.alias("r")))), lambda x: x["r"]), "").alias("rows"))
-    score = F.col("final_score")
+    score, lit = F.col("final_score"), F.lit
     look = F.when(score >= 0.88, "success").when(score >= 0.7, "info").otherwise("warning")
     steady = F.when(F.col("consistency") < 0.1, "high").when(F.col("consistency") < 0.15, "medium").otherwise("low")
+    boxed = lambda c: F.concat(lit('<div class="'), look, lit('">'), c, lit("</div>"))
+    found = F.when(F.col("modification").isNull(), '<div class="success">authentic</div>').otherwise(F.concat(lit('<div class="warning">'), F.col("modification"), lit("</div>")))
     page = F.concat(
-        F.lit("<html><body><h1>"), case_number(F.col("case_ts")), F.lit('</h1><p class="'), look, F.lit('">'), F.col("verdict_code"), F.lit(" "), _percent(score), F.lit("</p><p>consistency: "), steady,
-        F.lit("</p><p>"), F.array_join("warning_codes", ", "), F.lit("</p><table>"), F.coalesce("rows", F.lit("")), F.lit("</table></body></html>"),
+        lit("<html><body><h1>"), case_number(F.col("case_ts")), lit("</h1>"),
+        _section("objects", _list(F.col("objects"))),
+        _section("authenticity", found),
+        _section("results", lit("<table>"), F.coalesce("rows", lit("")), lit("</table><p>consistency: "), steady, lit("</p>")),
+        _section("score", boxed(_percent(score))),
+        _section("verdict", boxed(F.col("verdict_code")), _list(F.col("warning_codes"))),
+        F.when(F.size("images") > 0, _section("images", _list(F.col("images")))).otherwise(""),
+        lit("</body></html>"),
     )
     return cases.join(table, on, "left").select(on, page.alias("html"))
 
