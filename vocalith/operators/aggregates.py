@@ -61,35 +61,52 @@ def with_file_scores(segments: DataFrame, files: DataFrame) -> DataFrame:
     return segments.withColumn("scope", F.lit("segment")).unionByName(files.withColumn("scope", F.lit("file")), allowMissingColumns=True)
 
 
-def weighted_stats(df: DataFrame, by: list[str], x: str = "x", w: str = "w") -> DataFrame:
+def percentile(x: str, share: float, accuracy: int | None = None) -> Column:
+    """Exact, or with ``accuracy`` from a sketch of bounded size."""
+    return F.percentile(x, F.lit(share)) if accuracy is None else F.percentile_approx(x, F.lit(share), F.lit(accuracy)).cast("double")
+
+
+def _beside(rows: DataFrame, stats: DataFrame, by: list[str]) -> DataFrame:
+    """Each row with its key's statistics: a join whose large partitions can be split, where a window would keep a
+    whole key on one task. Null is a key like any other."""
+    renamed = stats.withColumnsRenamed({k: f"_by_{k}" for k in by})
+    return rows.join(renamed, [F.col(k).eqNullSafe(F.col(f"_by_{k}")) for k in by]).drop(*[f"_by_{k}" for k in by])
+
+
+def weighted_stats(df: DataFrame, by: list[str], x: str = "x", w: str = "w", accuracy: int | None = None) -> DataFrame:
     """Reliability-weighted statistics over values above zero.
 
     Mean, variance and deviation by weight, effective size (sum w)^2 / sum w^2, its standard error, extremes,
     quartiles, IQR, MAD, population skewness and excess kurtosis, mean reliability. Where all weights are 0 each
-    counts alike.
+    counts alike. ``accuracy``: take percentiles from sketches. Two aggregations with map-side combining; between
+    them the rows are joined with the first one's result.
     """
-    keys = Window.partitionBy(*by)
     rows = df.where((F.col(x) > 0) & (F.col(w) >= 0)).select(*by, F.col(x).cast("double").alias("x"), F.col(w).cast("double").alias("w"))
-    rows = rows.withColumn("u", F.when(F.sum("w").over(keys) > 0, F.col("w")).otherwise(1.0))
-    rows = rows.withColumns({"m": F.sum(F.col("u") * F.col("x")).over(keys) / F.sum("u").over(keys), "med": F.median("x").over(keys), "mu": F.avg("x").over(keys)})
-    d = F.col("x") - F.col("mu")
-    out = rows.groupBy(*by).agg(
+    weighed = F.sum("w") > 0
+    stats = rows.groupBy(*by).agg(
         F.count("*").alias("count"),
-        F.first("m").alias("mean"),
-        (F.sum(F.col("u") * (F.col("x") - F.col("m")) ** 2) / F.sum("u")).alias("variance"),
-        ratio(F.sum("u") * F.sum("u"), F.sum(F.col("u") * F.col("u")), None).alias("n_eff"),
+        weighed.alias("_weighed"),
+        F.when(weighed, ratio(F.sum(F.col("w") * F.col("x")), F.sum("w"), None)).otherwise(F.avg("x")).alias("mean"),
+        F.when(weighed, ratio(F.sum("w") * F.sum("w"), F.sum(F.col("w") * F.col("w")), None)).otherwise(F.count("*").cast("double")).alias("n_eff"),
         F.min("x").alias("min"),
         F.max("x").alias("max"),
-        F.first("med").alias("median"),
-        F.expr("percentile(x, 0.25)").alias("q1"),
-        F.expr("percentile(x, 0.75)").alias("q3"),
-        F.median(F.abs(F.col("x") - F.col("med"))).alias("mad"),
+        F.avg("x").alias("_mu"),
+        percentile("x", 0.5, accuracy).alias("median"),
+        percentile("x", 0.25, accuracy).alias("q1"),
+        percentile("x", 0.75, accuracy).alias("q3"),
+        F.avg("w").alias("mean_reliability"),
+    )
+    near = _beside(rows, stats.select(*by, "_weighed", F.col("mean").alias("_m"), "_mu", F.col("median").alias("_med")), by)
+    near = near.withColumns({"_u": F.when(F.col("_weighed"), F.col("w")).otherwise(1.0), "_far": F.abs(F.col("x") - F.col("_med"))})
+    d = F.col("x") - F.col("_mu")
+    spread = near.groupBy(*by).agg(
+        ratio(F.sum(F.col("_u") * (F.col("x") - F.col("_m")) ** 2), F.sum("_u"), None).alias("variance"),
+        percentile("_far", 0.5, accuracy).alias("mad"),
         F.avg(d * d).alias("_m2"),
         F.avg(d * d * d).alias("_m3"),
         F.avg(d * d * d * d).alias("_m4"),
-        F.avg("w").alias("mean_reliability"),
     )
-    return out.withColumns(
+    out = _beside(stats, spread, by).withColumns(
         {
             "std": F.sqrt("variance"),
             "sem": F.sqrt(ratio(F.col("variance"), F.col("n_eff"), None)),
@@ -97,7 +114,8 @@ def weighted_stats(df: DataFrame, by: list[str], x: str = "x", w: str = "w") ->
             "skewness": F.when(F.col("_m2") > 0, F.col("_m3") / F.nullif(F.pow("_m2", F.lit(1.5)), F.lit(0.0))),
             "kurtosis": F.when(F.col("_m2") > 0, F.col("_m4") / F.nullif(F.col("_m2") * F.col("_m2"), F.lit(0.0)) - 3.0),
         }
-    ).drop("_m2", "_m3", "_m4")
+    )
+    return out.drop("_weighed", "_mu", "_m2", "_m3", "_m4")
 
 
 def with_t_interval(stats: DataFrame, quantile) -> DataFrame:
@@ -160,10 +178,10 @@ MAD_SCALE = 1.4826
 
 def mad_outliers(df: DataFrame, by: list[str], x: str = "x", threshold: float = 3.0, least: int = 5) -> DataFrame:
     """Flags values strictly outside median -+ threshold * 1.4826 * MAD; none where there are fewer than ``least``."""
-    keys = Window.partitionBy(*by)
-    out = df.withColumn("median", F.median(x).over(keys)).withColumn("mad", F.median(F.abs(F.col(x) - F.col("median"))).over(keys))
-    far = F.abs(F.col(x) - F.col("median")) > F.lit(threshold * MAD_SCALE) * F.col("mad")
-    return out.withColumn("is_outlier", far & (F.count(x).over(keys) >= least))
+    middle = df.groupBy(*by).agg(F.median(x).alias("median"), F.count(x).alias("_n"))
+    out = _beside(df, middle, by).withColumn("_far", F.abs(F.col(x) - F.col("median")))
+    out = _beside(out, out.groupBy(*by).agg(F.median("_far").alias("mad")), by)
+    return out.withColumn("is_outlier", (F.col("_far") > F.lit(threshold * MAD_SCALE) * F.col("mad")) & (F.col("_n") >= least)).drop("_far", "_n")
 
 
 def stability(df: DataFrame, by: list[str], order: list[Column], x: str = "x") -> DataFrame:
