@@ -49,3 +49,11 @@ def test_empty(spark):
 def test_no_python_in_the_plan(spark):
     plan = linededup.dedup_lines(frame(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_a_text_of_very_many_lines(spark):
+    lines = [f"line {i % 9000} of a long text" for i in range(20_000)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(lines[:50]))]
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = plain(rows)
+    assert got == {d: want[d, t] for d, t in rows}
