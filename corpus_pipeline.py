@@ -1,6 +1,7 @@
 """A corpus pipeline over ``documents``: five stages, each written as Parquet and read again by the next.
 
-Language ID rejects what has no letter or fits no language; line dedup takes out repeated passages, and documents
+Language ID rejects what has no letter or is in no learned language, by the share of its trigrams that the best
+language knows (``fits`` of langid.predict: a score is never under 1 / languages); line dedup takes out repeated passages, and documents
 that consist of nothing else; SimHash keeps one document of each group of near-duplicates (a Jaccard
 similarity of five-word shingles of 0.8 or more, checked on the whole sets); mixing brings the sources to their target weights, in training
 order; packing fills sequences of 1024 tokens. All stages but the last return the columns of documents.
@@ -14,14 +15,9 @@ from pyspark.sql import functions as F
 from vocalith.llm import langid, linededup, mixing, packing, queries, simhash
 from vocalith.llm.common import materialise, table
 
-#: With five languages or fewer every text with a letter scores this much; that a text is in none of the
-#: languages shows in its share of known trigrams (``fits`` of langid.predict).
-LEAST_SCORE = 0.2
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     got = langid.predict(docs, langid.fit(docs), out=("_lang", "_score"), fits="_fits")
-    return got.where((F.col("_lang") != langid.UND) & (F.col("_score") >= LEAST_SCORE) & F.col("_fits")).select(*docs.columns)
+    return got.where((F.col("_lang") != langid.UND) & F.col("_fits")).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

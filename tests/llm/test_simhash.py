@@ -113,5 +113,5 @@ def test_similar_groups_do_not_rest_on_the_least_node(spark):
     """A chain: its ends are too far apart, and a cell's least node may be an end."""
     words = [f"w{i}" for i in range(200)]
     chain = [" ".join([f"y{i}" if i < 9 * k else w for i, w in enumerate(words)]) for k in range(8)]
-    got = simhash.similar_groups(spark.createDataFrame([(i, t, "x") for i, t in enumerate(chain)], SCHEMA)).collect()
+    got = simhash.similar_groups(spark.createDataFrame([(i, t, "x") for i, t in enumerate(chain)], SCHEMA), block=3).collect()
     assert len(got) == 8 and len({r["root"] for r in got}) == 1

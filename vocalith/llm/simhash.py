@@ -265,31 +265,196 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int = ALIKE) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def bands(x: np.ndarray) -> np.ndarray:
-    """One key for each of BANDS groups of ROWS minima of the shingles; sets of similarity s share a key with chance s^ROWS."""
+def minima(x: np.ndarray) -> np.ndarray:
+    """BANDS * ROWS minima of the shingles, each under another mixing of their hashes."""
     least = np.full(BANDS * ROWS, np.uint64(2**64 - 1))
-    for at in range(0, len(x), 4096):
-        h = x[at : at + 4096, None] * _FACTORS
+    for at in range(0, len(x), 1024):
+        h = x[at : at + 1024, None] * _FACTORS
         h ^= h >> np.uint64(29)
-        least = np.minimum(least, (h * _FACTORS[::-1]).min(0))
+        h *= _FACTORS[::-1]
+        np.minimum(least, h.min(0), out=least)
+    return least
+
+
+def bands(least: np.ndarray) -> np.ndarray:
+    """One key for each of BANDS groups of ROWS minima; sets of similarity s share a key with chance s^ROWS."""
     return np.array([xxhash.xxh64_intdigest(least[i : i + ROWS].tobytes(), i) for i in range(0, BANDS * ROWS, ROWS)], dtype=np.uint64)
 
 
 def _band_udf(words: int):
-    """Of a text: hash of its words, number of different shingles and band keys."""
+    """Of a text: hash of its words, number of different shingles, band keys and the minima in 16 bits each."""
 
-    @F.pandas_udf("node long, size long, keys array<long>")
+    @F.pandas_udf("node long, size long, keys array<long>, sketch binary")
     def told(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
             x = shingles(t, words)
             node = xxhash.xxh64_intdigest(b" ".join((t or "").encode().lower().split()))
-            rows.append((_signed(node), len(x), bands(x).view(np.int64) if len(x) else np.zeros(0, np.int64)))
-        return pd.DataFrame(rows, columns=["node", "size", "keys"])
+            least = minima(x)
+            rows.append((_signed(node), len(x), bands(least).view(np.int64) if len(x) else np.zeros(0, np.int64), (least >> np.uint64(48)).astype("<u2").tobytes()))
+        return pd.DataFrame(rows, columns=["node", "size", "keys", "sketch"])
 
     return told
 
 
+#: Sketches tell a similarity with a deviation of 0.037; pairs this far below the bound are not looked at.
+_DOUBT = 0.1
+
+
+class _Cell:
+    """Nodes of a cell: ``size`` and ``sketch`` (nodes x minima)."""
+
+    def __init__(self, size, sketch, percent: int):
+        self.size, self.sketch, self.percent = size, sketch, percent
+
+    def alike(self, i, others: np.ndarray) -> np.ndarray:
+        """Equal minima of node i and others, -1 where that or the sizes rule out the similarity."""
+        n = np.count_nonzero(self.sketch[others] == self.sketch[i], axis=1)
+        a, b = np.minimum(self.size[others], self.size[i]), np.maximum(self.size[others], self.size[i])
+        return np.where((n >= (self.percent / 100 - _DOUBT) * self.sketch.shape[1]) & (100 * a >= self.percent * b), n, -1)
+
+    def forest(self) -> list[tuple[int, int, int]]:
+        """A spanning forest of the greatest likeness (Prim): (i, j, equal minima)."""
+        out, left = [], np.arange(1, len(self.size))
+        best, by = self.alike(0, left), np.zeros(len(left), dtype=np.int64)
+        while len(left):
+            k = int(best.argmax())
+            if best[k] >= 0:
+                out.append((int(by[k]), int(left[k]), int(best[k])))
+            tree = int(left[k])
+            keep = np.arange(len(left)) != k
+            left, best, by = left[keep], best[keep], by[keep]
+            n = self.alike(tree, left)
+            by[n > best] = tree
+            best = np.maximum(best, n)
+        return out
+
+
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal keys."""
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
+    return starts, np.diff(np.concatenate([starts, [len(key)]])).astype(np.int64)
+
+
+def _forests(x: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Rows (key, node, size, data: sketch) sorted by key -> pairs (u, v, equal) of the runs of equal keys."""
+    node, size = x["node"].to_numpy(), x["size"].to_numpy()
+    sketch = np.frombuffer(b"".join(x["data"]), dtype="<u2").reshape(len(x), -1) if len(x) else np.zeros((0, 1), "<u2")
+    starts, sizes = _runs(x["key"].to_numpy())
+    two = starts[sizes == 2]  # most cells have two nodes: those at once
+    equal = _Cell(size, sketch, percent).alike(two, two + 1)
+    out = [(two[equal >= 0], two[equal >= 0] + 1, equal[equal >= 0])]
+    for s, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
+        got = np.array(_Cell(size[s : s + n], sketch[s : s + n], percent).forest(), dtype=np.int64).reshape(-1, 3)
+        out.append((got[:, 0] + s, got[:, 1] + s, got[:, 2]))
+    i, j, equal = (np.concatenate(c).astype(np.int64) for c in zip(*out, strict=True))
+    u, v = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+    return pd.DataFrame({"u": u, "v": v, "equal": equal.astype(np.int32), "over": False})[u != v]
+
+
+def _common(sets: list[np.ndarray], columns: int = 2048) -> np.ndarray:
+    """How many shingles any two of the sets have in common: products of incidence matrices, some columns at a time."""
+    of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(at, kind="stable")
+    order = order[n[at[order]] > 1]
+    _, at = np.unique(at[order], return_inverse=True)
+    of, out = of[order], np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for c in range(0, int(at.max(initial=-1)) + 1, columns):
+        a, b = np.searchsorted(at, [c, c + columns])
+        x = np.zeros((len(sets), columns), dtype=np.float32)
+        x[of[a:b], at[a:b] - c] = 1
+        out += x @ x.T
+    return out
+
+
+def _joins(x: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Rows (key, node, size, root, data: shingles) sorted by key -> links (u, v) between roots of a cell that have
+    similar sets, thinned to stars: every pair of the cell is compared, at most a link for each root comes out."""
+    root, size, data = x["root"].to_numpy(), x["size"].to_numpy(), x["data"].tolist()
+    u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for s, n in zip(*_runs(x["key"].to_numpy()), strict=True):
+        r = root[s : s + n]
+        if (r == r[0]).all():
+            continue
+        common = _common([np.frombuffer(d, dtype=np.uint64) for d in data[s : s + n]]).astype(np.int64)
+        union = size[s : s + n, None] + size[None, s : s + n] - common
+        i, j = np.nonzero((100 * common >= percent * union) & (r[:, None] != r[None, :]))
+        if len(i):
+            nodes, least = roots(r[i], r[j])
+            u.append(nodes[nodes != least])
+            v.append(least[nodes != least])
+    u, v = np.concatenate(u), np.concatenate(v)
+    return pd.DataFrame({"u": u, "v": v, "equal": np.zeros(len(u), np.int32), "over": False})
+
+
+def _cell_search(pairs, percent: int, most: int | None, heavy: int = 1 << 22):
+    """Batches sorted by key -> ``pairs`` of each cell. As in ``_search``, a cell of more than ``most`` rows, or of more
+    than ``heavy`` shingles, comes back by key (over true), to be searched in pairs of blocks."""
+
+    def run(batches):
+        held, over = None, None
+        for b in batches:
+            b = b if over is None else b[b["key"] != over]
+            x = b if held is None else pd.concat([held, b], ignore_index=True)
+            if not len(x):
+                continue
+            last = x["key"].iloc[-1]
+            held = x[x["key"] == last]
+            yield pairs(x[x["key"] != last], percent)
+            if most is not None and len(held) > 2 and (len(held) > most or held["size"].sum() > heavy):
+                over, held = last, held.iloc[:0]
+                yield pd.DataFrame({"u": [last], "v": [last], "equal": np.zeros(1, np.int32), "over": [True]})
+        if held is not None:
+            yield pairs(held, percent)
+
+    return run
+
+
+def _searched(cells: DataFrame, pairs, name: str, percent: int, block: int, heavy: int = 1 << 22) -> DataFrame:
+    """Cells (key, node, size, root, data) -> (u, v, equal) of ``pairs`` in each."""
+    schema = "u long, v long, equal int, over boolean"
+    dealt = cells.repartition("key").sortWithinPartitions("key")
+    got = materialise(dealt.mapInPandas(_cell_search(pairs, percent, block, heavy), schema), f"simhash-{name}")
+    large = got.where("over").select(F.col("u").alias("key")).distinct()
+    out = got.where("not over").drop("over")
+    if not large.isEmpty():
+        counts = cells.join(large, "key").groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+        counts = materialise(counts.select("key", F.greatest(F.ceil(F.col("n") / F.lit(block)), F.ceil(F.col("s") * 2 / F.lit(heavy))).cast("int").alias("parts")), "simhash-large")
+        spread = cells.join(counts, "key").withColumns({"b": F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), "o": F.explode(F.sequence(F.lit(0), F.col("parts") - 1))})
+        spread = spread.withColumn("key", F.xxhash64("key", F.least("b", "o"), F.greatest("b", "o"))).drop("parts", "b", "o")
+        more = spread.repartition("key").sortWithinPartitions("key").mapInPandas(_cell_search(pairs, percent, None), schema)
+        out = out.union(materialise(more, f"simhash-{name}-blocks").drop("over"))
+    return out.groupBy("u", "v").agg(F.max("equal").alias("equal"))
+
+
+def _thinned(edges: DataFrame) -> DataFrame:
+    """Edges (u, v, equal) without those that a chain of edges of no less likeness spares: batches of whole components
+    come out as spanning forests of the greatest likeness, parts of larger ones as forests of those parts."""
+    edges = materialise(edges, "simhash-edges")
+    named = edges.join(components(edges.select("u", "v")).withColumnRenamed("u", "_n"), F.col("u") == F.col("_n"), "left")
+    named = named.select("u", "v", "equal", F.coalesce("root", "u").alias("root"))
+
+    def run(batches):
+        for b in batches:
+            up: dict[int, int] = {}
+            keep = []
+            for u, v in zip(*(b.sort_values(["equal", "u", "v"], ascending=[False, True, True])[c].tolist() for c in ("u", "v")), strict=True):
+                a, c = u, v
+                while up.get(a, a) != a:
+                    up[a] = a = up.get(up[a], up[a])
+                while up.get(c, c) != c:
+                    up[c] = c = up.get(up[c], up[c])
+                if a != c:
+                    up[a] = c
+                    keep.append((u, v))
+            yield pd.DataFrame(keep, columns=["u", "v"])
+
+    with batch_rows(edges.sparkSession, 1 << 16):
+        dealt = named.repartitionByRange("root", "u").sortWithinPartitions("root", "u")
+        return materialise(dealt.mapInPandas(run, "u long, v long"), "simhash-thinned")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (u, v) of nodes whose texts (node, t) have that similarity, by their whole sets of shingles."""
 
@@ -307,54 +472,62 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return materialise(got.mapInPandas(run, "u long, v long"), "simhash-verified")
 
 
-def similar_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = 5, bits: int = 4, seeds: tuple[int, ...] = (SEED, SEED + 1, SEED + 2), percent: int = ALIKE) -> DataFrame:
-    """One row (doc, text_hash, root) per row of ``docs``: documents link if their shingles are ``percent`` similar.
+def _identity(doc: str, text: str) -> dict:
+    """Two hashes that tell rows of different id or text apart, never null."""
+    return {"_d": F.xxhash64(F.lit(3), F.col(doc)), "_h": F.xxhash64(F.lit(4), F.col(text))}
+
+
+def _shingles_udf(words: int):
+    @F.pandas_udf("binary")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: shingles(t, words).tobytes())
+
+    return run
+
+
+def similar_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = 5, bits: int = 4, seeds: tuple[int, ...] = (SEED,), percent: int = ALIKE, block: int = 4096) -> DataFrame:
+    """One row (doc, _d, _h, root) per row of ``docs``: documents link if their shingles are ``percent`` similar.
 
     Two documents are compared where they share a cell: a SimHash component, or one of the band keys, which find
-    what lies beyond ``bits``. Texts of the same words are one node. A cell's members are compared with its least
-    node, then any two that are still in different components; none is dropped.
+    what lies beyond ``bits``. Texts of the same words are one node. In a cell, sketches of the sets give a spanning
+    forest of the greatest likeness; what is left of all cells' forests after thinning is verified on the whole
+    texts. Then, in each cell that still has several components, all pairs across them are compared by their whole
+    sets of shingles, and the links come out as stars. Cells of over ``block`` nodes are searched in pairs of
+    blocks; none is dropped, and no task emits all pairs of a group.
     """
     groups = near_duplicates(docs, doc, text, words, bits, seeds=seeds).select("text_hash", "root").dropDuplicates(["text_hash"])
-    marked = docs.select(F.col(doc).alias(doc), F.xxhash64(text).alias("text_hash"), _band_udf(words)(F.coalesce(F.col(text), F.lit(""))).alias("s"))
-    marked = materialise(marked.select(doc, "text_hash", "s.*"), "simhash-bands")
-    nodes = marked.groupBy("node").agg(F.first("size").alias("size"), F.first("keys").alias("keys"), F.min(F.struct(F.col(doc).isNull().alias("none"), F.col(doc).alias("k"), F.col("text_hash").alias("h"))).alias("one"))
-    nodes = materialise(nodes, "simhash-nodes")
-    near = nodes.join(groups.withColumnRenamed("text_hash", "h"), nodes["one.h"] == F.col("h")).select(F.xxhash64(F.lit("root"), "root").alias("key"), "node", "size")
-    cells = materialise(nodes.select(F.explode("keys").alias("key"), "node", "size").union(near), "simhash-cells")
-    least = cells.groupBy("key").agg(F.min(F.struct("node", "size")).alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
-    cells = materialise(cells.join(materialise(least, "simhash-least"), "key"), "simhash-shared")
-    ones = nodes.join(cells.select("node").distinct(), "node").select("node", "one.k", "one.h")
-    keyed = docs.select(F.col(doc).alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("t")).withColumnRenamed("k", "_k").withColumnRenamed("h", "_h")
-    texts = keyed.join(ones, F.col("_k").eqNullSafe(F.col("k")) & (F.col("_h") == F.col("h"))).select("node", "t").dropDuplicates(["node"])
-    texts = materialise(texts, "simhash-texts")
-
-    def fits(a, b):  # a bound: sets of such different sizes cannot be similar
-        return F.least(a, b) * 100 >= F.greatest(a, b) * percent
-
-    stars = cells.where(F.col("node") != F.col("least.node")).where(fits(F.col("size"), F.col("least.size"))).select(F.col("least.node").alias("u"), F.col("node").alias("v")).distinct()
-    stars = materialise(stars, "simhash-stars")
+    marked = docs.select(F.col(doc).alias(doc), F.xxhash64(text).alias("text_hash"), *[v.alias(k) for k, v in _identity(doc, text).items()], _band_udf(words)(F.coalesce(F.col(text), F.lit(""))).alias("s"))
+    marked = materialise(marked.select(doc, "text_hash", "_d", "_h", "s.*"), "simhash-bands")
+    one = F.min(F.struct("_d", "_h", "text_hash")).alias("one")
+    nodes = materialise(marked.groupBy("node").agg(F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), one), "simhash-nodes")
+    near = nodes.join(groups.withColumnRenamed("text_hash", "h"), nodes["one.text_hash"] == F.col("h")).select(F.xxhash64(F.lit("root"), "root").alias("key"), "node")
+    cells = materialise(nodes.select(F.explode("keys").alias("key"), "node").union(near), "simhash-cells")
+    shared = cells.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = materialise(cells.join(shared, "key"), "simhash-shared")
+    first = shared.join(nodes.select("node", "size", F.col("sketch").alias("data")), "node")
+    stars = _thinned(_searched(first, _forests, "forest", percent, block))
+    wanted = shared.select("node").distinct().join(nodes.select("node", "one._d", "one._h"), "node")
+    keyed = docs.select(*[v.alias(k) for k, v in _identity(doc, text).items()], F.col(text).alias("t"))
+    texts = materialise(keyed.join(wanted, ["_d", "_h"]).select("node", "t").dropDuplicates(["node"]), "simhash-texts")
     links = _verified(stars, texts, words, percent)
-    found = components(links)
-    placed = cells.select("key", "node", "size").join(found.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = shared.join(components(links).withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = materialise(placed, "simhash-placed")
     mixed = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
     open_ = materialise(placed.join(mixed, "key"), "simhash-open")
-    other = open_.toDF("key", "w", "other_size", "other")
-    rest = open_.join(other, "key").where((F.col("node") < F.col("w")) & (F.col("root") != F.col("other")) & fits(F.col("size"), F.col("other_size"))).select(F.col("node").alias("u"), F.col("w").alias("v")).distinct()
-    rest = materialise(rest.join(stars, ["u", "v"], "left_anti"), "simhash-rest")
-    if not rest.isEmpty():
-        found = components(links.union(_verified(rest, texts, words, percent)))
-    return marked.join(found.withColumnRenamed("u", "node"), "node", "left").select(doc, "text_hash", F.coalesce("root", "node").alias("root"))
+    sets = open_.select("node").distinct().join(texts, "node").select("node", _shingles_udf(words)(F.coalesce("t", F.lit(""))).alias("data"))
+    rest = open_.join(sets, "node").withColumn("size", (F.octet_length("data") / 8).cast("long"))
+    rest = _searched(rest, _joins, "joins", percent, block).select("u", "v")
+    found = components(links.union(materialise(rest, "simhash-rest")))
+    return marked.join(found.withColumnRenamed("u", "node"), "node", "left").select(doc, "_d", "_h", F.coalesce("root", "node").alias("root"))
 
 
-def one_of_each(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = 5, bits: int = 4, seeds: tuple[int, ...] = (SEED, SEED + 1, SEED + 2), percent: int = ALIKE) -> DataFrame:
+def one_of_each(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = 5, bits: int = 4, seeds: tuple[int, ...] = (SEED,), percent: int = ALIKE) -> DataFrame:
     """``docs`` with one document of each group of ``similar_groups``: the one of the smallest id, then text hash."""
     groups = similar_groups(docs, doc, text, words, bits, seeds, percent)
-    kept = groups.groupBy("root").agg(F.min(F.struct(F.col(doc).isNull(), F.col(doc).alias("k"), F.col("text_hash").alias("h"))).alias("m")).select("m.k", "m.h")
+    kept = groups.groupBy("root").agg(F.min(F.struct(F.col(doc).isNull(), F.col(doc).alias("k"), F.col("_h").alias("_h"), F.col("_d").alias("_d"))).alias("m")).select("m._d", "m._h")
     kept = materialise(kept, "simhash-kept")
-    keyed = docs.withColumn("_h", F.xxhash64(text))
-    got = keyed.join(kept, keyed[doc].eqNullSafe(kept["k"]) & (keyed["_h"] == kept["h"]), "left_semi")
-    return got.dropDuplicates([doc, "_h"]).drop("_h")
+    # dropping repeats deals the texts by the same keys as the join: one shuffle of them
+    return docs.withColumns(_identity(doc, text)).dropDuplicates(["_d", "_h"]).join(kept, ["_d", "_h"], "left_semi").select(*docs.columns)
 
 
 def hex_fingerprint(fp="fp"):
