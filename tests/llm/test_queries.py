@@ -23,6 +23,7 @@ COLUMNS = {
     "op8_media": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature width height",
     "op9_packing": "doc_id piece start length ids_crc32 sequence_id offset",
     "op10_fingerprints": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
+    "op11_quality": "doc_id held_out score predicted",
 }
 
 
@@ -140,5 +141,11 @@ def test_op10(spark, docs):
         assert got[d]["n_chars"] == len(t) and got[d]["edited_sha256"] == hashlib.sha256((t[: len(t) - k] + n[:k]).encode()).hexdigest()
 
 
+def test_op11(spark, docs):
+    got = {r["doc_id"]: r for r in run(spark, "op11_quality")}
+    assert set(got) == {d for d, _, _ in docs}
+    assert all(got[d]["held_out"] == (zlib.crc32(str(d).encode()) % 3 == 1) for d, _, _ in docs)
+
+
 def test_every_query_is_here():
     assert set(COLUMNS) | set(queries.ORACLE_SQL) == set(queries.QUERIES)

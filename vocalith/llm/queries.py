@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, collocations, fingerprints, langid, linededup, lm, media, mixing, packing, secrets, sharding, simhash
+from . import audit, collocations, fingerprints, langid, linededup, lm, media, mixing, packing, quality, secrets, sharding, simhash
 from .common import table
 
 
@@ -66,6 +66,12 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_neighbours(table(spark, sf_dir))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir).select("doc_id", "text")
+    got = quality.classify(docs, table(spark, sf_dir, "labels"), learn_from=fold(3) != 1)
+    return got.select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir))
 
@@ -82,7 +88,7 @@ def tokenizer_path() -> str:
 
 OPERATORS = (
     op1_language_id, op2_line_dedup, op3_sharding, op4_simhash, op5_secret_scan, op6_mixing, op7_lm_scoring, op8_media, op9_packing,
-    op10_fingerprints, op12_collocations, op13_filter_audit,
+    op10_fingerprints, op11_quality, op12_collocations, op13_filter_audit,
 )
 QUERIES = {f.__name__: f for f in OPERATORS}
 ORACLE_SQL: dict[str, str] = {"op2_line_dedup": linededup.ORACLE, "op6_mixing": mixing.ORACLE, "op12_collocations": collocations.ORACLE, "op13_filter_audit": audit.ORACLE}
