@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -81,7 +82,7 @@ def test_counts_survive_spilling():
             want.update({" ".join(w[i : i + k]): 0 for i in range(len(w) - k + 1)})
             for i in range(len(w) - k + 1):
                 want[" ".join(w[i : i + k])] += 2
-    blobs = list(cl._counter(3, 5, "100MB")(iter(rows)))
+    blobs = list(cl._all_phrases(3, 5, "100MB")(iter(rows)))
     assert {b.column(0)[0].as_py() for b in blobs} == set(range(5))
     got = Counter()
     for k in range(5):
@@ -93,6 +94,22 @@ def test_counts_survive_spilling():
     assert got == want
 
 
+def test_a_full_filter_only_costs_time(spark):
+    """With far fewer bits than phrases everything is let through, and the counts are the same."""
+    rows = corpus()
+    found = cl.pieces(frame(spark, rows))
+    small, large = ({tuple(r) for r in cl.phrase_counts(found, 4, 2, filter_bits=n).collect()} for n in (1 << 15, 1 << 26))
+    assert small == large and max(len(p.split(" ")) for _, p, _ in small) == 4
+
+
+def test_filter_holds_every_frequent_phrase(spark):
+    counts = spark.createDataFrame([("en", f"word{i} other{i % 7}", 10) for i in range(5000)] + [("en", "word1", 9), ("en", "", 9)], "part string, phrase string, n long")
+    bits = cl.frequent_filter(counts, 2, 1 << 20)
+    words = pa.array([w for i in range(6000) for w in (f"word{i}", f"other{i % 7}")])
+    hit = cl._member(bits, cl._phrase_hashes(cl._hashed(pa.array(["en"] * 12_000)), cl._hashed(words), 2)[::2])
+    assert hit[:5000].all() and hit[5000:].sum() < 20 and np.unpackbits(bits).sum() <= 10_000
+
+
 def test_scores_beyond_64_bits(spark):
     rows = [(10**12, 3 * 10**12, 2 * 10**12 + 1), (999_999_999_989, 999_999_999_990, 999_999_999_991), (10, 10**13, 10**13), (7, 7, 7)]
     df = spark.createDataFrame(rows, "a long, l long, r long").select("a", "l", "r", cl.exact_score(F.col("a"), F.col("l"), F.col("r")).alias("s"))

@@ -1,9 +1,12 @@
 """Phrase collocation mining: exact counts of all phrases, and those that hold together best.
 
 Texts are lower-cased (A-Z), split at punctuation and line ends into pieces, and pieces into words. Equal pieces of
-a part are counted once, with their multiplicity (an aggregation with map-side combining). Each task then counts the
+a part become one, with its multiplicity (an aggregation with map-side combining). Each task then counts the
 weighted n-grams of its pieces in duckdb, out of core, and hands them out in blobs by hash bucket; each bucket is
-counted up in duckdb again, so no phrase, however frequent, has more than one row of each task in a bucket. The counts
+counted up in duckdb again, so no phrase, however frequent, has more than one row of each task in a bucket. Words and
+pairs are counted first. A longer phrase cannot occur more often than the two that are one word shorter, so those of k
+words are counted only where both of these are frequent, as far as a filter of a fixed number of bits can tell: it
+never misses a frequent one, and what it lets through in vain is counted and found rare. The counts
 of a candidate's parts are asked for by request rows, which are dealt by the part they ask for, answered in a join
 whose large partitions can be split, and aggregated by candidate.
 
@@ -23,7 +26,9 @@ from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,17 +106,19 @@ def _unblob(data: bytes) -> pa.RecordBatch:
     return pa.ipc.read_record_batch(pa.decompress(data[8:], struct.unpack("<q", data[:8])[0], codec="zstd"), _GRAMS)
 
 
-def _counter(longest: int, buckets: int, memory: str):
-    """A task's pieces -> blobs of its n-gram counts, by bucket."""
+def _counter(table: str, source, sql: str, memory: str):
+    """A task's pieces -> blobs of phrase counts by bucket. ``source`` makes of the batches those of the table that
+    ``sql`` reads."""
 
     def run(batches):
         batches = iter(batches)
         first = next(batches, None)
         if first is None:
             return
+        schema, rows = source(chain([first], batches))
         with _duckdb(memory) as c:
-            c.register("pieces", pa.RecordBatchReader.from_batches(_PIECES, _stretches(chain([first], batches), longest)))
-            for got in c.sql(_grams_sql(longest, buckets)).to_arrow_reader(_ROWS):
+            c.register(table, pa.RecordBatchReader.from_batches(schema, rows))
+            for got in c.sql(sql).to_arrow_reader(_ROWS):
                 at = got.column(0).to_numpy()
                 order = np.argsort(at, kind="stable")
                 rows = got.select(["part", "phrase", "n"]).take(pa.array(order)).cast(_GRAMS)
@@ -123,6 +130,89 @@ def _counter(longest: int, buckets: int, memory: str):
     return run
 
 
+def _all_phrases(longest: int, buckets: int, memory: str):
+    """Counts every phrase of up to ``longest`` words, and the words."""
+    return _counter("pieces", lambda batches: (_PIECES, _stretches(batches, longest)), _grams_sql(longest, buckets), memory)
+
+
+def _likely_phrases(k: int, bits: np.ndarray, buckets: int, memory: str):
+    """Counts the phrases of ``k`` words whose two phrases of one word less the filter takes for frequent."""
+    sql = f"SELECT (hash(part, phrase) % {buckets})::INT AS bucket, part, phrase, sum(n)::BIGINT AS n FROM grams GROUP BY part, phrase"
+    return _counter("grams", lambda batches: (_GRAMS, _likely(_stretches(batches, k), k, bits)), sql, memory)
+
+
+def _hashed(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each string, computed once for each different one."""
+    d = words.dictionary_encode()
+    return pd.util.hash_array(np.array(d.dictionary.to_pylist(), dtype=object), categorize=False)[d.indices.to_numpy()]
+
+
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _phrase_hashes(part: np.ndarray, word: np.ndarray, k: int) -> np.ndarray:
+    """The hash of the ``k`` words from each position on; ``part``: that of the position's part."""
+    h = part[: len(word) - k + 1].copy()
+    for j in range(k):
+        h = (h ^ word[j : len(word) - k + 1 + j]) * _MULTIPLIER
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def _positions(h: np.ndarray, n_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits of the filter for each hash; ``n_bits`` is a power of two."""
+    last = np.uint64(n_bits - 1)
+    return (h & last).astype(np.int64), (h >> np.uint64(32) & last).astype(np.int64)
+
+
+def _member(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    found = np.ones(len(h), dtype=bool)
+    for at in _positions(h, 8 * len(bits)):
+        found &= (bits[at >> 3] >> (at & 7) & 1).astype(bool)
+    return found
+
+
+def _likely(batches, k: int, bits: np.ndarray):
+    for b in batches:
+        lists = pa.compute.split_pattern(b.column(1), " ")
+        words, length = lists.flatten(), lists.value_lengths().to_numpy()
+        if len(words) < k:
+            continue
+        of = np.repeat(np.arange(len(b)), length)  # the piece of each word
+        ahead = np.concatenate([[0], np.cumsum(length)[:-1]])
+        starts = b.column(2).to_numpy()
+        inside = np.minimum(np.where(starts == 0, length, starts), length - k + 1)
+        shorter = _member(bits, _phrase_hashes(_hashed(b.column(0))[of], _hashed(words), k - 1))
+        m = len(words) - k + 1
+        at = np.flatnonzero(shorter[:m] & shorter[1 : m + 1] & (np.arange(m) - ahead[of[:m]] < inside[of[:m]]))
+        for a in range(0, len(at), 100_000):
+            part = at[a : a + 100_000]
+            phrase = pa.compute.binary_join_element_wise(*[words.take(pa.array(part + j)) for j in range(k)], " ")
+            own = pa.array(of[part])
+            yield pa.record_batch([b.column(0).take(own), phrase, b.column(3).take(own)], schema=_GRAMS)
+
+
+def frequent_filter(counts: DataFrame, k: int, n_bits: int) -> np.ndarray:
+    """The filter (bytes) of the phrases of ``k`` words in ``counts``: pages of bits are put together by aggregation,
+    and the driver gets ``n_bits`` bits, however many phrases there are."""
+
+    @F.pandas_udf("array<long>")
+    def bits_of(part: pd.Series, phrase: pd.Series) -> pd.Series:
+        words = _hashed(pa.array(" ".join(phrase).split(" "), pa.string()))
+        h = _phrase_hashes(np.repeat(_hashed(pa.array(part, pa.string())), k), words, k)[::k] if len(phrase) else np.zeros(0, dtype=np.uint64)
+        return pd.Series(list(np.stack(_positions(h, n_bits), axis=1)))
+
+    page = 1 << 15
+    own = counts.where(F.col("phrase") != "").where(F.size(F.split("phrase", " ")) == k)
+    at = own.select(F.explode(bits_of("part", "phrase")).alias("at"))
+    pages = at.groupBy((F.col("at") / page).cast("int").alias("page")).agg(F.call_function("bitmap_construct_agg", F.col("at") % page).alias("bits"))
+    out = np.zeros(n_bits // 8, dtype=np.uint8)
+    for r in pages.collect():
+        a = r["page"] * page // 8
+        out[a : a + page // 8] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return out
+
+
 def _own(rows: pa.RecordBatch, a: int, b: int) -> pa.RecordBatch:
     """Rows a to b with buffers of their own: a slice would be written with all that it is a slice of."""
     return rows.take(pa.array(np.arange(a, b)))
@@ -146,14 +236,24 @@ def _summer(least: int, memory: str):
     return run
 
 
-def phrase_counts(found: DataFrame, longest: int = 3, least: int = 10, buckets: int | None = None, memory: str = "300MB") -> DataFrame:
+def phrase_counts(found: DataFrame, longest: int = 3, least: int = 10, buckets: int | None = None, memory: str = "300MB", filter_bits: int = 1 << 26) -> DataFrame:
     """Rows of ``pieces`` -> (part, phrase, n): phrases of up to ``longest`` words that occur ``least`` times or more, and as
-    the empty phrase the number of words of each part."""
+    the empty phrase the number of words of each part. ``filter_bits``: a power of two, from 2^15 up."""
     spark = found.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = materialise(found, "phrase-pieces")
     dealt = F.element_at(F.array(*[F.lit(x) for x in _tickets(spark, buckets)]), F.col("bucket") + 1)
-    blobs = found.mapInArrow(_counter(longest, buckets, memory), "bucket int, blob binary").select("blob", dealt.alias("p"))
-    return blobs.repartition(buckets, "p").select("blob").mapInArrow(_summer(least, memory), "part string, phrase string, n long")
+
+    def counted(counter) -> DataFrame:
+        blobs = found.mapInArrow(counter, "bucket int, blob binary").select("blob", dealt.alias("p"))
+        got = blobs.repartition(buckets, "p").select("blob").mapInArrow(_summer(least, memory), "part string, phrase string, n long")
+        return materialise(got, "phrase-counts")
+
+    out = last = counted(_all_phrases(min(longest, 2), buckets, memory))
+    for k in range(3, longest + 1):
+        last = counted(_likely_phrases(k, frequent_filter(last, k - 1, filter_bits), buckets, memory))
+        out = out.union(last)
+    return out
 
 
 def exact_score(a: Column, left: Column, right: Column) -> Column:
@@ -166,7 +266,7 @@ def collocations(docs: DataFrame, text: str = "text", part: str = "lang", longes
     """Each part's ``top`` phrases (part, rank, phrase, a, l, r, n, score).
 
     A phrase is dropped if ``share`` in a hundred of its occurrences, or more, are inside one longer candidate."""
-    counts = materialise(phrase_counts(pieces(docs, text, part), longest, least, buckets), "phrase-counts")
+    counts = phrase_counts(pieces(docs, text, part), longest, least, buckets)
     words = F.split("phrase", " ")
     candidates = counts.select("part", "phrase", F.col("n").alias("a"), words.alias("w")).where((F.size("w") > 1) & (F.size("w") <= longest))
     joined = lambda first, n: F.array_join(F.slice("w", first, n), " ")
