@@ -86,7 +86,7 @@ def test_cascades(spark):
     r = one(spark, R.live_modification(F.lit(5.1), F.lit(1.0), F.lit(50.0), F.lit(50.0), F.lit(0.9)), R.live_modification(F.lit(5.0), F.lit(0.05), F.lit(50.0), F.lit(50.0), F.lit(0.51)), R.live_modification(F.lit(1.0), F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(50.0), F.lit(0.6)), R.live_modification(F.lit(1.0), F.lit(1.0), F.lit(10.0), F.lit(20.0), F.lit(0.6)))
     assert list(r) == ["pitch_shift", "robot_voice", "formant_modification", None]
     hit, steps = R.pitch_shift(F.lit(300.0), F.lit(0.39), F.lit(10))
-    r = one(spark, hit, steps, R.pitch_shift(F.lit(301.0), F.lit(0.9), F.lit(9))[0], R.formant_shift(F.lit(700.0), F.lit(2100.0), F.lit(10))[0], R.robot_voice(F.lit(0.4), F.lit(0.05), F.lit(False)))
+    r = one(spark, hit, steps, R.pitch_shift(F.lit(301.0), F.lit(0.9), F.lit(9))[0], R.formant_shift(F.lit(700.0), F.lit(2100.0), F.lit(10))[0], R.robot_voice(F.lit(0.4), F.lit(0.05), F.lit(False), F.lit(10)))
     assert list(r) == [True, 0.0, False, True, False]
     m = R.combined_modification(F.lit(True), F.lit(3.0), F.lit(True), F.lit(1.25), F.lit(True))
     assert list(one(spark, *[c.alias(f"c{i}") for i, c in enumerate(m)])) == [True, "formant_shift", 0.5]

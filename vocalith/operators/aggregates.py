@@ -210,3 +210,8 @@ def normalized_shares(df: DataFrame, columns: list[str]) -> DataFrame:
     """Row-wise: each column over their sum, where that is positive."""
     total = sum((F.col(c) for c in columns[1:]), F.col(columns[0]))
     return df.withColumns({c: F.when(total > 0, F.col(c) / F.nullif(total, F.lit(0.0))).otherwise(F.col(c)) for c in columns})
+
+
+def overall_stability(each: DataFrame, by: list[str]) -> DataFrame:
+    """Mean of the ``stability`` of the formants of a key, those with too few values among them, and their number."""
+    return each.groupBy(*by).agg(F.avg("stability").alias("overall_stability"), F.count("*").alias("formants"))

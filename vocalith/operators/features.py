@@ -12,15 +12,18 @@ from . import series as S
 
 
 def pitch_features(frames: DataFrame, by: list[str], order: list[str], step_s: float) -> DataFrame:
-    """Statistics, contour (mean absolute derivative and acceleration), resets and gender of reliable pitch."""
+    """Statistics, contour (mean absolute derivative and acceleration, deviations of both), resets, gender and its
+    probabilities, of reliable pitch. A key without reliable pitch has zeros, gender unknown, and probabilities of 0.5."""
     kept = S.reliable_pitch(frames).where("pitch_hz > 0")
     d1 = kept.withColumn("_d", S.gradient("pitch_hz", by, order))
     d2 = d1.withColumn("_a", S.gradient("_d", by, order))
-    contour = d2.groupBy(*by).agg(F.avg(F.abs("_d")).alias("mean_derivative"), F.avg(F.abs("_a")).alias("mean_acceleration"))
-    stats = A.plain_stats(kept, by, "pitch_hz").join(contour, by).join(S.pitch_resets(kept, by, order, "pitch_hz", step_s), by)
-    from .rules import gender_by_pitch
+    parts = [F.avg(F.abs("_d")).alias("mean_derivative"), F.stddev_pop("_d").alias("derivative_std"), F.avg(F.abs("_a")).alias("mean_acceleration"), F.stddev_pop("_a").alias("acceleration_std")]
+    stats = A.plain_stats(kept, by, "pitch_hz").join(d2.groupBy(*by).agg(*parts), by).join(S.pitch_resets(kept, by, order, "pitch_hz", step_s), by)
+    from .rules import gender_by_pitch, gender_shares_by_pitch
 
-    return stats.withColumn("gender", gender_by_pitch(F.col("mean")))
+    out = frames.select(*by).distinct().join(stats, by, "left")
+    out = out.withColumn("gender", gender_by_pitch(F.coalesce("mean", F.lit(0.0)))).withColumns(gender_shares_by_pitch(F.col("mean")))
+    return out.fillna(0, [c for c in stats.columns if c not in by])
 
 
 def jitter_shimmer(frames: DataFrame, by: list[str], order: list[str], least: int = 5) -> DataFrame:
@@ -41,46 +44,90 @@ def jitter_shimmer(frames: DataFrame, by: list[str], order: list[str], least: in
         "shimmer_local": part(F.avg("_da"), "_a"),
         "shimmer_db": F.coalesce(F.avg("_db"), F.lit(0.0)),
         "shimmer_apq5": part(F.avg(inner("_a", "_ma")), "_a"),
-        "shimmer_variability": F.lit(100.0) * A.coefficient_of_variation("_a"),
+        "shimmer_variability": part(F.stddev_pop("_da"), "_a"),
     }
     enough = F.count("*") >= least
-    return rows.groupBy(*by).agg(*[F.when(enough, v).otherwise(0.0).alias(k) for k, v in values.items()])
+    got = rows.groupBy(*by).agg(*[F.when(enough, v).otherwise(0.0).alias(k) for k, v in values.items()])
+    return frames.select(*by).distinct().join(got, by, "left").fillna(0.0, list(values))
 
 
 def band_energies(spectrum: DataFrame, frame: list[str], bands=R.ENERGY_BANDS) -> DataFrame:
-    """Mean magnitude of each band in each frame, and the frame's mean, one row a frame: conditional means, no join."""
+    """Mean magnitude of each band in each frame, the frame's mean and its centroid (0 without energy), one row a frame:
+    conditional means, no join."""
     f = F.col("freq_hz")
-    return spectrum.groupBy(*frame).agg(F.avg("mag").alias("all"), *[F.coalesce(F.avg(F.when(f.between(lo, hi), F.col("mag"))), F.lit(0.0)).alias(k) for k, lo, hi in bands])
+    centroid = F.coalesce(F.sum(f * F.col("mag")) / F.nullif(F.sum("mag"), F.lit(0.0)), F.lit(0.0)).alias("centroid")
+    return spectrum.groupBy(*frame).agg(F.avg("mag").alias("all"), centroid, *[F.coalesce(F.avg(F.when(f.between(lo, hi), F.col("mag"))), F.lit(0.0)).alias(k) for k, lo, hi in bands])
+
+
+FRICATIVE_BANDS = ("f_v", "s_z", "sh_zh")
 
 
 def fricative_features(energies: DataFrame, by: list[str]) -> DataFrame:
-    """Per band: mean energy, mean and deviation of its part of the frame, over frames above a fifth of the largest."""
-    loud = S.above_share_of_max(energies, by, "all", 0.2)
+    """Of each band, over the frames in which it is above a fifth of its own largest energy: mean energy, mean and
+    deviation of its part of the frame, number of frames. Over the frames that any band takes (``overall_ratio`` of
+    all): mean and deviation of the centroid. What has no frame is 0.
+
+    ``energies``: rows of ``band_energies``.
+    """
+    keys = Window.partitionBy(*by)
+    tops = {f"_{k}": F.max(k).over(keys) for k in FRICATIVE_BANDS}
+    rows = energies.withColumns(tops).withColumns({f"_{k}": F.col(k) > F.lit(0.2) * F.col(f"_{k}") for k in FRICATIVE_BANDS})
+    rows = rows.withColumn("_any", F.col("_f_v") | F.col("_s_z") | F.col("_sh_zh"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
     aggs = []
-    for k in ("f_v", "s_z", "sh_zh"):
-        part = soft_ratio(F.col(k), F.col("all"))
-        aggs += [F.avg(k).alias(f"{k}_energy"), F.avg(part).alias(f"{k}_ratio"), F.stddev_pop(part).alias(f"{k}_ratio_std")]
-    total = F.col("f_v") + F.col("s_z") + F.col("sh_zh")
-    return loud.groupBy(*by).agg(*aggs, F.avg(soft_ratio(total, F.col("all"))).alias("overall_ratio"), F.count("*").alias("frames"))
+    for k in FRICATIVE_BANDS:
+        own = lambda c, k=k: F.when(F.col(f"_{k}"), c)
+        part = own(ratio(F.col(k), F.col("all")))
+        aggs += [zero(F.avg(own(F.col(k)))).alias(f"{k}_energy"), zero(F.avg(part)).alias(f"{k}_ratio"), zero(F.stddev_pop(part)).alias(f"{k}_ratio_std"), F.count(own(F.lit(1))).alias(f"{k}_frames")]
+    middle = F.when(F.col("_any"), F.col("centroid"))
+    aggs += [zero(F.avg(middle)).alias("centroid_mean"), zero(F.stddev_pop(middle)).alias("centroid_std")]
+    return rows.groupBy(*by).agg(*aggs, F.avg(F.col("_any").cast("double")).alias("overall_ratio"))
+
+
+def fricative_vector(energies: DataFrame, shape: DataFrame, by: list[str], t: str) -> DataFrame:
+    """Eight numbers over all frames: mean and deviation of centroid and flatness, mean energies of s_z and sh_zh, mean
+    and deviation of the latter over the former (0 where that is 0)."""
+    rows = energies.join(shape.select(*by, t, "flatness"), [*by, t])
+    part = ratio(F.col("sh_zh"), F.col("s_z"))
+    both = lambda c: [F.avg(c), F.stddev_pop(c)]
+    return rows.groupBy(*by).agg(F.array(*both(F.col("centroid")), *both(F.coalesce("flatness", F.lit(0.0))), F.avg("s_z"), F.avg("sh_zh"), *both(part)).alias("v"))
+
+
+def nasal_vector(energies: DataFrame, by: list[str]) -> DataFrame:
+    """Eight numbers over all frames: mean and deviation of both nasal energies and of their parts of the frame."""
+    both = lambda c: [F.avg(c), F.stddev_pop(c)]
+    parts = [ratio(F.col(k), F.col("all")) for k in ("nasal1", "nasal2")]
+    return energies.groupBy(*by).agg(F.array(*both("nasal1"), *both("nasal2"), *both(parts[0]), *both(parts[1])).alias("v"))
 
 
 def nasal_features(energies: DataFrame, by: list[str]) -> DataFrame:
-    """Ratios over nasal frames (first ratio over 1.5 of its mean, antiresonance under 0.7 of its mean); over all
-    frames, with presence 0, where there is none."""
+    """Ratios over nasal frames (first ratio over 1.5 of its mean, antiresonance under 0.7 of its mean), their part of
+    all frames, the first ratio over the antiresonance (``quality``) and over the second (``resonance_ratio``). Without
+    nasal frames: ratios over all frames, the rest 0."""
     keys = Window.partitionBy(*by)
-    rows = energies.withColumns({"r1": soft_ratio(F.col("nasal1"), F.col("all")), "r2": soft_ratio(F.col("nasal2"), F.col("all")), "anti": soft_ratio(F.col("antires"), F.col("all"))})
+    rows = energies.withColumns({"r1": ratio(F.col("nasal1"), F.col("all")), "r2": ratio(F.col("nasal2"), F.col("all")), "anti": ratio(F.col("antires"), F.col("all"))})
     rows = rows.withColumn("nasal", (F.col("r1") > 1.5 * F.avg("r1").over(keys)) & (F.col("anti") < 0.7 * F.avg("anti").over(keys)))
-    mean = lambda c: F.coalesce(F.avg(F.when(F.col("nasal"), F.col(c))), F.avg(c))
-    return rows.groupBy(*by).agg(F.avg(F.col("nasal").cast("double")).alias("presence"), *[mean(c).alias(f"mean_{c}") for c in ("r1", "r2", "anti")], F.stddev_pop("r1").alias("std_r1"), F.count("*").alias("frames"))
+    only = lambda c: F.avg(F.when(F.col("nasal"), c))
+    mean = lambda c: F.coalesce(only(F.col(c)), F.avg(c))
+    against = lambda c: F.coalesce(only(soft_ratio(F.col("r1"), F.col(c))), F.lit(0.0))
+    return rows.groupBy(*by).agg(
+        F.avg(F.col("nasal").cast("double")).alias("presence"),
+        *[mean(c).alias(f"mean_{c}") for c in ("r1", "r2", "anti")],
+        against("anti").alias("quality"),
+        against("r2").alias("resonance_ratio"),
+        F.stddev_pop("r1").alias("std_r1"),
+        F.count("*").alias("frames"),
+    )
 
 
 def spectral_shape(spectrum: DataFrame, frame: list[str]) -> DataFrame:
-    """Centroid, flatness, 85 % roll-off and the slope of magnitude on frequency of each frame."""
+    """Centroid, flatness (of the power), 85 % roll-off and the slope of magnitude on frequency of each frame."""
     w = Window.partitionBy(*frame).orderBy("bin")
+    power = F.greatest(F.col("mag") * F.col("mag"), F.lit(1e-10))
     rows = spectrum.withColumns({"_run": F.sum("mag").over(w), "_all": F.sum("mag").over(Window.partitionBy(*frame))})
     return rows.groupBy(*frame).agg(
         (F.sum(F.col("freq_hz") * F.col("mag")) / F.nullif(F.sum("mag"), F.lit(0.0))).alias("centroid"),
-        (F.exp(F.avg(F.ln(F.greatest(F.col("mag"), F.lit(1e-10))))) / F.nullif(F.avg("mag"), F.lit(0.0))).alias("flatness"),
+        (F.exp(F.avg(F.ln(power))) / F.avg(power)).alias("flatness"),
         F.min(F.when(F.col("_run") >= 0.85 * F.col("_all"), F.col("freq_hz"))).alias("rolloff"),
         F.regr_slope("mag", "freq_hz").alias("slope"),
     )
@@ -88,8 +135,8 @@ def spectral_shape(spectrum: DataFrame, frame: list[str]) -> DataFrame:
 
 def perceptual_features(mel: DataFrame, shape: DataFrame, by: list[str], contrast: DataFrame | None = None) -> DataFrame:
     """Balance of the mean mel spectrum in dB (bins 0-42, 43-85, 86-127), brightness (the high bins' part of its sum),
-    warmth (low over the rest), mean and deviation of roll-off and centroid; richness is the mean ``contrast`` (by,
-    contrast), null without one."""
+    warmth (low over the rest), mean and deviation of roll-off and centroid. With ``contrast`` (by, band, contrast):
+    contrast_mean, the mean of each band in order, and richness, the mean of these; null without one."""
     bins = mel.groupBy(*by, "bin").agg(F.avg("db").alias("_m"))
     part = lambda lo, hi: F.avg(F.when(F.col("bin").between(lo, hi), F.col("_m")))
     high = F.sum(F.when(F.col("bin") >= 86, F.col("_m")))
@@ -99,8 +146,10 @@ def perceptual_features(mel: DataFrame, shape: DataFrame, by: list[str], contras
     s = shape.groupBy(*by).agg(*[f(c).alias(f"{c}_{n}") for c in ("rolloff", "centroid") for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
     out = m.join(s, by)
     if contrast is None:
-        return out.withColumn("richness", F.lit(None).cast("double"))
-    return out.join(contrast.groupBy(*by).agg(F.avg("contrast").alias("richness")), by, "left")
+        return out.withColumns({"contrast_mean": F.lit(None).cast("array<double>"), "richness": F.lit(None).cast("double")})
+    bands = contrast.groupBy(*by, "band").agg(F.avg("contrast").alias("_c"))
+    means = F.transform(F.array_sort(F.collect_list(F.struct("band", "_c"))), lambda x: x["_c"])
+    return out.join(bands.groupBy(*by).agg(means.alias("contrast_mean"), F.avg("_c").alias("richness")), by, "left")
 
 
 #: Upper ends of normal local jitter and shimmer, in per cent.
@@ -192,16 +241,16 @@ def segment_means(frames: DataFrame, segments: DataFrame, by: list[str]) -> Data
     return inside.groupBy(*by, "seg_no").agg(F.avg("energy").alias("energy"), F.avg("snr_db").alias("snr_db"), F.count("*").alias("frames"))
 
 
-def silence_removed(samples: DataFrame, runs: DataFrame, by: list[str], sr: int, amp: str = "amp") -> DataFrame:
+def silence_removed(samples: DataFrame, runs: DataFrame, by: list[str], sr: int, amp: str = "amp", keep_whole: bool = False) -> DataFrame:
     """Concatenation of the speech runs of each recording, in order, and the part that went, in per cent.
 
     The runs of a recording are gathered first, so its samples are joined once, however many runs it has. A
-    recording without any run keeps nothing.
+    recording without any run keeps nothing, or with ``keep_whole`` everything.
     """
     at = lambda c: F.floor(F.col(c) * sr).cast("int")
     gathered = runs.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(at("start_s").alias("a"), at("end_s").alias("b")))).alias("_runs"))
     cut = samples.select(*by, F.col(amp).alias("_amp")).join(gathered, by, "left")
     pieces = F.transform("_runs", lambda r: F.slice("_amp", r["a"] + 1, F.greatest(r["b"] - r["a"], F.lit(0))))
-    kept = F.coalesce(F.flatten(pieces), F.slice("_amp", 1, 0))
+    kept = F.coalesce(F.flatten(pieces), F.col("_amp") if keep_whole else F.slice("_amp", 1, 0))
     out = cut.select(*by, kept.alias("kept"), F.size("_amp").alias("_n"))
     return out.select(*by, "kept", F.when(F.col("_n") > 0, F.lit(100.0) * (F.lit(1.0) - F.size("kept") / F.nullif(F.col("_n"), F.lit(0)))).otherwise(0.0).alias("removed_percent"))

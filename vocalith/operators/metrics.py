@@ -49,11 +49,13 @@ def jitter_shimmer_similarity(d_jitter: Column, d_shimmer: Column, d_ppq: Column
 
 
 def fricative_similarity(d_sh: Column, d_s: Column, d_centroid: Column) -> Column:
+    """Differences of sh_zh_ratio, s_z_ratio and centroid_mean of ``features.fricative_features``."""
     return F.lit(0.35) * kernel(d_sh, 5.0) + F.lit(0.35) * kernel(d_s, 5.0) + F.lit(0.3) * kernel(d_centroid, 1 / 1000.0)
 
 
-def nasal_similarity(d_presence: Column, d_ratio: Column, d_anti: Column) -> Column:
-    return F.lit(0.3) * kernel(d_presence, 5.0) + F.lit(0.5) * kernel(d_ratio, 2.0) + F.lit(0.2) * kernel(d_anti, 2.0)
+def nasal_similarity(d_first: Column, d_ratio: Column, d_quality: Column) -> Column:
+    """Differences of mean_r1, resonance_ratio and quality of ``features.nasal_features``."""
+    return F.lit(0.3) * kernel(d_first, 5.0) + F.lit(0.5) * kernel(d_ratio, 2.0) + F.lit(0.2) * kernel(d_quality, 2.0)
 
 
 def quality_similarity(differences: list[Column]) -> Column:
@@ -84,12 +86,12 @@ def statistical_profile(a: DataFrame, b: DataFrame, on: list[str], key: str = "k
     is_ratio = F.col(key).contains("/")
     d = F.abs(F.col("mean_a") - F.col("mean_b"))
     average = (F.col("mean_a") + F.col("mean_b")) / 2
-    by_mean = F.when(is_ratio, F.lit(1.0) - F.least(F.lit(1.0), d)).otherwise(F.lit(1.0) - F.least(F.lit(1.0), F.lit(2.0) * d / F.nullif(average, F.lit(0.0))))
+    by_mean = F.when(is_ratio, F.lit(1.0) - F.least(F.lit(1.0), d)).when(average > 0, F.lit(1.0) - F.least(F.lit(1.0), F.lit(2.0) * d / F.nullif(average, F.lit(0.0)))).otherwise(0.0)
     overlap = F.greatest(F.lit(0.0), F.least("ci_hi_a", "ci_hi_b") - F.greatest("ci_lo_a", "ci_lo_b"))
     union = F.greatest("ci_hi_a", "ci_hi_b") - F.least("ci_lo_a", "ci_lo_b")
     by_ci = F.when(union > 0, overlap / F.nullif(union, F.lit(0.0))).otherwise(0.0)
     top = F.greatest("std_a", "std_b")
-    by_std = F.when(top > 0, F.least("std_a", "std_b") / F.nullif(top, F.lit(0.0))).otherwise(0.0)
+    by_std = F.when(top > 0, F.least("std_a", "std_b") / F.nullif(top, F.lit(0.0))).otherwise(1.0)
     one = F.when((F.col("count_a") < least) | (F.col("count_b") < least), 0.0).otherwise(F.lit(0.6) * by_mean + F.lit(0.3) * by_ci + F.lit(0.1) * by_std)
     w = F.element_at(F.create_map(*[F.lit(x) for k, v in PROFILE_WEIGHTS.items() for x in (k, v)]), F.col(key))
     rows = j.withColumns({"similarity": one, "weight": F.coalesce(w, F.lit(1.0))})

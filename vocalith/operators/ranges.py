@@ -49,8 +49,8 @@ def range_candidates(roots: DataFrame, frame: list[str], freq: str, ranges: Data
     w = Window.partitionBy(*frame, freq).orderBy("ord")
     hit = roots.join(F.broadcast(ranges), (roots["gender"] == ranges["gender"]) & roots[freq].between(ranges["lo"], ranges["hi"])).drop(ranges["gender"])
     hit = hit.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-    middle = (F.col("lo") + F.col("hi")) / 2
-    hit = hit.withColumn("match_score", F.col(quality) * (F.lit(1.0) - F.abs(F.col(freq) - middle) / (F.col("hi") - F.col("lo"))))
+    middle, half = (F.col("lo") + F.col("hi")) / 2, (F.col("hi") - F.col("lo")) / 2
+    hit = hit.withColumn("match_score", F.col(quality) * (F.lit(1.0) - F.abs(F.col(freq) - middle) / half))
     best = Window.partitionBy(*frame, "key").orderBy(F.desc("match_score"), F.col(freq))
     return hit.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
 

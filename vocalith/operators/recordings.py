@@ -35,9 +35,10 @@ def spectrum_quality(mags: np.ndarray, freqs: np.ndarray) -> float:
     if not len(speech):
         return 0.0
     peaks = K.find_peaks(speech, height=0.1, distance=5, prominence=0.05)
+    high = K.prominences(speech)[peaks]
     if not len(peaks):
         return 0.1
-    prominent = float(np.mean([K._prominence(speech, i) for i in peaks]))
+    prominent = float(np.mean(high))
     share = prominent / (float(speech.mean()) + 1e-10)
     return min(1.0, 0.2 + 0.4 * share + 0.2 * min(1.0, len(peaks) / 8) + 0.2 * prominent / 0.3)
 
@@ -60,6 +61,18 @@ def window_energy(frames: DataFrame, by: list[str], window_s: float, hop_s: floa
     return inside.groupBy(*by, (F.col("k") * F.lit(float(hop_s))).alias("start_s")).agg(F.avg("energy").alias("energy"))
 
 
+def remove_silence(samples: DataFrame, by: list[str], sr: int, window: int = 400, hop: int = 160, share: float = 0.01, least_s: float = 0.1, gap_s: float = 0.3, amp: str = "amp") -> DataFrame:
+    """``samples`` (by, amp) without their silence: (by, kept, removed_percent).
+
+    Frames louder than ``share`` of the loudest are speech; their runs of ``least_s`` and more are joined over gaps up to
+    ``gap_s``. A recording without such a run stays whole; so does one shorter than a window.
+    """
+    frames = S.framed(samples.select(*by, F.col(amp).alias("amp")), window, hop).select(*by, (F.col("start") / F.lit(float(sr))).alias("ts"), S.rms(F.col("frame")).alias("energy"))
+    loud = frames.withColumn("speech", F.col("energy") > F.lit(float(share)) * F.max("energy").over(Window.partitionBy(*by)))
+    runs = S.merge_runs(S.speech_runs(loud, by, "ts", "speech", least_s), by, gap_s)
+    return X.silence_removed(samples.select(*by, F.col(amp).alias("amp")), runs, by, sr, "amp", keep_whole=True)
+
+
 def voice_segment(recordings: DataFrame, segments: DataFrame, by: list[str], longest_s: float = 58.0, least_s: float = 5.0) -> DataFrame:
     """One segment a recording: short ones and those within ``longest_s`` whole (status short, whole), else the
     segment of the best quality, the earliest of equals (status cut); none where no segment is known (status none)."""
@@ -73,15 +86,21 @@ def voice_segment(recordings: DataFrame, segments: DataFrame, by: list[str], lon
     return j.select(*by, status.alias("status"), F.when(whole, 0.0).otherwise(F.col("start_s")).alias("start_s"), F.when(whole, d).otherwise(F.col("end_s")).alias("end_s"), "quality")
 
 
-def track_formants(frames: DataFrame, keys: list[str], spark_ranges: DataFrame, gender: str = "gender", order: int = 16) -> DataFrame:
-    """Frame rows (keys, frame, gender) -> one row a frame with F1..F4, their bandwidths and reliabilities."""
-    roots = K.lpc_formants(frames, keys, order).join(frames.select(*keys, F.col(gender).alias("gender")), keys)
+def track_formants(frames: DataFrame, keys: list[str], spark_ranges: DataFrame, gender: str = "gender", order: int = 16, quality: str | None = None) -> DataFrame:
+    """Frame rows (keys, frame, gender) -> one row a frame with F1..F4, their bandwidths and reliabilities.
+
+    An unknown gender counts as male. ``quality``: a column with the model's quality, which scales the reliabilities.
+    Formants out of order (F2 at or under F1, and so on) halve all reliabilities of the frame.
+    """
+    known = F.when(F.col(gender).isin(*G.FORMANT_RANGES), F.col(gender)).otherwise("male")
+    of_frame = frames.select(*keys, known.alias("gender"), (F.lit(1.0) if quality is None else F.col(quality)).alias("_q"))
+    roots = K.lpc_formants(frames, keys, order).join(of_frame, keys).withColumn("reliability", F.col("reliability") * F.col("_q"))
     best = G.range_candidates(roots, keys, "freq_hz", spark_ranges, "reliability")
     at = lambda f, c: F.max(F.when(F.col("key") == f, F.col(c)))
     out = best.groupBy(*keys).agg(*[e for f in R.FORMANTS for e in (at(f, "freq_hz").alias(f), at(f, "bandwidth_hz").alias(f"{f}_bandwidth"), F.coalesce(at(f, "reliability"), F.lit(0.0)).alias(f"{f}_reliability"))], F.count("*").cast("int").alias("formant_count"))
-    for a, b in zip(R.FORMANTS, R.FORMANTS[1:], strict=False):  # formants out of order count half
-        out = out.withColumn(f"{b}_reliability", F.when(F.col(b) <= F.col(a), F.col(f"{b}_reliability") * 0.5).otherwise(F.col(f"{b}_reliability")))
-    return out
+    disorder = [F.coalesce(F.col(b) <= F.col(a), F.lit(False)) for a, b in zip(R.FORMANTS, R.FORMANTS[1:], strict=False)]
+    half = F.when(disorder[0] | disorder[1] | disorder[2], 0.5).otherwise(1.0)
+    return out.withColumns({f"{f}_reliability": F.col(f"{f}_reliability") * half for f in R.FORMANTS})
 
 
 def aligned_times(tracks: DataFrame, by: list[str], order: str, duration: str = "duration_s") -> DataFrame:
@@ -119,13 +138,14 @@ def all_features(frames: DataFrame, spectrum: DataFrame, by: list[str], t: str =
     return out
 
 
-#: The 22 numbers of a voice, in their order.
+#: The 22 numbers of a voice, in their order.
 BIOMETRIC = (
-    "pitch.mean", "pitch.std", "pitch.median", "pitch.min", "pitch.max",
-    "perturbation.jitter_local", "perturbation.jitter_ppq5", "perturbation.jitter_variability", "perturbation.shimmer_local", "perturbation.shimmer_apq5", "perturbation.shimmer_variability",
-    "fricative.f_v_ratio", "fricative.s_z_ratio", "fricative.sh_zh_ratio",
-    "nasal.presence", "nasal.mean_r1", "nasal.mean_anti",
-    "quality.breathiness", "quality.tenseness", "quality.nasality", "quality.voicing_degree", "quality.stability",
+    "pitch.mean", "pitch.median", "pitch.std", "pitch.mean_derivative", "pitch.mean_acceleration",
+    "perturbation.jitter_local", "perturbation.jitter_absolute", "perturbation.jitter_ppq5",
+    "perturbation.shimmer_local", "perturbation.shimmer_db", "perturbation.shimmer_apq5",
+    "fricative.s_z_ratio", "fricative.sh_zh_ratio", "fricative.centroid_mean",
+    "nasal.mean_r1", "nasal.mean_r2", "nasal.resonance_ratio",
+    "quality.breathiness", "quality.creakiness", "quality.tenseness", "quality.nasality", "quality.stability",
 )
 
 

@@ -97,15 +97,17 @@ def pitch_shift(mean: Column, entropy: Column, n: Column, least: int = 10) -> tu
 
 
 def formant_shift(f1: Column, f2: Column, n: Column, least: int = 10) -> tuple[Column, Column]:
-    """(shifted, ratio): both ratios to 500 and 1500 Hz alike (within 0.2) and the first outside 0.7..1.3."""
+    """(shifted, ratio): both ratios to 500 and 1500 Hz alike (within 0.2) and the first outside 0.7..1.3; the first is
+    the ratio, 0 where nothing is shifted."""
     r1, r2 = f1 / 500.0, f2 / 1500.0
     alike = F.abs(r1 - r2) < 0.2
     hit = F.coalesce((n >= least) & alike & ((r1 < 0.7) | (r1 > 1.3)), F.lit(False))
-    return hit, F.when(hit, (r1 + r2) / 2).otherwise(1.0)
+    return hit, F.when(hit, r1).otherwise(0.0)
 
 
-def robot_voice(flatness: Column, cv: Column, regular: Column) -> Column:
-    return F.coalesce(flatness > 0.4, F.lit(False)) | F.coalesce(cv < 0.05, F.lit(False)) | F.coalesce(regular, F.lit(False))
+def robot_voice(flatness: Column, cv: Column, regular: Column, n: Column, least: int = 10) -> Column:
+    """A flat spectrum; with ``least`` voiced frames or more also a steady pitch or regular harmonics."""
+    return F.coalesce(flatness > 0.4, F.lit(False)) | ((n >= least) & (F.coalesce(cv < 0.05, F.lit(False)) | F.coalesce(regular, F.lit(False))))
 
 
 def combined_modification(pitch: Column, steps: Column, formant: Column, r: Column, robot: Column) -> tuple[Column, Column, Column]:
@@ -189,5 +191,12 @@ def quality_score(snr_db: Column, voiced: Column, energy: Column, is_speech: Col
 PITCH_RANGES = (("male", 50.0, 180.0), ("female", 150.0, 300.0))
 
 
+def gender_shares_by_pitch(mean: Column) -> dict[str, Column]:
+    """Male and female by mean pitch: certain inside a range, 0.9 beyond the ends, 0.5 each where there is none."""
+    low, high = mean < PITCH_RANGES[0][1], mean > PITCH_RANGES[1][2]
+    male = F.when(mean.isNull() | (mean <= 0), 0.5).when(low, 0.9).when(high, 0.1).when(mean <= PITCH_RANGES[0][2], 1.0).otherwise(0.0)
+    return {"male": male, "female": F.lit(1.0) - male}
+
+
 def gender_by_pitch(mean: Column) -> Column:
     return F.when(mean.between(50.0, 180.0), "male").when(mean.between(150.0, 300.0), "female").otherwise("unknown")

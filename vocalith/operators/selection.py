@@ -40,6 +40,14 @@ def greedy_segments(windows: DataFrame, by: list[str], score: str, start: str, l
     return windows.groupBy(*by).applyInPandas(choose, schema)
 
 
+def prepared_segments(windows: DataFrame, by: list[str], start: str, length: float, speech: str = "speech_ratio", voiced: str = "voiced_ratio", k: int = 5) -> DataFrame:
+    """The ``k`` windows best by 0.6 of their speech and 0.4 of their voiced share, in time order: at most a quarter of
+    their length in common, the best of the rest where there are too few. Adds ``score``, ``filled`` and ``seg_no``."""
+    scored = windows.withColumn("score", F.lit(0.6) * F.col(speech) + F.lit(0.4) * F.col(voiced))
+    chosen = greedy_segments(scored, by, "score", start, length, k, 0.25).drop("rank")
+    return chosen.withColumn("seg_no", F.row_number().over(Window.partitionBy(*by).orderBy(start)))
+
+
 def best_segment(segments: DataFrame, by: list[str], score: str, start: str) -> DataFrame:
     """The best, the earliest of equals."""
     rest = [c for c in segments.columns if c not in by]

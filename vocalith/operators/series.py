@@ -132,24 +132,24 @@ def merge_runs(runs: DataFrame, by: list[str], gap_s: float = 0.3) -> DataFrame:
 
 def phrases(frames: DataFrame, by: list[str], t: str, speech: str) -> DataFrame:
     """Runs of speech and of pause by edges: both ends lie inside, so a run of one frame lasts 0 s."""
-    return islands(frames, by, [t], speech).groupBy(*by, "island", speech).agg(F.min(t).alias("start_s"), F.max(t).alias("end_s")).withColumn("duration_s", F.col("end_s") - F.col("start_s"))
+    return islands(frames, by, [t], speech).groupBy(*by, "island", speech).agg(F.min(t).alias("start_s"), F.max(t).alias("end_s"), F.count("*").alias("frames")).withColumn("duration_s", F.col("end_s") - F.col("start_s"))
 
 
 def temporal_features(frames: DataFrame, by: list[str], t: str, speech: str) -> DataFrame:
-    """Speech and pause shares, phrase counts and means, rate and tempo; zeros where nothing is speech."""
+    """Speech frames' part of all and the pauses', phrase counts and means, rate and tempo. Where nothing is speech: a
+    pause ratio of 1, all else 0."""
     p = phrases(frames, by, t, speech)
     yes = lambda c: F.when(F.col(speech), c)
     no = lambda c: F.when(~F.col(speech), c)
     out = p.groupBy(*by).agg(
         F.count(yes(F.lit(1))).alias("phrase_count"),
-        F.count(no(F.lit(1))).alias("pause_count"),
-        F.coalesce(F.sum(yes(F.col("duration_s"))), F.lit(0.0)).alias("_speech"),
+        F.when(F.count(yes(F.lit(1))) > 0, F.count(no(F.lit(1)))).otherwise(0).alias("pause_count"),
+        (F.coalesce(F.sum(yes(F.col("frames"))), F.lit(0)) / F.sum("frames")).alias("speech_ratio"),
         F.coalesce(F.avg(yes(F.col("duration_s"))), F.lit(0.0)).alias("mean_phrase"),
-        F.coalesce(F.avg(no(F.col("duration_s"))), F.lit(0.0)).alias("mean_pause"),
+        F.coalesce(F.when(F.count(yes(F.lit(1))) > 0, F.avg(no(F.col("duration_s")))), F.lit(0.0)).alias("mean_pause"),
         (F.max("end_s") - F.min("start_s")).alias("total_s"),
     )
-    out = out.withColumn("speech_ratio", ratio(F.col("_speech"), F.col("total_s")))
-    return out.withColumns({"pause_ratio": F.when(F.col("phrase_count") > 0, F.lit(1.0) - F.col("speech_ratio")).otherwise(1.0), "speech_rate": ratio(F.col("phrase_count").cast("double"), F.col("total_s")), "tempo": ratio(F.col("speech_ratio"), F.col("mean_phrase"))}).drop("_speech")
+    return out.withColumns({"pause_ratio": F.when(F.col("phrase_count") > 0, F.lit(1.0) - F.col("speech_ratio")).otherwise(1.0), "speech_rate": ratio(F.col("phrase_count").cast("double"), F.col("total_s")), "tempo": ratio(F.col("speech_ratio"), F.col("mean_phrase"))})
 
 
 def opened_closed(frames: DataFrame, by: list[str], order: list[str], mask: str, opening: int = 5, closing: int = 10) -> DataFrame:

@@ -30,34 +30,46 @@ def magnitudes(frame: np.ndarray, n_fft: int = 2048) -> np.ndarray:
     return np.abs(np.fft.rfft(np.asarray(frame, dtype=float) * hann(len(frame)), n_fft))
 
 
-def levinson(r: np.ndarray, order: int) -> tuple[np.ndarray, float]:
-    """Prediction polynomial (leading 1) and residual energy from autocorrelations."""
-    a, e = np.zeros(order + 1), float(r[0])
-    a[0] = 1.0
+def burg(frames: np.ndarray, order: int) -> np.ndarray:
+    """Prediction polynomials (leading 1), a row for each row of ``frames``, by Burg's lattice: each step's reflection makes the
+    forward and backward errors of the whole frame least, so all poles are stable, on short frames too."""
+    x = np.asarray(frames, dtype=float)
+    a = np.zeros((len(x), order + 1))
+    a[:, 0] = 1.0
+    ahead, back = x[:, 1:].copy(), x[:, :-1].copy()
     for i in range(1, order + 1):
-        if e <= 0:
+        if not ahead.shape[1]:
             break
-        k = -(r[i] + a[1:i] @ r[i - 1 : 0 : -1]) / e
-        a[1 : i + 1] += k * a[i - 1 :: -1][:i]
-        e *= 1.0 - k * k
-    return a, e
+        power = (ahead**2).sum(axis=1) + (back**2).sum(axis=1)
+        k = np.divide(-2 * (ahead * back).sum(axis=1), power, out=np.zeros(len(x)), where=power > 0)[:, None]
+        a[:, 1 : i + 1] += k * a[:, i - 1 :: -1][:, :i]
+        ahead, back = ahead[:, 1:] + k * back[:, 1:], back[:, :-1] + k * ahead[:, :-1]
+    return a
 
 
 def lpc(frame: np.ndarray, order: int) -> tuple[np.ndarray, float]:
-    """LPC polynomial and mean squared residual of the frame predicted from its past."""
+    """LPC polynomial by Burg's method, and mean squared residual of the frame predicted from its past."""
     x = np.asarray(frame, dtype=float)
-    full = np.correlate(x, x, "full")[len(x) - 1 :]
-    r = np.zeros(order + 1)
-    r[: min(order + 1, len(full))] = full[: order + 1]
-    r[0] *= 1 + 1e-9
-    a, _ = levinson(r, order)
+    a = burg(x[None], order)[0]
     residual = np.convolve(x, a)[order : len(x)]
     return a, float(np.mean(residual**2)) if len(residual) else 0.0
 
 
+def roots_of(a: np.ndarray) -> np.ndarray:
+    """Roots of each row's polynomial (leading 1), by the eigenvalues of all companion matrices at once."""
+    n, order = len(a), a.shape[1] - 1
+    companion = np.zeros((n, order, order))
+    companion[:, 0] = -a[:, 1:]
+    companion[:, np.arange(1, order), np.arange(order - 1)] = 1.0
+    return np.linalg.eigvals(companion)
+
+
 def formants_from_polynomial(a: np.ndarray, sr: int = SAMPLE_RATE, widest: float = 500.0) -> list[tuple[float, float]]:
     """(frequency, bandwidth) of the roots above the real axis that are narrower than ``widest``, by frequency."""
-    roots = np.roots(a)
+    return formants_from_roots(np.roots(a), sr, widest)
+
+
+def formants_from_roots(roots: np.ndarray, sr: int = SAMPLE_RATE, widest: float = 500.0) -> list[tuple[float, float]]:
     roots = roots[np.imag(roots) > 1e-9]
     freq = np.angle(roots) * sr / (2 * np.pi)
     width = -np.log(np.maximum(np.abs(roots), 1e-12)) * sr / np.pi
@@ -85,26 +97,68 @@ def lpc_windows(frame: np.ndarray, order: int) -> list[tuple[str, np.ndarray, fl
 
 
 def find_peaks(x: np.ndarray, height: float | None = None, distance: int = 1, prominence: float = 0.0) -> np.ndarray:
-    """Positions of strict local maxima with a height, a distance (higher ones first) and a prominence."""
+    """Positions of local maxima with a height, a distance (higher ones first, of equals the later) and a prominence.
+
+    A plateau counts once, at its middle, if both sides are lower; the ends are no maxima."""
     x = np.asarray(x, dtype=float)
-    at = np.flatnonzero((x[1:-1] > x[:-2]) & (x[1:-1] > x[2:])) + 1
+    if len(x) < 3:
+        return np.zeros(0, dtype=int)
+    change = np.flatnonzero(np.diff(x) != 0)
+    start, end = np.concatenate([[0], change + 1]), np.concatenate([change, [len(x) - 1]])  # runs of equal values
+    v = x[start]
+    top = np.flatnonzero((v[1:-1] > v[:-2]) & (v[1:-1] > v[2:])) + 1
+    at = (start[top] + end[top]) // 2
     if height is not None:
         at = at[x[at] >= height]
-    if distance > 1:
-        kept: list[int] = []
-        for i in at[np.argsort(-x[at], kind="stable")]:
-            if all(abs(i - j) >= distance for j in kept):
-                kept.append(int(i))
-        at = np.array(sorted(kept), dtype=int)
-    if prominence > 0:
-        at = np.array([i for i in at if _prominence(x, i) >= prominence], dtype=int)
-    return at
+    if distance > 1 and len(at):
+        keep = np.ones(len(at), dtype=bool)
+        for i in np.argsort(x[at], kind="stable")[::-1]:
+            if keep[i]:
+                keep[np.searchsorted(at, at[i] - distance, "right") : i] = False
+                keep[i + 1 : np.searchsorted(at, at[i] + distance, "left")] = False
+        at = at[keep]
+    return at[prominences(x)[at] >= prominence] if prominence > 0 else at
+
+
+def _drops(x: np.ndarray) -> np.ndarray:
+    """From each position back to the nearest higher value (or the start): how far the lowest value between lies below it.
+
+    A stack holds the values that no later one has passed, each with the lowest value since the one below it."""
+    out, stack = np.zeros(len(x)), []
+    for i, v in enumerate(x.tolist()):
+        low = v
+        while stack and stack[-1][0] <= v:
+            low = min(low, stack.pop()[1])
+        out[i] = v - low
+        stack.append((v, low))
+    return out
+
+
+def prominences(x: np.ndarray) -> np.ndarray:
+    """How far each value stands above the higher of the lowest points towards the next higher value on either side."""
+    x = np.asarray(x, dtype=float)
+    return np.minimum(_drops(x), _drops(x[::-1])[::-1])
+
+
+def peaks(rows: DataFrame, keys: list[str], position: str, x: str, height: float | None = None, distance: int = 1, prominence: float = 0.0) -> DataFrame:
+    """Rows (keys, position, x) -> a row (keys, position, x, prominence) for each peak of the series of each key.
 
+    Nulls of ``x`` are left out. A key's values meet in one row: frames of a spectrum, or the mean of one."""
 
-def _prominence(x: np.ndarray, i: int) -> float:
-    higher = np.flatnonzero(x > x[i])
-    left, right = higher[higher < i], higher[higher > i]
-    return float(x[i] - max(x[(left[-1] if len(left) else 0) : i + 1].min(), x[i : (right[0] if len(right) else len(x)) + 1].min()))
+    @F.pandas_udf("array<struct<i:int,prominence:double>>")
+    def run(series: pd.Series) -> pd.Series:
+        def one(v):
+            v = np.asarray(v, dtype=float)
+            at = find_peaks(v, height, distance, prominence)
+            return [{"i": int(i), "prominence": float(p)} for i, p in zip(at, prominences(v)[at], strict=True)]
+
+        return series.map(one)
+
+    kept = rows.where(F.col(x).isNotNull())
+    ordered = kept.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), F.col(x).cast("double").alias("x")))).alias("_s"))
+    found = ordered.select(*keys, "_s", F.explode(run(F.transform("_s", lambda v: v["x"]))).alias("_f"))
+    at = F.get("_s", F.col("_f.i"))
+    return found.select(*keys, at["p"].alias(position), at["x"].alias(x), F.col("_f.prominence").alias("prominence"))
 
 
 def autocorrelation_pitch(frame: np.ndarray, sr: int = SAMPLE_RATE, low: float = 80.0, high: float = 400.0) -> tuple[float, float]:
@@ -136,32 +190,61 @@ def peak_normalize(x: np.ndarray) -> np.ndarray:
     return x / top if top > 0 else x
 
 
-def noise_gate(x: np.ndarray, reduction: float = 0.75, size: int = 512) -> np.ndarray:
-    """Spectral gate: bins below the running noise floor of their own frequency are turned down by ``reduction``."""
+def _smoothed(x: np.ndarray, weight: float) -> np.ndarray:
+    """Exponential smoothing of the rows, forwards and then backwards, from the first and the last row on."""
+    for _ in range(2):
+        out = np.empty_like(x)
+        last = x[0]
+        for i, row in enumerate(x):
+            last = last + weight * (row - last)
+            out[i] = last
+        x = out[::-1]
+    return x
+
+
+def _blurred(x: np.ndarray, reach: int, axis: int) -> np.ndarray:
+    """Means with triangular weights over ``reach`` neighbours on each side, of what there is at the ends."""
+    if reach < 1:
+        return x
+    w = 1 - np.abs(np.arange(-reach, reach + 1)) / (reach + 1)
+    conv = lambda v: np.convolve(v, w)[reach : reach + len(v)]
+    return np.apply_along_axis(conv, axis, x) / np.expand_dims(conv(np.ones(x.shape[axis])), 1 - axis)
+
+
+def noise_gate(x: np.ndarray, reduction: float = 0.75, size: int = 1024, sr: int = SAMPLE_RATE, floor_s: float = 2.0, over: float = 1.0, slope: float = 10.0, blur_hz: float = 500.0, blur_s: float = 0.05) -> np.ndarray:
+    """Spectral gate that follows the noise: each bin's floor is its level smoothed over ``floor_s`` in both directions.
+
+    How far a bin stands above its floor, as a part of it, decides softly (a logistic curve around ``over``) whether it
+    is kept or turned down by ``reduction``; the decisions are blurred over frequency and time."""
+    x = np.asarray(x, dtype=float)
     hop = size // 4
     if len(x) < size:
         return x
-    pad = np.concatenate([x, np.zeros(-(len(x) - size) % hop)])
+    pad = np.concatenate([np.zeros(size), x, np.zeros(size + -len(x) % hop)])
     frames = np.lib.stride_tricks.sliding_window_view(pad, size)[::hop] * hann(size)
     spec = np.fft.rfft(frames, axis=1)
     level = np.abs(spec)
-    floor = np.percentile(level, 20, axis=0, keepdims=True) * 1.5
-    spec *= np.where(level < floor, 1.0 - reduction, 1.0)
+    t = max(1e-9, floor_s * sr / hop)
+    floor = _smoothed(level, (np.sqrt(1 + 4 * t * t) - 1) / (2 * t * t))
+    above = np.divide(level - floor, floor, out=np.zeros_like(level), where=floor > 0)
+    kept = 1 / (1 + np.exp(np.clip(-slope * (above - over), -60, 60)))
+    kept = _blurred(_blurred(kept, int(blur_hz / (2 * sr / size)), 1), int(blur_s * sr / hop), 0)
+    spec *= kept * reduction + (1 - reduction)
     back, norm = np.zeros(len(pad)), np.zeros(len(pad))
     for i, part in enumerate(np.fft.irfft(spec, size, axis=1)):
         back[i * hop : i * hop + size] += part * hann(size)
         norm[i * hop : i * hop + size] += hann(size) ** 2
-    return np.where(norm > 1e-6, back / np.maximum(norm, 1e-6), pad)[: len(x)]
+    return (back / np.maximum(norm, 1e-6))[size : size + len(x)]
 
 
 def preprocess(x: np.ndarray, sr: int = SAMPLE_RATE) -> np.ndarray:
     """Peak normalisation, noise gate, fixed band-pass of 100..7500 Hz, peak normalisation: the same for every call."""
-    return peak_normalize(butterworth_bandpass(noise_gate(peak_normalize(np.asarray(x, dtype=float))), 100.0, 7500.0, sr))
+    return peak_normalize(butterworth_bandpass(noise_gate(peak_normalize(np.asarray(x, dtype=float)), sr=sr), 100.0, 7500.0, sr))
 
 
 def enhance_speech(x: np.ndarray, sr: int = SAMPLE_RATE, formants: bool = True, noise: bool = True) -> np.ndarray:
     """Gate, then 0.7 signal + 0.3 of its 300..3400 Hz band; a quiet result (peak under 0.5) is raised to 0.9."""
-    y = noise_gate(np.asarray(x, dtype=float)) if noise else np.asarray(x, dtype=float)
+    y = noise_gate(x, sr=sr) if noise else np.asarray(x, dtype=float)
     if formants:
         y = 0.7 * y + 0.3 * butterworth_bandpass(y, 300.0, 3400.0, sr)
     top = np.max(np.abs(y)) if len(y) else 0.0
@@ -222,11 +305,14 @@ def lpc_formants(frames: DataFrame, keys: list[str], order: int = 16, sr: int =
 
     @F.pandas_udf("array<struct<freq_hz:double,bandwidth_hz:double,reliability:double>>")
     def roots(x: pd.Series) -> pd.Series:
-        def one(f):
-            a, _ = lpc(np.asarray(f, dtype=float) * windows_of(len(f))["hamming"], order)
-            return [{"freq_hz": q, "bandwidth_hz": b, "reliability": float(np.clip(1 - b / 500, 0.1, 0.95))} for q, b in formants_from_polynomial(a, sr)]
-
-        return x.map(one)
+        out: list = [[]] * len(x)
+        sizes = x.map(len).to_numpy()
+        for size in np.unique(sizes):  # frames of one length go together
+            at = np.flatnonzero(sizes == size)
+            a = burg(np.stack(x.iloc[at].to_numpy()).astype(float) * windows_of(size)["hamming"], order)
+            for i, r in zip(at, roots_of(a), strict=True):
+                out[i] = [{"freq_hz": q, "bandwidth_hz": b, "reliability": float(np.clip(1 - b / 500, 0.1, 0.95))} for q, b in formants_from_roots(r, sr)]
+        return pd.Series(out)
 
     return frames.select(*keys, F.explode(roots(frame)).alias("r")).select(*keys, "r.*")
 

@@ -117,9 +117,10 @@ def merge_islands(spark, t):
 
 
 @query(
-    SPEECH + """, p AS (SELECT user_id, speech, min(s) AS a, max(s) AS b, max(s) - min(s) AS d FROM i GROUP BY user_id, island, speech),
-q AS (SELECT user_id, count(*) FILTER (speech) AS phrase_count, count(*) FILTER (NOT speech) AS pause_count, coalesce(sum(d) FILTER (speech), 0) AS sp, coalesce(avg(d) FILTER (speech), 0) AS mean_phrase, coalesce(avg(d) FILTER (NOT speech), 0) AS mean_pause, max(b) - min(a) AS total_s FROM p GROUP BY user_id)
-SELECT user_id, phrase_count, pause_count, mean_phrase, mean_pause, total_s, sp / total_s AS speech_ratio, CASE WHEN phrase_count > 0 THEN 1 - sp / total_s ELSE 1 END AS pause_ratio, phrase_count / total_s AS speech_rate, CASE WHEN mean_phrase > 0 THEN sp / total_s / mean_phrase ELSE 0 END AS tempo FROM q""",
+    SPEECH + """, p AS (SELECT user_id, speech, min(s) AS a, max(s) AS b, max(s) - min(s) AS d, count(*) AS k FROM i GROUP BY user_id, island, speech),
+q AS (SELECT user_id, count(*) FILTER (speech) AS phrase_count, CASE WHEN count(*) FILTER (speech) > 0 THEN count(*) FILTER (NOT speech) ELSE 0 END AS pause_count, coalesce(sum(k) FILTER (speech), 0) / sum(k) AS speech_ratio, coalesce(avg(d) FILTER (speech), 0) AS mean_phrase,
+CASE WHEN count(*) FILTER (speech) > 0 THEN coalesce(avg(d) FILTER (NOT speech), 0) ELSE 0 END AS mean_pause, max(b) - min(a) AS total_s FROM p GROUP BY user_id)
+SELECT user_id, phrase_count, pause_count, mean_phrase, mean_pause, total_s, speech_ratio, 1 - speech_ratio AS pause_ratio, phrase_count / total_s AS speech_rate, CASE WHEN mean_phrase > 0 THEN speech_ratio / mean_phrase ELSE 0 END AS tempo FROM q""",
     "mean_phrase mean_pause total_s speech_ratio pause_ratio speech_rate tempo",
 )
 def phrase_pause(spark, t):
@@ -274,15 +275,24 @@ def masking_shares(spark, t):
 
 
 @query(
-    """WITH g AS (SELECT user_id, median(value) AS m, avg(value) AS a, stddev_pop(value) AS s FROM events GROUP BY user_id)
-SELECT user_id, CASE WHEN a BETWEEN 50 AND 180 THEN 'male' WHEN a BETWEEN 150 AND 300 THEN 'female' ELSE 'unknown' END AS gender, CASE WHEN s / a < 0.05 THEN 'robot_voice' WHEN a < 80 OR a > 300 THEN 'pitch_shift' WHEN m < 1.5 OR m > 5 THEN 'formant_shift' END AS type,
-CASE WHEN s / a < 0.05 THEN 0.8 WHEN a < 80 OR a > 300 THEN least(0.7 + abs(12 * log2(a / CASE WHEN a < 160 THEN 120.0 ELSE 220.0 END)) / 10, 0.95) WHEN m < 1.5 OR m > 5 THEN 0.75 ELSE 0.0 END AS confidence,
+    """WITH v AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t, CASE WHEN user_id % 4 = 0 THEN 100 + event_id % 3 WHEN user_id % 4 = 1 THEN 150 + value / 10 ELSE value END AS value, value AS raw FROM events),
+e AS (SELECT *, (raw - lag(raw) OVER w) > 0 AND (raw - lead(raw) OVER w) > 0 AS top FROM v WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+d AS (SELECT user_id, t - lag(t) OVER (PARTITION BY user_id ORDER BY t) AS d FROM e WHERE top), r AS (SELECT user_id, count(*) > 3 AND coalesce(stddev_pop(d) / avg(d), 1.0) < 0.4 AS regular FROM d GROUP BY user_id),
+g AS (SELECT v.user_id, median(raw) / 60 AS m, avg(value) AS a, stddev_pop(value) AS s, exp(avg(ln(raw * raw))) / avg(raw * raw) AS fl, coalesce(bool_or(regular), FALSE) AS regular FROM v LEFT JOIN r ON v.user_id = r.user_id GROUP BY v.user_id)
+SELECT user_id, CASE WHEN a BETWEEN 50 AND 180 THEN 'male' WHEN a BETWEEN 150 AND 300 THEN 'female' ELSE 'unknown' END AS gender, CASE WHEN s / a < 0.05 THEN 'robot_voice' WHEN a < 80 OR a > 300 THEN 'pitch_shift' WHEN m < 1.5 OR m > 5 THEN 'formant_shift' WHEN fl > 0.4 THEN 'vocoder' WHEN regular THEN 'robot_voice' END AS type,
+CASE WHEN s / a < 0.05 THEN 0.8 WHEN a < 80 OR a > 300 THEN least(0.7 + abs(12 * log2(a / CASE WHEN a < 160 THEN 120.0 ELSE 220.0 END)) / 10, 0.95) WHEN m < 1.5 OR m > 5 THEN 0.75 WHEN fl > 0.4 THEN 0.7 WHEN regular THEN 0.8 ELSE 0.0 END AS confidence,
 a < 80 OR a > 300 AS shifted, CASE WHEN a < 80 OR a > 300 THEN 12 * log2(a / 150.0) ELSE 0 END AS steps FROM g""",
     "confidence steps",
 )
 def file_modification(spark, t):
-    g = t("events").groupBy("user_id").agg(F.median("value").alias("m"), F.avg("value").alias("a"), F.stddev_pop("value").alias("s"), F.count("*").alias("n"))
-    kind, sure = R.file_modification(F.col("s") / F.col("a"), F.col("a"), F.col("m"), F.lit(0.1), F.lit(False))
+    # voices of three kinds: hardly any change of pitch, little, and much
+    u, raw = F.col("user_id"), F.col("value")
+    pitch = F.when(u % 4 == 0, F.lit(100.0) + F.col("event_id") % 3).when(u % 4 == 1, F.lit(150.0) + raw / 10).otherwise(raw)
+    power = F.exp(F.avg(F.ln(raw * raw))) / F.avg(raw * raw)
+    g = t("events").withColumn("p", pitch).groupBy("user_id").agg((F.median("value") / 60).alias("m"), F.avg("p").alias("a"), F.stddev_pop("p").alias("s"), F.count("*").alias("n"), power.alias("fl"))
+    regular = S.peak_regularity(S.local_maxima(frames(t), ["user_id"], ["t"], "value"), ["user_id"], "t", 3, 0.4)
+    g = g.join(regular.select("user_id", "regular"), "user_id", "left")
+    kind, sure = R.file_modification(F.col("s") / F.col("a"), F.col("a"), F.col("m"), F.col("fl"), F.coalesce("regular", F.lit(False)))
     shifted, steps = R.pitch_shift(F.col("a"), F.lit(0.9), F.col("n"))
     return g.select("user_id", R.gender_by_pitch(F.col("a")).alias("gender"), kind.alias("type"), sure.alias("confidence"), shifted.alias("shifted"), steps.alias("steps"))
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.vectors import cosine as cosine_of
 from ..operators import aggregates as A
 from ..operators import features as X
 from ..operators import metrics as M
@@ -60,14 +61,19 @@ def voiced_frames(spark, t):
 PITCH = f"""k AS (SELECT * FROM f WHERE voiced AND voiced_prob > 0.7 AND pitch_hz > 0),
 k1 AS (SELECT *, {GRADIENT.format(x='pitch_hz')} AS d, lag(pitch_hz) OVER w - pitch_hz AS fall FROM k {V}), k2 AS (SELECT *, {GRADIENT.format(x='d')} AS a FROM k1 {V}),
 kr AS (SELECT *, max(pitch_hz) OVER (PARTITION BY rec) - min(pitch_hz) OVER (PARTITION BY rec) AS r FROM k2),
-pf AS (SELECT rec, avg(pitch_hz) AS mean, median(pitch_hz) AS median, stddev_pop(pitch_hz) AS std, min(pitch_hz) AS min, max(pitch_hz) AS max, max(pitch_hz) - min(pitch_hz) AS range, count(*) AS n,
-    avg(abs(d)) AS mean_derivative, avg(abs(a)) AS mean_acceleration,
+pg AS (SELECT rec, avg(pitch_hz) AS mean, median(pitch_hz) AS median, stddev_pop(pitch_hz) AS std, min(pitch_hz) AS min, max(pitch_hz) AS max, max(pitch_hz) - min(pitch_hz) AS range, count(*) AS n,
+    avg(abs(d)) AS mean_derivative, stddev_pop(d) AS derivative_std, avg(abs(a)) AS mean_acceleration, stddev_pop(a) AS acceleration_std,
     CASE WHEN count(*) < 10 THEN 0 ELSE coalesce(avg(fall) FILTER (fall > 0.1 * r), 0) END AS mean_drop, CASE WHEN count(*) < 10 THEN 0 ELSE coalesce(avg(fall) FILTER (fall > 0.1 * r) / 0.02, 0) END AS drop_rate,
-    CASE WHEN count(*) < 10 THEN 0 ELSE count(*) FILTER (fall > 0.1 * r) / count(*)::DOUBLE END AS frequency,
-    CASE WHEN avg(pitch_hz) BETWEEN 50 AND 180 THEN 'male' WHEN avg(pitch_hz) BETWEEN 150 AND 300 THEN 'female' ELSE 'unknown' END AS gender FROM kr GROUP BY rec)"""
+    CASE WHEN count(*) < 10 THEN 0 ELSE count(*) FILTER (fall > 0.1 * r) / count(*)::DOUBLE END AS frequency
+    FROM kr GROUP BY rec),
+pf AS (SELECT r.rec, """ + ", ".join(f"coalesce({c}, 0) AS {c}" for c in ("mean", "median", "std", "min", "max", "range", "n", "mean_derivative", "derivative_std", "mean_acceleration", "acceleration_std", "mean_drop", "drop_rate", "frequency")) + """,
+    CASE WHEN mean BETWEEN 50 AND 180 THEN 'male' WHEN mean BETWEEN 150 AND 300 THEN 'female' ELSE 'unknown' END AS gender,
+    CASE WHEN mean IS NULL THEN 0.5 WHEN mean < 50 THEN 0.9 WHEN mean <= 180 THEN 1.0 WHEN mean <= 300 THEN 0.0 ELSE 0.1 END AS male,
+    CASE WHEN mean IS NULL THEN 0.5 WHEN mean < 50 THEN 0.1 WHEN mean <= 180 THEN 0.0 WHEN mean <= 300 THEN 1.0 ELSE 0.9 END AS female
+    FROM (SELECT DISTINCT rec FROM f) AS r LEFT JOIN pg ON r.rec = pg.rec)"""
 
 
-@query(f"WITH {FRAMES}, {PITCH} SELECT * FROM pf", "mean median std min max range mean_derivative mean_acceleration mean_drop drop_rate frequency")
+@query(f"WITH {FRAMES}, {PITCH} SELECT * FROM pf", "mean median std min max range mean_derivative derivative_std mean_acceleration acceleration_std mean_drop drop_rate frequency male female")
 def pitch_features(spark, t):
     return X.pitch_features(frames(t), ["rec"], ["t"], 0.01)
 
@@ -76,9 +82,9 @@ FIVE = "OVER (PARTITION BY rec ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWI
 PERTURBATION = f"""v AS (SELECT *, 1.0 / pitch_hz AS p, pitch_mag AS a FROM f WHERE pitch_hz > 0 AND pitch_mag > 0),
 v1 AS (SELECT *, abs(p - lag(p) OVER w) AS dp, abs(a - lag(a) OVER w) AS da, abs(20 * log10(a) - 20 * log10(lag(a) OVER w)) AS db, avg(p) {FIVE} AS mp, avg(a) {FIVE} AS ma, count(*) {FIVE} AS c FROM v {V}),
 v2 AS (SELECT rec, count(*) >= 5 AS ok, 100 * avg(dp) / avg(p) AS jl, 1000 * avg(dp) AS ja, 100 * avg(abs(p - mp)) FILTER (c = 5) / avg(p) AS jq, 100 * stddev_pop(dp) / avg(p) AS jv,
-    100 * avg(da) / avg(a) AS sl, avg(db) AS sd, 100 * avg(abs(a - ma)) FILTER (c = 5) / avg(a) AS sq, 100 * stddev_pop(a) / avg(a) AS sv FROM v1 GROUP BY rec),
-jf AS (SELECT rec, """ + ", ".join(f"CASE WHEN ok THEN coalesce({a}, 0) ELSE 0 END AS {b}" for a, b in zip(("jl", "ja", "jq", "jv", "sl", "sd", "sq", "sv"), (
-    "jitter_local", "jitter_absolute", "jitter_ppq5", "jitter_variability", "shimmer_local", "shimmer_db", "shimmer_apq5", "shimmer_variability"), strict=True)) + " FROM v2)"
+    100 * avg(da) / avg(a) AS sl, avg(db) AS sd, 100 * avg(abs(a - ma)) FILTER (c = 5) / avg(a) AS sq, 100 * stddev_pop(da) / avg(a) AS sv FROM v1 GROUP BY rec),
+jf AS (SELECT r.rec, """ + ", ".join(f"CASE WHEN ok THEN coalesce({a}, 0) ELSE 0 END AS {b}" for a, b in zip(("jl", "ja", "jq", "jv", "sl", "sd", "sq", "sv"), (
+    "jitter_local", "jitter_absolute", "jitter_ppq5", "jitter_variability", "shimmer_local", "shimmer_db", "shimmer_apq5", "shimmer_variability"), strict=True)) + " FROM (SELECT DISTINCT rec FROM f) AS r LEFT JOIN v2 ON r.rec = v2.rec)"
 EIGHT = "jitter_local jitter_absolute jitter_ppq5 jitter_variability shimmer_local shimmer_db shimmer_apq5 shimmer_variability"
 
 
@@ -87,36 +93,43 @@ def perturbation_features(spark, t):
     return X.jitter_shimmer(frames(t), ["rec"], ["t"])
 
 
-BANDS = "be AS (SELECT rec, frame, avg(mag) AS \"all\", " + ", ".join(f"coalesce(avg(mag) FILTER (freq_hz BETWEEN {lo} AND {hi}), 0) AS {k}" for k, lo, hi in G.ENERGY_BANDS) + " FROM sp GROUP BY rec, frame)"
+BANDS = """be AS (SELECT rec, frame, avg(mag) AS "all", coalesce(sum(freq_hz * mag) / nullif(sum(mag), 0), 0) AS centroid,
+    coalesce(avg(mag) FILTER (freq_hz BETWEEN 250 AND 450), 0) AS nasal1, coalesce(avg(mag) FILTER (freq_hz BETWEEN 1000 AND 1200), 0) AS nasal2,
+    coalesce(avg(mag) FILTER (freq_hz BETWEEN 700 AND 900), 0) AS antires, coalesce(avg(mag) FILTER (freq_hz BETWEEN 1000 AND 2000), 0) AS f_v,
+    coalesce(avg(mag) FILTER (freq_hz BETWEEN 2000 AND 4000), 0) AS s_z, coalesce(avg(mag) FILTER (freq_hz BETWEEN 4000 AND 8000), 0) AS sh_zh FROM sp GROUP BY rec, frame)"""
 
 
-@query(f"WITH {FRAMES}, {SPECTRUM}, {BANDS} SELECT * FROM be", '"all" ' + " ".join(k for k, _, _ in G.ENERGY_BANDS))
+@query(f"WITH {FRAMES}, {SPECTRUM}, {BANDS} SELECT * FROM be", '"all" centroid nasal1 nasal2 antires f_v s_z sh_zh')
 def band_energies(spark, t):
     return X.band_energies(spectra(t), ["rec", "frame"])
 
 
-FRICATIVE = 'lb AS (SELECT * FROM (SELECT *, max("all") OVER (PARTITION BY rec) AS top FROM be) WHERE "all" > 0.2 * top), ff AS (SELECT rec, ' + ", ".join(
-    f'avg({k}) AS {k}_energy, avg({k} / ("all" + 1e-10)) AS {k}_ratio, stddev_pop({k} / ("all" + 1e-10)) AS {k}_ratio_std' for k in ("f_v", "s_z", "sh_zh")
-) + ', avg((f_v + s_z + sh_zh) / ("all" + 1e-10)) AS overall_ratio, count(*) AS frames FROM lb GROUP BY rec)'
+FRICATIVE = """fa AS (SELECT *, f_v > 0.2 * max(f_v) OVER (PARTITION BY rec) AS o1, s_z > 0.2 * max(s_z) OVER (PARTITION BY rec) AS o2, sh_zh > 0.2 * max(sh_zh) OVER (PARTITION BY rec) AS o3,
+    CASE WHEN "all" > 0 THEN f_v / "all" ELSE 0 END AS p1, CASE WHEN "all" > 0 THEN s_z / "all" ELSE 0 END AS p2, CASE WHEN "all" > 0 THEN sh_zh / "all" ELSE 0 END AS p3 FROM be),
+ff AS (SELECT rec, coalesce(avg(f_v) FILTER (o1), 0) AS f_v_energy, coalesce(avg(p1) FILTER (o1), 0) AS f_v_ratio, coalesce(stddev_pop(p1) FILTER (o1), 0) AS f_v_ratio_std, count(*) FILTER (o1) AS f_v_frames,
+    coalesce(avg(s_z) FILTER (o2), 0) AS s_z_energy, coalesce(avg(p2) FILTER (o2), 0) AS s_z_ratio, coalesce(stddev_pop(p2) FILTER (o2), 0) AS s_z_ratio_std, count(*) FILTER (o2) AS s_z_frames,
+    coalesce(avg(sh_zh) FILTER (o3), 0) AS sh_zh_energy, coalesce(avg(p3) FILTER (o3), 0) AS sh_zh_ratio, coalesce(stddev_pop(p3) FILTER (o3), 0) AS sh_zh_ratio_std, count(*) FILTER (o3) AS sh_zh_frames,
+    coalesce(avg(centroid) FILTER (o1 OR o2 OR o3), 0) AS centroid_mean, coalesce(stddev_pop(centroid) FILTER (o1 OR o2 OR o3), 0) AS centroid_std, count(*) FILTER (o1 OR o2 OR o3) / count(*) AS overall_ratio FROM fa GROUP BY rec)"""
 
 
-@query(f"WITH {FRAMES}, {SPECTRUM}, {BANDS}, {FRICATIVE} SELECT * FROM ff", " ".join(f"{k}_{x}" for k in ("f_v", "s_z", "sh_zh") for x in ("energy", "ratio", "ratio_std")) + " overall_ratio")
+@query(f"WITH {FRAMES}, {SPECTRUM}, {BANDS}, {FRICATIVE} SELECT * FROM ff", " ".join(f"{k}_{x}" for k in ("f_v", "s_z", "sh_zh") for x in ("energy", "ratio", "ratio_std")) + " centroid_mean centroid_std overall_ratio")
 def fricative_features(spark, t):
     return X.fricative_features(X.band_energies(spectra(t), ["rec", "frame"]), ["rec"])
 
 
-NASAL = """na AS (SELECT *, nasal1 / ("all" + 1e-10) AS r1, nasal2 / ("all" + 1e-10) AS r2, antires / ("all" + 1e-10) AS dip FROM be),
+NASAL = """na AS (SELECT *, CASE WHEN "all" > 0 THEN nasal1 / "all" ELSE 0 END AS r1, CASE WHEN "all" > 0 THEN nasal2 / "all" ELSE 0 END AS r2, CASE WHEN "all" > 0 THEN antires / "all" ELSE 0 END AS dip FROM be),
 nb AS (SELECT *, r1 > 1.5 * avg(r1) OVER (PARTITION BY rec) AND dip < 0.7 * avg(dip) OVER (PARTITION BY rec) AS nasal FROM na),
-nf AS (SELECT rec, avg(nasal::INT) AS presence, """ + ", ".join(f"coalesce(avg({c}) FILTER (nasal), avg({c})) AS mean_{n}" for c, n in (("r1", "r1"), ("r2", "r2"), ("dip", "anti"))) + ", stddev_pop(r1) AS std_r1, count(*) AS frames FROM nb GROUP BY rec)"
+nf AS (SELECT rec, avg(nasal::INT) AS presence, coalesce(avg(r1) FILTER (nasal), avg(r1)) AS mean_r1, coalesce(avg(r2) FILTER (nasal), avg(r2)) AS mean_r2, coalesce(avg(dip) FILTER (nasal), avg(dip)) AS mean_anti,
+    coalesce(avg(r1 / (dip + 1e-10)) FILTER (nasal), 0) AS quality, coalesce(avg(r1 / (r2 + 1e-10)) FILTER (nasal), 0) AS resonance_ratio, stddev_pop(r1) AS std_r1, count(*) AS frames FROM nb GROUP BY rec)"""
 
 
-@query(f"WITH {FRAMES}, {SPECTRUM}, {BANDS}, {NASAL} SELECT * FROM nf", "presence mean_r1 mean_r2 mean_anti std_r1")
+@query(f"WITH {FRAMES}, {SPECTRUM}, {BANDS}, {NASAL} SELECT * FROM nf", "presence mean_r1 mean_r2 mean_anti quality resonance_ratio std_r1")
 def nasal_features(spark, t):
     return X.nasal_features(X.band_energies(spectra(t), ["rec", "frame"]), ["rec"])
 
 
 SHAPE = """sa AS (SELECT *, sum(mag) OVER (PARTITION BY rec, frame ORDER BY bin) AS run, sum(mag) OVER (PARTITION BY rec, frame) AS al FROM sp),
-sh AS (SELECT rec, frame, sum(freq_hz * mag) / nullif(sum(mag), 0) AS centroid, exp(avg(ln(greatest(mag, 1e-10)))) / nullif(avg(mag), 0) AS flatness,
+sh AS (SELECT rec, frame, sum(freq_hz * mag) / nullif(sum(mag), 0) AS centroid, exp(avg(ln(greatest(mag * mag, 1e-10)))) / avg(greatest(mag * mag, 1e-10)) AS flatness,
     min(freq_hz) FILTER (run >= 0.85 * al) AS rolloff, CASE WHEN count(*) > 1 THEN regr_slope(mag, freq_hz) END AS slope FROM sa GROUP BY rec, frame)"""
 
 
@@ -125,19 +138,22 @@ def spectral_shape(spark, t):
     return X.spectral_shape(spectra(t), ["rec", "frame"])
 
 
-MEL = "ml AS (SELECT rec, event_id % 128 AS bin, value / 10 AS db FROM f)"
+MEL = "ml AS (SELECT rec, event_id % 128 AS bin, value / 10 AS db FROM f), ct AS (SELECT rec, event_id % 7 AS band, avg(value / 5) AS c FROM f GROUP BY ALL)"
 
 
 @query(
     f"""WITH {FRAMES}, {SPECTRUM}, {SHAPE}, {MEL}, b AS (SELECT rec, bin, avg(db) AS m FROM ml GROUP BY rec, bin), m AS (SELECT rec, avg(m) FILTER (bin BETWEEN 0 AND 42) AS low_energy, avg(m) FILTER (bin BETWEEN 43 AND 85) AS mid_energy,
     avg(m) FILTER (bin BETWEEN 86 AND 127) AS high_energy, sum(m) FILTER (bin >= 86) / nullif(sum(m), 0) AS brightness FROM b GROUP BY rec),
 s AS (SELECT rec, avg(rolloff) AS rolloff_mean, stddev_pop(rolloff) AS rolloff_std, avg(centroid) AS centroid_mean, stddev_pop(centroid) AS centroid_std FROM sh GROUP BY rec)
-SELECT m.*, low_energy / (high_energy + 1e-10) AS low_to_high, mid_energy / (high_energy + 1e-10) AS mid_to_high, low_energy / (mid_energy + high_energy + 1e-10) AS warmth, s.* EXCLUDE (rec) FROM m JOIN s ON m.rec = s.rec""",
-    "low_energy mid_energy high_energy brightness low_to_high mid_to_high warmth rolloff_mean rolloff_std centroid_mean centroid_std",
+SELECT m.*, low_energy / (high_energy + 1e-10) AS low_to_high, mid_energy / (high_energy + 1e-10) AS mid_to_high, low_energy / (mid_energy + high_energy + 1e-10) AS warmth, s.* EXCLUDE (rec), x.* EXCLUDE (rec)
+FROM m JOIN s ON m.rec = s.rec JOIN (SELECT rec, arg_min(c, band) AS first_contrast, arg_max(c, band) AS last_contrast, avg(c) AS richness FROM ct GROUP BY rec) AS x ON m.rec = x.rec""",
+    "first_contrast last_contrast richness low_energy mid_energy high_energy brightness low_to_high mid_to_high warmth rolloff_mean rolloff_std centroid_mean centroid_std",
 )
 def perceptual_features(spark, t):
     mel = numbered(t).select("rec", (F.col("event_id") % 128).alias("bin"), (F.col("value") / 10).alias("db"))
-    return X.perceptual_features(mel, X.spectral_shape(spectra(t), ["rec", "frame"]), ["rec"]).drop("richness")
+    contrast = numbered(t).select("rec", (F.col("event_id") % 7).alias("band"), (F.col("value") / 5).alias("contrast"))
+    got = X.perceptual_features(mel, X.spectral_shape(spectra(t), ["rec", "frame"]), ["rec"], contrast)
+    return got.withColumns({"first_contrast": F.element_at("contrast_mean", 1), "last_contrast": F.element_at("contrast_mean", -1)}).drop("contrast_mean")
 
 
 QUALITY = """qs AS (SELECT rec, least(1, abs(avg(slope)) * 10) AS steep FROM sh GROUP BY rec), qe AS (SELECT rec, avg(nasal1) AS nasal, avg("all") AS al, count(*) AS k FROM be GROUP BY rec),
@@ -156,14 +172,13 @@ def voice_quality(spark, t):
     return X.voice_quality(X.spectral_shape(sp, ["rec", "frame"]), X.pitch_features(f, ["rec"], ["t"], 0.01), X.jitter_shimmer(f, ["rec"], ["t"]), X.band_energies(sp, ["rec", "frame"]), ["rec"])
 
 
-GROUPS = (("pf", ("mean", "std", "median", "min", "max")), ("jf", ("jitter_local", "jitter_ppq5", "jitter_variability", "shimmer_local", "shimmer_apq5", "shimmer_variability")),
-          ("ff", ("f_v_ratio", "s_z_ratio", "sh_zh_ratio")), ("nf", ("presence", "mean_r1", "mean_anti")), ("qf", ("breathiness", "tenseness", "nasality", "voicing_degree", "stability")))
-_PARTS = [f"coalesce({g}.{c}, 0)" for g, columns in GROUPS for c in columns]
+_PARTS = """pf.mean pf.median pf.std pf.mean_derivative pf.mean_acceleration jf.jitter_local jf.jitter_absolute jf.jitter_ppq5 jf.shimmer_local jf.shimmer_db jf.shimmer_apq5
+ff.s_z_ratio ff.sh_zh_ratio ff.centroid_mean nf.mean_r1 nf.mean_r2 nf.resonance_ratio qf.breathiness qf.creakiness qf.tenseness qf.nasality qf.stability""".split()
 
 
 @query(
     f"""WITH {FRAMES}, {SPECTRUM}, {BANDS}, {SHAPE}, {PITCH}, {PERTURBATION}, {FRICATIVE}, {NASAL}, {QUALITY}, r AS (SELECT DISTINCT rec FROM f),
-bv AS (SELECT r.rec, [{', '.join(_PARTS)}] AS v FROM r LEFT JOIN pf ON r.rec = pf.rec LEFT JOIN jf ON r.rec = jf.rec LEFT JOIN ff ON r.rec = ff.rec LEFT JOIN nf ON r.rec = nf.rec LEFT JOIN qf ON r.rec = qf.rec)
+bv AS (SELECT r.rec, [{', '.join(f'coalesce({c}, 0)' for c in _PARTS)}] AS v FROM r LEFT JOIN pf ON r.rec = pf.rec LEFT JOIN jf ON r.rec = jf.rec LEFT JOIN ff ON r.rec = ff.rec LEFT JOIN nf ON r.rec = nf.rec LEFT JOIN qf ON r.rec = qf.rec)
 SELECT rec, unnest(range(0, {len(_PARTS)}))::INTEGER AS pos, unnest(v)::DOUBLE AS x FROM bv""",
     "x",
 )
@@ -173,6 +188,53 @@ def biometric_vector(spark, t):
     return C.biometric_vector(every, ["rec"]).select("rec", F.posexplode("v").alias("pos", "x"))
 
 
+CLOSE = """sp AS (SELECT rec, t // 16 AS frame, CAST(t % 16 AS INTEGER) AS bin, t % 16 * 100.0::DOUBLE + CASE WHEN t % 16 > 11 THEN 2000 ELSE 0 END AS freq_hz, value AS mag FROM f)"""
+
+
+def close_spectra(t):
+    """Bins 100 Hz apart, the last four above 3 kHz, so that nasal and fricative bands all have some."""
+    f = F.col("bin") * F.lit(100.0) + F.when(F.col("bin") > 11, 2000.0).otherwise(0.0)
+    return spectra(t).withColumn("freq_hz", f)
+
+
+def _cosine(a: str, b: str) -> str:
+    return f"coalesce(list_dot_product({a}, {b}) / nullif(sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})), 0), 0)"
+
+
+@query(
+    f"""WITH {FRAMES}, {CLOSE}, {BANDS}, {SHAPE}, {FRICATIVE}, {NASAL}, q AS (SELECT be.*, sh.flatness AS fl, CASE WHEN s_z > 0 THEN sh_zh / s_z ELSE 0 END AS r3,
+    CASE WHEN "all" > 0 THEN nasal1 / "all" ELSE 0 END AS r1, CASE WHEN "all" > 0 THEN nasal2 / "all" ELSE 0 END AS r2 FROM be JOIN sh ON be.rec = sh.rec AND be.frame = sh.frame),
+u AS (SELECT rec, [avg(centroid), stddev_pop(centroid), avg(fl), stddev_pop(fl), avg(s_z), avg(sh_zh), avg(r3), stddev_pop(r3)] AS fv,
+    [avg(nasal1), stddev_pop(nasal1), avg(nasal2), stddev_pop(nasal2), avg(r1), stddev_pop(r1), avg(r2), stddev_pop(r2)] AS nv FROM q GROUP BY rec),
+p AS (SELECT ff.rec, s_z_ratio AS a, sh_zh_ratio AS b, centroid_mean AS c, mean_r1 AS d, resonance_ratio AS e, quality AS g, fv, nv FROM ff JOIN nf ON ff.rec = nf.rec JOIN u ON ff.rec = u.rec)
+SELECT x.rec, {_cosine('x.fv', 'y.fv')} AS fricative_vector, {_cosine('x.nv', 'y.nv')} AS nasal_vector,
+    0.35 * (1 - least(1, 5 * abs(x.a - y.a))) + 0.35 * (1 - least(1, 5 * abs(x.b - y.b))) + 0.3 * (1 - least(1, abs(x.c - y.c) / 1000)) AS fricative,
+    0.3 * (1 - least(1, 5 * abs(x.d - y.d))) + 0.5 * (1 - least(1, 2 * abs(x.e - y.e))) + 0.2 * (1 - least(1, 2 * abs(x.g - y.g))) AS nasal FROM p AS x JOIN p AS y ON y.rec = x.rec + 1""",
+    "fricative_vector nasal_vector fricative nasal",
+)
+def fricative_nasal_similarity(spark, t):
+    """Neighbouring recordings by their fricative and nasal vectors and features."""
+    sp, by = close_spectra(t), ["rec"]
+    energies = X.band_energies(sp, ["rec", "frame"])
+    fv = X.fricative_vector(energies, X.spectral_shape(sp, ["rec", "frame"]), by, "frame").withColumnRenamed("v", "fv")
+    every = fv.join(X.nasal_vector(energies, by).withColumnRenamed("v", "nv"), by).join(X.fricative_features(energies, by), by).join(X.nasal_features(energies, by), by)
+    parts = ("fv", "nv", "s_z_ratio", "sh_zh_ratio", "centroid_mean", "mean_r1", "resonance_ratio", "quality")
+    a = every.select("rec", *[F.col(c).alias(f"a_{c}") for c in parts])
+    pair = a.join(every.select((F.col("rec") - 1).alias("rec"), *[F.col(c).alias(f"b_{c}") for c in parts]), "rec")
+    d = {c: F.col(f"a_{c}") - F.col(f"b_{c}") for c in parts[2:]}
+    cosine = lambda c: F.coalesce(cosine_of(F.col(f"a_{c}"), F.col(f"b_{c}")), F.lit(0.0))
+    return pair.select(
+        "rec", cosine("fv").alias("fricative_vector"), cosine("nv").alias("nasal_vector"), M.fricative_similarity(d["sh_zh_ratio"], d["s_z_ratio"], d["centroid_mean"]).alias("fricative"),
+        M.nasal_similarity(d["mean_r1"], d["resonance_ratio"], d["quality"]).alias("nasal"),
+    )
+
+
+@query(f"WITH {FRAMES}, {CLOSE}, {BANDS}, {NASAL} SELECT * FROM nf", "presence mean_r1 mean_r2 mean_anti quality resonance_ratio std_r1")
+def nasal_frames(spark, t):
+    """Nasal features where every nasal band has bins, so that there are nasal frames."""
+    return X.nasal_features(X.band_energies(close_spectra(t), ["rec", "frame"]), ["rec"])
+
+
 FORMANTS = "fm AS (SELECT rec, 'F' || (t % 4 + 1) AS formant, value * 10 AS hz FROM f)"
 
 
@@ -357,7 +419,7 @@ RANGES = "rg(gender, key, lo, hi, ord) AS (VALUES " + ", ".join(f"('{g}', '{k}',
 @query(
     f"""WITH {FRAMES}, {RANGES}, c AS (SELECT rec, t // 8 AS frame, ['male', 'female', 'child'][rec % 3 + 1] AS gender, value * 20 + event_id / 1e5 AS freq_hz, pitch_mag AS reliability FROM f),
 h AS (SELECT * FROM (SELECT c.*, key, lo, hi, row_number() OVER (PARTITION BY rec, frame, freq_hz ORDER BY ord) AS n FROM c JOIN rg ON c.gender = rg.gender AND freq_hz BETWEEN lo AND hi) WHERE n = 1),
-m AS (SELECT *, reliability * (1 - abs(freq_hz - (lo + hi) / 2) / (hi - lo)) AS match_score FROM h)
+m AS (SELECT *, reliability * (1 - abs(freq_hz - (lo + hi) / 2) / ((hi - lo) / 2)) AS match_score FROM h)
 SELECT rec, frame, key, freq_hz, match_score FROM (SELECT *, row_number() OVER (PARTITION BY rec, frame, key ORDER BY match_score DESC, freq_hz) AS b FROM m) WHERE b = 1""",
     "freq_hz match_score",
 )
@@ -404,21 +466,26 @@ def voice_similarity(spark, t):
 
 @query(
     """WITH g AS (SELECT user_id, avg(value) * 8 AS f1, avg(value) * 24 + (user_id % 7) * 100 AS f2, avg(value) * 5 AS m, stddev_pop(value) / avg(value) AS cv, count(*) AS n, min(value) / avg(value) AS fl FROM events GROUP BY user_id),
-h AS (SELECT *, n >= 10 AND (m < 80 OR m > 300) AS ps, CASE WHEN n >= 10 AND (m < 80 OR m > 300) THEN 12 * log2(m / 150.0) ELSE 0 END AS st, n >= 10 AND abs(f1 / 500 - f2 / 1500) < 0.2 AND (f1 / 500 < 0.7 OR f1 / 500 > 1.3) AS fs, fl > 0.4 OR cv < 0.05 OR user_id % 11 = 0 AS rb FROM g),
-i AS (SELECT *, CASE WHEN fs THEN (f1 / 500 + f2 / 1500) / 2 ELSE 1.0 END AS r FROM h)
-SELECT user_id, fs AS formant, r AS ratio, rb AS robot, (ps AND abs(st) > 3) OR fs OR rb AS is_modified, CASE WHEN ps AND abs(st) > 3 THEN 'pitch_shift' WHEN fs THEN 'formant_shift' WHEN rb THEN 'robot_voice' END AS type,
+eb AS (SELECT user_id, CASE WHEN hi > lo THEN least(99, CAST(floor((value - lo) / (hi - lo) * 100) AS INTEGER)) ELSE 0 END AS bin, count(*) AS c FROM (SELECT user_id, value, min(value) OVER (PARTITION BY user_id) AS lo, max(value) OVER (PARTITION BY user_id) AS hi FROM (SELECT user_id, CASE WHEN user_id % 3 = 0 AND event_id % 20 > 0 THEN 100.0 ELSE value END AS value FROM events)) GROUP BY ALL),
+en AS (SELECT user_id, CASE WHEN count(*) > 1 THEN -sum(p * log2(p)) / log2(count(*)) ELSE 0 END AS e FROM (SELECT user_id, c / sum(c) OVER (PARTITION BY user_id) AS p FROM eb) GROUP BY user_id),
+h AS (SELECT g.*, e, n >= 10 AND (m < 80 OR m > 300 OR e < 0.4) AS ps, CASE WHEN n >= 10 AND (m < 80 OR m > 300) THEN 12 * log2(m / 150.0) ELSE 0 END AS st, n >= 10 AND abs(f1 / 500 - f2 / 1500) < 0.2 AND (f1 / 500 < 0.7 OR f1 / 500 > 1.3) AS fs, fl > 0.4 OR (n >= 10 AND (cv < 0.05 OR g.user_id % 11 = 0)) AS rb FROM g JOIN en ON g.user_id = en.user_id),
+i AS (SELECT *, CASE WHEN fs THEN f1 / 500 ELSE 0.0 END AS r FROM h)
+SELECT user_id, e AS entropy, ps AS pitch, fs AS formant, r AS ratio, rb AS robot, (ps AND abs(st) > 3) OR fs OR rb AS is_modified, CASE WHEN ps AND abs(st) > 3 THEN 'pitch_shift' WHEN fs THEN 'formant_shift' WHEN rb THEN 'robot_voice' END AS type,
 CASE WHEN ps AND abs(st) > 3 THEN least(abs(st) / 6, 1) WHEN fs THEN least(abs(r - 1) / 0.5, 1) WHEN rb THEN 0.8 ELSE 0 END AS confidence FROM i""",
-    "ratio confidence",
+    "entropy ratio confidence",
 )
 def combined_modification(spark, t):
     m = F.avg("value")
     g = t("events").groupBy("user_id").agg((m * 8).alias("f1"), (m * 24).alias("f2"), (m * 5).alias("m"), A.coefficient_of_variation("value").alias("cv"), F.count("*").alias("n"), (F.min("value") / m).alias("fl"))
     f2 = F.col("f2") + (F.col("user_id") % 7) * 100
-    shifted, steps = R.pitch_shift(F.col("m"), F.lit(0.9), F.col("n"))
+    # a third of the voices hardly leave one pitch
+    steady = F.when((F.col("user_id") % 3 == 0) & (F.col("event_id") % 20 > 0), 100.0).otherwise(F.col("value"))
+    g = g.join(A.histogram_entropy(t("events").select("user_id", steady.alias("x")), ["user_id"], "x").select("user_id", F.col("normalized").alias("entropy")), "user_id")
+    shifted, steps = R.pitch_shift(F.col("m"), F.col("entropy"), F.col("n"))
     formant, r = R.formant_shift(F.col("f1"), f2, F.col("n"))
-    robot = R.robot_voice(F.col("fl"), F.col("cv"), F.col("user_id") % 11 == 0)
+    robot = R.robot_voice(F.col("fl"), F.col("cv"), F.col("user_id") % 11 == 0, F.col("n"))
     is_modified, kind, sure = R.combined_modification(shifted, steps, formant, r, robot)
-    return g.select("user_id", formant.alias("formant"), r.alias("ratio"), robot.alias("robot"), is_modified.alias("is_modified"), kind.alias("type"), sure.alias("confidence"))
+    return g.select("user_id", "entropy", shifted.alias("pitch"), formant.alias("formant"), r.alias("ratio"), robot.alias("robot"), is_modified.alias("is_modified"), kind.alias("type"), sure.alias("confidence"))
 
 
 @query(
@@ -439,8 +506,10 @@ def decisions(spark, t):
 w AS (SELECT user_id, st, st // 16 AS t FROM (SELECT user_id, unnest(range(0, len - 32 + 1, 16)) AS st FROM s)),
 x AS (SELECT w.user_id, w.t, i - st AS n, value * (0.5 - 0.5 * cos(2 * pi() * (i - st) / 32)) AS x FROM w JOIN f ON f.user_id = w.user_id AND i >= st AND i < st + 32),
 d AS (SELECT user_id, t, k, sqrt(sum(x * cos(2 * pi() * k * n / 32)) ^ 2 + sum(x * sin(2 * pi() * k * n / 32)) ^ 2) AS mag, k * 500.0 AS freq_hz FROM x, (SELECT unnest(range(0, 17)) AS k) GROUP BY user_id, t, k)
-SELECT user_id, t::INTEGER AS t, avg(mag) AS "all", """ + ", ".join(f"coalesce(avg(mag) FILTER (freq_hz BETWEEN {lo} AND {hi}), 0) AS {k}" for k, lo, hi in G.ENERGY_BANDS) + " FROM d GROUP BY user_id, t",
-    '"all" ' + " ".join(k for k, _, _ in G.ENERGY_BANDS),
+SELECT user_id, t::INTEGER AS t, avg(mag) AS "all", sum(freq_hz * mag) / sum(mag) AS centroid, coalesce(avg(mag) FILTER (freq_hz BETWEEN 250 AND 450), 0) AS nasal1,
+    coalesce(avg(mag) FILTER (freq_hz BETWEEN 1000 AND 1200), 0) AS nasal2, coalesce(avg(mag) FILTER (freq_hz BETWEEN 700 AND 900), 0) AS antires, avg(mag) FILTER (freq_hz BETWEEN 1000 AND 2000) AS f_v,
+    avg(mag) FILTER (freq_hz BETWEEN 2000 AND 4000) AS s_z, avg(mag) FILTER (freq_hz BETWEEN 4000 AND 8000) AS sh_zh FROM d GROUP BY user_id, t""",
+    '"all" centroid nasal1 nasal2 antires f_v s_z sh_zh',
 )
 def fft_band_energy(spark, t):
     """Spectra of framed series (numpy in Arrow batches), then band means."""

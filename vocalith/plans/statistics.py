@@ -66,16 +66,22 @@ def method_consistency(spark, t):
 @query(
     FUSED
     + """, v AS (SELECT pair_id, final_score, consistency, CASE WHEN final_score >= 0.95 AND consistency < 0.10 THEN 'very_high' WHEN final_score >= 0.88 AND consistency < 0.12 THEN 'high' WHEN final_score >= 0.80 AND consistency < 0.15 THEN 'probable' WHEN final_score >= 0.70 THEN 'similar' ELSE 'different' END AS verdict_code FROM (SELECT pair_id, round(final_score, 9) AS final_score, round(consistency, 9) AS consistency FROM f))
-SELECT pair_id, CASE WHEN pair_id % 7 = 0 THEN CASE WHEN final_score >= 0.85 THEN 'unreliable_similar' ELSE 'unreliable' END ELSE verdict_code END AS verdict_code,
-array_to_string(list_filter([CASE WHEN pair_id % 2 = 0 THEN 'modified' END, CASE WHEN consistency > 0.15 THEN 'inconsistent' END], lambda x: x IS NOT NULL), ',') AS warning_codes,
-CASE WHEN consistency < 0.05 THEN 'green' WHEN consistency < 0.15 THEN 'yellow' ELSE 'red' END AS consistency_light FROM v""",
+SELECT v.pair_id, CASE WHEN v.pair_id % 7 = 0 THEN CASE WHEN final_score >= 0.85 THEN 'unreliable_similar' ELSE 'unreliable' END ELSE verdict_code END AS verdict_code,
+array_to_string(list_filter([CASE WHEN v.pair_id % 2 = 0 THEN 'modified' END, CASE WHEN consistency > 0.15 THEN 'inconsistent' END], lambda x: x IS NOT NULL), ',') AS warning_codes,
+CASE WHEN consistency < 0.05 THEN 'green' WHEN consistency < 0.15 THEN 'yellow' ELSE 'red' END AS consistency_light,
+CASE WHEN width < 0.1 THEN 'green' WHEN width < 0.2 THEN 'yellow' ELSE 'red' END AS ci_light, CASE WHEN middle > 0.85 THEN 'green' WHEN middle > 0.7 THEN 'yellow' ELSE 'red' END AS median_light
+FROM v JOIN (SELECT l_suppkey AS pair_id, round(4 * stddev_pop(1 - l_discount) / sqrt(count(*)) * (1 + l_suppkey % 6), 9) AS width, round(median(1 - l_discount) - (l_suppkey % 4) * 0.1, 9) AS middle FROM lineitem GROUP BY l_suppkey) AS x ON v.pair_id = x.pair_id""",
 )
 def verdict_cascade(spark, t):
     # scores right at a threshold: both engines round away what the order of a sum leaves
     f = fused(spark, t).withColumns({c: F.round(c, 9) for c in ("final_score", "consistency")})
     spoof = F.when(F.col("pair_id") % 7 == 0, 0.71).otherwise(0.7)
-    light = R.lights(F.lit(0.0), F.lit(0.0), F.col("consistency"))["consistency_light"]
-    return f.select("pair_id", R.gated_verdict(F.col("final_score"), F.col("consistency"), spoof, F.lit(0.1)).alias("verdict_code"), F.array_join(R.warnings(F.col("pair_id") % 2 == 0, F.col("consistency")), ",").alias("warning_codes"), light.alias("consistency_light"))
+    k, x = F.col("pair_id"), F.lit(1.0) - F.col("l_discount")
+    spread = t("lineitem").groupBy(F.col("l_suppkey").alias("pair_id")).agg((F.stddev_pop(x) / F.sqrt(F.count("*"))).alias("se"), F.median(x).alias("middle"))
+    spread = spread.select("pair_id", F.round(F.lit(4.0) * F.col("se") * (k % 6 + 1), 9).alias("width"), F.round(F.col("middle") - (k % 4) * F.lit(0.1), 9).alias("middle"))
+    f = f.join(spread, "pair_id")
+    lights = [c.alias(name) for name, c in R.lights(F.col("width"), F.col("middle"), F.col("consistency")).items()]
+    return f.select("pair_id", R.gated_verdict(F.col("final_score"), F.col("consistency"), spoof, F.lit(0.1)).alias("verdict_code"), F.array_join(R.warnings(F.col("pair_id") % 2 == 0, F.col("consistency")), ",").alias("warning_codes"), *lights)
 
 
 @query(
