@@ -1,4 +1,4 @@
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 
@@ -58,6 +58,20 @@ def test_apply_mix_takes_whole_documents(spark):
     assert out[0].asDict().keys() == docs.first().asDict().keys()
 
 
+def test_rows_that_differ_in_other_columns_only_stay_apart(spark):
+    """The same id and text from two sources, and with a null that moves from column to column."""
+    text = "one two three four five six seven eight"
+    rows = [(1, text, "x", None, "u"), (1, text, "y", "u", None), (1, text, "y", "v", None), (2, ". .", "x", None, None), (3, ". .", "y", None, None)]
+    schema = "doc_id long, text string, source string, lang string, note string"
+    got = Counter(tuple(r) for r in mixing.apply_mix(spark.createDataFrame(rows, schema)).collect())
+    mixed = mixing.mix(spark.createDataFrame(rows, schema), keep=["lang", "note"]).collect()
+    want = Counter()
+    for r in mixed:
+        text_of = text if r["doc_id"] == 1 else ". ."
+        want[r["doc_id"], text_of, r["source"], r["lang"], r["note"]] += sum(2 * p["n"] >= r["size"] for p in r["parts"])
+    assert got == Counter({k: n for k, n in want.items() if n}) and {k[2] for k in got} == {"x", "y"} and all(got[r] for r in rows[1:3])
+
+
 def test_empty(spark):
     assert mixing.mix(empty(spark)).count() == 0
     assert mixing.apply_mix(empty(spark)).count() == 0

@@ -55,6 +55,12 @@ def batch_rows(spark: SparkSession, rows: int):
         spark.conf.set(key, before)
 
 
+def row_hash(docs: DataFrame, seed: int) -> Column:
+    """A hash of all columns, never null; a null differs from every value, in whichever column it stands."""
+    every = [x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    return F.xxhash64(F.lit(seed), *every)
+
+
 def text_of(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, n_words, prefix
+from .common import materialise, n_words, prefix, row_hash
 
 #: Schedules dealt to the sources in turn: level, falling, rising, early peak (weights at equally spaced knots).
 SCHEDULES = ((1.0, 1.0, 1.0), (1.5, 1.0, 0.5), (0.5, 1.0, 1.5), (0.75, 1.5, 0.25))
@@ -94,9 +94,9 @@ def mix(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str =
 
 def apply_mix(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """``docs`` as the mix takes them: whole documents, once for each pass that takes at least half of their
-    words, sorted by training position."""
-    own = {"_d": F.xxhash64(F.lit(3), F.col(doc)), "_t": F.xxhash64(F.lit(4), F.col(text))}  # never null
-    got = mix(docs.select(doc, source, text).withColumns(own), doc, text, source, keep=["_d", "_t"], **how)
+    words, sorted by training position. Rows that differ in any column are different documents."""
+    own = {"_d": row_hash(docs, 3), "_t": row_hash(docs, 4)}
+    got = mix(docs.withColumns(own).select(doc, source, text, *own), doc, text, source, keep=["_d", "_t"], **how)
     enough = F.filter(F.arrays_zip("positions", "parts"), lambda x: x["parts"]["n"] * 2 >= F.col("size"))
     got = got.select("_d", "_t", F.transform(enough, lambda x: x["positions"]).alias("_p")).where(F.size("_p") > 0)
     # equal rows: their positions one by one, each to one of them by its number
