@@ -137,12 +137,22 @@ def with_neighbours(docs: DataFrame, doc: str = "doc_id", text: str = "text", ra
     if hot:
         many = rows.where(F.col("key").isin(hot))
         once = rows.where(~F.col("key").isin(hot)).union(many.groupBy("key").agg(F.first("d").alias("d"), F.first("t").alias("t")).select("d", "t", "key"))
-    once = once.withColumn("r", range_of("key"))
-    at = lambda table: F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.col("r"))
-    own = F.struct(F.col("r").alias("r"), F.lit(0).alias("extra"))
-    sent = F.when(F.col("key") == at(heads), F.array(own, F.struct(at(before).alias("r"), F.lit(1).alias("extra")))).otherwise(F.array(own))
-    dealt = once.withColumn("s", F.explode(sent)).select("d", "t", "key", F.col("s.r").alias("r"), F.col("s.extra").alias("extra"))
-    dealt = dealt.withColumn("p", at(dict(zip(used, _tickets(spark, len(used)), strict=True)))).repartition(len(used), "p").sortWithinPartitions("r", "extra", "key")
+    # by range: its first key, the range before it, its ticket
+    ticket = dict(zip(used, _tickets(spark, len(used)), strict=True))
+    every = range(used[-1] + 1)
+    guide = spark.sparkContext.broadcast((np.array([heads.get(r, "") for r in every], dtype=object), np.array([before.get(r, 0) for r in every]), np.array([ticket.get(r, 0) for r in every])))
+
+    @F.pandas_udf("r int, p int, first boolean, before_r int, before_p int")
+    def placed(keys: pd.Series) -> pd.DataFrame:
+        first_key, previous, tickets = guide.value
+        r = np.searchsorted(bounds.value, keys.to_numpy(dtype=object), side="right")
+        return pd.DataFrame({"r": r, "p": tickets[r], "first": first_key[r] == keys.to_numpy(dtype=object), "before_r": previous[r], "before_p": tickets[previous[r]]})
+
+    once = once.withColumn("w", placed("key"))
+    own = F.struct(F.col("w.r").alias("r"), F.col("w.p").alias("p"), F.lit(0).alias("extra"))
+    ahead = F.struct(F.col("w.before_r").alias("r"), F.col("w.before_p").alias("p"), F.lit(1).alias("extra"))
+    dealt = once.withColumn("s", F.explode(F.when(F.col("w.first"), F.array(own, ahead)).otherwise(F.array(own)))).select("d", "t", "key", "s.*")
+    dealt = dealt.repartition(len(used), "p").sortWithinPartitions("r", "extra", "key")
     repeated = frozenset(hot)
 
     def stream(batches):
