@@ -115,3 +115,35 @@ def test_similar_groups_do_not_rest_on_the_least_node(spark):
     chain = [" ".join([f"y{i}" if i < 9 * k else w for i, w in enumerate(words)]) for k in range(8)]
     got = simhash.similar_groups(spark.createDataFrame([(i, t, "x") for i, t in enumerate(chain)], SCHEMA), block=3).collect()
     assert len(got) == 8 and len({r["root"] for r in got}) == 1
+
+
+def test_one_of_each_does_not_mix_rows(spark):
+    """Rows of one id and text but of different columns: always the same whole row stays."""
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, f"s{i}", i) for i in range(8)] + [(2, text, "s0", 9)]
+    schema = "doc_id long, text string, source string, n int"
+    kept = {tuple(simhash.one_of_each(spark.createDataFrame(x, schema).repartition(p)).first()) for x, p in ((rows, 3), (rows[::-1], 5))}
+    assert len(kept) == 1 and kept <= set(rows)
+
+
+def test_cells_of_many_nodes_are_dealt_in_blocks(spark):
+    """The same links whether a cell is searched whole or in pairs of blocks."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(60):
+        own = np.unique(np.concatenate([np.arange(50) + 1000 * (i % 6), rng.integers(10**6, 10**7, size=int(rng.integers(1, 20)))])).astype(np.uint64)
+        rows.append((7 if i < 50 else 8, i, len(own), i, bytearray(own.tobytes())))
+    cells = spark.createDataFrame(rows, "key long, node long, size long, root long, data binary").repartition(4)
+    sets = {r[1]: set(np.frombuffer(bytes(r[4]), dtype=np.uint64).tolist()) for r in rows}
+
+    def groups(block):
+        found = simhash._searched(cells, simhash._joins, "test", 80, block).collect()
+        nodes, least = simhash.roots(np.array([r["u"] for r in found]), np.array([r["v"] for r in found]))
+        return dict(zip(nodes.tolist(), least.tolist(), strict=True))
+
+    whole = groups(4096)
+    assert whole == groups(8) and len(whole) > 5
+    for a in range(50):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                assert whole[a] == whole[b]

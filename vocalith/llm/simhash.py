@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from .common import batch_rows, bounded_batches, materialise
+from .common import batch_rows, bounded_batches, materialise, row_hash
 from .components import components, roots
 
 SEED = 42
@@ -223,7 +223,7 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", wo
     nodes of their fingerprints, to which the other nodes of the same fingerprint are tied.
     """
     bounded_batches(docs.sparkSession)
-    marked = docs.select(F.col(doc).alias(doc), F.xxhash64(text).alias("text_hash"), fingerprint_udf(words, seeds)(F.coalesce(F.col(text), F.lit(""))).alias("fps"))
+    marked = docs.select(F.col(doc).alias(doc), row_hash(docs, 5).alias("_r"), F.xxhash64(text).alias("text_hash"), fingerprint_udf(words, seeds)(F.coalesce(F.col(text), F.lit(""))).alias("fps"))
     node = F.col("fps")[0] if len(seeds) == 1 else F.xxhash64("fps")
     marked = materialise(marked.withColumn("node", node), "simhash-fp")
     nodes = materialise(marked.groupBy("node").agg(F.min(doc).alias("rep"), F.first("fps").alias("fps")), "simhash-distinct")
@@ -349,7 +349,7 @@ def _forests(x: pd.DataFrame, percent: int) -> pd.DataFrame:
         out.append((got[:, 0] + s, got[:, 1] + s, got[:, 2]))
     i, j, equal = (np.concatenate(c).astype(np.int64) for c in zip(*out, strict=True))
     u, v = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-    return pd.DataFrame({"u": u, "v": v, "equal": equal.astype(np.int32), "over": False})[u != v]
+    return pd.DataFrame({"u": u, "v": v, "equal": equal.astype(np.int32)})[u != v]
 
 
 def _common(sets: list[np.ndarray], columns: int = 2048) -> np.ndarray:
@@ -364,7 +364,8 @@ def _common(sets: list[np.ndarray], columns: int = 2048) -> np.ndarray:
         a, b = np.searchsorted(at, [c, c + columns])
         x = np.zeros((len(sets), columns), dtype=np.float32)
         x[of[a:b], at[a:b] - c] = 1
-        out += x @ x.T
+        for r in range(0, len(sets), 1024):  # a product of all rows at once would be as large as the result
+            out[r : r + 1024] += x[r : r + 1024] @ x.T
     return out
 
 
@@ -377,34 +378,32 @@ def _joins(x: pd.DataFrame, percent: int) -> pd.DataFrame:
         r = root[s : s + n]
         if (r == r[0]).all():
             continue
-        common = _common([np.frombuffer(d, dtype=np.uint64) for d in data[s : s + n]]).astype(np.int64)
-        union = size[s : s + n, None] + size[None, s : s + n] - common
-        i, j = np.nonzero((100 * common >= percent * union) & (r[:, None] != r[None, :]))
+        common, own, found = _common([np.frombuffer(d, dtype=np.uint64) for d in data[s : s + n]]), size[s : s + n], []
+        for a in range(0, n, 512):
+            some = common[a : a + 512].astype(np.int64)
+            hit = (100 * some >= percent * (own[a : a + 512, None] + own[None] - some)) & (r[a : a + 512, None] != r[None])
+            found.append(np.nonzero(hit) + np.array([[a], [0]]))
+        i, j = np.concatenate(found, axis=1)
         if len(i):
             nodes, least = roots(r[i], r[j])
             u.append(nodes[nodes != least])
             v.append(least[nodes != least])
     u, v = np.concatenate(u), np.concatenate(v)
-    return pd.DataFrame({"u": u, "v": v, "equal": np.zeros(len(u), np.int32), "over": False})
+    return pd.DataFrame({"u": u, "v": v, "equal": np.zeros(len(u), np.int32)})
 
 
-def _cell_search(pairs, percent: int, most: int | None, heavy: int = 1 << 22):
-    """Batches sorted by key -> ``pairs`` of each cell. As in ``_search``, a cell of more than ``most`` rows, or of more
-    than ``heavy`` shingles, comes back by key (over true), to be searched in pairs of blocks."""
+def _cell_search(pairs, percent: int):
+    """Batches sorted by key -> ``pairs`` of each cell."""
 
     def run(batches):
-        held, over = None, None
-        for b in batches:
-            b = b if over is None else b[b["key"] != over]
-            x = b if held is None else pd.concat([held, b], ignore_index=True)
+        held = None
+        for x in batches:
+            x = x if held is None else pd.concat([held, x], ignore_index=True)
             if not len(x):
                 continue
             last = x["key"].iloc[-1]
             held = x[x["key"] == last]
             yield pairs(x[x["key"] != last], percent)
-            if most is not None and len(held) > 2 and (len(held) > most or held["size"].sum() > heavy):
-                over, held = last, held.iloc[:0]
-                yield pd.DataFrame({"u": [last], "v": [last], "equal": np.zeros(1, np.int32), "over": [True]})
         if held is not None:
             yield pairs(held, percent)
 
@@ -412,20 +411,21 @@ def _cell_search(pairs, percent: int, most: int | None, heavy: int = 1 << 22):
 
 
 def _searched(cells: DataFrame, pairs, name: str, percent: int, block: int, heavy: int = 1 << 22) -> DataFrame:
-    """Cells (key, node, size, root, data) -> (u, v, equal) of ``pairs`` in each."""
-    schema = "u long, v long, equal int, over boolean"
-    dealt = cells.repartition("key").sortWithinPartitions("key")
-    got = materialise(dealt.mapInPandas(_cell_search(pairs, percent, block, heavy), schema), f"simhash-{name}")
-    large = got.where("over").select(F.col("u").alias("key")).distinct()
-    out = got.where("not over").drop("over")
-    if not large.isEmpty():
-        counts = cells.join(large, "key").groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
-        counts = materialise(counts.select("key", F.greatest(F.ceil(F.col("n") / F.lit(block)), F.ceil(F.col("s") * 2 / F.lit(heavy))).cast("int").alias("parts")), "simhash-large")
-        spread = cells.join(counts, "key").withColumns({"b": F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), "o": F.explode(F.sequence(F.lit(0), F.col("parts") - 1))})
-        spread = spread.withColumn("key", F.xxhash64("key", F.least("b", "o"), F.greatest("b", "o"))).drop("parts", "b", "o")
-        more = spread.repartition("key").sortWithinPartitions("key").mapInPandas(_cell_search(pairs, percent, None), schema)
-        out = out.union(materialise(more, f"simhash-{name}-blocks").drop("over"))
-    return out.groupBy("u", "v").agg(F.max("equal").alias("equal"))
+    """Cells (key, node, size, root, data) -> (u, v, equal) of ``pairs`` in each.
+
+    Cells are counted first, by an aggregation with map-side combining. One of more than ``block`` nodes, or more than
+    ``heavy`` shingles, is dealt as pairs of its blocks from the start, so it never passes through one task.
+    """
+    parts = F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum("size") * 2 / F.lit(heavy))).cast("int")
+    counts = cells.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("s"), parts.alias("parts"))
+    large = materialise(counts.where(((F.col("n") > block) | (F.col("s") > heavy)) & (F.col("n") > 2)).select("key", "parts"), f"simhash-{name}-large")
+    spread = cells.join(large, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    spread = spread.withColumns({"b": F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), "o": F.explode(F.sequence(F.lit(0), F.col("parts") - 1))})
+    of_blocks = F.xxhash64("key", F.least("b", "o"), F.greatest("b", "o"))
+    spread = spread.withColumn("key", F.when(F.col("parts") > 1, of_blocks).otherwise(F.col("key"))).drop("parts", "b", "o")
+    dealt = spread.repartition("key").sortWithinPartitions("key")
+    got = materialise(dealt.mapInPandas(_cell_search(pairs, percent), "u long, v long, equal int"), f"simhash-{name}")
+    return got.groupBy("u", "v").agg(F.max("equal").alias("equal"))
 
 
 def _thinned(edges: DataFrame) -> DataFrame:
@@ -486,7 +486,7 @@ def _shingles_udf(words: int):
 
 
 def similar_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = 5, bits: int = 4, seeds: tuple[int, ...] = (SEED,), percent: int = ALIKE, block: int = 4096) -> DataFrame:
-    """One row (doc, _d, _h, root) per row of ``docs``: documents link if their shingles are ``percent`` similar.
+    """One row (doc, _d, _h, _r, root) per row of ``docs``: documents link if their shingles are ``percent`` similar.
 
     Two documents are compared where they share a cell: a SimHash component, or one of the band keys, which find
     what lies beyond ``bits``. Texts of the same words are one node. In a cell, sketches of the sets give a spanning
@@ -496,8 +496,8 @@ def similar_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", wor
     blocks; none is dropped, and no task emits all pairs of a group.
     """
     groups = near_duplicates(docs, doc, text, words, bits, seeds=seeds).select("text_hash", "root").dropDuplicates(["text_hash"])
-    marked = docs.select(F.col(doc).alias(doc), F.xxhash64(text).alias("text_hash"), *[v.alias(k) for k, v in _identity(doc, text).items()], _band_udf(words)(F.coalesce(F.col(text), F.lit(""))).alias("s"))
-    marked = materialise(marked.select(doc, "text_hash", "_d", "_h", "s.*"), "simhash-bands")
+    marked = docs.select(F.col(doc).alias(doc), row_hash(docs, 5).alias("_r"), F.xxhash64(text).alias("text_hash"), *[v.alias(k) for k, v in _identity(doc, text).items()], _band_udf(words)(F.coalesce(F.col(text), F.lit(""))).alias("s"))
+    marked = materialise(marked.select(doc, "text_hash", "_d", "_h", "_r", "s.*"), "simhash-bands")
     one = F.min(F.struct("_d", "_h", "text_hash")).alias("one")
     nodes = materialise(marked.groupBy("node").agg(F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), one), "simhash-nodes")
     near = nodes.join(groups.withColumnRenamed("text_hash", "h"), nodes["one.text_hash"] == F.col("h")).select(F.xxhash64(F.lit("root"), "root").alias("key"), "node")
@@ -518,16 +518,18 @@ def similar_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", wor
     rest = open_.join(sets, "node").withColumn("size", (F.octet_length("data") / 8).cast("long"))
     rest = _searched(rest, _joins, "joins", percent, block).select("u", "v")
     found = components(links.union(materialise(rest, "simhash-rest")))
-    return marked.join(found.withColumnRenamed("u", "node"), "node", "left").select(doc, "_d", "_h", F.coalesce("root", "node").alias("root"))
+    return marked.join(found.withColumnRenamed("u", "node"), "node", "left").select(doc, "_d", "_h", "_r", F.coalesce("root", "node").alias("root"))
 
 
 def one_of_each(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = 5, bits: int = 4, seeds: tuple[int, ...] = (SEED,), percent: int = ALIKE) -> DataFrame:
-    """``docs`` with one document of each group of ``similar_groups``: the one of the smallest id, then text hash."""
+    """``docs`` with one document of each group of ``similar_groups``: the one of the smallest id, then text hash, then hash of the whole
+    row, so that rows of the same id and text, but of different source, do not take turns."""
     groups = similar_groups(docs, doc, text, words, bits, seeds, percent)
-    kept = groups.groupBy("root").agg(F.min(F.struct(F.col(doc).isNull(), F.col(doc).alias("k"), F.col("_h").alias("_h"), F.col("_d").alias("_d"))).alias("m")).select("m._d", "m._h")
-    kept = materialise(kept, "simhash-kept")
+    first = F.min(F.struct(F.col(doc).isNull(), F.col(doc).alias("k"), F.col("_h").alias("_h"), F.col("_d").alias("_d"), F.col("_r").alias("_r"))).alias("m")
+    kept = materialise(groups.groupBy("root").agg(first).select("m._d", "m._h", "m._r"), "simhash-kept")
     # dropping repeats deals the texts by the same keys as the join: one shuffle of them
-    return docs.withColumns(_identity(doc, text)).dropDuplicates(["_d", "_h"]).join(kept, ["_d", "_h"], "left_semi").select(*docs.columns)
+    own = _identity(doc, text) | {"_r": row_hash(docs, 5)}
+    return docs.withColumns(own).dropDuplicates(list(own)).join(kept, list(own), "left_semi").select(*docs.columns)
 
 
 def hex_fingerprint(fp="fp"):
