@@ -1,10 +1,12 @@
-"""Ordered rule cascades: constraints, tamper detection, verdicts. All are row expressions over aggregates.
+"""Ordered rule cascades: constraints, tamper detection, verdicts. All but the constraints are row expressions over aggregates.
 
 Codes, not prose, come out. Comparisons are strict or inclusive as written; the first arm that holds counts.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,46 +21,59 @@ def by_gender(gender: Column, values: dict[str, float]) -> Column:
     return F.when(gender == "female", F.lit(float(values["female"]))).when(gender == "child", F.lit(float(values["child"]))).otherwise(F.lit(float(values["male"])))
 
 
+#: The distance to a neighbour that is put in order and its factor; how far beyond a range, below and
+#: above, halves a reliability; limits of F2/F1 and the factors of what lies beyond; the least reliability of what was changed.
+_ORDER_STEP, _ORDER_FACTOR, _BELOW, _ABOVE = 100.0, 0.7, 100.0, 200.0
+_RATIO_LIMITS, _RATIO_FACTORS, _LEAST = (1.3, 4.5), (0.6, 0.7), 0.1
+_GENDERS = ("male", "female", "child")
+
+
+def _constrained(on: np.ndarray, gender: np.ndarray, f: list[np.ndarray], r: list[np.ndarray]) -> np.ndarray:
+    """Changes frequencies and reliabilities in place (NaN: unknown, which no comparison holds for); where it did."""
+    changed = np.zeros(len(on), dtype=bool)
+    for a, b in zip(range(3), range(1, 4), strict=True):
+        bad = on & (f[a] > 0) & (f[b] > 0) & (f[b] <= f[a])
+        lower, upper = bad & (r[a] < r[b]), bad & (r[a] >= r[b])  # the less reliable one moves
+        f[a][lower], f[b][upper] = f[b][lower] - _ORDER_STEP, f[a][upper] + _ORDER_STEP
+        r[a][lower] *= _ORDER_FACTOR
+        r[b][upper] *= _ORDER_FACTOR
+        changed |= bad
+    for k, name in enumerate(FORMANTS):
+        lo, hi = (np.array([float(FORMANT_RANGES[g][name][i]) for g in _GENDERS])[gender] for i in (0, 1))
+        some = on & (f[k] > 0)
+        for out, end, span in ((some & (f[k] < lo), lo, _BELOW), (some & (f[k] > hi), hi, _ABOVE)):
+            r[k][out] *= 1 - 0.5 * np.minimum(1.0, np.abs(end[out] - f[k][out]) / span)
+            f[k][out] = end[out]
+            changed |= out
+    both = on & (f[0] > 0) & (f[1] > 0)
+    x = np.divide(f[1], f[0], out=np.full(len(on), np.nan), where=both)
+    factor = np.where(x < _RATIO_LIMITS[0], _RATIO_FACTORS[0], np.where(x > _RATIO_LIMITS[1], _RATIO_FACTORS[1], 1.0))
+    r[0] *= factor
+    r[1] *= factor
+    for x in r:
+        x[changed] = np.fmax(_LEAST, x[changed])
+    return changed
+
+
 def enforce_constraints(frames: DataFrame) -> DataFrame:
     """Physiological constraints on voiced frames with energy: order, ranges, F2/F1, floor, then intervals.
 
-    Each step reads what the one before it left, so the steps are staged columns; Catalyst folds them into one
-    projection. Columns: gender, is_voiced, energy, formant_count, F1..F4 and F1_reliability..F4_reliability.
+    Each step reads what the one before it left. As column expressions the steps make one generated method that is too
+    long to be compiled, so they run over the arrays of an Arrow batch. Columns: gender, is_voiced, energy, formant_count, F1..F4
+    and F1_reliability..F4_reliability; ``modified`` and ``odd_intervals`` are added.
     """
-    r = lambda f: f"{f}_reliability"
-    out = frames.withColumn("_on", F.coalesce(F.col("is_voiced"), F.lit(True)) & (F.coalesce(F.col("energy"), F.lit(1.0)) > 0)).withColumn("_mod", F.lit(False))
-    for a, b in zip(FORMANTS, FORMANTS[1:], strict=False):
-        bad = F.col("_on") & (F.col(a) > 0) & (F.col(b) > 0) & (F.col(b) <= F.col(a))
-        first = F.col(r(a)) >= F.col(r(b))
-        out = out.withColumns({"_bad": F.coalesce(bad, F.lit(False)), "_first": first})
-        out = out.withColumns(
-            {
-                a: F.when(F.col("_bad") & ~F.col("_first"), F.col(b) - 100.0).otherwise(F.col(a)),
-                b: F.when(F.col("_bad") & F.col("_first"), F.col(a) + 100.0).otherwise(F.col(b)),
-                r(a): F.when(F.col("_bad") & ~F.col("_first"), F.col(r(a)) * 0.7).otherwise(F.col(r(a))),
-                r(b): F.when(F.col("_bad") & F.col("_first"), F.col(r(b)) * 0.7).otherwise(F.col(r(b))),
-                "_mod": F.col("_mod") | F.col("_bad"),
-            }
-        )
-    for f in FORMANTS:
-        lo, hi = (by_gender(F.col("gender"), {g: v[f][i] for g, v in FORMANT_RANGES.items()}) for i in (0, 1))
-        some = F.col("_on") & (F.col(f) > 0)
-        low, high = F.coalesce(some & (F.col(f) < lo), F.lit(False)), F.coalesce(some & (F.col(f) > hi), F.lit(False))
-        cut = F.when(low, F.least(F.lit(1.0), (lo - F.col(f)) / 100.0)).when(high, F.least(F.lit(1.0), (F.col(f) - hi) / 200.0))
-        out = out.withColumns({"_low": low, "_high": high, "_cut": cut})
-        out = out.withColumns(
-            {
-                f: F.when(F.col("_low"), lo).when(F.col("_high"), hi).otherwise(F.col(f)),
-                r(f): F.when(F.col("_low") | F.col("_high"), F.col(r(f)) * (F.lit(1.0) - F.lit(0.5) * F.col("_cut"))).otherwise(F.col(r(f))),
-                "_mod": F.col("_mod") | F.col("_low") | F.col("_high"),
-            }
-        )
-    f2_f1 = F.when(F.col("_on") & (F.col("F1") > 0) & (F.col("F2") > 0), F.col("F2") / F.nullif(F.col("F1"), F.lit(0.0)))
-    #: Limits of F2/F1 and the factors of what lies beyond.
-    factor = F.when(f2_f1 < 1.3, 0.6).when(f2_f1 > 4.5, 0.7).otherwise(1.0)
-    out = out.withColumn("_factor", factor).withColumns({r(f): F.col(r(f)) * F.col("_factor") for f in ("F1", "F2")})
-    out = out.withColumns({r(f): F.when(F.col("_mod"), F.greatest(F.lit(0.1), F.col(r(f)))).otherwise(F.col(r(f))) for f in FORMANTS})
-    return check_intervals(out.withColumnRenamed("_mod", "modified")).drop("_on", "_bad", "_first", "_low", "_high", "_cut", "_factor")
+    values = [*FORMANTS, *[f"{f}_reliability" for f in FORMANTS]]
+
+    @F.pandas_udf(", ".join(f"`{c}` double" for c in values) + ", modified boolean")
+    def run(on: pd.Series, gender: pd.Series, x: pd.DataFrame) -> pd.DataFrame:
+        v = [x[c].to_numpy(dtype=float, copy=True) for c in values]
+        changed = _constrained(on.to_numpy(dtype=bool), gender.to_numpy(), v[:4], v[4:])
+        return pd.DataFrame(dict(zip(values, v, strict=True)) | {"modified": changed})
+
+    on = F.coalesce(F.col("is_voiced"), F.lit(True)) & (F.coalesce(F.col("energy"), F.lit(1.0)) > 0)
+    code = F.when(F.col("gender") == "female", 1).when(F.col("gender") == "child", 2).otherwise(0)
+    out = frames.withColumn("_c", run(on, code, F.struct(*[F.col(c).cast("double").alias(c) for c in values])))
+    return check_intervals(out.withColumns({c: F.col(f"_c.{c}") for c in [*values, "modified"]}).drop("_c"))
 
 
 def check_intervals(frames: DataFrame) -> DataFrame:
