@@ -1,6 +1,6 @@
 """Recordings as tables: decoding, information, guards, metadata, weights, class maps.
 
-Only PCM WAV is decoded here (standard library); other whitelisted formats come out with a status instead of
+PCM WAV and FLAC are decoded here; other whitelisted formats come out with a status instead of
 samples, to be decoded by a reader that has the codecs. Embeddings enter as tables.
 """
 
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.signal import SAMPLE_RATE, resample
+from . import flac
 
 #: Fixed values.
 EXTENSIONS = (".wav", ".mp3", ".m4a", ".flac", ".ogg")
@@ -94,6 +95,13 @@ def encode_wav(x: np.ndarray, sr: int = SAMPLE_RATE) -> bytes:
     return out.getvalue()
 
 
+def decode_flac(data: bytes) -> tuple[np.ndarray, int, int, int]:
+    """(mono samples in -1..1, rate, channels, bits)."""
+    x, info = flac.decode(data)
+    return x.mean(axis=1) / float(1 << (info.bits - 1)), info.rate, info.channels, info.bits
+
+
+_DECODERS = {"wav": decode_wav, "flac": decode_flac}
 _DECODED = "rec_id string, path string, sr int, channels int, bits int, frames long, duration_s double, format string, status string, amp array<double>"
 
 
@@ -109,9 +117,9 @@ def decoded(files: DataFrame, target: int | None = SAMPLE_RATE) -> DataFrame:
             for path, data in zip(b["path"], b["content"], strict=True):
                 name, dot = path.rsplit("/", 1)[-1], path.rsplit(".", 1)[-1].lower()
                 row = [name.rsplit(".", 1)[0], path, None, None, None, None, None, dot, "unsupported", None]
-                if dot == "wav":
+                if dot in _DECODERS:
                     try:
-                        x, sr, channels, bits = decode_wav(data)
+                        x, sr, channels, bits = _DECODERS[dot](data)
                         frames, seconds = len(x), len(x) / sr
                         level = 20 * np.log10(max(float(np.sqrt(np.mean(x**2))) if len(x) else 0.0, 1e-10))
                         if len(x) and level < QUIET_DBFS and np.abs(x).max() > 0:
