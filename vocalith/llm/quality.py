@@ -240,13 +240,13 @@ def with_features(docs: DataFrame, text: str = "text", out: str = "_features") -
     return docs.withColumn(out, run(text_of(text)))
 
 
-def fit(rows: DataFrame, labels: DataFrame, doc: str = "doc_id", label: str = "quality", rows_a_label: int = 10_000, x: str = "_features") -> Additive:
-    """``rows`` (doc, features) and ``labels`` (doc, label) -> the model of a bounded sample of the labelled rows."""
+def fit(rows: DataFrame, labels: DataFrame, doc: str = "doc_id", label: str = "quality", rows_a_label: int = 10_000, own: str | None = None, x: str = "_features") -> Additive:
+    """``rows`` (``own`` or doc, features) and ``labels`` (doc, label) -> the model of a bounded sample of the labelled rows."""
     told = labels.where(F.col(doc).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(doc).alias("_d")).agg(F.max(label).cast("int").alias("_y"))
     order = F.xxhash64("_d")
     sampled = [told.where(F.col("_y") == k).orderBy(order, "_d").limit(rows_a_label) for k in (0, 1)]
     # the ids of the sample are bounded by its size; so are its rows, even where many share an id
-    got = rows.join(F.broadcast(sampled[0].union(sampled[1])), F.col(doc) == F.col("_d")).select(F.col(x).alias("x"), "_y", order.alias("h"))
+    got = rows.join(F.broadcast(sampled[0].union(sampled[1])), F.col(own or doc) == F.col("_d")).select(F.col(x).alias("x"), "_y", order.alias("h"))
     got = got.orderBy("h", F.xxhash64("x")).limit(2 * rows_a_label).collect()
     wide = np.array([r["x"] for r in got], dtype=float).reshape(len(got), -1 if got else 0)
     return learn(wide, np.array([r["_y"] for r in got], dtype=float))
@@ -263,9 +263,11 @@ def scored(rows: DataFrame, model: Additive, x: str = "_features") -> DataFrame:
     return got.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", learn_from=None, label: str = "quality", rows_a_label: int = 10_000) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1, higher: label 1 likelier) and ``predicted``. ``learn_from``: a condition on the
-    ids of ``labels`` that may be learned from. Texts are read once; their features are written."""
-    rows = materialise(with_features(docs, text), "quality-features")
-    model = fit(rows, labels if learn_from is None else labels.where(learn_from), doc, label, rows_a_label)
-    return scored(rows, model).select(*[c for c in docs.columns if c not in ("score", "predicted")], "score", "predicted")
+def classify(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", learn_from=None, label: str = "quality", rows_a_label: int = 10_000, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (of its columns those in ``keep``, or all) with ``score`` (0 to 1, higher: label 1 likelier) and ``predicted``. ``learn_from``: a condition on the
+    ids of ``labels`` that may be learned from. Texts are read once; their features are written, and what is kept."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
+    rows = with_features(docs, text).select(F.col(doc).alias("_doc"), *keep, "_features")
+    rows = materialise(rows, "quality-features")
+    model = fit(rows, labels if learn_from is None else labels.where(learn_from), doc, label, rows_a_label, "_doc")
+    return scored(rows, model).select(*keep, "score", "predicted")

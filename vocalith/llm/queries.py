@@ -68,7 +68,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir).select("doc_id", "text")
-    got = quality.classify(docs, table(spark, sf_dir, "labels"), learn_from=fold(3) != 1)
+    got = quality.classify(docs, table(spark, sf_dir, "labels"), learn_from=fold(3) != 1, keep=["doc_id"])
     return got.select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
