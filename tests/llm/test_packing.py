@@ -28,6 +28,38 @@ def test_encoder_agrees_with_the_tokenizer(tokenizer):
         assert encode(texts) == want
 
 
+def test_encoder_agrees_on_every_character(tokenizer):
+    encode = packing.Encoder(PATH)
+    assert encode.fast is not None
+    chars = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    texts = ["".join(f"a{c}a {c} 1{c}1{c}{c}\n{c}'s {c}\t" for c in chars[a : a + 512]) for a in range(0, len(chars), 512)]
+    assert all(encode([t])[0] == np.array(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts)
+
+
+def test_encoder_of_long_runs(tokenizer):
+    encode = packing.Encoder(PATH)
+    texts = [c * 300_000 for c in ("a", " ", "\n", "é", "!", "漢", "1")] + [" \n" * 100_000 + "x", "ab" * 150_000]
+    assert encode(texts) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+
+
+def test_other_tokenizers_are_left_to_their_library(tmp_path, tokenizer):
+    """One whose merges are not in the order of ids, and one that adds a blank in front."""
+    import json
+
+    for change in ("order", "prefix"):
+        told = json.loads(tokenizer.to_str())
+        if change == "order":
+            told["model"]["merges"][5:7] = told["model"]["merges"][6:4:-1]
+        else:
+            told["pre_tokenizer"]["add_prefix_space"] = True
+        path = tmp_path / f"{change}.json"
+        path.write_text(json.dumps(told))
+        encode = packing.Encoder(str(path))
+        assert encode.fast is None
+        other, texts = Tokenizer.from_file(str(path)), ["the other one", "in the end"]
+        assert encode(texts) == [np.array(other.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_plan_places_each_piece_once(seed):
     rng = random.Random(seed)
