@@ -17,7 +17,7 @@ Training: word and symbol counts cover all training documents. The attention wei
 of the training documents that is chosen by hash and grows with them (``part`` of them, ``per_task`` at least): it
 is tokenized once, and in every round each task trains on its own ``per_task`` documents, after which weights are
 averaged and the components' counts added. The mixture's share m is fitted to ``judged`` other training documents
-(of at most ``longest`` characters, which come to the driver), their own words not counted.
+(of any length; ``longest`` characters of one come to the driver), their own words not counted.
 
 Cases: a null text is empty: the end token alone is scored; ids may be null or repeated, each row is scored; an
 empty training side gives log10(1 / 1) for each unknown token in the base, and m is 0; very long texts are split and
@@ -302,10 +302,14 @@ def _train(sample: DataFrame, tasks: int, model: attention.Model, rates: tuple[f
 
 
 def _mixture_share(docs: DataFrame, words: DataFrame, doc: str, text: str, training: Column, path: str, n_train: int, model: attention.Model, total: int, distinct: int, new: float, judged: int, longest: int) -> float:
-    """m by expectation maximisation over texts that the model has not learned from."""
+    """m by expectation maximisation over texts that the model has not learned from: ``judged`` of them by hash, of any
+    length. Of one of more than ``longest`` characters that many from a place by hash on are taken, without words cut in two."""
     share = min(1 - _JUDGES, 2 * judged / max(1, n_train))
-    h = _hash(doc, text)
-    rows = docs.where(training & (F.length(text) <= longest) & (h >= F.lit(int((1 - share) * _HASHES)))).select(h.alias("h"), F.col(text).alias("t")).orderBy("h", "t").limit(judged).collect()
+    h, n = _hash(doc, text), F.length(text)
+    whole = r"^[^\x20\x09-\x0D]+|[^\x20\x09-\x0D]+$"
+    stretch = F.regexp_replace(F.substring(F.col(text), (F.pmod(h, F.greatest(n - longest, F.lit(1))) + 1).cast("int"), F.lit(longest)), whole, "")
+    t = F.when(n > longest, stretch).otherwise(F.col(text))
+    rows = docs.where(training & F.col(text).isNotNull() & (h >= F.lit(int((1 - share) * _HASHES)))).select(h.alias("h"), t.alias("t")).orderBy("h", "t").limit(judged).collect()
     if not rows:
         return 0.5
     flat, lengths, symbols, per = _symbols_of(pa.array([r["t"] for r in rows], pa.string()), path)
