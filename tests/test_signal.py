@@ -126,3 +126,19 @@ def test_prepared_segments(spark):
     # scores .58 .6 .52 .5 .6 0 .3: windows 1 and 4 (3 apart, one second in common), then the best of the rest
     assert [(x["r"], x["s"], x["seg_no"], x["filled"]) for x in got] == [("a", 0.0, 1, True), ("a", 1.0, 2, False), ("a", 4.0, 3, False), ("b", 0.0, 1, False)]
     assert got[0]["score"] == pytest.approx(0.58)
+
+
+def test_mel_scale_and_decibels(spark):
+    assert K.mel_of([0, 1000, 6400]).tolist() == pytest.approx([0, 15, 42]) and K.hz_of(K.mel_of([30, 999, 1001, 7000])).tolist() == pytest.approx([30, 999, 1001, 7000])
+    bank = K.mel_filters(2048, SR, 128, 50.0, 8000.0)
+    width = SR / 2048
+    assert bank.shape == (128, 1025) and abs(bank[100].sum() * width - 1) < 0.05  # unit area
+    t = np.arange(2048) / SR
+    rows = [("a", 0, np.sin(2 * np.pi * 1000 * t).tolist()), ("a", 1, (0.1 * np.sin(2 * np.pi * 1000 * t)).tolist()), ("b", 0, [0.0] * 2048)]
+    df = spark.createDataFrame(rows, "r string, t int, frame array<double>")
+    got = {(r["r"], r["t"], r["bin"]): r["db"] for r in K.mel_decibels(df, ["r"], "t").collect()}
+    power = [bank @ K.magnitudes(np.array(f), 2048) ** 2 for _, _, f in rows[:2]]
+    for k in (0, 1):
+        want = np.maximum(10 * np.log10(np.maximum(power[k], 1e-10)) - 10 * np.log10(power[0].max()), -80)
+        assert [got["a", k, i] for i in range(128)] == pytest.approx(want.tolist())
+    assert max(got["a", 1, i] for i in range(128)) == pytest.approx(-20) and all(got["b", 0, i] == 0 for i in range(128))

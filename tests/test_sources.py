@@ -86,3 +86,12 @@ def test_streaming_sessions_equal_batch(spark, tmp_path):
         assert {tuple(r) for r in spark.table("s").collect()} == batch and len(batch) == 3
     finally:
         q.stop()
+
+
+def test_settings_from_a_file(tmp_path, monkeypatch):
+    path = tmp_path / ".env"
+    path.write_text("# a comment\n\nexport VM_SEGMENT_COUNT=7\nVM_SEGMENT_S = '12.5'\nVM_MAX_BYTES=100 # bytes\nOTHER=1\nnothing\n")
+    monkeypatch.setenv("VM_MAX_BYTES", "200")
+    got = audio.Settings.from_env(path=str(path))
+    assert (got.segment_count, got.segment_s, got.max_bytes, got.sample_rate) == (7, 12.5, 200, 16000)
+    assert audio.Settings.from_env(path=str(tmp_path / "none")).segment_count == 5

@@ -251,15 +251,41 @@ def enhance_speech(x: np.ndarray, sr: int = SAMPLE_RATE, formants: bool = True,
     return y * (0.9 / top) if 0 < top < 0.5 else y
 
 
-def mel_filters(n_fft: int, sr: int = SAMPLE_RATE, mels: int = 128) -> np.ndarray:
-    """Triangular filters on the mel scale (2595 log10(1 + f / 700)), of unit area in Hz."""
-    mel = lambda f: 2595 * np.log10(1 + f / 700)
-    edges = 700 * (10 ** (np.linspace(0, mel(sr / 2), mels + 2) / 2595) - 1)
+def mel_of(hz):
+    """Mels that are linear up to 1000 Hz (15) and logarithmic above (27 to a factor of 6.4)."""
+    hz = np.asarray(hz, dtype=float)
+    return np.where(hz < 1000, hz * 3 / 200, 15 + 27 * np.log(np.maximum(hz, 1.0) / 1000) / np.log(6.4))
+
+
+def hz_of(mel):
+    mel = np.asarray(mel, dtype=float)
+    return np.where(mel < 15, mel * 200 / 3, 1000 * 6.4 ** ((mel - 15) / 27))
+
+
+def mel_filters(n_fft: int, sr: int = SAMPLE_RATE, mels: int = 128, low: float = 0.0, high: float | None = None) -> np.ndarray:
+    """Triangular filters at equal distances in mels from ``low`` to ``high`` (or half the rate), of unit area in Hz."""
+    edges = hz_of(np.linspace(mel_of(low), mel_of(high or sr / 2), mels + 2))
     f = np.fft.rfftfreq(n_fft, 1 / sr)[None, :]
     lo, mid, hi = edges[:-2, None], edges[1:-1, None], edges[2:, None]
     return np.maximum(0, np.minimum((f - lo) / (mid - lo), (hi - f) / (hi - mid))) * 2 / (hi - lo)
 
 
+def mel_decibels(frames: DataFrame, by: list[str], t: str, frame: str = "frame", n_fft: int = 2048, sr: int = SAMPLE_RATE, mels: int = 128, low: float = 50.0, high: float = 8000.0, deepest: float = 80.0) -> DataFrame:
+    """Frame rows (by, t, frame) -> rows (by, t, bin, db): mel power in dB against the recording's largest, held above
+    minus ``deepest``. A silent recording is 0 throughout."""
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def run(x: pd.Series) -> pd.Series:
+        bank = mel_filters(n_fft, sr, mels, low, high)
+        return x.map(lambda f: bank @ magnitudes(f, n_fft) ** 2)
+
+    rows = frames.select(*by, t, F.posexplode(run(frame)).alias("bin", "p"))
+    of = lambda c: F.lit(10.0) * F.log10(F.greatest(c, F.lit(1e-10)))
+    top = rows.groupBy(*by).agg(F.max("p").alias("_top"))
+    db = F.greatest(of(F.col("p")) - of(F.col("_top")), F.lit(-float(deepest)))
+    return rows.join(top, by).select(*by, t, "bin", db.alias("db"))
+
+
 def mfcc(power: np.ndarray, sr: int = SAMPLE_RATE, n: int = 13, mels: int = 128) -> np.ndarray:
     """First ``n`` cosine coefficients of the mel spectrum in dB."""
     db = 10 * np.log10(np.maximum(mel_filters(2 * (len(power) - 1), sr, mels) @ power, 1e-10))

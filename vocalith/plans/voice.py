@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import activity as V
 from ..operators import pitch as P
 from ..operators import recordings as C
 from ..operators import selection as L
@@ -87,3 +88,12 @@ def overall_stability(spark, t):
     rows = frames(t).where("pitch_hz > 100").withColumn("formant", F.concat(F.lit("F"), (F.col("t") % 2 + 1).cast("string")))
     each = A.stability(rows, ["rec", "formant"], [F.col("t")], "pitch_hz")
     return A.overall_stability(each, ["rec"])
+
+
+@query(None)
+def voice_activity(spark, t):
+    """Speech frames of framed series and whether a recording is voiced; held against made recordings in tests."""
+    ordered = F.array_sort(F.collect_list(F.struct("t", "value")))
+    samples = numbered(t).groupBy("rec").agg(F.transform(ordered, lambda x: x["value"] - 245.0).alias("amp"))
+    frames = S.framed(samples, 16, 8).select("rec", "t", "frame")
+    return S.is_voiced(V.speech_frames(frames, "rec", "t", sr=8000), ["rec"])

@@ -29,7 +29,8 @@ DEFAULT_WEIGHTS = {"ecapa": 1.5, "xvec": 1.5, "res": 1.2, "formant": 1.0, "forma
 
 @dataclass(frozen=True)
 class Settings:
-    """One settings object for all thresholds; ``from_env`` reads VM_ variables of the same names."""
+    """One settings object for all thresholds; ``from_env`` reads VM_ variables of the same names, from a file of
+    ``NAME=value`` lines and from the environment, which comes first."""
 
     sample_rate: int = SAMPLE_RATE
     segment_count: int = 5
@@ -40,9 +41,9 @@ class Settings:
     max_bytes: int = MAX_BYTES
 
     @classmethod
-    def from_env(cls, prefix: str = "VM_") -> Settings:
-        got = {f.name: type(f.default)(environ[prefix + f.name.upper()]) for f in fields(cls) if prefix + f.name.upper() in environ}
-        return cls(**got)
+    def from_env(cls, prefix: str = "VM_", path: str | None = None) -> Settings:
+        told = (env_file(path) if path else {}) | dict(environ)
+        return cls(**{f.name: type(f.default)(told[prefix + f.name.upper()]) for f in fields(cls) if prefix + f.name.upper() in told})
 
     def thresholds(self) -> dict[str, float]:
         return {"very_high": 0.95, "high": 0.88, "probable": 0.80, "similar": 0.70}
@@ -51,6 +52,24 @@ class Settings:
         return dict(DEFAULT_WEIGHTS)
 
 
+def env_file(path: str) -> dict[str, str]:
+    """``NAME=value`` lines: blank lines and those from # on are left out, ``export`` and quotes around a value too.
+    A file that is not there holds nothing."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            lines = f.read().splitlines()
+    except FileNotFoundError:
+        return {}
+    out = {}
+    for line in lines:
+        name, equals, value = line.strip().removeprefix("export ").partition("=")
+        value = value.strip()
+        if equals and not name.startswith("#"):
+            quoted = len(value) > 1 and value[0] == value[-1] and value[0] in "'\""
+            out[name.strip()] = value[1:-1] if quoted else value.split(" #")[0].strip()
+    return out
+
+
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./\\]+)$", 1))
 
