@@ -118,3 +118,14 @@ def test_word_counts(spark):
     few = secrets.word_counts(frame(spark), vocabulary=6)
     assert 0 < len(few) <= 6 and min(few.values()) > max([n for w, n in want.items() if w not in few], default=0)
     assert secrets.word_counts(empty(spark)) == {}
+
+
+def test_letter_pairs_of_all_scripts(spark):
+    """Marks are left out, letters of other scripts have codes of their own, and a word in them is likelier than a mix."""
+    assert secrets._code("é") == secrets._code("e") == 5 and secrets._code("ж") > 26 and secrets._code("漢") > 26 and secrets._code("_") == secrets._code("7") == 0
+    docs = spark.createDataFrame([(i, "привет мир этот дом стоит там né à été") for i in range(20)], "doc_id long, text string")
+    every = secrets.all_word_counts(docs)
+    language = secrets.Language.of(secrets.most_frequent(every), secrets.letter_pairs(every))
+    at = secrets.FEATURES.index("pair_log")
+    told = [secrets.features(t, 0, len(t), "", "", language)[at] for t in ("этотдомстоит", "тэдощъыж", "été")]
+    assert told[0] > told[1] and told[2] > -4.2

@@ -21,7 +21,9 @@ from __future__ import annotations
 import hashlib
 import re
 import string
+import unicodedata
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -81,11 +83,22 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+#: Codes of letters: 0 is no letter, 1 to 26 a to z with or without marks, the rest are shared by the letters of other scripts.
+_CODES = 64
+
+
+@cache
+def _code(c: str) -> int:
+    """The code of a lower-case character."""
+    base = unicodedata.normalize("NFD", c)[0]
+    return ord(base) - 96 if "a" <= base <= "z" else 27 + ord(base) % (_CODES - 27) if base.isalpha() else 0
+
+
 def _pairs(counts) -> np.ndarray:
     """Occurrences of letter pairs in (word, count) rows."""
-    pairs = np.zeros((27, 27))
+    pairs = np.zeros((_CODES, _CODES))
     for w, n in counts:
-        codes = [ord(c) - 96 if "a" <= c <= "z" else 0 for c in w]
+        codes = [_code(c) for c in w]
         for a, b in zip(codes, codes[1:], strict=False):
             pairs[a, b] += n
     return pairs
@@ -137,7 +150,7 @@ def features(text: str, start: int, end: int, key: str, path: str, language: Lan
     changes = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
     mixed = sum({a, b} in ({0, 2}, {1, 2}) for a, b in zip(kinds, kinds[1:], strict=False))
     share = np.bincount([ord(c) % 256 for c in s], minlength=256) / n
-    low = [ord(c) - 96 if "a" <= c <= "z" else 0 for c in s.lower()]
+    low = [_code(c) for c in s.lower()]
     pair = [language.pairs[a, b] for a, b in zip(low, low[1:], strict=False) if a and b]
     before = re.findall(r"\w+", text[max(0, start - 60) : start].lower())[-4:]
     after = re.findall(r"\w+", text[end : end + 40].lower())[:3]
@@ -300,18 +313,18 @@ def all_word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def letter_pairs(counts: DataFrame) -> np.ndarray:
-    """Letter pairs over all rows of ``all_word_counts``: summed on the executors, at most 27 x 27 rows come back."""
+    """Letter pairs over all rows of ``all_word_counts``: summed on the executors, at most 64 x 64 rows come back."""
 
     def run(batches):
-        total = sum((_pairs(zip(b["w"], b["n"], strict=True)) for b in batches), np.zeros((27, 27)))
+        total = sum((_pairs(zip(b["w"], b["n"], strict=True)) for b in batches), np.zeros((_CODES, _CODES)))
         at = np.flatnonzero(total)
         yield pd.DataFrame({"p": at, "n": total.ravel()[at].astype(np.int64)})
 
     got = counts.select("w", "n").mapInPandas(run, "p long, n long").groupBy("p").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(27 * 27)
+    out = np.zeros(_CODES * _CODES)
     for r in got:
         out[r["p"]] = r["n"]
-    return out.reshape(27, 27)
+    return out.reshape(_CODES, _CODES)
 
 
 def word_counts(docs: DataFrame, text: str = "text", vocabulary: int = 20_000) -> dict[str, int]:
