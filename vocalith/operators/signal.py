@@ -280,10 +280,15 @@ def mel_decibels(frames: DataFrame, by: list[str], t: str, frame: str = "frame",
         return x.map(lambda f: bank @ magnitudes(f, n_fft) ** 2)
 
     rows = frames.select(*by, t, F.posexplode(run(frame)).alias("bin", "p"))
+    return decibels(rows, by, "p", deepest).select(*by, t, "bin", "db")
+
+
+def decibels(rows: DataFrame, by: list[str], power: str, deepest: float = 80.0) -> DataFrame:
+    """``rows`` with ``db``: ``power`` against the largest of its key, held above minus ``deepest``; 0 where all is nothing."""
     of = lambda c: F.lit(10.0) * F.log10(F.greatest(c, F.lit(1e-10)))
-    top = rows.groupBy(*by).agg(F.max("p").alias("_top"))
-    db = F.greatest(of(F.col("p")) - of(F.col("_top")), F.lit(-float(deepest)))
-    return rows.join(top, by).select(*by, t, "bin", db.alias("db"))
+    top = rows.groupBy(*by).agg(F.max(power).alias("_top"))
+    db = F.greatest(of(F.col(power)) - of(F.col("_top")), F.lit(-float(deepest)))
+    return rows.join(top, by).withColumn("db", db).drop("_top")
 
 
 def mfcc(power: np.ndarray, sr: int = SAMPLE_RATE, n: int = 13, mels: int = 128) -> np.ndarray:

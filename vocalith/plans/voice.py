@@ -10,6 +10,7 @@ from ..operators import recordings as C
 from ..operators import selection as L
 from ..operators import series as S
 from ..operators import signal as K
+from ..sources import sinks
 from .recordings import FRAMES, SPECTRUM, numbered, spectra
 from .registry import query
 
@@ -97,3 +98,14 @@ def voice_activity(spark, t):
     samples = numbered(t).groupBy("rec").agg(F.transform(ordered, lambda x: x["value"] - 245.0).alias("amp"))
     frames = S.framed(samples, 16, 8).select("rec", "t", "frame")
     return S.is_voiced(V.speech_frames(frames, "rec", "t", sr=8000), ["rec"])
+
+
+@query(
+    f"""WITH {FRAMES}, {SPECTRUM}, d AS (SELECT rec, frame, bin, 10 * log10(greatest(mag * mag, 1e-10)) AS p FROM sp)
+SELECT rec, 'stft_db' AS series, frame * 0.01 AS ts, bin, greatest(p - max(p) OVER (PARTITION BY rec), -80) AS y FROM d
+UNION ALL SELECT rec, 'mfcc', t * 0.01, CAST(event_id % 13 AS INTEGER), value / 10 FROM f""",
+    "ts y",
+)
+def spectral_plot_data(spark, t):
+    mfcc = numbered(t).select("rec", F.col("t").alias("frame"), (F.col("event_id") % 13).alias("coefficient"), (F.col("value") / 10).alias("value"))
+    return sinks.spectral_plot_data(spectra(t), ["rec"], "frame", 0.01, mfcc)

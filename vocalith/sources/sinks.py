@@ -88,3 +88,16 @@ def wav_rows(segments: DataFrame, keys: list[str], amp: str = "amp") -> DataFram
         return x.map(lambda a: encode_wav(np.asarray(a, dtype=float)))
 
     return segments.select(*keys, encode(amp).alias("wav"))
+
+
+def spectral_plot_data(spectrum: DataFrame, by: list[str], t: str, step_s: float, cepstra: DataFrame | None = None) -> DataFrame:
+    """Rows (by, series, ts, bin, y) of a spectrogram in dB against the recording's largest magnitude, and of the
+    ``cepstra`` (by, t, coefficient, value) where they are given."""
+    from ..operators.signal import decibels
+
+    power = spectrum.select(*by, t, "bin", (F.col("mag").cast("double") * F.col("mag")).alias("_p"))
+    ts = (F.col(t) * F.lit(float(step_s))).alias("ts")
+    out = decibels(power, by, "_p").select(*by, F.lit("stft_db").alias("series"), ts, "bin", F.col("db").alias("y"))
+    if cepstra is None:
+        return out
+    return out.union(cepstra.select(*by, F.lit("mfcc"), ts, F.col("coefficient").cast("int"), "value"))
