@@ -229,10 +229,12 @@ def fricative_nasal_similarity(spark, t):
     )
 
 
-@query(f"WITH {FRAMES}, {CLOSE}, {BANDS}, {NASAL} SELECT * FROM nf", "presence mean_r1 mean_r2 mean_anti quality resonance_ratio std_r1")
+@query(f"WITH {FRAMES}, {CLOSE}, {BANDS}, {NASAL} SELECT * REPLACE (least(quality, 1000) AS quality, least(resonance_ratio, 1000) AS resonance_ratio) FROM nf", "presence mean_r1 mean_r2 mean_anti quality resonance_ratio std_r1")
 def nasal_frames(spark, t):
-    """Nasal features where every nasal band has bins, so that there are nasal frames."""
-    return X.nasal_features(X.band_energies(close_spectra(t), ["rec", "frame"]), ["rec"])
+    """Nasal features where every nasal band has bins, so that there are nasal frames. A last frame with fewer bins has
+    parts over nothing: what such quotients give is cut off."""
+    got = X.nasal_features(X.band_energies(close_spectra(t), ["rec", "frame"]), ["rec"])
+    return got.withColumns({c: F.least(F.col(c), F.lit(1000.0)) for c in ("quality", "resonance_ratio")})
 
 
 FORMANTS = "fm AS (SELECT rec, 'F' || (t % 4 + 1) AS formant, value * 10 AS hz FROM f)"
