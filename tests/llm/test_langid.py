@@ -58,3 +58,38 @@ def test_nothing_labelled_and_empty(spark):
     got = langid.predict(frame(spark), langid.fit(empty(spark))).collect()
     assert {r["lang_pred"] for r in got} == {"und"}
     assert langid.predict(empty(spark), langid.fit(frame(spark))).count() == 0
+
+
+def test_model_is_kernel_ridge_regression():
+    """With every text a landmark the map loses nothing, so the outputs are those of the dual solution over the kernel
+    itself: (W K + r n I) a + W 1 b = W y and 1' W (K a + b - y) = 0."""
+    rng = np.random.default_rng(4)
+    letters = {"a": "abcdefg", "b": "fghijkl", "c": "klmnopq"}
+    make = lambda g, n: " ".join("".join(rng.choice(list(letters[g]), size=int(rng.integers(2, 7)))) for _ in range(n))
+    labels = [g for g in "aaaaaaaabbbbbccc" for _ in range(3)]
+    texts = [make(g, 12) for g in labels]
+    bits, _ = langid.presence(texts)
+    model = langid.fit_arrays(bits, labels, landmarks=len(texts), ridge=1e-2)
+    new = [make(g, 5) for g in "abc"]
+    sets = [set(np.flatnonzero(b).tolist()) for b in np.concatenate([bits, langid.presence(new)[0]])]
+
+    def kernel(s, t):
+        parts = [({x for x in s if lo <= x < hi}, {x for x in t if lo <= x < hi}) for lo, hi in zip(langid._EDGE, langid._EDGE[1:], strict=False)]
+        return np.mean([len(a & b) / np.sqrt(len(a) * len(b)) for a, b in parts])
+
+    n = len(texts)
+    k = np.array([[kernel(s, t) for t in sets[:n]] for s in sets])
+    w = np.array([n / 3 / labels.count(g) for g in labels])
+    y = np.array([[1.0 if g == c else -1.0 for c in "abc"] for g in labels])
+    system = np.block([[w[:, None] * k[:n] + 1e-2 * n * np.eye(n), w[:, None]], [(w @ k[:n])[None], np.array([[w.sum()]])]])
+    solved = np.linalg.solve(system, np.vstack([w[:, None] * y, (w @ y)[None]]))
+    want = k @ solved[:-1] + solved[-1]
+    assert np.abs(model.scores(texts + new)[0] - want).max() < 2e-3 and want[n:].argmax(axis=1).tolist() == [0, 1, 2]
+
+
+def test_landmarks_are_spread_over_the_languages():
+    bits, _ = langid.presence([f"text {chr(97 + i % 26)}x{chr(97 + i // 26)}" for i in range(60)])
+    model = langid.fit_arrays(bits, ["x"] * 50 + ["y"] * 10, landmarks=16)
+    rows = [np.packbits(b).tobytes() for b in bits]
+    told = [rows.index(m.tobytes()) >= 50 for m in model.landmarks]
+    assert len(told) == 16 and sum(told) == 8

@@ -149,3 +149,10 @@ def test_op11(spark, docs):
 
 def test_every_query_is_here():
     assert set(COLUMNS) | set(queries.ORACLE_SQL) == set(queries.QUERIES)
+
+
+def test_op3_shards_are_near_equal(spark):
+    """Bytes of each shard against an equal share, on a table in which no document is larger than a tenth of one."""
+    rows = queries.op3_sharding(spark, "/root/testdata/sf0.01").groupBy("shard").agg({"size": "sum", "slot": "max", "doc_id": "count"}).collect()
+    mean = sum(r["sum(size)"] for r in rows) / 40
+    assert len(rows) == 40 and all(0.93 * mean < r["sum(size)"] < 1.07 * mean and r["max(slot)"] == r["count(doc_id)"] - 1 for r in rows)
