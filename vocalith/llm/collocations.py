@@ -106,9 +106,9 @@ def _unblob(data: bytes) -> pa.RecordBatch:
     return pa.ipc.read_record_batch(pa.decompress(data[8:], struct.unpack("<q", data[:8])[0], codec="zstd"), _GRAMS)
 
 
-def _counter(table: str, source, sql: str, memory: str):
-    """A task's pieces -> blobs of phrase counts by bucket. ``source`` makes of the batches those of the table that
-    ``sql`` reads."""
+def _counter(table: str, source, sql: str, memory: str, tickets: list[int] | None = None):
+    """A task's pieces -> blobs of phrase counts by bucket, or by the bucket's ticket. ``source`` makes of the batches those
+    of the table that ``sql`` reads."""
 
     def run(batches):
         batches = iter(batches)
@@ -124,21 +124,22 @@ def _counter(table: str, source, sql: str, memory: str):
                 rows = got.select(["part", "phrase", "n"]).take(pa.array(order)).cast(_GRAMS)
                 found, starts = np.unique(at[order], return_index=True)
                 ends = [*starts[1:].tolist(), len(order)]
-                for k, a, b in zip(found.tolist(), starts.tolist(), ends, strict=True):
+                dealt = found.tolist() if tickets is None else [tickets[k] for k in found]
+                for k, a, b in zip(dealt, starts.tolist(), ends, strict=True):
                     yield pa.record_batch([pa.array([k], pa.int32()), pa.array([_blob(_own(rows, a, b))], pa.binary())], schema=_BLOBS)
 
     return run
 
 
-def _all_phrases(longest: int, buckets: int, memory: str):
+def _all_phrases(longest: int, buckets: int, memory: str, tickets: list[int] | None = None):
     """Counts every phrase of up to ``longest`` words, and the words."""
-    return _counter("pieces", lambda batches: (_PIECES, _stretches(batches, longest)), _grams_sql(longest, buckets), memory)
+    return _counter("pieces", lambda batches: (_PIECES, _stretches(batches, longest)), _grams_sql(longest, buckets), memory, tickets)
 
 
-def _likely_phrases(k: int, bits: np.ndarray, buckets: int, memory: str):
+def _likely_phrases(k: int, bits: np.ndarray, buckets: int, memory: str, tickets: list[int] | None = None):
     """Counts the phrases of ``k`` words whose two phrases of one word less the filter takes for frequent."""
     sql = f"SELECT (hash(part, phrase) % {buckets})::INT AS bucket, part, phrase, sum(n)::BIGINT AS n FROM grams GROUP BY part, phrase"
-    return _counter("grams", lambda batches: (_GRAMS, _likely(_stretches(batches, k), k, bits)), sql, memory)
+    return _counter("grams", lambda batches: (_GRAMS, _likely(_stretches(batches, k), k, bits)), sql, memory, tickets)
 
 
 def _hashed(words: pa.Array) -> np.ndarray:
@@ -242,16 +243,16 @@ def phrase_counts(found: DataFrame, longest: int = 3, least: int = 10, buckets:
     spark = found.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = materialise(found, "phrase-pieces")
-    dealt = F.element_at(F.array(*[F.lit(x) for x in _tickets(spark, buckets)]), F.col("bucket") + 1)
+    tickets = _tickets(spark, buckets)
 
     def counted(counter) -> DataFrame:
-        blobs = found.mapInArrow(counter, "bucket int, blob binary").select("blob", dealt.alias("p"))
-        got = blobs.repartition(buckets, "p").select("blob").mapInArrow(_summer(least, memory), "part string, phrase string, n long")
+        blobs = found.mapInArrow(counter, "bucket int, blob binary")
+        got = blobs.repartition(buckets, "bucket").select("blob").mapInArrow(_summer(least, memory), "part string, phrase string, n long")
         return materialise(got, "phrase-counts")
 
-    out = last = counted(_all_phrases(min(longest, 2), buckets, memory))
+    out = last = counted(_all_phrases(min(longest, 2), buckets, memory, tickets))
     for k in range(3, longest + 1):
-        last = counted(_likely_phrases(k, frequent_filter(last, k - 1, filter_bits), buckets, memory))
+        last = counted(_likely_phrases(k, frequent_filter(last, k - 1, filter_bits), buckets, memory, tickets))
         out = out.union(last)
     return out
 
