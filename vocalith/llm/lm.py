@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import attention
-from .common import bounded_batches, materialise, shared_dir
+from .common import bounded_batches, give_back, materialise, shared_dir
 
 _CHUNK = 10 << 20
 #: Symbols that are scored, or trained on, at a time.
@@ -87,8 +87,11 @@ def chunk_corpus(docs: DataFrame, doc: str, text: str, held_out: Column, chunk_b
             if size >= chunk_bytes:
                 yield from chunk(pa.Table.from_batches(held))
                 held, size = [], 0
+                give_back()
         if held:
             yield from chunk(pa.Table.from_batches(held))
+            held = []
+        give_back()
 
     def chunk(t: pa.Table):
         t = t.combine_chunks()
@@ -158,6 +161,7 @@ def _with_symbols(words: DataFrame, path: str) -> DataFrame:
         for b in batches:
             got = [a.tobytes() for a in s(b.column("word").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"), pa.array(got, pa.binary())], names=["word", "c", "symbols"])
+        give_back()
 
     return words.mapInArrow(run, "word string, c long, symbols binary")
 
@@ -290,7 +294,10 @@ def _train(sample: DataFrame, tasks: int, model: attention.Model, rates: tuple[f
             task = TaskContext.get().partitionId()
             if i or not task:
                 got = attention.train(shared.value, _blocks(batches), rate, 1.0 if last else 0.9, seed=100 * i + task % 97)
-                yield pd.DataFrame({"task": [task], "model": [got.flat().tobytes()], "n": [1]})
+                out = pd.DataFrame({"task": [task], "model": [got.flat().tobytes()], "n": [1]})
+                del got
+                give_back()
+                yield out
 
         x, n = _added(sample.repartition(tasks).mapInPandas(run, "task long, model binary, n long"), tasks)
         if n:
@@ -394,6 +401,8 @@ def score(docs: DataFrame, path: str, held_out: Column, doc: str = "doc_id", tex
         codes = unsqueeze(right["codes"][0].as_buffer(), int(pc.sum(about["n"]).as_py() or 0))
         got = score_chunk(about, codes, left["c"].to_numpy()[order], flat, sizes[order], shared.value, end, n_train, total, distinct, mix, new, block)
         size = len(about)
+        del flat, codes
+        give_back()
         columns = {doc: about["d"], "held_out": about["h"], "n_tokens": got["n_tokens"], "n_known": got["n_known"], "train_tokens": np.full(size, total), "base_score": got["base_score"], "score": got["score"]}
         return pa.table({k: v if isinstance(v, pa.ChunkedArray) else pa.array(v) for k, v in columns.items()})
 
