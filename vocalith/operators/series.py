@@ -12,8 +12,12 @@ def _over(by: list[str], order: list[str]):
     return Window.partitionBy(*by).orderBy(*order)
 
 
-def argmax_bin(spectrum: DataFrame, frame: list[str], value: str = "mag", bin_: str = "bin") -> DataFrame:
-    """The strongest bin of each frame, the lowest of equals."""
+def argmax_bin(spectrum: DataFrame, frame: list[str], value: str = "mag", bin_: str = "bin", score: Column | None = None) -> DataFrame:
+    """The strongest bin of each frame, the lowest of equals. With ``score``, the bin with the highest score, beside the
+    frame's largest value."""
+    if score is not None:
+        best = F.max_by(bin_, F.struct(score, -F.col(bin_)))
+        return spectrum.groupBy(*frame).agg(best.alias(bin_), F.max(value).alias(value))
     return spectrum.groupBy(*frame).agg(F.max_by(F.struct(*[c for c in spectrum.columns if c not in frame]), F.struct(F.col(value), -F.col(bin_))).alias("_b")).select(*frame, "_b.*")
 
 
