@@ -36,3 +36,11 @@ def both(spark, name, folder, table="events"):
 def test_argmax_frame_weighs_numbers_that_lie_far_apart(spark, tmp_path):
     got, want = both(spark, "argmax_frame", events(tmp_path, [(5, 1, "view", 9.99), (500_000, 1, "view", 10.0), (7, 2, "view", 9.0), (500_001, 2, "view", 10.0)]))
     assert got == want == [("5.000000", "view", "1.000000", "10.000000"), ("500001.000000", "view", "2.000000", "10.000000")]
+
+
+def test_decisions_where_scores_meet_thresholds(spark, tmp_path):
+    made = [(pair, metric, (8 + (pair * metric * 3) % 5 - 2) / 100) for pair in range(1, 400) for metric in range(1, 8)] + [(pair, m, 0.05) for pair in range(401, 440) for m in range(1, pair % 7 + 1)]
+    pairs, metrics, discounts = zip(*made, strict=True)
+    pq.write_table(pa.table({"l_suppkey": pa.array(pairs, pa.int64()), "l_linenumber": pa.array(metrics, pa.int32()), "l_discount": pa.array(discounts, pa.float64())}), f"{tmp_path}/lineitem.parquet")
+    got, want = both(spark, "decisions", str(tmp_path), "lineitem")
+    assert got == want

@@ -161,7 +161,9 @@ def compare(sims: DataFrame, weights: DataFrame, pairs: DataFrame, on: str = "pa
     """
     zero = F.lit(0.0)
     summary = A.with_weights(A.metric_summary(sims, [on, "metric"]), weights)
-    out = pairs.join(A.fuse(summary, [on]), on, "left")
+    # what the order of a sum leaves is rounded away, so a score that meets a threshold counts as reaching it
+    fused = A.fuse(summary, [on]).withColumns({c: F.round(c, 9) for c in ("final_score", "consistency")})
+    out = pairs.join(fused, on, "left")
     code = R.gated_verdict(F.col("final_score"), F.col("consistency"), zero if spoof_a is None else spoof_a, zero if spoof_b is None else spoof_b)
     out = out.withColumn("verdict_code", F.when(F.col("metrics").isNull(), "no_segments").otherwise(code))
     return out.withColumn("warning_codes", R.warnings(F.lit(False) if modified is None else modified, F.col("consistency")))
