@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
 from vocalith.plans import ORACLES, QUERIES
 
@@ -44,3 +45,41 @@ def test_decisions_where_scores_meet_thresholds(spark, tmp_path):
     pq.write_table(pa.table({"l_suppkey": pa.array(pairs, pa.int64()), "l_linenumber": pa.array(metrics, pa.int32()), "l_discount": pa.array(discounts, pa.float64())}), f"{tmp_path}/lineitem.parquet")
     got, want = both(spark, "decisions", str(tmp_path), "lineitem")
     assert got == want
+
+
+def test_peak_regularity_where_distances_vary_by_just_the_limit(spark, tmp_path):
+    made = []
+    for user, gaps in enumerate([(3, 7, 3, 7), (7, 3, 7, 3), (3, 3, 7, 7), (3, 7, 7, 3), (7, 3, 3, 7), (6, 14, 6, 14, 6, 14), (3, 7, 3, 7, 3, 7, 7, 3), (6, 14, 14, 6, 3, 7, 3, 7), (9, 21, 9, 21, 21, 9), (3, 7, 7, 3, 3, 7, 7, 3, 3, 7), (5, 7, 5, 7)]):
+        tops = {2 + sum(gaps[:i]) for i in range(len(gaps) + 1)}
+        made += [(len(made) + t, user, "view", 200.0 if t in tops else 50.0) for t in range(max(tops) + 3)]
+    got, want = both(spark, "peak_regularity", events(tmp_path, made))
+    assert got == want and {r[2] for r in got} == {"True", "False"}
+
+
+def test_spectral_peaks_without_plateaus(spark, tmp_path):
+    values = [0, 200, 200, 0, 10, 220, 0, 300, 300, 300, 0, 170, 20, 400, 400, 0]
+    got, want = both(spark, "spectral_peaks", events(tmp_path, [(i, 1, "view", float(v)) for i, v in enumerate(values)]))
+    assert got == want and [r[0] for r in got] == ["11.000000", "5.000000"]
+
+
+def on_edges(folder):
+    """Events in many row groups; the values of each user, in whole cents, have a mean that is a threshold of some query."""
+    r, made = random.Random(3), []
+    for user in range(1200):
+        n, edge = r.randint(8, 24), (2000, 3000, 5000, 8000, 18000, 30000)[user % 6]
+        cents = [edge + r.randint(1, edge // 2) * s for _ in range(n // 2) for s in (1, -1)]
+        values = [edge, *[a + d for a, d in zip(cents, (d for x in [r.randint(0, 300) for _ in cents[::2]] for d in (x, -x)), strict=True)]]
+        r.shuffle(values)
+        made += [(user, v / 100) for v in values]
+    r.shuffle(made)
+    return events(folder, [(7 * i + 5, user, "view", v) for i, (user, v) in enumerate(made)], 500)
+
+
+@pytest.mark.parametrize("name", ["combined_modification", "file_modification", "pitch_features", "spoof_summary"])
+def test_means_that_meet_thresholds(spark, tmp_path, name):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        got, want = both(spark, name, on_edges(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == want

@@ -140,16 +140,17 @@ def prominences(x: np.ndarray) -> np.ndarray:
     return np.minimum(_drops(x), _drops(x[::-1])[::-1])
 
 
-def peaks(rows: DataFrame, keys: list[str], position: str, x: str, height: float | None = None, distance: int = 1, prominence: float = 0.0) -> DataFrame:
+def peaks(rows: DataFrame, keys: list[str], position: str, x: str, height: float | None = None, distance: int = 1, prominence: float = 0.0, plateaus: bool = True) -> DataFrame:
     """Rows (keys, position, x) -> a row (keys, position, x, prominence) for each peak of the series of each key.
 
-    Nulls of ``x`` are left out. A key's values meet in one row: frames of a spectrum, or the mean of one."""
+    Without ``plateaus`` a peak is above both its neighbours; this choice comes after the one by distance. Nulls of ``x`` are left out. A key's values meet in one row: frames of a spectrum, or the mean of one."""
 
     @F.pandas_udf("array<struct<i:int,prominence:double>>")
     def run(series: pd.Series) -> pd.Series:
         def one(v):
             v = np.asarray(v, dtype=float)
             at = find_peaks(v, height, distance, prominence)
+            at = at if plateaus else at[(v[at] > v[at - 1]) & (v[at] > v[at + 1])]
             return [{"i": int(i), "prominence": float(p)} for i, p in zip(at, prominences(v)[at], strict=True)]
 
         return series.map(one)
