@@ -141,10 +141,24 @@ def filled(stats: DataFrame, dim: DataFrame, on: list[str]) -> DataFrame:
     return dim.join(stats, on, "left").fillna(0, numbers)
 
 
-def plain_stats(df: DataFrame, by: list[str], x: str = "x") -> DataFrame:
-    """Mean, median, deviation, extremes and range of the values above zero (pitch and tracked formants)."""
+def running_sum(x: Column | str, by: list[str], order: list[str]) -> Column:
+    """Sum of ``x`` up to each row: added in order, so its last digits do not hang on how Spark splits the rows."""
+    return F.sum(x).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+
+
+def mean_in_order(running: str, x: Column | str, order: list[str]) -> Column:
+    """Aggregate: mean of ``x`` from its ``running_sum`` in the same order, for means that are held against thresholds."""
+    return F.max_by(running, F.struct(*order)) / F.nullif(F.count(x), F.lit(0))
+
+
+def plain_stats(df: DataFrame, by: list[str], x: str = "x", order: list[str] | None = None) -> DataFrame:
+    """Mean, median, deviation, extremes and range of the values above zero (pitch and tracked formants). With ``order``
+    the mean is summed in it."""
     v = F.when(F.col(x) > 0, F.col(x))
-    return df.groupBy(*by).agg(F.avg(v).alias("mean"), F.median(v).alias("median"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), (F.max(v) - F.min(v)).alias("range"), F.count(v).alias("n"))
+    if order:
+        df = df.withColumn("_run", running_sum(v, by, order))
+    mean = mean_in_order("_run", v, order) if order else F.avg(v)
+    return df.groupBy(*by).agg(mean.alias("mean"), F.median(v).alias("median"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), (F.max(v) - F.min(v)).alias("range"), F.count(v).alias("n"))
 
 
 def coefficient_of_variation(x: Column | str) -> Column:

@@ -477,8 +477,8 @@ CASE WHEN ps AND abs(st) > 3 THEN least(abs(st) / 6, 1) WHEN fs THEN least(abs(r
     "entropy ratio confidence",
 )
 def combined_modification(spark, t):
-    m = F.avg("value")
-    g = t("events").groupBy("user_id").agg((m * 8).alias("f1"), (m * 24).alias("f2"), (m * 5).alias("m"), A.coefficient_of_variation("value").alias("cv"), F.count("*").alias("n"), (F.min("value") / m).alias("fl"))
+    m = A.mean_in_order("_run", "value", ["event_id"])
+    g = t("events").withColumn("_run", A.running_sum("value", ["user_id"], ["event_id"])).groupBy("user_id").agg((m * 8).alias("f1"), (m * 24).alias("f2"), (m * 5).alias("m"), A.coefficient_of_variation("value").alias("cv"), F.count("*").alias("n"), (F.min("value") / m).alias("fl"))
     f2 = F.col("f2") + (F.col("user_id") % 7) * 100
     # a third of the voices hardly leave one pitch
     steady = F.when((F.col("user_id") % 3 == 0) & (F.col("event_id") % 20 > 0), 100.0).otherwise(F.col("value"))
