@@ -187,10 +187,26 @@ def local_maxima(series: DataFrame, by: list[str], order: list[str], x: str, hei
     return series.withColumn("_a", F.lag(x).over(w)).withColumn("_b", F.lead(x).over(w)).where((F.col(x) > F.col("_a")) & (F.col(x) > F.col("_b")) & (F.col(x) >= at_least)).drop("_a", "_b")
 
 
+def _deviation(values: Column) -> Column:
+    """Population deviation of an array by Welford's updates in its order, so the last digits do not hang on partitions."""
+    none = F.struct(*[F.lit(0.0).alias(k) for k in ("n", "mean", "m2")])
+
+    def add(a: Column, x: Column) -> Column:
+        n = a["n"] + 1.0
+        mean = a["mean"] + (x - a["mean"]) / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (a["m2"] + (x - mean) * (x - a["mean"])).alias("m2"))
+
+    return F.aggregate(values, none, add, lambda a: F.sqrt(a["m2"] / F.nullif(a["n"], F.lit(0.0))))
+
+
 def peak_regularity(peaks: DataFrame, by: list[str], position: str, least: int = 3, cv: float = 0.1) -> DataFrame:
-    """Whether the distances between more than ``least`` peaks vary by less than ``cv`` of their mean."""
+    """Whether the distances between more than ``least`` peaks vary by less than ``cv`` of their mean. They are added in
+    order of position: a variation of just ``cv`` is judged alike however the rows are split."""
     rows = peaks.withColumn("_g", F.col(position) - F.lag(position).over(_over(by, [position])))
-    return rows.groupBy(*by).agg(F.count("*").alias("peaks"), F.coalesce(ratio(F.stddev_pop("_g"), F.avg("_g"), None), F.lit(1.0)).alias("cv")).withColumn("regular", (F.col("peaks") > least) & (F.col("cv") < cv))
+    gaps = F.array_sort(F.collect_list(F.when(F.col("_g").isNotNull(), F.struct(F.col(position), F.col("_g").cast("double").alias("g")))))
+    out = rows.groupBy(*by).agg(F.count("*").alias("peaks"), F.avg("_g").alias("_m"), gaps.alias("_gaps"))
+    spread = ratio(_deviation(F.transform("_gaps", lambda x: x["g"])), F.col("_m"), None)
+    return out.select(*by, "peaks", F.coalesce(spread, F.lit(1.0)).alias("cv")).withColumn("regular", (F.col("peaks") > least) & (F.col("cv") < cv))
 
 
 def fade_factor(position: Column, length: Column, fade: Column) -> Column:
