@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import clip01, ratio, semitones
+from . import aggregates as A
 from .ranges import FORMANT_INTERVALS, FORMANT_RANGES
 
 FORMANTS = ("F1", "F2", "F3", "F4")
@@ -155,9 +156,12 @@ def formant_manipulation(frames: DataFrame, by: list[str], least: int = 10) -> D
     return s.withColumns({"is_manipulated": enough & (still | (F.col("abnormality_score") > 0.5)), "type": kind, "confidence": F.when(enough, F.greatest("stability_score", "abnormality_score")).otherwise(0.0)})
 
 
-def spoof_summary(probs: DataFrame, by: list[str], p: str = "p") -> DataFrame:
-    """Mean, deviation, maximum, confidence and type of windowed spoof probabilities; type is null up to 0.4."""
-    mean = F.avg(p)
+def spoof_summary(probs: DataFrame, by: list[str], p: str = "p", order: list[str] | None = None) -> DataFrame:
+    """Mean, deviation, maximum, confidence and type of windowed spoof probabilities; type is null up to 0.4. With
+    ``order`` the mean is summed in it."""
+    if order:
+        probs = probs.withColumn("_run", A.running_sum(p, by, order))
+    mean = A.mean_in_order("_run", p, order) if order else F.avg(p)
     out = probs.groupBy(*by).agg(mean.alias("mean"), F.stddev_pop(p).alias("std"), F.max(p).alias("max"), F.count(p).alias("windows"))
     return out.withColumns({"confidence": F.lit(1.0) - F.col("std"), "type": F.when(F.col("mean") > 0.8, "tts").when(F.col("mean") > 0.6, "voice_conversion").when(F.col("mean") > 0.4, "editing")})
 
