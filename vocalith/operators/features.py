@@ -18,7 +18,7 @@ def pitch_features(frames: DataFrame, by: list[str], order: list[str], step_s: f
     d1 = kept.withColumn("_d", S.gradient("pitch_hz", by, order))
     d2 = d1.withColumn("_a", S.gradient("_d", by, order))
     parts = [F.avg(F.abs("_d")).alias("mean_derivative"), F.stddev_pop("_d").alias("derivative_std"), F.avg(F.abs("_a")).alias("mean_acceleration"), F.stddev_pop("_a").alias("acceleration_std")]
-    stats = A.plain_stats(kept, by, "pitch_hz").join(d2.groupBy(*by).agg(*parts), by).join(S.pitch_resets(kept, by, order, "pitch_hz", step_s), by)
+    stats = A.plain_stats(kept, by, "pitch_hz", order).join(d2.groupBy(*by).agg(*parts), by).join(S.pitch_resets(kept, by, order, "pitch_hz", step_s), by)
     from .rules import gender_by_pitch, gender_shares_by_pitch
 
     out = frames.select(*by).distinct().join(stats, by, "left")
