@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -82,11 +84,38 @@ def sound_event_comparison(a: DataFrame, b: DataFrame, on: list[str]) -> DataFra
     """Sets of sound-event vectors: cosine of the mean vectors, best pairwise cosine, mean pairwise correlation."""
     means = mean_vector(a, on).withColumnRenamed("v", "ma").join(mean_vector(b, on).withColumnRenamed("v", "mb"), on)
     means = means.select(*on, V.cosine(F.col("ma"), F.col("mb")).alias("mean_cosine"))
-    left, right = a.select(*on, V.as_double(F.col("v")).alias("va")), b.select(*on, V.as_double(F.col("v")).alias("vb"))
-    pairs = left.join(right, on).groupBy(*on).agg(F.max(V.cosine(F.col("va"), F.col("vb"))).alias("max_cosine"), F.avg(V.pearson(F.col("va"), F.col("vb"))).alias("mean_correlation"))
+
+    @F.pandas_udf("max_cosine double, correlations double, n long")
+    def compared(x: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([_compared(*r) for r in x.itertuples(index=False)], columns=["max_cosine", "correlations", "n"])
+
+    left, right = (_blocks(df, on).withColumnsRenamed({"flat": f"flat_{s}", "rows": f"rows_{s}"}) for df, s in ((a, "a"), (b, "b")))
+    parts = left.join(right, on).select(*on, compared(F.struct("flat_a", "rows_a", "flat_b", "rows_b")).alias("c")).select(*on, "c.*")
+    pairs = parts.groupBy(*on).agg(F.max("max_cosine").alias("max_cosine"), (F.sum("correlations") / F.sum("n")).alias("mean_correlation"))
     return means.join(pairs, on)
 
 
+def _blocks(df: DataFrame, on: list[str], size: int = 64) -> DataFrame:
+    """Up to ``size`` vectors of a key end to end in one row, so large sets meet block by block."""
+    whole = df.where(F.col("v").isNotNull()).select(*on, "seq", V.as_double(F.col("v")).alias("v"))
+    block = F.floor((F.row_number().over(Window.partitionBy(*on).orderBy("seq")) - 1) / F.lit(size))
+    return whole.withColumn("_block", block).groupBy(*on, "_block").agg(F.flatten(F.collect_list("v")).alias("flat"), F.count("*").alias("rows")).drop("_block")
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows over their lengths; a row without length stays zero."""
+    n = np.sqrt((x * x).sum(1, keepdims=True))
+    return np.divide(x, n, out=np.zeros_like(x), where=n != 0)
+
+
+def _compared(flat_a, rows_a: int, flat_b, rows_b: int) -> tuple[float, float, int]:
+    """Highest cosine, sum of the correlations and number of the pairs of two blocks of vectors."""
+    a, b = np.asarray(flat_a, dtype=float).reshape(rows_a, -1), np.asarray(flat_b, dtype=float).reshape(rows_b, -1)
+    cosines = _unit(a) @ _unit(b).T
+    centred = [_unit(x - x.mean(1, keepdims=True)) for x in (a, b)]
+    return float(cosines.max()), float(centred[0].sum(0) @ centred[1].sum(0)), rows_a * rows_b
+
+
 def plda_score(cosine: Column) -> tuple[Column, Column]:
     """The placeholder score of the contract: the cosine itself and ten times it as log-likelihood ratio."""
     return cosine, F.lit(10.0) * cosine
