@@ -180,3 +180,30 @@ def test_better_than_counts_of_words(spark):
     plain = sum(math.log10((1 - new) * c[w] / n if c[w] else new) for d, t in docs if held(d) for w in low(t))
     got = [r for r in queries.op7_lm_scoring(spark, sf).collect() if r["held_out"]]
     assert (sum(r["score"] for r in got) - plain) / sum(r["n_tokens"] for r in got) > 0.1
+
+
+def test_every_training_document_is_learned_from(spark, monkeypatch):
+    """Rounds share out the whole range of hashes, and words, symbols, neighbours, components and the mixture's share hear of
+    each training document, however many there are for a task."""
+    for n, n_train in ((4, 10**7), (3, 7001), (2, 5), (6, 123_457)):
+        least, parts = lm._rounds(n, n_train, 1500)
+        edges = {u % lm._HASHES for a, size in parts for u in (a - 1, a, a + size - 1, a + size)}
+        assert all(any((u - a) % lm._HASHES < size for a, size in parts) for u in edges) and sum(size for _, size in parts) >= lm._HASHES
+        assert least >= lm._HASHES * min(1, 1400 / n_train)
+    rows = [(i, " ".join(f"w{(i * 7 + k * k) % 50}" for k in range(9)), "en", "s", 1, 7, 3, "x", 1, 0.5) for i in range(3000)]
+    made, train, near = {}, lm._train, lm._neighbours
+    monkeypatch.setattr(lm, "_train", lambda *a: made.setdefault("model", train(*a)))
+    monkeypatch.setattr(lm, "_neighbours", lambda *a: made.setdefault("near", near(*a)))
+    got = lm.score(frame(spark, rows), PATH, is_held(), rates=(0.02, 0.02, 0.01, 0.004), per_task=300, chunk_bytes=20_000).collect()
+    learned = [r for r in got if not r["held_out"]]
+    tokens = sum(r["n_tokens"] for r in learned)
+    assert tokens == got[0]["train_tokens"] and len(learned) > 2500
+    assert round(made["model"].judged.sum(), 3) == tokens  # each token once
+    s = lm.subwords(PATH)
+    words = {w for r in rows for w in r[1].split()}
+    spelled = {w: len(s([w])[0]) for w in words}
+    held = {r["doc_id"] for r in got if r["held_out"]}
+    symbols = sum(1 + sum(spelled[w] for w in r[1].split()) for r in rows if r[0] not in held)
+    assert made["near"][1].sum() == 2 * (symbols - len(learned))  # all symbols but one of each text have one before, and one after
+    # what the components have seen in the rounds that share the documents out
+    assert symbols <= made["model"].seen.sum() < 1.5 * symbols + 200 * attention.COMPONENTS

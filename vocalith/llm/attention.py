@@ -18,7 +18,7 @@ any model, so tasks can train on their own texts and have their weights averaged
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -33,6 +33,10 @@ ALONE, ROWS = 1000, 8192
 _KEYS = WIDTH - 1
 _MASK = -1e4
 _BATCH, _EVERY, _PRIOR = 256, 10, 20.0
+#: So many steps are taken on an eighth of a batch each: few texts are some steps too.
+_SLOW = 64
+#: Windows whose gradients are taken at a time: what they need stays in the processor's cache.
+_AT_ONCE = 64
 _AHEAD = np.arange(WINDOW)[None, :] > np.arange(STRIDE)[:, None] + STRIDE
 _DISTANCE = np.clip(np.arange(STRIDE)[:, None] + STRIDE - np.arange(WINDOW)[None, :], 0, WINDOW - 1)
 _ONES = np.ones(256, dtype=np.float32)
@@ -45,7 +49,7 @@ WEIGHTS = ("query", "key", "value", "residual", "distance", "out", "out_bias")
 @dataclass
 class Model:
     """``of_group``, ``of_row``: by symbol; ``share``: ln of the symbol's part of its row; ``prior``: the corpus share of
-    each row; ``seen``: how often each component (column) was held responsible for each row."""
+    each row; ``seen``: how often each component (column) was held responsible for each row; ``judged``: what training leaves for its caller."""
 
     of_group: np.ndarray
     of_row: np.ndarray
@@ -60,6 +64,7 @@ class Model:
     out: np.ndarray
     out_bias: np.ndarray
     _safe: bool | None = None
+    judged: np.ndarray | None = None
 
     @property
     def pad(self) -> int:
@@ -209,47 +214,59 @@ def fresh(of_class: np.ndarray, counts: np.ndarray, initial: np.ndarray, final:
 
 
 def _summed(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    flat = index.ravel()
-    return np.stack([np.bincount(flat, weights=c, minlength=size) for c in values.reshape(len(flat), -1).T], axis=1).astype(np.float32)
+    """Sums of the rows of ``values`` by ``index``."""
+    flat, out = index.ravel(), np.zeros((size, values.shape[-1]), dtype=np.float32)
+    by = np.argsort(flat, kind="stable")
+    keys = flat[by]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    out[keys[first]] = np.add.reduceat(values.reshape(len(flat), -1)[by], first, axis=0)
+    return out
 
 
 def _gradients(x: np.ndarray, y: np.ndarray, m: Model, table: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
-    """Gradients of the mean loss, the places that are real, and the responsibility of each component for them."""
+    """Gradients of the mean loss, and for all places the responsibility of each component (none for those that are
+    not real, y < 0) and P(row)."""
     queries, a, sums, h = _attend(x, m)
     a /= sums
     p = _mixture(h, m)
-    p /= p.sum(1, keepdims=True)
-    real = np.flatnonzero(y >= 0)
-    post = p[real] * table.take(y[real], axis=0)
-    post /= post.sum(1, keepdims=True) + np.float32(1e-37)
-    p[real] -= post
-    off = np.ones(len(y), dtype=bool)
-    off[real] = False
+    p /= (p @ _ONES[: p.shape[1]])[:, None]
+    post = p * table.take(y, axis=0, mode="clip")
+    chance = post @ _ONES[: p.shape[1]] + np.float32(1e-37)
+    off = np.flatnonzero(y < 0)
+    post /= chance[:, None]
+    p -= post
     p[off] = 0
-    p /= max(1, len(real))
+    post[off] = 0
+    p /= max(1, len(y) - len(off))
     dh = (p @ m.out.T).reshape(h.shape)
-    values, keys, groups = m.value[x], m.key[x], len(m.query)
-    da = dh @ values.transpose(0, 2, 1)
-    ds = a * (da - (a * da).sum(2, keepdims=True))
+    values, keys, groups = m.value.take(x, axis=0), m.key.take(x, axis=0), len(m.query)
+    own = x[:, STRIDE:]
+    ds = dh @ values.transpose(0, 2, 1)
+    # sum over a row of weights times their gradients: what attention alone gives, times dh
+    ds -= (dh * (h - m.residual.take(own, axis=0))).sum(2, keepdims=True)
+    ds *= a
+    sides = _summed(x, np.concatenate([a.transpose(0, 2, 1) @ dh, ds.transpose(0, 2, 1) @ queries], axis=2), groups)
+    owns = _summed(own, np.concatenate([dh, ds @ keys], axis=2), groups)
     grads = {
         "out": h.reshape(-1, WIDTH).T @ p,
         "out_bias": p.sum(0),
-        "residual": _summed(x[:, STRIDE:], dh, groups),
-        "value": _summed(x, a.transpose(0, 2, 1) @ dh, groups),
-        "query": _summed(x[:, STRIDE:], ds @ keys, groups),
-        "key": _summed(x, ds.transpose(0, 2, 1) @ queries, groups),
+        "residual": owns[:, :WIDTH],
+        "value": sides[:, :WIDTH],
+        "query": owns[:, WIDTH:],
+        "key": sides[:, WIDTH:],
         "distance": np.bincount(_DISTANCE.ravel(), weights=ds.sum(0).ravel(), minlength=WINDOW).astype(np.float32),
     }
     grads["query"][:, _KEYS] = 0
     grads["key"][:, _KEYS] = 0
     grads["key"][m.pad] = 0
-    return grads, real, post
+    return grads, post, chance
 
 
-def train(m: Model, texts: Iterable[tuple[np.ndarray, np.ndarray]], rate: float, keep: float = 0.9, seed: int = 1) -> Model:
-    """One pass over blocks of texts (symbols end to end, lengths): a step for every _BATCH windows, in random order.
+def train(m: Model, texts: Iterable[tuple[np.ndarray, np.ndarray]], rate: float, keep: float = 0.9, seed: int = 1, heard: Callable[[np.ndarray], None] | None = None) -> Model:
+    """One pass over blocks of texts (symbols end to end, lengths): a step for every _BATCH windows (fewer at first), in random order.
 
-    ``keep``: what the components' counts are multiplied with every _EVERY steps, 1 to forget nothing.
+    ``keep``: what the components' counts are multiplied with every _EVERY steps, 1 to forget nothing. ``heard`` gets
+    ln P of each symbol of a block, as it was before its window was learned from.
     """
     m = m.with_flat(m.flat())
     rng, step, table = np.random.default_rng(seed), 0, m.components()
@@ -260,24 +277,34 @@ def train(m: Model, texts: Iterable[tuple[np.ndarray, np.ndarray]], rate: float,
         flat, rows, place = layout(symbols, lengths, m)
         target = np.full(len(rows) * STRIDE, -1, dtype=np.int32)
         target[place] = m.of_row[symbols]
-        target = target.reshape(-1, STRIDE)
+        target, chances = target.reshape(-1, STRIDE), np.empty((len(rows), STRIDE), dtype=np.float32)
         turns = rng.permutation(len(rows))
-        for at in range(0, len(turns), _BATCH):
-            r, step = turns[at : at + _BATCH], step + 1
-            y = target[r].ravel()
-            grads, real, post = _gradients(np.concatenate([flat[rows[r] - 1], flat[rows[r]]], axis=1), y, m, table)
-            by = np.argsort(y[real], kind="stable")
-            ys = y[real][by]
-            first = np.flatnonzero(np.concatenate([[True], ys[1:] != ys[:-1]]))
-            m.seen[ys[first]] += np.add.reduceat(post[by], first, axis=0)
+        at = 0
+        while at < len(turns):
+            r, step = turns[at : at + (_BATCH if step >= _SLOW else _BATCH // 8)], step + 1
+            at += len(r)
+            grads, real = {k: 0.0 for k in WEIGHTS}, max(1, np.count_nonzero(target[r] >= 0))
+            for q in (r[i : i + _AT_ONCE] for i in range(0, len(r), _AT_ONCE)):
+                y = target[q].ravel()
+                part, post, chance = _gradients(np.concatenate([flat[rows[q] - 1], flat[rows[q]]], axis=1), y, m, table)
+                weight = np.float32(np.count_nonzero(y >= 0) / real)
+                grads = {k: grads[k] + weight * part[k] for k in WEIGHTS}
+                chances[q] = chance.reshape(-1, STRIDE)
+                by = np.argsort(y.astype(np.int16), kind="stable")
+                ys = y[by]
+                first = np.flatnonzero(np.concatenate([[True], ys[1:] != ys[:-1]]))
+                m.seen[np.maximum(ys[first], 0)] += np.add.reduceat(post[by], first, axis=0)
             if step % _EVERY == 0:
                 table = m.components()
-                m.seen *= keep
+                if keep < 1:
+                    m.seen *= keep
             now = rate * min(1.0, step / 20)
             for k in WEIGHTS:
                 mean[k] += 0.1 * (grads[k] - mean[k])
                 square[k] += 0.01 * (grads[k] ** 2 - square[k])
                 getattr(m, k)[...] -= now * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-8)
             m._safe = False  # weights move: always guarded while training
+        if heard:
+            heard(np.log(chances.ravel()[place]) + m.share[symbols])
     m._safe = None
     return m
