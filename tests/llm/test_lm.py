@@ -111,6 +111,26 @@ def test_squeezed_codes():
         assert (lm.unsqueeze(lm.squeeze(x), n) == x).all()
 
 
+def test_vocabularies_travel_as_one_row_a_bucket(spark):
+    """Not as one row a word; the buckets of a chunk tell of each different word once, with its number in training."""
+    rows = [(i, " ".join(f"w{40 * i + k} all" for k in range(40)), "en", "s", 1, 7, 3, "x", 1, 0.5) for i in range(200)]
+    stored = lm.chunk_corpus(frame(spark, rows).coalesce(1), "doc_id", "text", is_held()).where("kind = 0").orderBy("start").collect()
+    assert 0 < len(stored) <= 256 and sum(r["k"] for r in stored) == 8001
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(200)]
+    got = {w: int(n) for r in stored for w, n in zip(r["words"].split(" "), lm.unsqueeze(r["n"], r["k"]), strict=True)}
+    assert got == {f"w{40 * i + k}": int(not held[i]) for i in range(200) for k in range(40)} | {"all": 40 * (200 - sum(held))}
+
+
+def test_rows_are_added_by_index():
+    rng = np.random.default_rng(4)
+    for n, kinds in ((1, 1), (7, 1), (500, 3), (900, 400)):
+        index, values = rng.integers(0, kinds, n).astype(np.int16), rng.standard_normal((n, 5)).astype(np.float32)
+        got, want = np.ones((kinds, 5), np.float32), np.ones((kinds, 5))
+        attention._add_rows(index, values, got)
+        np.add.at(want, index, values)
+        assert np.allclose(got, want, atol=1e-4)
+
+
 def test_scores_word_by_word_and_cases(spark, monkeypatch):
     rows, made, train, share = documents(), {}, lm._train, lm._mixture_share
     monkeypatch.setattr(lm, "_train", lambda *a: made.setdefault("model", train(*a)))

@@ -18,6 +18,7 @@ any model, so tasks can train on their own texts and have their weights averaged
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
 
@@ -37,6 +38,8 @@ _BATCH, _EVERY, _PRIOR = 256, 10, 20.0
 _SLOW = 64
 #: Windows whose gradients are taken at a time: what they need stays in the processor's cache.
 _AT_ONCE = 64
+#: So many rows of one index are added up at a time.
+_RUN = 8
 _AHEAD = np.arange(WINDOW)[None, :] > np.arange(STRIDE)[:, None] + STRIDE
 _DISTANCE = np.clip(np.arange(STRIDE)[:, None] + STRIDE - np.arange(WINDOW)[None, :], 0, WINDOW - 1)
 _ONES = np.ones(256, dtype=np.float32)
@@ -120,25 +123,49 @@ def layout(symbols: np.ndarray, lengths: np.ndarray, model: Model) -> tuple[np.n
     return flat.reshape(-1, STRIDE), np.flatnonzero(scored), place
 
 
-def _attend(x: np.ndarray, m: Model):
-    """Windows of groups (n, WINDOW) -> queries, weights (n, STRIDE, WINDOW), their sums and hidden vectors (n, STRIDE, WIDTH)."""
-    own = x[:, STRIDE:]
-    queries = m.query.take(own, axis=0)
-    scores = queries @ m.key.take(x, axis=0).transpose(0, 2, 1)
+class _Room:
+    """Arrays that batches of one size use in turn: memory is touched once, and stays in the processor's cache."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        size = math.prod(shape)
+        if name not in self.held or self.held[name].size < size:
+            self.held[name] = np.empty(size, dtype=np.float32)
+        return self.held[name][:size].reshape(shape)
+
+
+def _exp(x: np.ndarray, safe: bool) -> np.ndarray:
+    """In place, guarded against overflow unless ``safe``."""
+    return np.exp(x if safe or not x.size or x.max() <= 60 else np.minimum(x, 60, out=x), out=x)
+
+
+def _attend(x: np.ndarray, m: Model, room: _Room):
+    """Windows of groups (n, WINDOW) -> queries, keys, values, weights (n, STRIDE, WINDOW) not yet divided by their sums, these sums,
+    what attention gives, and hidden vectors (n, STRIDE, WIDTH + 1), the last of which is 1."""
+    own, n = x[:, STRIDE:], len(x)
+    queries, keys, values = m.query.take(own, axis=0), m.key.take(x, axis=0), m.value.take(x, axis=0)
+    scores = np.matmul(queries, keys.transpose(0, 2, 1), out=room("scores", n, STRIDE, WINDOW))
     scores += _BIAS + m.distance[_DISTANCE]
-    np.exp(scores if m.safe() else np.minimum(scores, 60, out=scores), out=scores)
+    _exp(scores, m.safe())
     sums = (scores @ _ONES[:WINDOW] + np.float32(1e-30))[:, :, None]
-    hidden = scores @ m.value.take(x, axis=0)
-    hidden /= sums
-    hidden += m.residual.take(own, axis=0)
-    return queries, scores, sums, hidden
+    given = np.matmul(scores, values, out=room("given", n, STRIDE, WIDTH))
+    given /= sums
+    hidden = room("hidden", n, STRIDE, WIDTH + 1)
+    np.add(given, m.residual.take(own, axis=0), out=hidden[:, :, :WIDTH])
+    hidden[:, :, WIDTH] = 1
+    return queries, keys, values, scores, sums, given, hidden
+
+
+def _mixture(hidden: np.ndarray, out: np.ndarray, m: Model, room: _Room) -> np.ndarray:
+    """Weights of the components, not yet divided by their sum; ``out``: the model's, with its bias as the last row."""
+    h = hidden.reshape(-1, WIDTH + 1)
+    return _exp(np.matmul(h, out, out=room("mixture", len(h), out.shape[1])), m.safe())
 
 
-def _mixture(hidden: np.ndarray, m: Model) -> np.ndarray:
-    """Weights of the components, not yet divided by their sum."""
-    logits = hidden.reshape(-1, WIDTH) @ m.out
-    logits += m.out_bias
-    return np.exp(logits if m.safe() else np.minimum(logits, 60, out=logits), out=logits)
+def _with_bias(m: Model) -> np.ndarray:
+    return np.concatenate([m.out, m.out_bias[None, :]])
 
 
 def symbol_logs(symbols: np.ndarray, lengths: np.ndarray, m: Model, table: np.ndarray | None = None, block: int = 64) -> np.ndarray:
@@ -149,14 +176,15 @@ def symbol_logs(symbols: np.ndarray, lengths: np.ndarray, m: Model, table: np.nd
     flat, rows, place = layout(symbols, lengths, m)
     targets = np.zeros(len(rows) * STRIDE, dtype=np.int32)
     targets[place] = m.of_row[symbols]
-    out = np.empty(len(targets), dtype=np.float32)
+    out, room, mixed = np.empty(len(targets), dtype=np.float32), _Room(), _with_bias(m)
     for a in range(0, len(rows), block):
         r = rows[a : a + block]
-        _, _, _, h = _attend(np.concatenate([flat[r - 1], flat[r]], axis=1), m)
-        weights = _mixture(h, m)
+        *_, h = _attend(np.concatenate([flat[r - 1], flat[r]], axis=1), m, room)
+        weights = _mixture(h, mixed, m, room)
         at = slice(a * STRIDE, (a + len(r)) * STRIDE)
-        out[at] = np.log(np.einsum("ij,ij->i", weights, table.take(targets[at], axis=0)) / (weights @ _ONES[: weights.shape[1]]) + np.float32(1e-37))
-    return out[place] + m.share[symbols]
+        np.divide(np.einsum("ij,ij->i", weights, table.take(targets[at], axis=0)), weights @ _ONES[: weights.shape[1]], out=out[at])
+    out += np.float32(1e-37)
+    return np.log(out, out=out)[place] + m.share[symbols]
 
 
 def classes(joint: np.ndarray, top: np.ndarray, counts: np.ndarray, initial: np.ndarray, final: np.ndarray, seed: int = 7) -> np.ndarray:
@@ -213,53 +241,107 @@ def fresh(of_class: np.ndarray, counts: np.ndarray, initial: np.ndarray, final:
     return m
 
 
-def _summed(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    """Sums of the rows of ``values`` by ``index``."""
-    flat, out = index.ravel(), np.zeros((size, values.shape[-1]), dtype=np.float32)
-    by = np.argsort(flat, kind="stable")
-    keys = flat[by]
+def _add_rows(index: np.ndarray, values: np.ndarray, into: np.ndarray) -> None:
+    """Adds the rows of ``values`` to the rows ``index`` of ``into``. The rows of one index are added in runs of up to _RUN, as sums
+    of whole arrays, then those of several runs."""
+    by = np.argsort(index, kind="stable")
+    keys = index[by]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    out[keys[first]] = np.add.reduceat(values.reshape(len(flat), -1)[by], first, axis=0)
-    return out
-
+    many = np.diff(np.append(first, len(keys)))
+    runs = -(-many // _RUN)
+    at = np.cumsum(runs) - runs  # the first run of each index
+    begin = np.arange(int(runs.sum())) * _RUN + np.repeat(first - at * _RUN, runs)
+    sizes = np.minimum(np.repeat(first + many, runs) - begin, _RUN).astype(np.int8)
+    order = np.argsort(-sizes, kind="stable")
+    begin, place = begin[order], np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    total = values.take(by.take(begin), axis=0)
+    for i in range(1, _RUN):
+        n = np.count_nonzero(sizes > i)
+        total[:n] += values.take(by.take(begin[:n] + i), axis=0)
+    one = runs == 1
+    into[keys[first[one]]] += total.take(place[at[one]], axis=0)
+    if not one.all():
+        rows, left = place[np.repeat(~one, runs)], runs[~one]
+        into[keys[first[~one]]] += np.add.reduceat(total.take(rows, axis=0), np.cumsum(left) - left, axis=0)
+
+
+class _Sums:
+    """Gradients over the batches of a step: by place those of the groups' vectors (value and key of what is seen, residual and query
+    of what sees), else summed. What each component was held responsible for as well, by place."""
+
+    def __init__(self, m: Model, windows: int):
+        self.sides = np.zeros((windows * (WINDOW + STRIDE), 2 * WIDTH), dtype=np.float32)
+        self.post = np.zeros((windows * STRIDE, m.out.shape[1]), dtype=np.float32)
+        self.out, self.distance = np.zeros((WIDTH + 1, m.out.shape[1]), dtype=np.float32), np.zeros((STRIDE, WINDOW), dtype=np.float32)
+        self.index, self.rows, self.at, self.posts = [], [], 0, 0
+
+    def place(self, x: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray]:
+        """Where windows of groups put what belongs to the groups' vectors."""
+        n = len(x)
+        middle, end = self.at + n * WINDOW, self.at + n * (WINDOW + STRIDE)
+        self.index += [x.ravel(), x[:, STRIDE:].ravel() + np.int16(len(m.query))]
+        out = self.sides[self.at : middle].reshape(n, WINDOW, -1), self.sides[middle:end].reshape(n, STRIDE, -1)
+        self.at = end
+        return out
 
-def _gradients(x: np.ndarray, y: np.ndarray, m: Model, table: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
-    """Gradients of the mean loss, and for all places the responsibility of each component (none for those that are
-    not real, y < 0) and P(row)."""
-    queries, a, sums, h = _attend(x, m)
-    a /= sums
-    p = _mixture(h, m)
-    p /= (p @ _ONES[: p.shape[1]])[:, None]
-    post = p * table.take(y, axis=0, mode="clip")
-    chance = post @ _ONES[: p.shape[1]] + np.float32(1e-37)
-    off = np.flatnonzero(y < 0)
-    post /= chance[:, None]
+    def place_post(self, y: np.ndarray) -> np.ndarray:
+        self.rows.append(np.maximum(y, 0).astype(np.int16))
+        self.posts += len(y)
+        return self.post[self.posts - len(y) : self.posts]
+
+    def taken(self, m: Model, real: int) -> dict[str, np.ndarray]:
+        """The gradients of the mean over ``real`` places; what the components saw is added to the model's. The sums are 0 again."""
+        groups = np.zeros((2 * len(m.query), 2 * WIDTH), dtype=np.float32)
+        _add_rows(np.concatenate(self.index), self.sides[: self.at], groups)
+        _add_rows(np.concatenate(self.rows), self.post[: self.posts], m.seen)
+        groups /= np.float32(real)
+        sides, owns = groups[: len(m.query)], groups[len(m.query) :]
+        owns[:, WIDTH + _KEYS] = 0
+        sides[:, WIDTH + _KEYS] = 0
+        sides[m.pad, WIDTH:] = 0
+        out = self.out / np.float32(real)
+        by_distance = np.bincount(_DISTANCE.ravel(), weights=self.distance.ravel() / real, minlength=WINDOW).astype(np.float32)
+        self.out[...], self.distance[...] = 0, 0
+        self.index, self.rows, self.at, self.posts = [], [], 0, 0
+        return {"out": out[:WIDTH], "out_bias": out[WIDTH], "residual": owns[:, :WIDTH], "value": sides[:, :WIDTH], "query": owns[:, WIDTH:], "key": sides[:, WIDTH:], "distance": by_distance}
+
+
+def _add_gradients(x: np.ndarray, y: np.ndarray, m: Model, table: np.ndarray, sums: _Sums, room: _Room) -> np.ndarray:
+    """Adds the gradients of the summed loss, and the responsibility of each component at each place (none at those that
+    are not real, y < 0), to ``sums``; P(row) at all places."""
+    n = len(x)
+    queries, keys, values, a, whole, given, h = _attend(x, m, room)
+    p = _mixture(h, _with_bias(m), m, room)
+    post = np.multiply(p, table.take(y, axis=0, mode="clip"), out=sums.place_post(y))
+    weight, chance = p @ _ONES[: p.shape[1]], post @ _ONES[: p.shape[1]]
+    chance += np.float32(1e-37) * weight
+    real = (y >= 0).astype(np.float32)
+    p *= (real / weight)[:, None]
+    post *= (real / chance)[:, None]
     p -= post
-    p[off] = 0
-    post[off] = 0
-    p /= max(1, len(y) - len(off))
-    dh = (p @ m.out.T).reshape(h.shape)
-    values, keys, groups = m.value.take(x, axis=0), m.key.take(x, axis=0), len(m.query)
-    own = x[:, STRIDE:]
-    ds = dh @ values.transpose(0, 2, 1)
+    sums.out += (p.T @ h.reshape(n * STRIDE, -1)).T
+    dh = (p @ m.out.T).reshape(n, STRIDE, WIDTH)
+    # weights of attention stay undivided: what they are multiplied with is divided by their sums
+    part = dh / whole
+    ds = np.matmul(part, values.transpose(0, 2, 1), out=room("ds", n, STRIDE, WINDOW))
     # sum over a row of weights times their gradients: what attention alone gives, times dh
-    ds -= (dh * (h - m.residual.take(own, axis=0))).sum(2, keepdims=True)
+    ds -= np.einsum("nij,nij->ni", part, given)[:, :, None]
     ds *= a
-    sides = _summed(x, np.concatenate([a.transpose(0, 2, 1) @ dh, ds.transpose(0, 2, 1) @ queries], axis=2), groups)
-    owns = _summed(own, np.concatenate([dh, ds @ keys], axis=2), groups)
-    grads = {
-        "out": h.reshape(-1, WIDTH).T @ p,
-        "out_bias": p.sum(0),
-        "residual": owns[:, :WIDTH],
-        "value": sides[:, :WIDTH],
-        "query": owns[:, WIDTH:],
-        "key": sides[:, WIDTH:],
-        "distance": np.bincount(_DISTANCE.ravel(), weights=ds.sum(0).ravel(), minlength=WINDOW).astype(np.float32),
-    }
-    grads["query"][:, _KEYS] = 0
-    grads["key"][:, _KEYS] = 0
-    grads["key"][m.pad] = 0
-    return grads, post, chance
+    side, mine = sums.place(x, m)
+    np.matmul(a.transpose(0, 2, 1), part, out=side[:, :, :WIDTH])
+    np.matmul(ds.transpose(0, 2, 1), queries, out=side[:, :, WIDTH:])
+    mine[:, :, :WIDTH] = dh
+    np.matmul(ds, keys, out=mine[:, :, WIDTH:])
+    sums.distance += (_ONES[:n] @ ds.reshape(n, -1)).reshape(STRIDE, WINDOW)
+    return chance / weight
+
+
+def _gradients(x: np.ndarray, y: np.ndarray, m: Model, table: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Gradients of the mean loss of some windows, what each component saw of each row, and P(row) at all places."""
+    sums, m = _Sums(m, len(x)), replace(m, seen=np.zeros_like(m.seen))
+    chance = _add_gradients(x, y, m, table, sums, _Room())
+    return sums.taken(m, max(1, np.count_nonzero(y >= 0))), m.seen, chance
 
 
 def train(m: Model, texts: Iterable[tuple[np.ndarray, np.ndarray]], rate: float, keep: float = 0.9, seed: int = 1, heard: Callable[[np.ndarray], None] | None = None) -> Model:
@@ -271,6 +353,7 @@ def train(m: Model, texts: Iterable[tuple[np.ndarray, np.ndarray]], rate: float,
     m = m.with_flat(m.flat())
     rng, step, table = np.random.default_rng(seed), 0, m.components()
     mean, square = ({k: np.zeros_like(getattr(m, k)) for k in WEIGHTS} for _ in range(2))
+    sums, room = _Sums(m, _BATCH), _Room()
     for symbols, lengths in texts:
         if not len(symbols):
             continue
@@ -283,17 +366,10 @@ def train(m: Model, texts: Iterable[tuple[np.ndarray, np.ndarray]], rate: float,
         while at < len(turns):
             r, step = turns[at : at + (_BATCH if step >= _SLOW else _BATCH // 8)], step + 1
             at += len(r)
-            grads, real = {k: 0.0 for k in WEIGHTS}, max(1, np.count_nonzero(target[r] >= 0))
             for q in (r[i : i + _AT_ONCE] for i in range(0, len(r), _AT_ONCE)):
                 y = target[q].ravel()
-                part, post, chance = _gradients(np.concatenate([flat[rows[q] - 1], flat[rows[q]]], axis=1), y, m, table)
-                weight = np.float32(np.count_nonzero(y >= 0) / real)
-                grads = {k: grads[k] + weight * part[k] for k in WEIGHTS}
-                chances[q] = chance.reshape(-1, STRIDE)
-                by = np.argsort(y.astype(np.int16), kind="stable")
-                ys = y[by]
-                first = np.flatnonzero(np.concatenate([[True], ys[1:] != ys[:-1]]))
-                m.seen[np.maximum(ys[first], 0)] += np.add.reduceat(post[by], first, axis=0)
+                chances[q] = _add_gradients(np.concatenate([flat[rows[q] - 1], flat[rows[q]]], axis=1), y, m, table, sums, room).reshape(-1, STRIDE)
+            grads = sums.taken(m, max(1, np.count_nonzero(target[r] >= 0)))
             if step % _EVERY == 0:
                 table = m.components()
                 if keep < 1:

@@ -2,9 +2,9 @@
 
 The documents are split into words once. A chunk (the words of some megabytes of text) keeps each different
 word once, with its number in training documents, and its texts as numbers of words; only chunk vocabularies are
-shuffled, not tokens. One shuffle by word sums the counts and gives each different word its subword ids, one by chunk
-brings both back. A chunk then has all that learning and scoring need: each is one pass over the chunks with
-batched matrix products; no vocabulary is ever broadcast or collected.
+shuffled, not tokens, each as one row a bucket of words. One shuffle by bucket sums the counts and gives each different
+word its subword ids, one by chunk brings both back. A chunk then has all that learning and scoring need: each is one pass
+over the chunks with batched matrix products; no vocabulary is ever broadcast or collected.
 
 Base score: smoothed unigram over words. Model: a distribution over the same events, the words known from training
 and one event for all others. A known word has m b + (1 - m) (1 - u) a, with b the base's probability and a the
@@ -30,13 +30,14 @@ from __future__ import annotations
 
 import io
 import uuid
+from itertools import chain
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import attention
@@ -87,14 +88,19 @@ class Base:
     end: int
 
 
-_CHUNK_ROWS = "chunk long, kind int, idx int, word string, n long, texts binary, codes binary"
+_CHUNK_ROWS = "chunk long, kind int, bucket int, start int, k int, words string, n binary, train long, texts binary, codes binary"
 
 
 def chunk_corpus(docs: DataFrame, doc: str, text: str, held_out: Column, chunk_bytes: int = _CHUNK) -> DataFrame:
-    """kind 0: a different word of a chunk (idx, word, n in training); kind 1: the chunk's texts (ids, flags, hashes,
-    lengths as an Arrow stream) and their words as indexes."""
+    """kind 0: the different words of a chunk in a bucket (``k`` from index ``start`` on, with blanks between them) and their
+    numbers in training; kind 1: the chunk's texts (ids, flags, hashes, lengths as an Arrow stream), how many are for
+    training, and their words as indexes."""
     bounded_batches(docs.sparkSession, rows=8192, size="2m")
-    schema = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("idx", pa.int32()), ("word", pa.string()), ("n", pa.int64()), ("texts", pa.binary()), ("codes", pa.binary())])
+    i32, i64, raw = pa.int32(), pa.int64(), pa.binary()
+    schema = pa.schema([("chunk", i64), ("kind", i32), ("bucket", i32), ("start", i32), ("k", i32), ("words", pa.string()), ("n", raw), ("train", i64), ("texts", raw), ("codes", raw)])
+    # so many that a bucket's words fit in memory, and so few that a chunk has hundreds of words for each
+    parts = docs.rdd.getNumPartitions()
+    buckets = min(max(16, 4 * parts), max(256, parts // 8))
 
     def run(batches):
         from pyspark import TaskContext
@@ -118,19 +124,28 @@ def chunk_corpus(docs: DataFrame, doc: str, text: str, held_out: Column, chunk_b
             return
         words, lengths = split_words(t["t"].chunk(0))
         coded = words.dictionary_encode()
-        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+        # words are numbered bucket by bucket
+        of = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False).astype(object), categorize=False) % buckets
+        by = np.argsort(of, kind="stable")
+        place = np.empty(len(by), dtype=np.int32)
+        place[by] = np.arange(len(by))
+        codes = place[coded.indices.to_numpy(zero_copy_only=False)]
         out = t["h"].to_numpy().astype(bool)
-        n = np.bincount(codes[~np.repeat(out, lengths)], minlength=len(coded.dictionary))
+        n = np.bincount(codes[~np.repeat(out, lengths)], minlength=len(by))
         sink = io.BytesIO()
         about = pa.table({"d": t["d"], "h": t["h"], "x": t["x"], "n": pa.array(lengths.astype(np.int64))})
         with pa.ipc.new_stream(sink, about.schema) as w:
             w.write_table(about)
-        k = len(coded.dictionary)
-        cols = [pa.array([name] * 1, pa.int64()), pa.array([1], pa.int32()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([sink.getvalue()], pa.binary()), pa.array([squeeze(codes)], pa.binary())]
-        yield pa.RecordBatch.from_arrays(cols, schema=schema)
-        if k:
-            cols = [pa.array(np.full(k, name)), pa.array(np.zeros(k, np.int32)), pa.array(np.arange(k, dtype=np.int32)), coded.dictionary.cast(pa.string()), pa.array(n.astype(np.int64)), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, schema=schema)
+        yield rows({"chunk": [name], "kind": [1], "train": [int((~out).sum())], "texts": [sink.getvalue()], "codes": [squeeze(codes)]})
+        if len(by):
+            many = np.bincount(of.astype(np.int64), minlength=buckets)
+            start, some = np.cumsum(many) - many, np.flatnonzero(many)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(start[some], len(by)), i32), coded.dictionary.cast(pa.string()).take(pa.array(by)))
+            yield rows({"chunk": np.full(len(some), name), "kind": np.zeros(len(some), np.int32), "bucket": some, "start": start[some], "k": many[some], "words": pc.binary_join(lists, " "), "n": [squeeze(n[i : i + k]) for i, k in zip(start[some], many[some], strict=True)]})
+
+    def rows(columns: dict) -> pa.RecordBatch:
+        size = len(columns["chunk"])
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
 
     return docs.select(F.col(doc).alias("d"), F.col(text).alias("t"), held_out.alias("h"), _hash(doc, text).alias("x")).mapInArrow(run, _CHUNK_ROWS)
 
@@ -154,13 +169,21 @@ class Subwords:
         #: The end of a text.
         self.end = 2 * self.ids
 
+    def together(self, words: list[str], at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of all words end to end, and how many each word has."""
+        parts = [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int64)]
+        for i in range(0, len(words), at_once):
+            ids = [e.ids or [0] for e in self.tokenizer.encode_batch_fast([" " + w for w in words[i : i + at_once]], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(sizes.sum()))
+            flat[np.cumsum(sizes) - 1] += self.ids
+            parts[0].append(flat)
+            parts[1].append(sizes)
+        return np.concatenate(parts[0]), np.concatenate(parts[1])
+
     def __call__(self, words: list[str]) -> list[np.ndarray]:
-        out = []
-        for e in self.tokenizer.encode_batch_fast([" " + w for w in words], add_special_tokens=False):
-            a = np.array(e.ids or [0], dtype=np.int32)
-            a[-1] += self.ids
-            out.append(a)
-        return out
+        flat, sizes = self.together(words)
+        return np.split(flat, np.cumsum(sizes)[:-1]) if words else []
 
 
 _SUBWORDS: dict[str, Subwords] = {}
@@ -172,45 +195,62 @@ def subwords(path: str) -> Subwords:
     return _SUBWORDS[path]
 
 
-def _with_symbols(words: DataFrame, path: str) -> DataFrame:
-    """Rows (chunk, idx, word, c, first), those of a word in succession -> (chunk, idx, counted, symbols): the word's
-    symbols as bytes; counted is 2 c, plus 1 in the first row of a word."""
-
-    def run(batches):
-        s = subwords(path)
-        for b in batches:
-            coded = b.column("word").dictionary_encode()
-            got = pa.array([a.tobytes() for a in s(coded.dictionary.to_pylist())], pa.binary()).take(coded.indices)
-            counted = 2 * b.column("c").to_numpy() + b.column("first").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([b.column("chunk"), b.column("idx"), pa.array(counted, pa.int64()), got], names=["chunk", "idx", "counted", "symbols"])
+def _spelled(path: str):
+    """All rows of a bucket of words -> a row for each: counts and symbols of its words; counted is 2 c, plus 1 where no
+    other row tells of the word."""
+
+    def run(t: pa.Table) -> pa.Table:
+        s, t = subwords(path), t.combine_chunks()
+        k = t["k"].to_numpy().astype(np.int64)
+        coded = pc.split_pattern(t["words"].chunk(0), " ").flatten().dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        n = np.concatenate([unsqueeze(x, i) for x, i in zip(t["n"].to_pylist(), k, strict=True)])
+        c = np.bincount(codes, weights=n).astype(np.int64)
+        latest = np.maximum.accumulate(codes)  # words are numbered as they come
+        counted = 2 * c[codes] + np.concatenate([[True], latest[1:] > latest[:-1]])
+        flat, sizes = s.together(coded.dictionary.to_pylist())
+        starts, ends = np.cumsum(sizes) - sizes, np.cumsum(k)
+        out = []
+        for i, j in zip(ends - k, ends, strict=True):
+            of = codes[i:j]
+            mine = flat[_ranges(starts[of], sizes[of])]
+            out.append((pa.compress(counted[i:j].astype("<i8").tobytes(), codec="zstd", asbytes=True), squeeze(sizes[of]), len(mine), squeeze(mine)))
         give_back()
+        return pa.table({"chunk": t["chunk"], "start": t["start"], "k": t["k"]} | {name: pa.array(x, kind) for name, x, kind in zip(("counted", "sizes", "n", "flat"), zip(*out, strict=True), (pa.binary(), pa.binary(), pa.int64(), pa.binary()), strict=True)})
+
+    return run
+
 
-    return words.mapInArrow(run, "chunk long, idx int, counted long, symbols binary")
+_VOCABULARY = "k long, counted binary, sizes binary, n long, flat binary"
+_READY_ROWS = f"chunk long, train long, texts binary, codes binary, {_VOCABULARY}"
 
 
-_READY_ROWS = "chunk long, texts binary, codes binary, k long, counted binary, sizes binary, n long, flat binary"
+def _vocabulary(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By word: count in training, whether no other row tells of it, number of symbols; the symbols."""
+    k = row["k"]
+    counted = np.frombuffer(pa.decompress(row["counted"], decompressed_size=8 * k, codec="zstd"), dtype="<i8") if k else np.zeros(0, dtype=np.int64)
+    return counted >> 1, (counted & 1).astype(bool), unsqueeze(row["sizes"], k).astype(np.int64), unsqueeze(row["flat"], row["n"])
 
 
 def _ready(stored: DataFrame, path: str) -> DataFrame:
     """One row a chunk: its texts and codes, and by index of its ``k`` different words their counts in training and
     their symbols (``n`` in all)."""
-    by = Window.partitionBy("word").orderBy("chunk")
-    whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    summed = stored.where("kind = 0").select("chunk", "idx", "word", F.sum("n").over(whole).alias("c"), (F.row_number().over(by) == 1).alias("first"))
-    texts = stored.where("kind = 1").select(F.col("chunk").alias("of"), "texts", "codes")
+    words = stored.where("kind = 0").select("chunk", "bucket", "start", "k", "words", "n")
+    spelled = words.groupBy("bucket").applyInArrow(_spelled(path), "chunk long, start int, k int, counted binary, sizes binary, n long, flat binary")
+    texts = stored.where("kind = 1").select(F.col("chunk").alias("of"), "train", "texts", "codes")
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        idx = left["idx"].to_numpy()
-        flat, sizes = _unpack(left["symbols"])
-        order = np.argsort(idx, kind="stable")
-        flat = flat[_ranges((np.cumsum(sizes) - sizes)[order], sizes[order])]
-        counted = left["counted"].to_numpy()[order].astype("<i8").tobytes()
-        row = {"chunk": right["of"], "texts": right["texts"], "codes": right["codes"], "k": [len(idx)], "counted": [pa.compress(counted, codec="zstd", asbytes=True) if len(idx) else b""], "sizes": [squeeze(sizes[order])], "n": [len(flat)], "flat": [squeeze(flat)]}
+        parts = [_vocabulary(x) for x in sorted(left.to_pylist(), key=lambda x: x["start"])]
+        row = {"k": [0], "counted": [b""], "sizes": [b""], "n": [0], "flat": [b""]}
+        if parts:
+            c, first, sizes, flat = (np.concatenate(x) for x in zip(*parts, strict=True))
+            counted = pa.compress((2 * c + first).astype("<i8").tobytes(), codec="zstd", asbytes=True)
+            row = {"k": [len(c)], "counted": [counted], "sizes": [squeeze(sizes)], "n": [len(flat)], "flat": [squeeze(flat)]}
         give_back()
-        return pa.table(row)
+        return pa.table({"chunk": right["of"], "train": right["train"], "texts": right["texts"], "codes": right["codes"]} | row)
 
     chunks = texts.count()  # small ones are many tasks' too
-    return _with_symbols(summed, path).repartition(max(1, chunks), "chunk").groupBy("chunk").cogroup(texts.groupBy("of")).applyInArrow(run, _READY_ROWS)
+    return spelled.repartition(max(1, chunks), "chunk").groupBy("chunk").cogroup(texts.groupBy("of")).applyInArrow(run, _READY_ROWS)
 
 
 class Chunk:
@@ -221,29 +261,34 @@ class Chunk:
         self.about = pa.ipc.open_stream(row["texts"]).read_all()
         self.lengths = self.about["n"].to_numpy()
         self.codes = unsqueeze(row["codes"], int(self.lengths.sum()))
-        k = row["k"]
-        counted = np.frombuffer(pa.decompress(row["counted"], decompressed_size=8 * k, codec="zstd"), dtype="<i8") if k else np.zeros(0, dtype=np.int64)
-        self.c, self.first = counted >> 1, (counted & 1).astype(bool)
-        self.sizes, self.flat = unsqueeze(row["sizes"], k).astype(np.int64), unsqueeze(row["flat"], row["n"])
+        self.c, self.first, self.sizes, self.flat = _vocabulary(row)
         self.training, self.hash = ~self.about["h"].to_numpy().astype(bool), self.about["x"].to_numpy()
 
+    def tokens(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words of some texts end to end, an end (number len(c)) after each; how many tokens each has."""
+        lengths = self.lengths[which]
+        of, tokens = np.full(int(lengths.sum()) + len(which), len(self.c), dtype=np.int32), lengths + 1
+        words = np.ones(len(of), dtype=bool)
+        words[np.cumsum(tokens) - 1] = False
+        of[words] = self.codes[_ranges((np.cumsum(self.lengths) - self.lengths)[which], lengths)]
+        return of, tokens
+
     def blocks(self, chosen: np.ndarray, end: int, block: int = _SYMBOLS):
         """The chosen texts, about ``block`` symbols at a time: which texts, codes (the end is the last), the number of
         tokens of each text, symbols, symbols of each token and of each text."""
-        sizes, flat = np.append(self.sizes, 1), np.append(self.flat, np.int32(end))
-        starts = np.cumsum(sizes) - sizes
-        tokens, ends = self.lengths + 1, np.cumsum(self.lengths)
-        codes = np.insert(self.codes, ends, len(self.c)) if len(self.codes) else np.full(len(ends), len(self.c), dtype=np.int32)
-        firsts = np.cumsum(tokens) - tokens
-        per = np.add.reduceat(sizes[codes], firsts) if len(firsts) else firsts
         which = np.flatnonzero(chosen)
         if not len(which):
             return
-        cuts = np.flatnonzero(np.diff(np.concatenate([[-1], (np.cumsum(per[which]) - per[which]) // block])))
+        sizes, flat = np.append(self.sizes, 1), np.append(self.flat, np.int32(end))
+        starts = np.cumsum(sizes) - sizes
+        of, tokens = self.tokens(which)
+        ends = np.cumsum(tokens)
+        firsts, size = ends - tokens, sizes[of]
+        per = np.add.reduceat(size, firsts)
+        cuts = np.flatnonzero(np.diff(np.concatenate([[-1], (np.cumsum(per) - per) // block])))
         for i, j in zip(cuts, [*cuts[1:], len(which)], strict=True):
-            w = which[i:j]
-            of = codes[_ranges(firsts[w], tokens[w])]
-            yield w, of, tokens[w], flat[_ranges(starts[of], sizes[of])], sizes[of], per[w]
+            at = slice(firsts[i], ends[j - 1])
+            yield which[i:j], of[at], tokens[i:j], flat[_ranges(starts[of[at]], size[at])], size[at], per[i:j]
 
 
 def _chunks(batches):
@@ -258,25 +303,20 @@ def _symbol_counts(ready: DataFrame, kinds: int) -> tuple[np.ndarray, int, int]:
 
     def run(batches):
         total = np.zeros(kinds + 2, dtype=np.int64)
-        for x in _chunks(batches):
-            n = np.bincount(x.codes[np.repeat(x.training, x.lengths)], minlength=len(x.c))
-            total[:kinds] += np.bincount(x.flat, weights=np.repeat(n, x.sizes), minlength=kinds).astype(np.int64)
-            total[kinds:] += [np.count_nonzero(x.first & (x.c > 0)), np.count_nonzero((x.c == 1) & (n == 1))]
+        for row in (row for b in batches for row in b.to_pylist()):
+            c, first, sizes, flat = _vocabulary(row)
+            c = c * first  # each word once
+            total[:kinds] += np.bincount(flat, weights=np.repeat(c, sizes), minlength=kinds).astype(np.int64)
+            total[kinds:] += [np.count_nonzero(c), np.count_nonzero(c == 1)]
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["s", "n"])
 
-    got = ready.mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).toPandas()
+    got = ready.select("k", "counted", "sizes", "n", "flat").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(kinds + 2, dtype=np.int64)
     out[got["s"].to_numpy(dtype=np.int64)] = got["n"]
     return out[:kinds], int(out[kinds]), int(out[kinds + 1])
 
 
-def _unpack(column) -> tuple[np.ndarray, np.ndarray]:
-    """A binary Arrow column of int32 arrays: the values end to end, and how many each row has."""
-    lengths = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // 4
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.int32), lengths
-
-
 def _hash(doc: str, text: str) -> Column:
     return F.pmod(F.xxhash64(F.lit(5), F.col(doc), F.col(text)), F.lit(_HASHES))
 
@@ -304,18 +344,30 @@ def _neighbours(ready: DataFrame, counts: np.ndarray, end: int, tasks: int, top:
     place[order] = np.arange(len(order))
     shared = ready.sparkSession.sparkContext.broadcast(place)
 
+    def count(total, now, before, n):
+        for a, c, shift in ((now, before, 0), (before, now, context)):
+            known = np.flatnonzero((a >= 0) & (c >= 0) & (c < context))
+            total += np.bincount(a[known] * 2 * context + shift + c[known], weights=None if n is None else n[known], minlength=len(total))
+
     def run(batches):
         from pyspark import TaskContext
 
         total = np.zeros(len(order) * 2 * context)
         for x in _chunks(batches):
-            for _, _, _, flat, _, lengths in x.blocks(x.training, end):
-                at = shared.value[flat]
-                inside = np.ones(len(flat), dtype=bool)
-                inside[np.cumsum(lengths) - lengths] = False  # a text's first symbol has none before it
-                now, before = at[1:][inside[1:]].astype(np.int64), at[:-1][inside[1:]].astype(np.int64)
-                for a, c, shift in ((now, before, 0), (before, now, context)):
-                    np.add.at(total, (a * 2 * context + shift + c)[(a >= 0) & (c >= 0) & (c < context)], 1.0)
+            at, ends = shared.value[x.flat].astype(np.int64), np.cumsum(x.sizes)
+            # inside words, as often as each word stands in training texts
+            n = np.repeat(np.bincount(x.codes[np.repeat(x.training, x.lengths)], minlength=len(x.c)), x.sizes)
+            inside = np.ones(len(at), dtype=bool)
+            inside[ends - x.sizes] = False
+            later = np.flatnonzero(inside)
+            count(total, at[later], at[later - 1], n[later])
+            # from word to word; a text's first one has none before it
+            of, tokens = x.tokens(np.flatnonzero(x.training))
+            inside = np.ones(len(of), dtype=bool)
+            inside[np.cumsum(tokens) - tokens] = False
+            first, last = (np.append(at[i], shared.value[end])[of] for i in (ends - x.sizes, ends - 1))
+            later = np.flatnonzero(inside)
+            count(total, first[later], last[later - 1], None)
         yield pd.DataFrame({"task": [TaskContext.get().partitionId()], "model": [total.astype(np.float32).tobytes()]})
 
     joint = _added(ready.mapInArrow(_as_arrow(run), "task long, model binary"), tasks)
@@ -555,7 +607,7 @@ def score(docs: DataFrame, path: str, held_out: Column, doc: str = "doc_id", tex
     rows.write.partitionBy("kind").option("compression", "zstd").parquet(folder)
     ready = materialise(_ready(spark.read.schema(rows.schema).parquet(folder), path), "lm-ready")
     tasks = ready.rdd.getNumPartitions()
-    n_train, s = docs.where(~held_out).count(), subwords(path)
+    n_train, s = ready.agg(F.sum("train")).first()[0] or 0, subwords(path)
     counts, distinct, once = _symbol_counts(ready, 2 * s.ids)
     # each word has one last symbol
     total = int(counts[s.ids :].sum()) + n_train
