@@ -72,6 +72,14 @@ def test_rows_that_differ_in_other_columns_only_stay_apart(spark):
     assert got == Counter({k: n for k, n in want.items() if n}) and {k[2] for k in got} == {"x", "y"} and all(got[r] for r in rows[1:3])
 
 
+def test_rows_of_one_id_and_size_come_in_the_same_order_again(spark):
+    """However they lie: what the mix takes of each is the same for any order and number of partitions."""
+    rows = [(1, "one two three four", "x", f"l{i}") for i in range(40)]
+    schema = "doc_id long, text string, source string, lang string"
+    got = [{r["lang"]: (r["start"], r["taken"]) for r in mixing.mix(spark.createDataFrame(x, schema).repartition(n), keep=["lang"]).collect()} for x, n in ((rows, 1), (rows[::-1], 3))]
+    assert got[0] == got[1] and len(got[0]) == 40
+
+
 def test_empty(spark):
     assert mixing.mix(empty(spark)).count() == 0
     assert mixing.apply_mix(empty(spark)).count() == 0

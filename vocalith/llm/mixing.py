@@ -74,13 +74,15 @@ def mix(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str =
 
     ``positions``: one training time for each pass that takes words of the document. ``keep``: more columns.
     """
-    slim = docs.select(F.col(doc).alias("_doc"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), F.md5(F.coalesce(F.col(doc).cast("string"), F.lit(""))).alias("_h"), *(keep or []))
+    # rows that share id and size come in the order of their other columns, so reruns agree; maps have no hash
+    told = docs.select(*[F.col(f"`{c}`") for c, kind in docs.dtypes if not c.startswith("_") and "map<" not in kind])
+    slim = docs.select(row_hash(told, 6).alias("_tie"), F.col(doc).alias("_doc"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), F.md5(F.coalesce(F.col(doc).cast("string"), F.lit(""))).alias("_h"), *(keep or []))
     slim = materialise(slim, "mix-sizes")
     aims = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, passes)
     dealt = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in schedules])
     aims = aims.withColumn("schedule", F.element_at(dealt, (F.col("rank") % len(schedules) + 1).cast("int")))
     aims = materialise(aims, "mix-targets").withColumnRenamed("source", "_source")
-    placed = prefix(slim, ["source"], [F.col("_h"), F.col("_doc"), F.col("size")], F.col("size"), "start")
+    placed = prefix(slim, ["source"], [F.col("_h"), F.col("_doc"), F.col("size"), F.col("_tie")], F.col("size"), "start")
     got = placed.join(aims, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "_h")
     whole = F.floor(F.col("target") + F.lit(0.5))
     part = lambda p: F.greatest(F.lit(0), F.least(F.col("start") + F.col("size"), whole - F.col("source_size") * p) - F.col("start"))
@@ -96,7 +98,7 @@ def apply_mix(docs: DataFrame, doc: str = "doc_id", text: str = "text", source:
     """``docs`` as the mix takes them: whole documents, once for each pass that takes at least half of their
     words, sorted by training position. Rows that differ in any column are different documents."""
     own = {"_d": row_hash(docs, 3), "_t": row_hash(docs, 4)}
-    got = mix(docs.withColumns(own).select(doc, source, text, *own), doc, text, source, keep=["_d", "_t"], **how)
+    got = mix(docs.withColumns(own), doc, text, source, keep=["_d", "_t"], **how)
     enough = F.filter(F.arrays_zip("positions", "parts"), lambda x: x["parts"]["n"] * 2 >= F.col("size"))
     got = got.select("_d", "_t", F.transform(enough, lambda x: x["positions"]).alias("_p")).where(F.size("_p") > 0)
     # equal rows: their positions one by one, each to one of them by its number
