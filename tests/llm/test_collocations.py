@@ -94,6 +94,18 @@ def test_counts_survive_spilling():
     assert got == want
 
 
+def test_more_phrases_than_duckdb_counts_at_once(spark):
+    """A task and a bucket get many times what duckdb can count up in its memory: both are cut."""
+    words = "transform(sequence(1, 50), i -> concat('w', hex(pmod(xxhash64(id % 24000, i), 900000))))"
+    found = spark.range(0, 36000, 1, 1).selectExpr("if(id % 3 = 0, 'en', 'de') AS part", f"array_join({words}, ' ') AS piece", "id % 2 + 1 AS n")
+    got = cl.phrase_counts(found, longest=2, least=3, buckets=1, memory="20MB")
+    w = found.selectExpr("part", "n", "split(piece, ' ') AS w")
+    every = w.selectExpr("part", "n", "explode(w) AS phrase").union(w.selectExpr("part", "n", "explode(transform(sequence(1, size(w) - 1), i -> concat_ws(' ', w[i - 1], w[i])))"))
+    want = every.groupBy("part", "phrase").agg(F.sum("n").alias("n")).where("n >= 3")
+    want = want.union(w.groupBy("part").agg(F.sum(F.size("w") * F.col("n")).alias("n")).selectExpr("part", "''", "n"))
+    assert want.count() > 100_000 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
 def test_a_full_filter_only_costs_time(spark):
     """With far fewer bits than phrases everything is let through, and the counts are the same."""
     rows = corpus()

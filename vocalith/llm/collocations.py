@@ -3,7 +3,9 @@
 Texts are lower-cased (A-Z), split at punctuation and line ends into pieces, and pieces into words. Equal pieces of
 a part become one, with its multiplicity (an aggregation with map-side combining). Each task then counts the
 weighted n-grams of its pieces in duckdb, out of core, and hands them out in blobs by hash bucket; each bucket is
-counted up in duckdb again, so no phrase, however frequent, has more than one row of each task in a bucket. Words and
+counted up in duckdb again. Duckdb spills, but fails on some ten times its memory, so a task counts its pieces in runs of
+bounded size, and there are as many buckets as the words of all pieces ask for. A phrase, however frequent, has no more
+than one row of each run in its bucket. Words and
 pairs are counted first. A longer phrase cannot occur more often than the two that are one word shorter, so those of k
 words are counted only where both of these are frequent, as far as a filter of a fixed number of bits can tell: it
 never misses a frequent one, and what it lets through in vain is counted and found rare. The counts
@@ -32,13 +34,14 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, text_of
+from .common import bounded_batches, materialise, text_of
 from .fingerprints import _tickets
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ENDS = r"[.,;:!?\x0A-\x0D]"
 _STRETCH = 20_000  # code points of a piece above which it is counted in stretches
 _ROWS = 1 << 18  # rows of a batch that is dealt to buckets
+_ROW_BYTES = 64  # what duckdb keeps of a row besides its phrase
 _GRAMS = pa.schema([("part", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
 _PIECES = pa.schema([("part", pa.string()), ("piece", pa.string()), ("starts", pa.int64()), ("n", pa.int64())])
 _BLOBS = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
@@ -67,8 +70,8 @@ def _stretches(batches, longest: int) -> Iterator[pa.RecordBatch]:
                 continue
             w = x.split(" ")
             out += [(p, " ".join(w[a : a + 2000 + longest - 1]), 2000, k) for a in range(0, len(w), 2000)]
-        for a in range(0, len(out), 2000):
-            yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*out[a : a + 2000], strict=True), _PIECES, strict=True)], schema=_PIECES)
+        for a in range(0, len(out), 200):
+            yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*out[a : a + 200], strict=True), _PIECES, strict=True)], schema=_PIECES)
 
 
 def _grams_sql(longest: int, buckets: int) -> str:
@@ -97,6 +100,44 @@ def _duckdb(memory: str):
             yield c
 
 
+def _most(memory: str) -> int:
+    """Bytes of rows that one aggregation in duckdb gets: a third of what was seen to fail."""
+    return 3_000_000 * int(memory.removesuffix("MB"))
+
+
+def _letters(column: pa.Array) -> int:
+    return pa.compute.sum(pa.compute.binary_length(column)).as_py() or 0
+
+
+def _phrases_size(longest: int):
+    """Bytes of the rows that a batch of pieces gives, with phrases of up to ``longest`` words."""
+
+    def size(b: pa.RecordBatch) -> int:
+        words = len(b) + (pa.compute.sum(pa.compute.count_substring(b.column(1), " ")).as_py() or 0)
+        return _letters(b.column(1)) * longest * (longest + 1) // 2 + words * longest * _ROW_BYTES
+
+    return size
+
+
+def _grams_size(b: pa.RecordBatch) -> int:
+    return _letters(b.column(1)) + len(b) * _ROW_BYTES
+
+
+def _in_runs(batches, size, most: int) -> Iterator[Iterator[pa.RecordBatch]]:
+    """Runs of the batches, to be read one after the other; each ends where their sizes reach ``most``."""
+    batches = iter(batches)
+
+    def run(b):
+        read = 0
+        while b is not None:
+            yield b
+            read += size(b)
+            b = next(batches, None) if read < most else None
+
+    for first in batches:
+        yield run(first)
+
+
 def _blob(batch: pa.RecordBatch) -> bytes:
     raw = batch.serialize()
     return struct.pack("<q", raw.size) + pa.compress(raw, codec="zstd", asbytes=True)
@@ -106,19 +147,15 @@ def _unblob(data: bytes) -> pa.RecordBatch:
     return pa.ipc.read_record_batch(pa.decompress(data[8:], struct.unpack("<q", data[:8])[0], codec="zstd"), _GRAMS)
 
 
-def _counter(table: str, source, sql: str, memory: str, tickets: list[int] | None = None):
+def _counter(table: str, source, size, sql: str, buckets: int, memory: str, tickets: list[int] | None = None):
     """A task's pieces -> blobs of phrase counts by bucket, or by the bucket's ticket. ``source`` makes of the batches those
-    of the table that ``sql`` reads."""
+    of the table that ``sql`` reads, in runs by ``size``."""
+    batch_rows = min(max(_ROWS, 512 * buckets), 4 * _ROWS)  # blobs of many buckets would get small
 
-    def run(batches):
-        batches = iter(batches)
-        first = next(batches, None)
-        if first is None:
-            return
-        schema, rows = source(chain([first], batches))
+    def counted(schema, rows):
         with _duckdb(memory) as c:
             c.register(table, pa.RecordBatchReader.from_batches(schema, rows))
-            for got in c.sql(sql).to_arrow_reader(_ROWS):
+            for got in c.sql(sql).to_arrow_reader(batch_rows):
                 at = got.column(0).to_numpy()
                 order = np.argsort(at, kind="stable")
                 rows = got.select(["part", "phrase", "n"]).take(pa.array(order)).cast(_GRAMS)
@@ -128,18 +165,25 @@ def _counter(table: str, source, sql: str, memory: str, tickets: list[int] | Non
                 for k, a, b in zip(dealt, starts.tolist(), ends, strict=True):
                     yield pa.record_batch([pa.array([k], pa.int32()), pa.array([_blob(_own(rows, a, b))], pa.binary())], schema=_BLOBS)
 
+    def run(batches):
+        schema, rows = source(batches)
+        for part in _in_runs(rows, size, _most(memory)):
+            yield from counted(schema, part)
+
     return run
 
 
 def _all_phrases(longest: int, buckets: int, memory: str, tickets: list[int] | None = None):
     """Counts every phrase of up to ``longest`` words, and the words."""
-    return _counter("pieces", lambda batches: (_PIECES, _stretches(batches, longest)), _grams_sql(longest, buckets), memory, tickets)
+    source = lambda batches: (_PIECES, _stretches(batches, longest))
+    return _counter("pieces", source, _phrases_size(longest), _grams_sql(longest, buckets), buckets, memory, tickets)
 
 
 def _likely_phrases(k: int, bits: np.ndarray, buckets: int, memory: str, tickets: list[int] | None = None):
     """Counts the phrases of ``k`` words whose two phrases of one word less the filter takes for frequent."""
+    source = lambda batches: (_GRAMS, _likely(_stretches(batches, k), k, bits))
     sql = f"SELECT (hash(part, phrase) % {buckets})::INT AS bucket, part, phrase, sum(n)::BIGINT AS n FROM grams GROUP BY part, phrase"
-    return _counter("grams", lambda batches: (_GRAMS, _likely(_stretches(batches, k), k, bits)), sql, memory, tickets)
+    return _counter("grams", source, _grams_size, sql, buckets, memory, tickets)
 
 
 def _hashed(words: pa.Array) -> np.ndarray:
@@ -237,12 +281,21 @@ def _summer(least: int, memory: str):
     return run
 
 
+def _buckets(found: DataFrame, longest: int, memory: str) -> int:
+    """So many that none gets more rows than duckdb can count up, were all phrases different."""
+    words = F.length("piece") - F.length(F.replace("piece", F.lit(" "), F.lit(""))) + 1
+    letters, words = found.agg(F.sum(F.octet_length("piece")), F.sum(words)).first()
+    return -(-((letters or 0) * max(3, longest) + (words or 0) * 2 * _ROW_BYTES) // _most(memory))
+
+
 def phrase_counts(found: DataFrame, longest: int = 3, least: int = 10, buckets: int | None = None, memory: str = "300MB", filter_bits: int = 1 << 26) -> DataFrame:
     """Rows of ``pieces`` -> (part, phrase, n): phrases of up to ``longest`` words that occur ``least`` times or more, and as
-    the empty phrase the number of words of each part. ``filter_bits``: a power of two, from 2^15 up."""
+    the empty phrase the number of words of each part. ``buckets``: the least number of them. ``filter_bits``: a power of
+    two, from 2^15 up."""
     spark = found.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounded_batches(spark, rows=10_000)
     found = materialise(found, "phrase-pieces")
+    buckets = max(buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), _buckets(found, longest, memory))
     tickets = _tickets(spark, buckets)
 
     def counted(counter) -> DataFrame:
